@@ -64,6 +64,15 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str = "value") -> Da
     return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+def counted(value: str = "value") -> Column:
+    """Rows of a count table that hold a value.
+
+    The test also reads ``n``, so it is not pushed below the aggregate: every
+    branch then shares one identical count shuffle, and the source is scanned once.
+    """
+    return F.when(F.col(value).isNotNull(), F.col("n")) > 0
+
+
 def quantiles_from_counts(
     counts: DataFrame,
     keys: Sequence[str],
@@ -73,7 +82,7 @@ def quantiles_from_counts(
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per key from (key, value, n) rows."""
     keys = list(keys)
-    usable = counts.filter(F.col(value).isNotNull())
+    usable = counts.filter(counted(value))
     bounds = usable.groupBy(*keys).agg(
         F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("n").alias("__total")
     )
@@ -154,7 +163,7 @@ def numeric_summary(
         counts = value_counts(rows, by)
         base = counts.groupBy(*by).agg(*base_columns)
         spread = (
-            null_safe_join(counts.filter(v.isNotNull()), base.select(*by, "mean", "count"), by)
+            null_safe_join(counts.filter(counted()), base.select(*by, "mean", "count"), by)
             .groupBy(*by)
             .agg(
                 F.sqrt(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,67 +37,47 @@ PREDICTION_FIELDS = (
 )
 
 
-def _json_kind(raw: Column) -> Column:
-    """The JSON type of a raw value text: string, integer, number, boolean, null or other."""
+def _kind(variant_type: Column) -> Column:
+    """string, integer, number, boolean, null or other, from a VARIANT type name."""
     return (
-        F.when(raw.isNull() | (raw == "null"), "null")
-        .when(raw.startswith('"'), "string")
-        .when(raw.isin("true", "false"), "boolean")
-        .when(raw.rlike(r"^-?\d+$"), "integer")
-        .when(raw.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), "number")
+        F.when(variant_type.isNull() | (variant_type == "VOID"), "null")
+        .when(variant_type == "STRING", "string")
+        .when(variant_type == "BOOLEAN", "boolean")
+        .when(variant_type == "BIGINT", "integer")
+        .when(variant_type.startswith("DECIMAL") | variant_type.isin("DOUBLE", "FLOAT"), "number")
         .otherwise("other")
     )
 
 
-def request_errors(fields: Mapping[str, tuple[Column, Column]], unexpected: Column | None = None) -> Column:
-    """Map of field -> message.
-
-    ``fields`` gives (kind, text) per contract field: the kind is one of
-    string, integer, number, boolean, null, and the text is the plain value.
-    """
-    entries: list[Column] = []
-    for name in REQUEST_FIELDS:
-        if name not in fields:
-            kind, text = F.lit("null"), F.lit(None).cast("string")
-        else:
-            kind, text = fields[name]
-        given = kind != "null"
-        number = text.try_cast("double")
-        is_integer, is_number = kind == "integer", kind.isin("integer", "number") & finite_or_null(number).isNotNull()
-        message = F.when(~given & F.lit(name in REQUEST_REQUIRED), "Required field is missing.")
-        if name in REQUEST_TEXTS:
-            message = (
-                message.when(given & (kind != "string"), "Must be a string.")
-                .when(given & (stripped(text) == ""), "Must not be empty.")
-                .when(given & (F.length(text) > MAX_TEXT), "Text value is too long.")
-            )
-        elif name == "age_months":
-            message = message.when(given & ~is_integer, "Must be an integer.").when(
-                given & (number <= 0), "Must be greater than zero."
-            )
-        elif name == "weight_kg":
-            message = message.when(given & ~is_number, "Must be a finite number.").when(
-                given & (number <= 0), "Must be greater than zero."
-            )
-        elif name == "days_in_milk":
-            message = message.when(given & ~is_integer, "Must be an integer or null.").when(
-                given & (number < 0), "Must be zero or greater."
-            )
-        elif name in REQUEST_OPTIONAL_NUMBERS:
-            message = message.when(given & ~is_number, "Must be a finite number or null.")
-            if name == "previous_week_avg_yield_l":
-                message = message.when(number < 0, "Must be zero or greater.")
-            if name == "body_condition_score":
-                message = message.when(~number.between(1, 5), "Must be from 1 through 5.")
-        entries.append(F.when(message.isNotNull(), F.struct(F.lit(name).alias("k"), message.alias("v"))))
-    known = F.array_compact(F.array(*entries))
-    if unexpected is None:
-        return F.map_from_entries(known)
-    extra = F.transform(
-        F.array_sort(F.array_distinct(unexpected)),
-        lambda n: F.struct(n.alias("k"), F.lit("Unexpected field.").alias("v")),
-    )
-    return F.map_from_entries(F.concat(extra, known))
+def _message(name: str, kind: Column, text: Column) -> Column:
+    """The message for one field; a later test overrides none before it."""
+    given, number = kind != "null", text.try_cast("double")
+    is_number = kind.isin("integer", "number") & finite_or_null(number).isNotNull()
+    message = F.when(~given & F.lit(name in REQUEST_REQUIRED), "Required field is missing.")
+    if name in REQUEST_TEXTS:
+        return (
+            message.when(given & (kind != "string"), "Must be a string.")
+            .when(given & (stripped(text) == ""), "Must not be empty.")
+            .when(given & (F.length(text) > MAX_TEXT), "Text value is too long.")
+        )
+    if name == "age_months":
+        return message.when(given & (kind != "integer"), "Must be an integer.").when(
+            given & (number <= 0), "Must be greater than zero."
+        )
+    if name == "weight_kg":
+        return message.when(given & ~is_number, "Must be a finite number.").when(
+            given & (number <= 0), "Must be greater than zero."
+        )
+    if name == "days_in_milk":
+        return message.when(given & (kind != "integer"), "Must be an integer or null.").when(
+            given & (number < 0), "Must be zero or greater."
+        )
+    message = message.when(given & ~is_number, "Must be a finite number or null.")
+    if name == "previous_week_avg_yield_l":
+        message = message.when(number < 0, "Must be zero or greater.")
+    if name == "body_condition_score":
+        message = message.when(~number.between(1, 5), "Must be from 1 through 5.")
+    return message
 
 
 def error_code(errors: Column) -> Column:
@@ -111,27 +91,40 @@ def error_code(errors: Column) -> Column:
 
 
 def validate_requests(df: DataFrame, json_column: str, keys: Sequence[str]) -> DataFrame:
-    """E15 over a table of JSON request texts: errors, code and valid flag per row."""
-    raw = F.from_json(quoted(json_column), "map<string,string>")
-    known = F.array(*[F.lit(f) for f in REQUEST_FIELDS])
-    rows = df.select(*keys, quoted(json_column).alias("__body"), raw.alias("__raw"))
-    fields = {}
-    for name in REQUEST_FIELDS:
-        # The raw text of the value keeps its JSON type; the map has it unquoted.
-        typed = F.regexp_extract(
-            F.col("__body"),
-            rf'"{name}"\s*:\s*("(?:[^"\\]|\\.)*"|true|false|null|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|[\[{{N-])',
-            1,
-        )
-        fields[name] = (_json_kind(F.nullif(typed, F.lit(""))), F.try_element_at(F.col("__raw"), F.lit(name)))
-    extra = F.array_except(F.map_keys(F.col("__raw")), known)
-    checked = rows.withColumn("errors", request_errors(fields, extra))
-    broken = F.col("__raw").isNull()
-    return checked.select(
+    """E15 over a table of JSON request texts: errors, code and valid flag per row.
+
+    Every text is parsed once, into a VARIANT that keeps the JSON types; each
+    field's type and text become columns before the messages read them.
+    """
+    body = quoted(json_column)
+    rows = df.select(*keys, F.try_parse_json(body).alias("__v"), F.json_object_keys(body).alias("__names"))
+
+    def part(name: str, kind: str) -> Column:
+        return F.try_variant_get(F.col("__v"), f"$.{name}", kind)
+
+    rows = rows.withColumns({f"__t_{n}": part(n, "string") for n in REQUEST_FIELDS} | {
+        f"__y_{n}": F.schema_of_variant(part(n, "variant")) for n in REQUEST_FIELDS
+    })
+    rows = rows.withColumns({f"__k_{n}": _kind(F.col(f"__y_{n}")) for n in REQUEST_FIELDS})
+    rows = rows.withColumns({f"__m_{n}": _message(n, F.col(f"__k_{n}"), F.col(f"__t_{n}")) for n in REQUEST_FIELDS})
+    known = [
+        F.when(F.col(f"__m_{n}").isNotNull(), F.struct(F.lit(n).alias("k"), F.col(f"__m_{n}").alias("v")))
+        for n in REQUEST_FIELDS
+    ]
+    extra = F.transform(
+        F.array_sort(F.array_except(F.col("__names"), F.array(*[F.lit(f) for f in REQUEST_FIELDS]))),
+        lambda n: F.struct(n.alias("k"), F.lit("Unexpected field.").alias("v")),
+    )
+    # A text that is no JSON object has no key list.
+    broken = F.col("__v").isNull() | F.col("__names").isNull()
+    rows = rows.withColumn("__broken", broken).withColumn(
+        "errors", F.when(~F.col("__broken"), F.map_from_entries(F.concat(extra, present(known))))
+    )
+    return rows.select(
         *keys,
-        F.when(broken, F.lit(None)).otherwise(F.col("errors")).alias("errors"),
-        F.when(broken, F.lit("INVALID_JSON")).otherwise(error_code(F.col("errors"))).alias("error_code"),
-        (~broken & (F.size("errors") == 0)).alias("valid"),
+        "errors",
+        F.when(F.col("__broken"), F.lit("INVALID_JSON")).otherwise(error_code(F.col("errors"))).alias("error_code"),
+        (~F.col("__broken") & (F.size("errors") == 0)).alias("valid"),
     )
 
 
@@ -217,59 +210,75 @@ def restock_quantity(raw: Column, unit: Column) -> Column:
     return F.struct(value.alias("value"), error.alias("error"))
 
 
-def livestock_edit(
-    animal_id: Column, name: Column, species: Column, breed: Column,
-    birth_date: Column, age: Column, weight: Column, as_of: Column,
-) -> Column:
-    """struct(age, weight, error); a birth date overrides the entered age."""
-    def blank(c: Column) -> Column:
-        return F.coalesce(stripped(c.cast("string")), F.lit("")) == ""
+def _blank(value: Column) -> Column:
+    return F.coalesce(stripped(value.cast("string")), F.lit("")) == ""
 
-    entered = parse_number(F.coalesce(F.nullif(stripped(age.cast("string")), F.lit("")), F.lit("0")))
-    born = F.when(blank(birth_date), entered).otherwise(age_months(parsed_date(birth_date), as_of).cast("double"))
-    kilos = finite_or_null(parse_number(weight.cast("string")))
-    usable_age = finite_or_null(born)
+
+def livestock_edits(df: DataFrame, as_of: Column) -> DataFrame:
+    """Adds edit_age, edit_weight and edit_error; a birth date overrides the entered age.
+
+    Reads animal_id, animal_name, species, breed, birth_date, age and weight.
+    """
+    entered = F.when(_blank(F.col("age")), F.lit("0")).otherwise(F.col("age").cast("string"))
+    rows = df.withColumns(
+        {
+            "__entered": parse_number(entered),
+            "__born": parsed_date(F.col("birth_date")),
+            "__kilos": finite_or_null(parse_number(F.col("weight").cast("string"))),
+        }
+    )
+    months = F.when(_blank(F.col("birth_date")), F.col("__entered")).otherwise(
+        age_months(F.col("__born"), as_of).cast("double")
+    )
+    rows = rows.withColumn("__months", finite_or_null(months))
+    required = [_blank(F.col(c)) for c in ("animal_id", "animal_name", "species", "breed")]
     error = (
-        F.when(blank(animal_id) | blank(name) | blank(species) | blank(breed), "REQUIRED_TEXT_MISSING")
-        .when(usable_age.isNull() | (usable_age < 0), "AGE_INVALID")
-        .when(kilos.isNull() | (kilos <= 0), "WEIGHT_INVALID")
+        F.when(required[0] | required[1] | required[2] | required[3], "REQUIRED_TEXT_MISSING")
+        .when(F.col("__months").isNull() | (F.col("__months") < 0), "AGE_INVALID")
+        .when(F.col("__kilos").isNull() | (F.col("__kilos") <= 0), "WEIGHT_INVALID")
+    )
+    ok = F.col("edit_error").isNull()
+    return (
+        rows.withColumn("edit_error", error)
+        .withColumns({"edit_age": F.when(ok, F.col("__months")), "edit_weight": F.when(ok, F.col("__kilos"))})
+        .drop("__entered", "__born", "__kilos", "__months")
     )
-    ok = error.isNull()
-    return F.struct(F.when(ok, usable_age).alias("age"), F.when(ok, kilos).alias("weight"), error.alias("error"))
 
 
-def scoring_admission(df: DataFrame) -> DataFrame:
-    """Admitted flag, field and message code; optional values only if valid."""
-    def text(name: str) -> Column:
-        return F.coalesce(stripped(quoted(name).cast("string")), F.lit(""))
+ADMISSION_NUMBERS = (
+    "ambient_temperature_c", "humidity_percent", "days_in_milk", "previous_week_avg_yield_l", "body_condition_score",
+)
 
-    def number(name: str) -> Column:
-        return finite_or_null(parse_number(text(name)))
 
-    group = text("genetic_group")
-    known = quoted("genetic_group").isin(*GENETIC_GROUPS)
-    undecided = (group == "") | (quoted("genetic_group") == "Unknown")
-    temperature, humidity = number("ambient_temperature_c"), number("humidity_percent")
+def scoring_admission(df: DataFrame) -> DataFrame:
+    """Admitted flag, field and message code; optional values only if valid."""
+    rows = df.withColumns(
+        {f"__{n}": F.coalesce(stripped(quoted(n).cast("string")), F.lit("")) for n in (*ADMISSION_NUMBERS, "genetic_group")}
+    )
+    rows = rows.withColumns({f"__n_{n}": finite_or_null(parse_number(F.col(f"__{n}"))) for n in ADMISSION_NUMBERS})
+    temperature, humidity, days, yielded, score = (F.col(f"__n_{n}") for n in ADMISSION_NUMBERS)
+    known = F.coalesce(quoted("genetic_group").isin(*GENETIC_GROUPS), F.lit(False))
+    undecided = F.col("__genetic_group").isin("", "Unknown")
     problem = (
-        F.when(~F.coalesce(known, F.lit(False)) & ~F.coalesce(undecided, F.lit(True)), "GROUP_NOT_VERIFIED")
-        .when(text("ambient_temperature_c") == "", "TEMPERATURE_REQUIRED")
+        F.when(~known & ~undecided, "GROUP_NOT_VERIFIED")
+        .when(F.col("__ambient_temperature_c") == "", "TEMPERATURE_REQUIRED")
         .when(temperature.isNull(), "TEMPERATURE_NOT_NUMERIC")
-        .when(text("humidity_percent") == "", "HUMIDITY_REQUIRED")
+        .when(F.col("__humidity_percent") == "", "HUMIDITY_REQUIRED")
         .when(humidity.isNull() | ~humidity.between(0, 100), "HUMIDITY_OUT_OF_RANGE")
     )
+    rows = rows.withColumn("__problem", problem)
+    found = F.col("__problem")
+    admitted = found.isNull()
     field = (
-        F.when(problem == "GROUP_NOT_VERIFIED", "genetic_group")
-        .when(problem.startswith("TEMPERATURE"), "ambient_temperature_c")
-        .when(problem.startswith("HUMIDITY"), "humidity_percent")
+        F.when(found == "GROUP_NOT_VERIFIED", "genetic_group")
+        .when(found.startswith("TEMPERATURE"), "ambient_temperature_c")
+        .when(found.startswith("HUMIDITY"), "humidity_percent")
     )
-    days, yielded, score = number("days_in_milk"), number("previous_week_avg_yield_l"), number("body_condition_score")
-    admitted = problem.isNull()
-    message = F.coalesce(problem, F.when(undecided, "GROUP_NEEDED_FOR_ESTIMATE"))
-    return df.withColumns(
+    out = rows.withColumns(
         {
             "admitted": admitted,
             "problem_field": field,
-            "message": message,
+            "message": F.coalesce(found, F.when(undecided, "GROUP_NEEDED_FOR_ESTIMATE")),
             "genetic_group_sent": F.when(admitted & known, quoted("genetic_group")),
             "ambient_temperature_sent": F.when(admitted, temperature),
             "humidity_sent": F.when(admitted, humidity),
@@ -278,6 +287,7 @@ def scoring_admission(df: DataFrame) -> DataFrame:
             "condition_score_sent": F.when(admitted & score.between(1, 5), score),
         }
     )
+    return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
 def profile_gap(texts: Sequence[Column], numbers: Sequence[Column]) -> Column:

@@ -64,75 +64,103 @@ def heat_index(temperature: Column, humidity: Column) -> Column:
     return (warm + 32) - ((F.lit(0.55) - humidity * 0.0055) * (warm - 26))
 
 
-def heat_result(
+# Heat errors, in the order in which the first one counts.
+MISSING_ENVIRONMENT = ("TEMPERATURE_MISSING", "HUMIDITY_MISSING")
+
+
+def with_heat(
+    df: DataFrame,
     temperature: Column,
     humidity: Column,
     temperature_given: Column | None = None,
     humidity_given: Column | None = None,
-) -> Column:
-    """struct(status, calculated, display, category, error) per row.
+) -> DataFrame:
+    """Adds heat_error, heat_status, heat_index, heat_display and heat_class.
 
     The ``given`` columns tell a missing cell from one that is not a number;
-    without them a null is missing and NaN or infinity is invalid.
+    without them a null is missing and NaN or infinity is invalid. The steps
+    build on each other as columns, so no expression is repeated in the plan.
     """
-    t_given = temperature.isNotNull() if temperature_given is None else temperature_given
-    h_given = humidity.isNotNull() if humidity_given is None else humidity_given
-    t, h = finite_or_null(temperature), finite_or_null(humidity)
-    raw = heat_index(t, h)
+    t, h = F.col("__t"), F.col("__h")
+    rows = df.withColumns(
+        {
+            "__tg": temperature.isNotNull() if temperature_given is None else temperature_given,
+            "__hg": humidity.isNotNull() if humidity_given is None else humidity_given,
+            "__t": finite_or_null(temperature),
+            "__h": finite_or_null(humidity),
+        }
+    ).withColumn("__raw", finite_or_null(heat_index(t, h)))
+    rows = rows.withColumn("__class", interval_class(F.col("__raw")))
     error = (
-        F.when(~t_given, "TEMPERATURE_MISSING")
-        .when(~h_given, "HUMIDITY_MISSING")
+        F.when(~F.col("__tg"), "TEMPERATURE_MISSING")
+        .when(~F.col("__hg"), "HUMIDITY_MISSING")
         .when(t.isNull(), "TEMPERATURE_INVALID")
         .when(h.isNull(), "HUMIDITY_INVALID")
         .when(~h.between(0, 100), "HUMIDITY_OUT_OF_RANGE")
-        .when(finite_or_null(raw).isNull(), "THI_CALCULATION_FAILED")
-        .when(interval_class(raw).isNull(), "THI_CATEGORY_UNSUPPORTED")
+        .when(F.col("__raw").isNull(), "THI_CALCULATION_FAILED")
+        .when(F.col("__class").isNull(), "THI_CATEGORY_UNSUPPORTED")
     )
+    rows = rows.withColumn("heat_error", error)
+    found = F.col("heat_error")
     status = (
-        F.when(error.isin("TEMPERATURE_MISSING", "HUMIDITY_MISSING"), "MISSING_REQUIRED_INPUT")
-        .when(error == "THI_CATEGORY_UNSUPPORTED", "UNKNOWN_THI_CATEGORY")
-        .when(error.isNotNull(), "INVALID_ENVIRONMENT_INPUT")
-        .otherwise("ELIGIBLE")
+        F.when(found.isNull(), "ELIGIBLE")
+        .when(found.isin(*MISSING_ENVIRONMENT), "MISSING_REQUIRED_INPUT")
+        .when(found == "THI_CATEGORY_UNSUPPORTED", "UNKNOWN_THI_CATEGORY")
+        .otherwise("INVALID_ENVIRONMENT_INPUT")
     )
-    shown = F.when(error.isNull() | (error == "THI_CATEGORY_UNSUPPORTED"), raw)
-    return F.struct(
-        status.alias("status"),
-        shown.alias("calculated"),
-        F.round(shown, 2).alias("display"),
-        F.when(error.isNull(), interval_class(raw)).alias("category"),
-        error.alias("error"),
+    shown = F.when(found.isNull() | (found == "THI_CATEGORY_UNSUPPORTED"), F.col("__raw"))
+    return rows.withColumns(
+        {
+            "heat_status": status,
+            "heat_index": shown,
+            "heat_display": F.round(shown, 2),
+            "heat_class": F.when(found.isNull(), F.col("__class")),
+        }
+    ).drop("__tg", "__hg", "__t", "__h", "__raw", "__class")
+
+
+# What each gate answers; an environment failure keeps its own status.
+GATE_STATUS = ("OUT_OF_SCOPE_POPULATION", "MISSING_REQUIRED_INPUT", None, "UNKNOWN_GENETIC_GROUP",
+               "UNKNOWN_THI_CATEGORY", "ELIGIBLE", "ELIGIBLE")
+GATE_SCOPE = ("OUT_OF_SCOPE", "UNRESOLVED", "UNRESOLVED", "OUT_OF_SCOPE", "UNRESOLVED", "LIMITED_SUPPORT", "IN_SCOPE")
+GATE_REASON = ("POPULATION_OUT_OF_SCOPE", "GENETIC_GROUP_MISSING", None, "GENETIC_GROUP_UNKNOWN",
+               "THI_CATEGORY_UNKNOWN", None, None)
+GATE_WARNING = ("POPULATION_SCOPE", "BREED_NOT_USED", None, "BREED_NOT_USED", None, "LOCAL_LIMITED", None)
+
+
+def with_eligibility(df: DataFrame, stage: Column, group: Column) -> DataFrame:
+    """Adds eligibility, scope, fallback_reason and eligibility_warnings.
+
+    The first failing gate decides, so the gate's number is found once and the
+    answers are read from it. Needs the columns of ``with_heat``.
+    """
+    gate = (
+        F.when(~F.coalesce(status_text(stage).isin(*LACTATING_STAGES), F.lit(False)), 1)
+        .when(group.isNull() | (stripped(group) == ""), 2)
+        .when(F.col("heat_status") != "ELIGIBLE", 3)
+        .when(~group.isin(*GENETIC_GROUPS), 4)
+        .when(F.col("heat_class").isNull(), 5)
+        .when(group == "Local", 6)
+        .otherwise(7)
     )
 
+    def answer(values: Sequence[str | None]) -> Column:
+        return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), F.col("__gate"))
 
-def eligibility(stage: Column, group: Column, heat: Column) -> Column:
-    """struct(status, scope, reason, warnings); the first failing gate decides."""
-    in_scope = F.coalesce(status_text(stage).isin(*LACTATING_STAGES), F.lit(False))
-    blank = group.isNull() | (stripped(group) == "")
-    heat_status = heat["status"]
-    environment = F.when(heat_status == "MISSING_REQUIRED_INPUT", "ENVIRONMENT_MISSING").when(
-        heat_status == "INVALID_ENVIRONMENT_INPUT", "ENVIRONMENT_INVALID"
-    ).otherwise("THI_CATEGORY_UNKNOWN")
-    known = group.isin(*GENETIC_GROUPS)
-    gates = [
-        (~in_scope, F.lit("OUT_OF_SCOPE_POPULATION"), "OUT_OF_SCOPE", F.lit("POPULATION_OUT_OF_SCOPE"), "POPULATION_SCOPE"),
-        (blank, F.lit("MISSING_REQUIRED_INPUT"), "UNRESOLVED", F.lit("GENETIC_GROUP_MISSING"), "BREED_NOT_USED"),
-        (heat_status != "ELIGIBLE", heat_status, "UNRESOLVED", environment, None),
-        (~known, F.lit("UNKNOWN_GENETIC_GROUP"), "OUT_OF_SCOPE", F.lit("GENETIC_GROUP_UNKNOWN"), "BREED_NOT_USED"),
-        (heat["category"].isNull(), F.lit("UNKNOWN_THI_CATEGORY"), "UNRESOLVED", F.lit("THI_CATEGORY_UNKNOWN"), None),
-        (group == "Local", F.lit("ELIGIBLE"), "LIMITED_SUPPORT", F.lit(None).cast("string"), "LOCAL_LIMITED"),
-    ]
-    chain = None
-    for test, status, scope, reason, warning in gates:
-        warnings = F.array(F.lit(warning)) if warning else F.array().cast("array<string>")
-        result = F.struct(
-            status.alias("status"), F.lit(scope).alias("scope"), reason.alias("reason"), warnings.alias("warnings")
-        )
-        chain = F.when(test, result) if chain is None else chain.when(test, result)
-    passed = F.struct(
-        F.lit("ELIGIBLE").alias("status"), F.lit("IN_SCOPE").alias("scope"),
-        F.lit(None).cast("string").alias("reason"), F.array().cast("array<string>").alias("warnings"),
+    environment = (
+        F.when(F.col("heat_status") == "MISSING_REQUIRED_INPUT", "ENVIRONMENT_MISSING")
+        .when(F.col("heat_status") == "INVALID_ENVIRONMENT_INPUT", "ENVIRONMENT_INVALID")
+        .otherwise("THI_CATEGORY_UNKNOWN")
     )
-    return chain.otherwise(passed)
+    third = F.col("__gate") == 3
+    return df.withColumn("__gate", gate).withColumns(
+        {
+            "eligibility": F.when(third, F.col("heat_status")).otherwise(answer(GATE_STATUS)),
+            "scope": answer(GATE_SCOPE),
+            "fallback_reason": F.when(third, environment).otherwise(answer(GATE_REASON)),
+            "eligibility_warnings": F.array_compact(F.array(answer(GATE_WARNING))),
+        }
+    ).drop("__gate")
 
 
 def base_ration(weight: Column, milk: Column) -> Column:

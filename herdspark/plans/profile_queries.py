@@ -155,11 +155,18 @@ def target_audit(spark, sf_dir):
     return rounded(profile.target_audit(table(spark, sf_dir, "lineitem"), facts))
 
 
+def _class_risk_sql(column: str) -> str:
+    return f"""SELECT '{column}' AS "column", 'classification' AS task, array_to_string(list_filter([CASE WHEN count(*) < 2 THEN 'ONE_CLASS' END,
+      CASE WHEN max(n) / sum(n) >= 0.8 THEN 'MAJORITY_80_PERCENT' END, CASE WHEN min(n) / sum(n) <= 0.05 THEN 'MINORITY_5_PERCENT' END,
+      CASE WHEN count(*) > 20 THEN 'MORE_THAN_20_CLASSES' END], lambda x: x IS NOT NULL), ',') AS notes
+      FROM (SELECT {column}, count(*) AS n FROM part GROUP BY 1)"""
+
+
 @query(
     "target_risks",
-    """SELECT 'p_name' AS "column", 'classification' AS task, 'MINORITY_5_PERCENT,MORE_THAN_20_CLASSES' AS notes
-       UNION ALL SELECT 'p_type', 'classification', ''
-       UNION ALL SELECT 'p_retailprice', 'regression', ''""",
+    f"""{_class_risk_sql('p_name')} UNION ALL {_class_risk_sql('p_type')}
+       UNION ALL SELECT 'p_retailprice', 'regression', array_to_string(list_filter([CASE WHEN count(DISTINCT p_retailprice) < 10 THEN 'FEW_DISTINCT_VALUES' END,
+         CASE WHEN stddev_samp(p_retailprice) < 1e-9 THEN 'NEAR_ZERO_VARIANCE' END], lambda x: x IS NOT NULL), ',') FROM part""",
 )
 def target_risks(spark, sf_dir):
     risks = profile.target_risks(table(spark, sf_dir, "part"), ["p_name", "p_type"], ["p_retailprice"])
@@ -390,7 +397,21 @@ def constancy_checks(spark, sf_dir):
     return rounded(quality.constancy_checks(rows))
 
 
-@query("whole_table_audit")
+def _spelling_sql(column: str) -> str:
+    groups = f"(SELECT count(*) FROM (SELECT regexp_replace(lower({column}), '[^a-z0-9]+', '', 'g') AS k FROM lineitem GROUP BY k HAVING count(DISTINCT {column}) > 1))"
+    return f"""SELECT 'spelling' AS section, 'Inconsistent categorical spelling' AS issue, '{column}' AS "column", CASE WHEN {groups} > 0 THEN 'FLAGGED' ELSE 'PASS' END AS status,
+      'WARNING' AS severity, {groups} AS affected_rows, round({groups} * 100.0 / (SELECT count(*) FROM lineitem), 4) AS percentage,
+      'Groups that differ only by case, blanks or punctuation.' AS evidence"""
+
+
+@query(
+    "whole_table_audit",
+    f"""WITH n AS (SELECT count(*) AS rows FROM lineitem), d AS (SELECT rows - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS surplus, rows FROM n)
+        SELECT 'duplicates' AS section, 'Duplicate complete rows' AS issue, 'ALL_COLUMNS' AS "column", CASE WHEN surplus > 0 THEN 'FLAGGED' ELSE 'PASS' END AS status,
+          'WARNING' AS severity, surplus AS affected_rows, round(surplus * 100.0 / rows, 4) AS percentage, 'Exact duplicate across all parsed columns.' AS evidence FROM d
+        UNION ALL SELECT 'rules', * FROM ({RULES_SQL})
+        UNION ALL {_spelling_sql('l_returnflag')} UNION ALL {_spelling_sql('l_linestatus')}""",
+)
 def whole_table_audit(spark, sf_dir):
     return rounded(quality.table_audit(table(spark, sf_dir, "lineitem"), LINE_RULES, UNCLEAR))
 

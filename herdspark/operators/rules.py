@@ -169,10 +169,13 @@ def base_ration(weight: Column, milk: Column) -> Column:
 
 
 def with_feed_plan(
-    df: DataFrame, predicted: Column, weight: Column, milk: Column, health: Column, stage: Column
+    df: DataFrame, predicted: Column, weight: Column, milk: Column, health: Column, stage: Column,
+    digits: int | None = 2,
 ) -> DataFrame:
     """Adds the ration plan of every row; helper columns are dropped again.
 
+    Kilograms are rounded to ``digits`` places; None leaves them as computed.
+
     Fixed values: 400 kg default weight, 2.5 % fallback, 1.5–4 % bounds, the
     yield bands 5 / 15 / 25 L, a 10 % concentrate shift, 350 kg mineral limit.
     """
@@ -232,10 +235,13 @@ def with_feed_plan(
             F.when(stage_text.isNotNull(), F.concat(F.lit("stage "), stage_text)).otherwise("no stage given"),
         ]
     )
+    def shown(value: Column) -> Column:
+        return value if digits is None else F.round(value, digits)
+
     plan = {
-        "total_feed_kg": F.round(F.col("__total"), 2),
-        "roughage_kg": F.round(F.col("__total") * rough_share + moved, 2),
-        "concentrate_kg": F.round(F.col("__total") * F.col("__share") - moved, 2),
+        "total_feed_kg": shown(F.col("__total")),
+        "roughage_kg": shown(F.col("__total") * rough_share + moved),
+        "concentrate_kg": shown(F.col("__total") * F.col("__share") - moved),
         "mineral_mix_kg": F.when(w < 350.0, 0.05).otherwise(0.10),
         "feedings_per_day": F.when(m > 25, 3).otherwise(2),
         "confidence_level": F.when(weak, "Low").otherwise("Moderate"),

@@ -211,7 +211,7 @@ def climate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") == 1, "Local").when(F.col("l_linenumber") == 2, "HF50")
         .when(F.col("l_linenumber") == 3, "HF62.5").when(F.col("l_linenumber") == 4, " ")
         .when(F.col("l_linenumber") == 5, "HF99").otherwise("HF75").alias("genetic_group"),
-        F.when(F.col("l_tax") == 0.05, F.lit(None)).otherwise(F.round(F.col("l_extendedprice") / 100, 2)).alias("weight"),
+        F.when(F.col("l_tax") == 0.05, F.lit(None)).otherwise(F.col("l_extendedprice") / 100).alias("weight"),
         F.when(F.col("l_tax") == 0.04, F.lit(-1.0)).otherwise(F.col("l_quantity")).alias("milk"),
         F.when(F.col("l_discount") == 0.0, F.lit(0.0)).otherwise(F.col("l_discount") * 200).alias("prediction"),
         F.when(flag == "A", "Under_Treatment").when(flag == "N", "Healthy").otherwise("").alias("health"),
@@ -225,7 +225,7 @@ CLIMATE = """climate AS (
     CASE WHEN l_returnflag = 'A' THEN 'Early-Lactation' WHEN l_returnflag = 'N' THEN 'mid_lactation  '
       WHEN l_linestatus = 'O' THEN 'Late Lactation' ELSE 'Dry' END AS stage,
     CASE l_linenumber WHEN 1 THEN 'Local' WHEN 2 THEN 'HF50' WHEN 3 THEN 'HF62.5' WHEN 4 THEN ' ' WHEN 5 THEN 'HF99' ELSE 'HF75' END AS genetic_group,
-    CASE WHEN l_tax = 0.05 THEN NULL ELSE round(l_extendedprice / 100, 2) END AS weight,
+    CASE WHEN l_tax = 0.05 THEN NULL ELSE l_extendedprice / 100 END AS weight,
     CASE WHEN l_tax = 0.04 THEN -1.0 ELSE l_quantity END AS milk,
     CASE WHEN l_discount = 0.0 THEN 0.0 ELSE l_discount * 200 END AS prediction,
     CASE l_returnflag WHEN 'A' THEN 'Under_Treatment' WHEN 'N' THEN 'Healthy' ELSE '' END AS health

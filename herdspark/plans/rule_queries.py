@@ -68,30 +68,30 @@ PLAN = f"""{d.CLIMATE}, p0 AS (SELECT l_orderkey, l_linenumber, coalesce(weight
   p1 AS (SELECT * EXCLUDE (p), CASE WHEN pbad THEN w * 0.025::DOUBLE ELSE p END AS p, w * 0.015::DOUBLE AS lo, w * 0.04::DOUBLE AS hi, CASE WHEN m < 5 THEN 0.25::DOUBLE WHEN m <= 15 THEN 0.35::DOUBLE WHEN m <= 25 THEN 0.40::DOUBLE ELSE 0.45::DOUBLE END AS cs,
     health = 'Under_Treatment' AS review, health = '' AS unknown FROM p0),
   p2 AS (SELECT *, greatest(least(p, hi), lo) AS total FROM p1),
-  plan AS (SELECT l_orderkey, l_linenumber, round(total::DECIMAL(24, 9), 2)::DOUBLE AS total_feed_kg, round((total * (1 - cs) + CASE WHEN review THEN total * cs * 0.1::DOUBLE ELSE 0 END)::DECIMAL(24, 9), 2)::DOUBLE AS roughage_kg,
-    round((total * cs - CASE WHEN review THEN total * cs * 0.1::DOUBLE ELSE 0 END)::DECIMAL(24, 9), 2)::DOUBLE AS concentrate_kg, CASE WHEN w < 350 THEN 0.05::DOUBLE ELSE 0.10::DOUBLE END AS mineral_mix_kg, CASE WHEN m > 25 THEN 3 ELSE 2 END AS feedings_per_day,
+  plan AS (SELECT l_orderkey, l_linenumber, total AS total_feed_kg, total * (1 - cs) + CASE WHEN review THEN total * cs * 0.1::DOUBLE ELSE 0 END AS roughage_kg,
+    total * cs - CASE WHEN review THEN total * cs * 0.1::DOUBLE ELSE 0 END AS concentrate_kg, CASE WHEN w < 350 THEN 0.05::DOUBLE ELSE 0.10::DOUBLE END AS mineral_mix_kg, CASE WHEN m > 25 THEN 3 ELSE 2 END AS feedings_per_day,
     CASE WHEN wbad OR mbad OR pbad OR unknown OR review OR p < lo OR p > hi THEN 'Low' ELSE 'Moderate' END AS confidence_level,
     array_to_string(list_filter([CASE WHEN wbad THEN 'WEIGHT_DEFAULTED' END, CASE WHEN mbad THEN 'MILK_TREATED_AS_ZERO' END, CASE WHEN pbad THEN 'PREDICTION_REPLACED_BY_WEIGHT_RULE' END,
       CASE WHEN p < lo THEN 'RAISED_TO_MINIMUM' WHEN p > hi THEN 'REDUCED_TO_MAXIMUM' END, CASE WHEN review THEN 'HEALTH_REVIEW_SHIFT' WHEN unknown THEN 'HEALTH_UNKNOWN' END], lambda x: x IS NOT NULL), ',') AS plan_warnings FROM p2)"""
 
 
-def _planned(spark, sf_dir):
+def _planned(spark, sf_dir, digits=2):
     rows = d.climate_lines(spark, sf_dir)
     return rules.with_feed_plan(
-        rows, F.col("prediction"), F.col("weight"), F.col("milk"), F.col("health"), F.col("stage")
+        rows, F.col("prediction"), F.col("weight"), F.col("milk"), F.col("health"), F.col("stage"), digits
     )
 
 
 @query(
     "ration_plan",
-    f"""WITH {PLAN} SELECT confidence_level, plan_warnings, mineral_mix_kg, feedings_per_day, count(*) AS rows, round(sum(total_feed_kg), 2) AS total_feed_kg,
-        round(sum(roughage_kg), 2) AS roughage_kg, round(sum(concentrate_kg), 2) AS concentrate_kg FROM plan GROUP BY 1, 2, 3, 4""",
+    f"""WITH {PLAN} SELECT confidence_level, plan_warnings, mineral_mix_kg, feedings_per_day, count(*) AS rows, round(sum(total_feed_kg), 4) AS total_feed_kg,
+        round(sum(roughage_kg), 4) AS roughage_kg, round(sum(concentrate_kg), 4) AS concentrate_kg FROM plan GROUP BY 1, 2, 3, 4""",
 )
 def ration_plan(spark, sf_dir):
-    rows = _planned(spark, sf_dir).withColumn("plan_warnings", F.array_join("plan_warnings", ","))
+    rows = _planned(spark, sf_dir, None).withColumn("plan_warnings", F.array_join("plan_warnings", ","))
     return rows.groupBy("confidence_level", "plan_warnings", "mineral_mix_kg", "feedings_per_day").agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.round(F.sum(c), 2).alias(c) for c in ("total_feed_kg", "roughage_kg", "concentrate_kg")],
+        *[F.round(F.sum(c), 4).alias(c) for c in ("total_feed_kg", "roughage_kg", "concentrate_kg")],
     )
 
 

@@ -81,8 +81,8 @@ def is_infinite(value: Column) -> Column:
 
 
 def finite_or_null(value: Column) -> Column:
-    """NaN and infinities become null."""
-    return F.when(~F.isnan(value) & ~is_infinite(value), value)
+    """NaN and infinities become null; NaN sorts above infinity."""
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def finite_number(df: DataFrame, name: str) -> Column:

@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -19,7 +19,14 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import IndexToString, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    IndexToString,
+    OneHotEncoder,
+    SQLTransformer,
+    StringIndexer,
+    StringIndexerModel,
+    VectorAssembler,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
@@ -113,78 +120,128 @@ def _sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def category_modes(train: DataFrame, columns: Sequence[str]) -> dict[str, str]:
-    """The most frequent value per category, ties to the first in the alphabet."""
-    if not columns:
-        return {}
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-    counts = (
-        train.select(F.explode(cells).alias("c")).filter("c.value is not null").groupBy("c.column", "c.value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    best = counts.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"))
-    return {r["column"]: r["value"] for r in best.collect()}  # one row per feature column
-
+@dataclass(frozen=True)
+class Facts:
+    """What preprocessing and the dummies learn from training rows."""
+
+    labels: Mapping[str, tuple[str, ...]]  # category column -> its values, sorted
+    modes: Mapping[str, str]
+    medians: Mapping[str, float]
+    means: Mapping[str, float]  # after median imputation
+    deviations: Mapping[str, float]  # population, after median imputation
+    rows: int
+
+
+def _held_out(counts: DataFrame, fold: str | None, folds: int, keys: Sequence[str]) -> DataFrame:
+    """Value counts of the training rows for every held-out fold, from counts per fold."""
+    if fold is None:
+        return counts.withColumn("heldout", F.lit(0))
+    every = F.explode(F.array(*[F.lit(i) for i in range(1, folds + 1)]))
+    spread = counts.select("*", every.alias("heldout")).filter(F.col(fold) != F.col("heldout"))
+    return spread.groupBy("heldout", *keys).agg(F.sum("n").alias("n"))
+
+
+def learn_facts(
+    train: DataFrame, features: Features, label: str | None = None, fold: str | None = None, folds: int = 0
+) -> dict[int, Facts]:
+    """Categories, modes, medians, means and deviations; with folds, for every held-out fold at once.
+
+    Cells are counted per fold once. The counts without each fold follow from
+    them, so cross-validation reads the rows one time for all its folds. What
+    comes to the driver is one row per feature, and per category of a one-hot
+    feature.
+    """
+    held = [0] if fold is None else list(range(1, folds + 1))
+    keep = [] if fold is None else [fold]
+    labels: dict[int, dict[str, list[tuple[str, int]]]] = {h: {c: [] for c in features.categories} for h in held}
+    if features.categories:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in features.categories])
+        counts = (
+            train.select(*keep, F.explode(cells).alias("c")).filter("c.value is not null")
+            .groupBy(*keep, F.col("c.column").alias("column"), F.col("c.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        )
+        for r in _held_out(counts, fold, folds, ["column", "value"]).collect():
+            labels[r["heldout"]][r["column"]].append((r["value"], r["n"]))
+    numbers = [*features.numbers, *([label] if label else [])]
+    found: dict[int, dict[str, object]] = {h: {} for h in held}
+    if numbers:
+        counts = value_counts(long_values(train, numbers, keep), [*keep, "column"])
+        held_counts = _held_out(counts, fold, folds, ["column", "value"])
+        keys = ["heldout", "column"]
+        medians = quantiles_from_counts(held_counts, keys, (0.5,))
+        n, value = F.col("n"), F.col("__v")
+        filled = held_counts.join(medians, keys, "left").withColumn("__v", F.coalesce("value", "p50", F.lit(0.0)))
+        means = filled.groupBy(*keys).agg(
+            F.sum("n").alias("rows"), F.max("p50").alias("median"), (F.sum(value * n) / F.sum("n")).alias("mean")
+        )
+        spread = filled.join(means.select(*keys, "mean"), keys).groupBy(*keys).agg(
+            F.sqrt(F.sum(n * F.pow(value - F.col("mean"), 2)) / F.sum("n")).alias("deviation")
+        )
+        for r in means.join(spread, keys).collect():
+            found[r["heldout"]][r["column"]] = r
+    out = {}
+    for h in held:
+        modes = {c: min(v, key=lambda x: (-x[1], x[0]))[0] for c, v in labels[h].items() if v}
+        rows = found[h]
+        out[h] = Facts(
+            {c: tuple(sorted(x for x, _ in v)) for c, v in labels[h].items()}, modes,
+            {c: r["median"] if r["median"] is not None else 0.0 for c, r in rows.items()},
+            {c: r["mean"] for c, r in rows.items()}, {c: r["deviation"] for c, r in rows.items()},
+            max((r["rows"] for r in rows.values()), default=0),
+        )
+    return out
 
-def number_facts(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float]]:
-    """(median, mean, population sd) per number, mean and sd after median imputation."""
-    if not columns:
-        return {}
-    counts = value_counts(long_values(train, columns), ["column"])
-    medians = {r["column"]: r["p50"] for r in quantiles_from_counts(counts, ["column"], (0.5,)).collect()}
-    filled = [F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c, 0.0))) for c in columns]
-    row = train.agg(
-        *[F.avg(v).alias(f"m{i}") for i, v in enumerate(filled)], *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(filled)]
-    ).first()
-    return {c: (medians.get(c, 0.0), row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
 
+def preprocessor(features: Features, facts: Facts, sample: DataFrame) -> PipelineModel:
+    """Impute, flag, scale and one-hot; unknown categories become all zeros.
 
-def fitted_preprocessor(train: DataFrame, features: Features) -> PipelineModel:
-    """Impute, flag, scale and one-hot; unknown categories become all zeros."""
-    modes = category_modes(train, features.categories)
-    facts = number_facts(train, features.numbers)
+    ``sample`` only lends its schema.
+    """
     parts = ["*"]
     for c in features.categories:
-        parts.append(f"coalesce(cast({_sql_name(c)} as string), {_sql_text(modes.get(c) or '')}) as {_sql_name('__c_' + c)}")
+        parts.append(f"coalesce(cast({_sql_name(c)} as string), {_sql_text(facts.modes.get(c, ''))}) as {_sql_name('__c_' + c)}")
     for c in features.numbers:
-        median, mean, deviation = facts[c]
-        filled = f"coalesce(cast({_sql_name(c)} as double), {median!r}D)"
+        filled = f"coalesce(cast({_sql_name(c)} as double), {facts.medians.get(c, 0.0)!r}D)"
         if features.scaled:
-            filled = f"({filled} - {mean!r}D) / {(deviation or 1.0)!r}D"
+            filled = f"({filled} - {facts.means[c]!r}D) / {(facts.deviations[c] or 1.0)!r}D"
         parts.append(f"{filled} as {_sql_name('__n_' + c)}")
     for c in features.indicators:
         parts.append(f"cast({_sql_name(c)} is null as double) as {_sql_name('__m_' + c)}")
-    fill = SQLTransformer(statement=f"select {', '.join(parts)} from __THIS__")
-    stages: list = []
+    stages: list = [SQLTransformer(statement=f"select {', '.join(parts)} from __THIS__")]
     inputs = [f"__n_{c}" for c in features.numbers] + [f"__m_{c}" for c in features.indicators]
     if features.categories:
         names = [f"__c_{c}" for c in features.categories]
+        indexed, hot = [n + "_i" for n in names], [n + "_h" for n in names]
         # "keep" adds one last index for unknown values, which dropLast turns into zeros.
-        stages.append(StringIndexer(inputCols=names, outputCols=[n + "_i" for n in names], handleInvalid="keep", stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCols=[n + "_i" for n in names], outputCols=[n + "_h" for n in names], dropLast=True))
-        inputs = [n + "_h" for n in names] + inputs
+        for c, name, index in zip(features.categories, names, indexed):
+            stages.append(StringIndexerModel.from_labels(list(facts.labels[c]), name, index, handleInvalid="keep"))
+        shaped = PipelineModel(stages).transform(sample.limit(0))
+        stages.append(OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True).fit(shaped))
+        inputs = hot + inputs
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error"))
-    fitted = Pipeline(stages=stages).fit(fill.transform(train))
-    return PipelineModel([fill, *fitted.stages])
+    return PipelineModel(stages)
+
+
+def fitted_preprocessor(train: DataFrame, features: Features) -> PipelineModel:
+    """K13 in one step."""
+    return preprocessor(features, learn_facts(train, features)[0], train)
 
 
 def _constant(value: float) -> SQLTransformer:
     return SQLTransformer(statement=f"select *, {value!r}D as {PREDICTION} from __THIS__")
 
 
-def _regressor(train: DataFrame, label: str, candidate: Candidate, seed: int) -> Transformer:
+def _regressor(train: DataFrame, label: str, candidate: Candidate, seed: int, facts: Facts) -> Transformer:
     p = candidate.parameters
     common = {"featuresCol": "features", "labelCol": label, "predictionCol": PREDICTION}
     if candidate.algorithm == "mean":
-        return _constant(train.agg(F.avg(label)).first()[0])
+        return _constant(facts.means[label])
     if candidate.algorithm == "median":
-        keyed = train.select(F.lit(1).alias("k"), F.col(label).cast("double").alias("value"))
-        return _constant(quantiles_from_counts(value_counts(keyed, ["k"]), ["k"], (0.5,)).first()["p50"])
+        return _constant(facts.medians[label])
     if candidate.algorithm == "linear":
         return LinearRegression(solver="normal", standardization=False, regParam=0.0, **common).fit(train)
     if candidate.algorithm == "ridge":
-        facts = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("sd")).first()
-        penalty = float(p["alpha"]) / facts["n"] * (facts["sd"] or 0.0)
+        penalty = float(p["alpha"]) / facts.rows * facts.deviations[label]
         return LinearRegression(
             solver="normal", standardization=False, elasticNetParam=0.0, regParam=penalty, **common
         ).fit(train)
@@ -264,24 +321,27 @@ def fit_candidate(
     classification: bool = False,
     seed: int = 42,
     weight: str | None = None,
-    prepared: PipelineModel | None = None,
+    facts: Facts | None = None,
     forbidden: Sequence[str] = (),
 ) -> Fitted:
-    """Preprocess and fit one candidate; barred names are refused before any job."""
+    """Preprocess and fit one candidate; barred names are refused before any job.
+
+    ``facts`` spares learning again what several candidates share.
+    """
     leaked = sorted({label, *forbidden} & set(features.names))
     if leaked:
         raise ValueError(f"target or identifier used as a feature: {', '.join(leaked)}")
+    if classification and key is None:
+        raise ValueError("classification needs the row key")
     started = time.perf_counter()
-    preprocessor = prepared or fitted_preprocessor(train, features)
-    rows = preprocessor.transform(train)
+    facts = facts or learn_facts(train, features, None if classification else label)[0]
+    prepared = preprocessor(features, facts, train)
+    rows = prepared.transform(train)
     if classification:
-        if key is None:
-            raise ValueError("classification needs the row key")
-        learned = _classifier(rows, label, key, candidate, seed, weight)
-        stages = learned.stages
+        stages = _classifier(rows, label, key, candidate, seed, weight).stages
     else:
-        stages = [_regressor(rows, label, candidate, seed)]
-    model = PipelineModel([*preprocessor.stages, *stages])
+        stages = [_regressor(rows, label, candidate, seed, facts)]
+    model = PipelineModel([*prepared.stages, *stages])
     return Fitted(candidate, model, time.perf_counter() - started)
 
 
@@ -311,35 +371,27 @@ def evaluate_candidates(
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     validation = validation.persist(StorageLevel.MEMORY_AND_DISK)
     fitted: dict[str, Fitted] = {}
-    prepared: dict[bool, PipelineModel] = {}
-    rows: list[DataFrame] = []
+    predicted = None
     try:
+        facts = learn_facts(train, features, None if classification else label)[0]
+        output = "predicted_label" if classification else PREDICTION
         for c in candidates:
-            wanted = prepared_for(c, features)
-            if wanted.scaled not in prepared:
-                prepared[wanted.scaled] = fitted_preprocessor(train, wanted)
-            one = fit_candidate(train, wanted, label, c, key, classification, seed, weight, prepared[wanted.scaled])
-            fitted[c.id] = one
-            predicted = one.predict(validation)
-            if classification:
-                scored = scores.classification_metrics(predicted, label, "predicted_label", labels)
-            else:
-                scored = scores.regression_metrics(predicted, label, PREDICTION)
-            found = scored.collect()  # one row
-            rows.append(
-                spark.createDataFrame(found, scored.schema).select(
-                    F.lit(c.id).alias("configuration_id"), F.lit(c.algorithm).alias("algorithm"),
-                    F.lit(c.baseline).cast("string").alias("baseline"), F.lit(c.baseline is not None).alias("is_baseline"),
-                    F.lit(one.seconds).alias("training_seconds"), *scored.columns,
-                )
-            )
+            fitted[c.id] = fit_candidate(train, prepared_for(c, features), label, c, key, classification, seed, weight, facts)
+            part = fitted[c.id].predict(validation).select(F.lit(c.id).alias("configuration_id"), label, output)
+            predicted = part if predicted is None else predicted.unionByName(part)
+        if classification:
+            scored = scores.classification_metrics(predicted, label, output, labels, ["configuration_id"])
+        else:
+            scored = scores.regression_metrics(predicted, label, output, ["configuration_id"])
+        found = spark.createDataFrame(scored.collect(), scored.schema)  # one row per candidate
     finally:
         train.unpersist()
         validation.unpersist()
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out, fitted
+    about = spark.createDataFrame(
+        [(c.id, c.algorithm, c.baseline, c.baseline is not None, fitted[c.id].seconds) for c in candidates],
+        "configuration_id string, algorithm string, baseline string, is_baseline boolean, training_seconds double",
+    )
+    return about.join(found, "configuration_id"), fitted
 
 
 def cross_fitted(
@@ -352,15 +404,21 @@ def cross_fitted(
     folds: int,
     classification: bool = False,
     seed: int = 42,
+    facts: Mapping[int, Facts] | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """(key, fold, prediction) where each row's model never saw its fold."""
     out = None
     output = "predicted_label" if classification else PREDICTION
+    facts = facts or learn_facts(rows, features, None if classification else label, fold, folds)
     for i in range(1, folds + 1):
         fitted = fit_candidate(
-            rows.filter(F.col(fold) != i), prepared_for(candidate, features), label, candidate, key, classification, seed
+            rows.filter(F.col(fold) != i), prepared_for(candidate, features), label, candidate, key, classification, seed,
+            facts=facts[i],
+        )
+        part = fitted.predict(rows.filter(F.col(fold) == i)).select(
+            key, F.col(fold).cast("int").alias(fold), *carry, F.col(output)
         )
-        part = fitted.predict(rows.filter(F.col(fold) == i)).select(key, F.col(fold).cast("int").alias(fold), F.col(output))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -449,10 +507,11 @@ def grouped_cross_validation(
 ) -> tuple[DataFrame, DataFrame]:
     """(pooled metrics with stability and baseline flag, fold metrics) per configuration."""
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    facts = learn_facts(rows, features, label, fold, folds)
     parts = None
     for c in candidates:
-        predicted = cross_fitted(rows, features, label, c, key, fold, folds, seed=seed)
-        tagged = predicted.select(key, fold, PREDICTION).join(rows.select(key, label), key).select(
+        predicted = cross_fitted(rows, features, label, c, key, fold, folds, seed=seed, facts=facts, carry=(label,))
+        tagged = predicted.select(
             F.lit(c.id).alias("configuration_id"), F.lit(c.baseline is not None).alias("is_baseline"), fold, label, PREDICTION
         )
         parts = tagged if parts is None else parts.unionByName(tagged)

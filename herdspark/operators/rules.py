@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdspark.functions.text import status_text
+from herdspark.functions.text import looked_up, status_text
 from herdspark.functions.values import finite_number, finite_or_null, present, quoted, round_quantity, stripped
 
 
@@ -49,12 +49,15 @@ def interval_class(value: Column, intervals: Sequence[Interval] = HEAT_CLASSES)
     """The class whose interval holds the value; null outside all of them."""
     chain = None
     for item in intervals:
-        low = F.lit(True) if item.minimum is None else (
-            value >= item.minimum if item.minimum_inclusive else value > item.minimum)
-        high = F.lit(True) if item.maximum is None else (
-            value <= item.maximum if item.maximum_inclusive else value < item.maximum)
-        test = finite_or_null(value).isNotNull() & low & high
-        chain = F.when(test, item.label) if chain is None else chain.when(test, item.label)
+        tests = [F.abs(value) < float("inf")] if item.minimum is None or item.maximum is None else []
+        if item.minimum is not None:
+            tests.append(value >= item.minimum if item.minimum_inclusive else value > item.minimum)
+        if item.maximum is not None:
+            tests.append(value <= item.maximum if item.maximum_inclusive else value < item.maximum)
+        inside = tests[0]
+        for test in tests[1:]:
+            inside = inside & test
+        chain = F.when(inside, item.label) if chain is None else chain.when(inside, item.label)
     return chain
 
 
@@ -64,8 +67,17 @@ def heat_index(temperature: Column, humidity: Column) -> Column:
     return (warm + 32) - ((F.lit(0.55) - humidity * 0.0055) * (warm - 26))
 
 
-# Heat errors, in the order in which the first one counts.
-MISSING_ENVIRONMENT = ("TEMPERATURE_MISSING", "HUMIDITY_MISSING")
+# Heat errors in the order in which the first one counts, with
+# the status and the eligibility gate each leads to.
+HEAT_ERRORS = {
+    "TEMPERATURE_MISSING": ("MISSING_REQUIRED_INPUT", "3"),
+    "HUMIDITY_MISSING": ("MISSING_REQUIRED_INPUT", "3"),
+    "TEMPERATURE_INVALID": ("INVALID_ENVIRONMENT_INPUT", "4"),
+    "HUMIDITY_INVALID": ("INVALID_ENVIRONMENT_INPUT", "4"),
+    "HUMIDITY_OUT_OF_RANGE": ("INVALID_ENVIRONMENT_INPUT", "4"),
+    "THI_CALCULATION_FAILED": ("INVALID_ENVIRONMENT_INPUT", "4"),
+    "THI_CATEGORY_UNSUPPORTED": ("UNKNOWN_THI_CATEGORY", "5"),
+}
 
 
 def with_heat(
@@ -78,10 +90,13 @@ def with_heat(
     """Adds heat_error, heat_status, heat_index, heat_display and heat_class.
 
     The ``given`` columns tell a missing cell from one that is not a number;
-    without them a null is missing and NaN or infinity is invalid. The steps
-    build on each other as columns, so no expression is repeated in the plan.
+    without them a null is missing and NaN or infinity is invalid.
+
+    The steps build on each other as columns, and each refers to the one before
+    as few times as it can: a filter on the result is pushed down through all
+    of them, and its expression stays small enough for one compiled stage.
     """
-    t, h = F.col("__t"), F.col("__h")
+    t, h, raw = F.col("__t"), F.col("__h"), F.col("__raw")
     rows = df.withColumns(
         {
             "__tg": temperature.isNotNull() if temperature_given is None else temperature_given,
@@ -89,29 +104,22 @@ def with_heat(
             "__t": finite_or_null(temperature),
             "__h": finite_or_null(humidity),
         }
-    ).withColumn("__raw", finite_or_null(heat_index(t, h)))
-    rows = rows.withColumn("__class", interval_class(F.col("__raw")))
+    ).withColumn("__raw", heat_index(t, h)).withColumn("__class", interval_class(raw))
     error = (
         F.when(~F.col("__tg"), "TEMPERATURE_MISSING")
         .when(~F.col("__hg"), "HUMIDITY_MISSING")
         .when(t.isNull(), "TEMPERATURE_INVALID")
         .when(h.isNull(), "HUMIDITY_INVALID")
-        .when(~h.between(0, 100), "HUMIDITY_OUT_OF_RANGE")
-        .when(F.col("__raw").isNull(), "THI_CALCULATION_FAILED")
-        .when(F.col("__class").isNull(), "THI_CATEGORY_UNSUPPORTED")
+        .when(F.abs(h - 50.0) > 50.0, "HUMIDITY_OUT_OF_RANGE")
+        .when(F.col("__class").isNull(), F.when(F.abs(raw) < float("inf"), "THI_CATEGORY_UNSUPPORTED").otherwise("THI_CALCULATION_FAILED"))
     )
     rows = rows.withColumn("heat_error", error)
     found = F.col("heat_error")
-    status = (
-        F.when(found.isNull(), "ELIGIBLE")
-        .when(found.isin(*MISSING_ENVIRONMENT), "MISSING_REQUIRED_INPUT")
-        .when(found == "THI_CATEGORY_UNSUPPORTED", "UNKNOWN_THI_CATEGORY")
-        .otherwise("INVALID_ENVIRONMENT_INPUT")
-    )
-    shown = F.when(found.isNull() | (found == "THI_CATEGORY_UNSUPPORTED"), F.col("__raw"))
+    status = looked_up(found, {e: s for e, (s, _) in HEAT_ERRORS.items()})
+    shown = F.when(F.coalesce(found, F.lit("THI_CATEGORY_UNSUPPORTED")) == "THI_CATEGORY_UNSUPPORTED", raw)
     return rows.withColumns(
         {
-            "heat_status": status,
+            "heat_status": F.coalesce(status, F.lit("ELIGIBLE")),
             "heat_index": shown,
             "heat_display": F.round(shown, 2),
             "heat_class": F.when(found.isNull(), F.col("__class")),
@@ -119,13 +127,17 @@ def with_heat(
     ).drop("__tg", "__hg", "__t", "__h", "__raw", "__class")
 
 
-# What each gate answers; an environment failure keeps its own status.
-GATE_STATUS = ("OUT_OF_SCOPE_POPULATION", "MISSING_REQUIRED_INPUT", None, "UNKNOWN_GENETIC_GROUP",
-               "UNKNOWN_THI_CATEGORY", "ELIGIBLE", "ELIGIBLE")
-GATE_SCOPE = ("OUT_OF_SCOPE", "UNRESOLVED", "UNRESOLVED", "OUT_OF_SCOPE", "UNRESOLVED", "LIMITED_SUPPORT", "IN_SCOPE")
-GATE_REASON = ("POPULATION_OUT_OF_SCOPE", "GENETIC_GROUP_MISSING", None, "GENETIC_GROUP_UNKNOWN",
-               "THI_CATEGORY_UNKNOWN", None, None)
-GATE_WARNING = ("POPULATION_SCOPE", "BREED_NOT_USED", None, "BREED_NOT_USED", None, "LOCAL_LIMITED", None)
+# What each gate answers: status, scope, reason and warning.
+GATES = (
+    ("OUT_OF_SCOPE_POPULATION", "OUT_OF_SCOPE", "POPULATION_OUT_OF_SCOPE", "POPULATION_SCOPE"),
+    ("MISSING_REQUIRED_INPUT", "UNRESOLVED", "GENETIC_GROUP_MISSING", "BREED_NOT_USED"),
+    ("MISSING_REQUIRED_INPUT", "UNRESOLVED", "ENVIRONMENT_MISSING", None),
+    ("INVALID_ENVIRONMENT_INPUT", "UNRESOLVED", "ENVIRONMENT_INVALID", None),
+    ("UNKNOWN_THI_CATEGORY", "UNRESOLVED", "THI_CATEGORY_UNKNOWN", None),
+    ("UNKNOWN_GENETIC_GROUP", "OUT_OF_SCOPE", "GENETIC_GROUP_UNKNOWN", "BREED_NOT_USED"),
+    ("ELIGIBLE", "LIMITED_SUPPORT", None, "LOCAL_LIMITED"),
+    ("ELIGIBLE", "IN_SCOPE", None, None),
+)
 
 
 def with_eligibility(df: DataFrame, stage: Column, group: Column) -> DataFrame:
@@ -134,31 +146,22 @@ def with_eligibility(df: DataFrame, stage: Column, group: Column) -> DataFrame:
     The first failing gate decides, so the gate's number is found once and the
     answers are read from it. Needs the columns of ``with_heat``.
     """
-    gate = (
-        F.when(~F.coalesce(status_text(stage).isin(*LACTATING_STAGES), F.lit(False)), 1)
-        .when(group.isNull() | (stripped(group) == ""), 2)
-        .when(F.col("heat_status") != "ELIGIBLE", 3)
-        .when(~group.isin(*GENETIC_GROUPS), 4)
-        .when(F.col("heat_class").isNull(), 5)
-        .when(group == "Local", 6)
-        .otherwise(7)
+    first = F.when(~F.coalesce(status_text(stage).isin(*LACTATING_STAGES), F.lit(False)), 1).when(
+        F.coalesce(stripped(group), F.lit("")) == "", 2
     )
+    environment = looked_up(F.col("heat_error"), {e: g for e, (_, g) in HEAT_ERRORS.items()}).cast("int")
+    last = F.when(~group.isin(*GENETIC_GROUPS), 6).when(group == "Local", 7).otherwise(8)
+    gate = F.coalesce(first, environment, last)
 
-    def answer(values: Sequence[str | None]) -> Column:
-        return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), F.col("__gate"))
+    def answer(place: int) -> Column:
+        return F.element_at(F.array(*[F.lit(g[place]).cast("string") for g in GATES]), F.col("__gate"))
 
-    environment = (
-        F.when(F.col("heat_status") == "MISSING_REQUIRED_INPUT", "ENVIRONMENT_MISSING")
-        .when(F.col("heat_status") == "INVALID_ENVIRONMENT_INPUT", "ENVIRONMENT_INVALID")
-        .otherwise("THI_CATEGORY_UNKNOWN")
-    )
-    third = F.col("__gate") == 3
     return df.withColumn("__gate", gate).withColumns(
         {
-            "eligibility": F.when(third, F.col("heat_status")).otherwise(answer(GATE_STATUS)),
-            "scope": answer(GATE_SCOPE),
-            "fallback_reason": F.when(third, environment).otherwise(answer(GATE_REASON)),
-            "eligibility_warnings": F.array_compact(F.array(answer(GATE_WARNING))),
+            "eligibility": answer(0),
+            "scope": answer(1),
+            "fallback_reason": answer(2),
+            "eligibility_warnings": F.array_compact(F.array(answer(3))),
         }
     ).drop("__gate")
 

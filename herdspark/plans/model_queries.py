@@ -358,8 +358,11 @@ def batch_yield_scores(spark, sf_dir):
 
 @query("candidate_scores")
 def candidate_scores(spark, sf_dir):
-    rows = gated(spark, sf_dir).select(
-        "l_orderkey", "l_linenumber", "genetic_group", F.col("heat_class").alias("thi_category"), "eligibility", "scope", "fallback_reason", "weight", "milk"
+    rows = cut_lineage(
+        gated(spark, sf_dir).select(
+            "l_orderkey", "l_linenumber", "genetic_group", F.col("heat_class").alias("thi_category"),
+            "eligibility", "scope", "fallback_reason", "weight", "milk",
+        )
     )
     train = rows.filter("eligibility = 'ELIGIBLE' and weight is not null and milk >= 0")
     features = m.Features(("genetic_group", "thi_category"))

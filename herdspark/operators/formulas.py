@@ -109,6 +109,15 @@ def _status(mismatch: Column, exact: Column, close: Column, missing: Column, sto
     )
 
 
+def expected_value(df: DataFrame, formula: Formula) -> Column:
+    """What the formula gives for a row; null when an input is missing."""
+    inputs = [number_of(df, c) for c in formula.inputs]
+    usable = F.lit(True)
+    for value in inputs:
+        usable = usable & value.isNotNull()
+    return F.when(usable, formula.compute(*inputs))
+
+
 def audit_formulas(df: DataFrame, formulas: Sequence[Formula]) -> DataFrame:
     """Match counts and status of every formula from one aggregation."""
     aggregates: list[Column] = [F.count(F.lit(1)).alias("rows")]
@@ -125,7 +134,7 @@ def audit_formulas(df: DataFrame, formulas: Sequence[Formula]) -> DataFrame:
             missing_rows = F.col("rows") if absent else zero
             values = [zero, zero, zero, zero, missing_rows, zero, F.lit(None).cast("double"), F.lit(status)]
         else:
-            expected = f.compute(*[number_of(df, c) for c in f.inputs])
+            expected = expected_value(df, f)
             usable = expected.isNotNull()
             stored_missing = missing_null(df, f.target)
             if f.is_label:
@@ -174,7 +183,7 @@ def formula_mismatches(
     for f in formulas:
         if f.compute is None or f.is_label or any(c not in df.columns for c in (*f.inputs, f.target)):
             continue
-        expected = f.compute(*[number_of(df, c) for c in f.inputs])
+        expected = expected_value(df, f)
         actual = number_of(df, f.target)
         allowed = F.greatest(F.lit(absolute), F.abs(expected) * relative)
         cells.append(

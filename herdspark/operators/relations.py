@@ -26,8 +26,10 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         x, y = F.col(place[left]), F.col(place[right])
         both = x.isNotNull() & y.isNotNull()
         px, py = F.when(both, x), F.when(both, y)
+        # From its parts: the built-in correlation fails on a constant column in ANSI mode.
         varied = (F.min(px) < F.max(px)) & (F.min(py) < F.max(py))
-        aggregates += [F.when(varied, F.corr(px, py)).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
+        shared = F.try_divide(F.covar_pop(px, py), F.stddev_pop(px) * F.stddev_pop(py))
+        aggregates += [F.when(varied, shared).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
     rows = F.array(
         *[
             F.struct(

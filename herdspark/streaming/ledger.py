@@ -112,7 +112,7 @@ def _with_level(outcomes: DataFrame) -> DataFrame:
 # --- batch -----------------------------------------------------------------
 
 
-def _slice_map(key: tuple, frame):
+def _slice_map(key, frame):
     """What a slice makes of each state its events expect, found from its end.
 
     ``is_rest`` rows say what becomes of any other state: a constant after a

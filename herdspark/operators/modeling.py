@@ -227,6 +227,11 @@ def fitted_preprocessor(train: DataFrame, features: Features) -> PipelineModel:
     return preprocessor(features, learn_facts(train, features)[0], train)
 
 
+# Deep forests: keep each row's node instead of walking the trees again, and
+# grow more nodes per pass over the rows.
+FOREST = {"cacheNodeIds": True, "maxMemoryInMB": 1024}
+
+
 def _constant(value: float) -> SQLTransformer:
     return SQLTransformer(statement=f"select *, {value!r}D as {PREDICTION} from __THIS__")
 
@@ -250,7 +255,7 @@ def _regressor(train: DataFrame, label: str, candidate: Candidate, seed: int, fa
     if candidate.algorithm == "forest":
         return RandomForestRegressor(
             numTrees=p["trees"], maxDepth=p["depth"], minInstancesPerNode=p["leaf"],
-            featureSubsetStrategy=p["subset"], seed=seed, **common
+            featureSubsetStrategy=p["subset"], seed=seed, **FOREST, **common
         ).fit(train)
     if candidate.algorithm == "boosted":
         return GBTRegressor(maxIter=p["rounds"], stepSize=p["step"], maxDepth=p["depth"], seed=seed, **common).fit(train)
@@ -281,7 +286,7 @@ def _classifier(train: DataFrame, label: str, key: str, candidate: Candidate, se
     if candidate.algorithm == "logistic":
         size = rows.count()
         model = LogisticRegression(
-            maxIter=p["rounds"], regParam=1.0 / (float(p["c"]) * max(size, 1)), elasticNetParam=0.0,
+            maxIter=p["rounds"], tol=1e-5, regParam=1.0 / (float(p["c"]) * max(size, 1)), elasticNetParam=0.0,
             standardization=False, family="multinomial", **common
         ).fit(rows)
     elif candidate.algorithm == "tree":
@@ -289,7 +294,7 @@ def _classifier(train: DataFrame, label: str, key: str, candidate: Candidate, se
     elif candidate.algorithm == "forest":
         model = RandomForestClassifier(
             numTrees=p["trees"], maxDepth=p["depth"], minInstancesPerNode=p["leaf"],
-            featureSubsetStrategy=p["subset"], seed=seed, **common
+            featureSubsetStrategy=p["subset"], seed=seed, **FOREST, **common
         ).fit(rows)
     elif candidate.algorithm == "boosted":
         binary = GBTClassifier(maxIter=p["rounds"], stepSize=p["step"], maxDepth=p["depth"], seed=seed)

@@ -46,7 +46,7 @@ def tagged_facts(spark, sf_dir):
     """The order facts with their split, materialised once for the fits that follow."""
     rows = order_facts(spark, sf_dir)
     manifest = splits.split_assignments(rows, "priority", "id").select("id", "split")
-    return cut_lineage(rows.join(manifest, "id"))
+    return cut_lineage(rows.join(manifest, "id"), spread=True)
 
 
 def _part(rows, name):
@@ -145,7 +145,7 @@ def classification_candidates(spark, sf_dir):
 def _folded(spark, sf_dir):
     rows = tagged_facts(spark, sf_dir)
     folds = splits.training_folds(rows, "priority", "id").select("id", "training_fold")
-    return cut_lineage(_part(rows, "train").join(folds, "id"))
+    return cut_lineage(_part(rows, "train").join(folds, "id"), spread=True)
 
 
 FOLDED = f"""{FACTS}, folded AS (SELECT *, ((row_number() OVER (PARTITION BY priority ORDER BY md5('42-fold|' || id::VARCHAR), id) - 1) % 5 + 1)::INTEGER AS training_fold FROM tagged WHERE split = 'train'),
@@ -178,7 +178,7 @@ CUSTOMER_GROUPS = f"""{FACTS}, g AS (SELECT customer, count(*) AS rows FROM rows
 
 def _grouped(spark, sf_dir):
     rows = order_facts(spark, sf_dir)
-    return cut_lineage(splits.apply_groups(rows, splits.group_assignments(rows, "customer"), "customer"))
+    return cut_lineage(splits.apply_groups(rows, splits.group_assignments(rows, "customer"), "customer"), spread=True)
 
 
 @query(

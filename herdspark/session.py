@@ -45,7 +45,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a table that several jobs reuse, surviving executor loss."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+def cut_lineage(df: DataFrame, spread: bool = False) -> DataFrame:
+    """Materialise a table that several jobs reuse, surviving executor loss.
+
+    ``spread`` deals a table with fewer partitions than cores over all cores,
+    for model fits that pass over it many times. Such a table is small; a large
+    one keeps its partitions.
+    """
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    stored = df.checkpoint()
+    cores = spark.sparkContext.defaultParallelism
+    if spread and stored.rdd.getNumPartitions() < cores:
+        return stored.repartition(cores).checkpoint()
+    return stored

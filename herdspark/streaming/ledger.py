@@ -92,16 +92,16 @@ def step(state: tuple, event) -> tuple[tuple, str, str | None]:
     return (_number(event.result), unit), "updated", None
 
 
-def _resolved(frame, state: tuple):
-    """Outcomes of ordered events from a starting state, and the state they leave."""
-    import pandas as pd
+OUTCOME_NAMES = [part.split()[0] for part in OUTCOME.split(", ")]
+
 
+def _resolved(events, state: tuple):
+    """Outcomes of ordered events from a starting state, and the state they leave."""
     rows = []
-    for event in frame.sort_values("seq", kind="stable").itertuples(index=False):
+    for event in events:
         state, status, error = step(state, event)
         rows.append((event.item_id, event.seq, status, error, state[0], state[1], _number(event.threshold)))
-    names = [part.split()[0] for part in OUTCOME.split(", ")]
-    return pd.DataFrame(rows, columns=names), state
+    return rows, state
 
 
 def _with_level(outcomes: DataFrame) -> DataFrame:
@@ -112,39 +112,59 @@ def _with_level(outcomes: DataFrame) -> DataFrame:
 # --- batch -----------------------------------------------------------------
 
 
-def _slice_map(key, frame):
-    """What a slice makes of each state its events expect, found from its end.
+MAP = "item_id string, slice bigint, is_rest boolean, q0 double, u0 string, q1 double, u1 string"
+
+
+class _SliceMap:
+    """What a slice makes of each state its events expect, built from its end.
 
-    ``is_rest`` rows say what becomes of any other state: a constant after a
-    ``set``, or the state itself when the quantity is null.
+    ``rest`` is what becomes of any other state: a constant once a ``set`` was
+    met, else None for "stays as it is".
     """
-    import pandas as pd
 
-    after: dict[tuple, tuple] = {}
-    rest: tuple | None = None  # None keeps the state as it is
+    def __init__(self):
+        self.after: dict[tuple, tuple] = {}
+        self.rest: tuple | None = None
 
-    def leaves(state: tuple) -> tuple:
-        return after.get(state, state if rest is None else rest)
+    def leaves(self, state: tuple) -> tuple:
+        return self.after.get(state, state if self.rest is None else self.rest)
 
-    ordered = frame.sort_values("seq", kind="stable", ascending=False)
-    for event in ordered.itertuples(index=False):
+    def prepend(self, event) -> None:
         if event.op == "set":
             if not _text(event.problem):
-                rest, after = leaves((_number(event.result), event.unit)), {}
-            continue
+                self.rest, self.after = self.leaves((_number(event.result), event.unit)), {}
+            return
         expected = _number(event.expected)
-        if expected is None:
-            continue
-        before = (expected, event.unit)
-        new, status, _ = step(before, event)
-        if status == "updated":
-            after[before] = leaves(new)
-    rows = [(key[0], key[1], False, b[0], b[1], a[0], a[1]) for b, a in after.items()]
-    if rest is not None:
-        rows.append((key[0], key[1], True, None, None, rest[0], rest[1]))
-    if not rows:
-        rows.append((key[0], key[1], True, None, None, None, None))
-    return pd.DataFrame(rows, columns=["item_id", "slice", "is_rest", "q0", "u0", "q1", "u1"])
+        if expected is not None:
+            before = (expected, event.unit)
+            new, status, _ = step(before, event)
+            if status == "updated":
+                self.after[before] = self.leaves(new)
+
+    def rows(self, key: tuple) -> list[tuple]:
+        out = [(*key, False, b[0], b[1], a[0], a[1]) for b, a in self.after.items()]
+        # A slice always has its rest row, so that the walk meets every slice.
+        rest = self.rest or NOTHING
+        return [*out, (*key, True, None, None, rest[0], rest[1])]
+
+
+def _slice_maps(batches: Iterator) -> Iterator:
+    """Maps of the slices; rows come sorted by item and slice, latest event first."""
+    import pandas as pd
+
+    names = [part.split()[0] for part in MAP.split(", ")]
+    key, current = None, _SliceMap()
+    for batch in batches:
+        done: list[tuple] = []
+        for event in batch.itertuples(index=False):
+            if (event.item_id, event.slice) != key:
+                if key is not None:
+                    done += current.rows(key)
+                key, current = (event.item_id, event.slice), _SliceMap()
+            current.prepend(event)
+        yield pd.DataFrame(done, columns=names)
+    if key is not None:
+        yield pd.DataFrame(current.rows(key), columns=names)
 
 
 def _slice_starts(batches: Iterator) -> Iterator:
@@ -179,26 +199,39 @@ def _slice_starts(batches: Iterator) -> Iterator:
         yield pd.DataFrame(starts, columns=["item_id", "slice", "start_quantity", "start_unit"])
 
 
+def _slice_outcomes(batches: Iterator) -> Iterator:
+    """Outcomes of the events; rows come sorted by item, slice and sequence number."""
+    import pandas as pd
+
+    key, state = None, NOTHING
+    for batch in batches:
+        rows = []
+        for event in batch.itertuples(index=False):
+            if (event.item_id, event.slice) != key:
+                key = (event.item_id, event.slice)
+                state = (_number(event.start_quantity), _text(event.start_unit))
+            found, state = _resolved([event], state)
+            rows += found
+        yield pd.DataFrame(rows, columns=OUTCOME_NAMES)
+
+
 def ledger(events: DataFrame, slice_size: int = 50_000) -> DataFrame:
     """L2 in batch: one outcome per event, in order of ``seq`` per item.
 
     ``slice_size`` is a span of sequence numbers; ``seq`` is unique per item, so
-    it also bounds the rows of a slice.
+    it also bounds the rows of a slice. Tasks stream through their sorted
+    slices and hold the state or the map of one slice at a time.
     """
     rows = prepared(events).withColumn("slice", F.floor(F.col("seq") / slice_size).cast("bigint"))
-    maps = rows.groupBy("item_id", "slice").applyInPandas(
-        _slice_map, "item_id string, slice bigint, is_rest boolean, q0 double, u0 string, q1 double, u1 string"
-    )
+    placed = rows.repartition("item_id", "slice")
+    maps = placed.sortWithinPartitions("item_id", "slice", F.desc("seq")).mapInPandas(_slice_maps, MAP)
     starts = maps.repartition("item_id").sortWithinPartitions("item_id", "slice").mapInPandas(
         _slice_starts, "item_id string, slice bigint, start_quantity double, start_unit string"
     )
-
-    def resolve(frame):
-        first = frame.iloc[0]
-        state = (_number(first["start_quantity"]), _text(first["start_unit"]))
-        return _resolved(frame, state)[0]
-
-    return _with_level(rows.join(starts, ["item_id", "slice"]).groupBy("item_id", "slice").applyInPandas(resolve, OUTCOME))
+    joined = rows.join(starts, ["item_id", "slice"]).repartition("item_id", "slice")
+    return _with_level(
+        joined.sortWithinPartitions("item_id", "slice", "seq").mapInPandas(_slice_outcomes, OUTCOME)
+    )
 
 
 # --- stream ----------------------------------------------------------------
@@ -209,9 +242,10 @@ def _advance(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
 
     held = state.get if state.exists else NOTHING
     # One item's events of one micro-batch, which the trigger's file limit bounds.
-    outcomes, left = _resolved(pd.concat(list(frames)), tuple(held))
+    ordered = pd.concat(list(frames)).sort_values("seq", kind="stable")
+    outcomes, left = _resolved(ordered.itertuples(index=False), tuple(held))
     state.update(left)
-    yield outcomes
+    yield pd.DataFrame(outcomes, columns=OUTCOME_NAMES)
 
 
 def ledger_stream(events: DataFrame) -> DataFrame:

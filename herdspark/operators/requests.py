@@ -49,35 +49,32 @@ def _kind(variant_type: Column) -> Column:
     )
 
 
-def _message(name: str, kind: Column, text: Column) -> Column:
-    """The message for one field; a later test overrides none before it."""
-    given, number = kind != "null", text.try_cast("double")
+def _message(name: Column, kind: Column, text: Column) -> Column:
+    """What is wrong with one given field; null when nothing is."""
+    number = text.try_cast("double")
     is_number = kind.isin("integer", "number") & finite_or_null(number).isNotNull()
-    message = F.when(~given & F.lit(name in REQUEST_REQUIRED), "Required field is missing.")
-    if name in REQUEST_TEXTS:
-        return (
-            message.when(given & (kind != "string"), "Must be a string.")
-            .when(given & (stripped(text) == ""), "Must not be empty.")
-            .when(given & (F.length(text) > MAX_TEXT), "Text value is too long.")
-        )
-    if name == "age_months":
-        return message.when(given & (kind != "integer"), "Must be an integer.").when(
-            given & (number <= 0), "Must be greater than zero."
-        )
-    if name == "weight_kg":
-        return message.when(given & ~is_number, "Must be a finite number.").when(
-            given & (number <= 0), "Must be greater than zero."
-        )
-    if name == "days_in_milk":
-        return message.when(given & (kind != "integer"), "Must be an integer or null.").when(
-            given & (number < 0), "Must be zero or greater."
-        )
-    message = message.when(given & ~is_number, "Must be a finite number or null.")
-    if name == "previous_week_avg_yield_l":
-        message = message.when(number < 0, "Must be zero or greater.")
-    if name == "body_condition_score":
-        message = message.when(~number.between(1, 5), "Must be from 1 through 5.")
-    return message
+    of_text = (
+        F.when(kind != "string", "Must be a string.")
+        .when(stripped(text) == "", "Must not be empty.")
+        .when(F.length(text) > MAX_TEXT, "Text value is too long.")
+    )
+    age = F.when(kind != "integer", "Must be an integer.").when(number <= 0, "Must be greater than zero.")
+    weight = F.when(~is_number, "Must be a finite number.").when(number <= 0, "Must be greater than zero.")
+    days = F.when(kind != "integer", "Must be an integer or null.").when(number < 0, "Must be zero or greater.")
+    optional = (
+        F.when(~is_number, "Must be a finite number or null.")
+        .when((name == "previous_week_avg_yield_l") & (number < 0), "Must be zero or greater.")
+        .when((name == "body_condition_score") & ~number.between(1, 5), "Must be from 1 through 5.")
+    )
+    return (
+        F.when(~name.isin(*REQUEST_FIELDS), "Unexpected field.")
+        .when(kind == "null", F.lit(None).cast("string"))
+        .when(name.isin(*REQUEST_TEXTS), of_text)
+        .when(name == "age_months", age)
+        .when(name == "weight_kg", weight)
+        .when(name == "days_in_milk", days)
+        .otherwise(optional)
+    )
 
 
 def error_code(errors: Column) -> Column:
@@ -93,33 +90,31 @@ def error_code(errors: Column) -> Column:
 def validate_requests(df: DataFrame, json_column: str, keys: Sequence[str]) -> DataFrame:
     """E15 over a table of JSON request texts: errors, code and valid flag per row.
 
-    Every text is parsed once, into a VARIANT that keeps the JSON types; each
-    field's type and text become columns before the messages read them.
+    Every text is parsed once, into VARIANT values that keep their JSON types.
+    The tests run over the fields a request has, not once per contract field.
+    A text that is no object, or names a field twice, is invalid JSON.
     """
-    body = quoted(json_column)
-    rows = df.select(*keys, F.try_parse_json(body).alias("__v"), F.json_object_keys(body).alias("__names"))
-
-    def part(name: str, kind: str) -> Column:
-        return F.try_variant_get(F.col("__v"), f"$.{name}", kind)
-
-    rows = rows.withColumns({f"__t_{n}": part(n, "string") for n in REQUEST_FIELDS} | {
-        f"__y_{n}": F.schema_of_variant(part(n, "variant")) for n in REQUEST_FIELDS
-    })
-    rows = rows.withColumns({f"__k_{n}": _kind(F.col(f"__y_{n}")) for n in REQUEST_FIELDS})
-    rows = rows.withColumns({f"__m_{n}": _message(n, F.col(f"__k_{n}"), F.col(f"__t_{n}")) for n in REQUEST_FIELDS})
-    known = [
-        F.when(F.col(f"__m_{n}").isNotNull(), F.struct(F.lit(n).alias("k"), F.col(f"__m_{n}").alias("v")))
-        for n in REQUEST_FIELDS
-    ]
-    extra = F.transform(
-        F.array_sort(F.array_except(F.col("__names"), F.array(*[F.lit(f) for f in REQUEST_FIELDS]))),
-        lambda n: F.struct(n.alias("k"), F.lit("Unexpected field.").alias("v")),
+    entries = F.map_entries(F.from_json(quoted(json_column), "map<string,variant>"))
+    typed = F.transform(
+        entries,
+        lambda e: F.struct(
+            e["key"].alias("k"), _kind(F.schema_of_variant(e["value"])).alias("kind"), e["value"].try_cast("string").alias("text")
+        ),
     )
-    # A text that is no JSON object has no key list.
-    broken = F.col("__v").isNull() | F.col("__names").isNull()
-    rows = rows.withColumn("__broken", broken).withColumn(
-        "errors", F.when(~F.col("__broken"), F.map_from_entries(F.concat(extra, present(known))))
+    rows = df.select(*keys, typed.alias("__f"))
+    found = F.transform(F.col("__f"), lambda f: F.struct(f["k"].alias("k"), _message(f["k"], f["kind"], f["text"]).alias("v")))
+    given = F.transform(F.filter("__f", lambda f: f["kind"] != "null"), lambda f: f["k"])
+    required = F.array(*[F.lit(f) for f in REQUEST_REQUIRED])
+    missing = F.transform(
+        F.array_except(required, given), lambda n: F.struct(n.alias("k"), F.lit("Required field is missing.").alias("v"))
+    )
+    names = F.transform(F.col("__f"), lambda f: f["k"])
+    rows = rows.select(
+        *keys,
+        F.coalesce(F.size(F.array_distinct(names)) != F.size(names), F.lit(True)).alias("__broken"),
+        F.concat(F.filter(found, lambda f: f["v"].isNotNull()), missing).alias("__e"),
     )
+    rows = rows.select(*keys, "__broken", F.when(~F.col("__broken"), F.map_from_entries("__e")).alias("errors"))
     return rows.select(
         *keys,
         "errors",

@@ -255,7 +255,7 @@ REQUEST_JSON = """req AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_lines
           CASE WHEN l_linestatus = 'O' THEN 'extra=Unexpected field.' END, CASE WHEN l_tax = 0.07 THEN 'breed=Required field is missing.' WHEN l_tax = 0.06 THEN 'breed=Must be a string.' WHEN l_tax = 0.05 THEN 'breed=Must not be empty.' END,
           CASE l_linenumber WHEN 1 THEN 'age_months=Must be an integer.' WHEN 2 THEN 'age_months=Must be greater than zero.' END, CASE WHEN l_returnflag = 'A' THEN 'weight_kg=Must be a finite number.' END,
           CASE WHEN l_discount = 0.1 THEN 'body_condition_score=Must be from 1 through 5.' END], lambda x: x IS NOT NULL) AS e FROM req),
-        c AS (SELECT *, array_to_string(e, ';') AS t FROM m)
+        c AS (SELECT *, array_to_string(list_sort(e), ';') AS t FROM m)
         SELECT l_orderkey, l_linenumber, CASE WHEN broken THEN NULL ELSE t END AS errors, CASE WHEN broken THEN 'INVALID_JSON' WHEN t = '' THEN NULL WHEN t LIKE '%Required field%' THEN 'MISSING_REQUIRED_FIELD'
           WHEN t LIKE '%string%' OR t LIKE '%integer%' OR t LIKE '%finite%' OR t LIKE '%Unexpected%' THEN 'INVALID_FIELD_TYPE' ELSE 'INVALID_FIELD_RANGE' END AS error_code, NOT broken AND t = '' AS valid FROM c""",
 )
@@ -272,7 +272,7 @@ def request_validation(spark, sf_dir):
     )
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(tax == 0.08, '{"breed": ').otherwise(body).alias("body"))
     checked = requests.validate_requests(rows, "body", ["l_orderkey", "l_linenumber"])
-    shown = F.array_join(F.transform(F.map_entries("errors"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";")
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("errors"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), ";")
     return checked.withColumn("errors", shown)
 
 

@@ -153,6 +153,16 @@ def manifest_partition(df: DataFrame, manifest: DataFrame, key: str, split: str,
     return df.join(chosen, key, "left_semi")
 
 
+def spread_missing(key: Column, df: DataFrame) -> Column:
+    """A join key whose missing values differ from row to row.
+
+    A missing key meets no partner either way, but as nulls all such rows would
+    be sent to one task.
+    """
+    own = F.concat(F.lit("\0"), F.xxhash64(*[quoted(c) for c in df.columns]).cast("string"))
+    return F.coalesce(key, own)
+
+
 def with_optional_dimension(
     fact: DataFrame, dimension: DataFrame, foreign: str, key: str, prefix: str
 ) -> DataFrame:
@@ -160,10 +170,10 @@ def with_optional_dimension(
     named = dimension.select(*[F.col(c).alias(f"{prefix}{c}") for c in dimension.columns])
     fk = F.nullif(stripped(F.col(foreign).cast("string")), F.lit(""))
     return (
-        fact.withColumn("__fk", fk)
-        .join(named, F.col("__fk") == F.col(f"{prefix}{key}").cast("string"), "left")
+        fact.withColumns({"__fk": fk, "__key": spread_missing(fk, fact)})
+        .join(named, F.col("__key") == F.col(f"{prefix}{key}").cast("string"), "left")
         .filter(F.col("__fk").isNull() | F.col(f"{prefix}{key}").isNotNull())
-        .drop("__fk")
+        .drop("__fk", "__key")
     )
 
 
@@ -219,14 +229,17 @@ def display_target(
     """The shown name of a record's batch or animal, with a fallback text."""
     a = animals.select(F.col("id").alias("__a"), F.format_string("%s (%s)", "animal_name", "animal_id").alias("__animal"))
     b = batches.select(F.col("id").alias("__b"), F.concat(F.lit("Batch: "), F.col("batch_name")).alias("__batch"))
-    joined = records.join(a, F.col("livestock_id") == F.col("__a"), "left").join(b, F.col("batch_id") == F.col("__b"), "left")
+    keyed = records.withColumns(
+        {"__la": spread_missing(F.col("livestock_id"), records), "__lb": spread_missing(F.col("batch_id"), records)}
+    )
+    joined = keyed.join(a, F.col("__la") == F.col("__a"), "left").join(b, F.col("__lb") == F.col("__b"), "left")
     is_batch = F.coalesce(F.col("target_type") == "Batch", F.lit(False)) | (
         F.coalesce(stripped(F.col("batch_id").cast("string")), F.lit("")) != ""
     )
     name = F.when(is_batch, F.coalesce("__batch", F.lit("Unknown Batch"))).otherwise(
         F.coalesce("__animal", F.lit("Unknown Animal"))
     )
-    return joined.withColumn("target_name", name).drop("__a", "__b", "__animal", "__batch")
+    return joined.withColumn("target_name", name).drop("__a", "__b", "__la", "__lb", "__animal", "__batch")
 
 
 def search_display(records: DataFrame, needle: str, columns: Sequence[str] = ("vaccine_name", "target_name")) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from herdspark.operators.summary import null_safe_join, quantiles_from_counts, value_counts
+from herdspark.operators.summary import null_safe_join, one_group, quantiles_from_counts, value_counts
 
 REGRESSION_METRICS = (
     "mae", "rmse", "r2", "median_absolute_error", "mean_residual", "residual_standard_deviation",
@@ -92,7 +92,7 @@ def regression_metrics(
     first pass, so large offsets do not cost precision.
     """
     keys = list(keys)
-    rows = df if keys else df.withColumn("__all", F.lit(1))
+    rows = df if keys else one_group(df)
     by = keys or ["__all"]
     rows = rows.select(
         *by, F.col(actual).cast("double").alias("__a"), F.col(predicted).cast("double").alias("__p")
@@ -238,7 +238,7 @@ def confidence_report(
         F.max("value").alias("maximum"), F.count_if("__low").alias("low_confidence_rows"),
         F.count_if("__sure").alias("wrong_high_confidence_rows"),
     )
-    keyed = rows.withColumn("__all", F.lit(1))
+    keyed = one_group(rows)
     quartiles = quantiles_from_counts(value_counts(keyed, ["__all"]), ["__all"], (0.25, 0.5, 0.75))
     found = quartiles.select(F.struct("p25", F.col("p50").alias("median"), "p75")).scalar()
     return counts.withColumn("__q", found).select("rows", "mean", "minimum", "__q.p25", "__q.median", "__q.p75", "maximum",

@@ -50,6 +50,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def one_group(df: DataFrame) -> DataFrame:
+    """The table with one key all rows share.
+
+    The key comes from a generator, so it stays a key: a literal would be
+    folded away and leave joins without one.
+    """
+    return df.select("*", F.explode(F.array(F.lit(1))).alias("__all"))
+
+
 def long_values(
     df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), name: str = "column"
 ) -> DataFrame:
@@ -144,7 +153,7 @@ def numeric_summary(
     saves the value-count shuffle on wide continuous data.
     """
     keys = list(keys)
-    rows = df if keys else df.withColumn("__all", F.lit(1))
+    rows = df if keys else one_group(df)
     by = keys or ["__all"]
     rows = rows.select(*by, F.col(value).alias("value"))
     probabilities = sorted({*probabilities, 0.5})

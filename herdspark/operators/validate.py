@@ -52,7 +52,7 @@ def category_checks(df: DataFrame, item: FieldContract, is_target: bool, mode: s
 
 
 def number_checks(df: DataFrame, item: FieldContract, mode: str, required: bool) -> list[Check]:
-    """E4 to E10."""
+    """E4, E5, E6, E7, E8, E9, E10."""
     name = item.name
     number = number_of(df, name)
     present = number.isNotNull()
@@ -164,7 +164,7 @@ def validate_table(
     contract: TableContract = HERD,
     need_target: bool | None = None,
 ) -> DataFrame:
-    """One row per (field, issue) with counts and bounded samples.
+    """E12 over E2 to E11: one row per (field, issue) with counts and bounded samples.
 
     Findings are counted per (check, value) with partial aggregation; samples
     come from a top-k per check that Spark trims before the shuffle.

@@ -6,7 +6,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from herdspark.operators import metrics, rules, splits
+from herdspark.functions import text
+from herdspark.operators import joins, mapping, metrics, rules, splits
 from herdspark.operators import modeling as m
 from herdspark.operators.contracts import FieldContract, ModelContract, TableContract
 
@@ -518,3 +519,97 @@ def stock_ledger_stream(spark, sf_dir):
     )
     running.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
+
+
+# --- views and lookups ----------------------------------------------------------
+
+
+def _observations(spark, sf_dir):
+    """Orders under herd column names."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("source_row_number"), F.col("o_custkey").cast("string").alias("cattle_id"),
+        F.col("o_orderpriority").alias("breed"), F.dayofmonth("o_orderdate").alias("age_months"), F.col("o_totalprice").alias("weight_kg"),
+        F.col("o_orderstatus").alias("lactation_stage"), (F.col("o_totalprice") / 100).alias("feed_quantity_kg"),
+        F.col("o_orderstatus").alias("feed_type"), F.lit(3.0).alias("body_condition_score"), F.lit(50.0).alias("humidity_percent"),
+    )
+
+
+@query(
+    "inference_feature_view",
+    """SELECT o_orderkey AS source_row_number, o_orderpriority AS breed, day(o_orderdate)::INTEGER AS age_months, o_totalprice AS weight_kg, o_orderstatus AS lactation_stage, NULL::DOUBLE AS days_in_milk,
+       NULL::DOUBLE AS previous_week_avg_yield_l, 3.0::DOUBLE AS body_condition_score, NULL::DOUBLE AS ambient_temperature_c, 50.0::DOUBLE AS humidity_percent FROM orders""",
+)
+def inference_feature_view(spark, sf_dir):
+    rows = _observations(spark, sf_dir)
+    return mapping.feature_view(rows, "milk_yield_regressor", include_target=False, keys=["source_row_number"]).features
+
+
+@query(
+    "excluded_fields",
+    """SELECT * FROM (VALUES ('source_row_number', 'NOT_SELECTED_BY_MODEL_CONTRACT'), ('cattle_id', 'IDENTIFIER_METADATA_ONLY'), ('feed_quantity_kg', 'SAME_RECORD_TARGET_OR_OUTCOME'), ('feed_type', 'SAME_RECORD_TARGET_OR_OUTCOME')) t(field, reason)
+       WHERE (SELECT count(*) FROM orders) > 0""",
+)
+def excluded_fields(spark, sf_dir):
+    return mapping.feature_view(_observations(spark, sf_dir), "milk_yield_regressor", include_target=False).excluded_table()
+
+
+@query(
+    "design_views",
+    """SELECT o_orderkey AS source_row_number, feed_quantity_kg, design, predicted_feed_type FROM (SELECT o_orderkey, o_totalprice / 100 AS feed_quantity_kg, unnest(['A', 'B']) AS design,
+       unnest([NULL, CASE WHEN o_totalprice > 200000 THEN 'Hay' ELSE 'Silage' END]) AS predicted_feed_type FROM orders)""",
+)
+def design_views(spark, sf_dir):
+    full = {n: F.lit(1.0) for n in ("days_in_milk", "previous_week_avg_yield_l", "ambient_temperature_c")}
+    rows = _observations(spark, sf_dir).withColumns(full)
+    label = F.when(F.col("weight_kg") > 200000, "Hay").otherwise("Silage")
+    predicted = rows.select("source_row_number", label.alias("predicted_feed_type"))
+    given = mapping.attach_prediction(rows, predicted, "source_row_number", "predicted_feed_type")
+    plain, labelled = mapping.design_views(given, ["source_row_number"])
+    columns = ["source_row_number", "feed_quantity_kg"]
+    return plain.features.select(*columns, F.lit("A").alias("design"), F.lit(None).cast("string").alias("predicted_feed_type")).unionByName(
+        labelled.features.select(*columns, F.lit("B").alias("design"), "predicted_feed_type")
+    )
+
+
+@query(
+    "rule_selected_features",
+    "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem",
+)
+def rule_selected_features(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "part_id").withColumnRenamed("l_shipdate", "ship_date")
+    names = mapping.select_features(rows, "l_extendedprice", ["l_quantity", "part_id", "ship_date", "l_returnflag", "l_tax"], leakage=["L_TAX"])
+    categories, numbers = mapping.split_feature_types(rows, names)
+    return rows.select("l_orderkey", "l_linenumber", *numbers, *categories)
+
+
+@query(
+    "canonical_key_audit",
+    """WITH l AS (SELECT l_orderkey::VARCHAR AS a, CASE l_returnflag WHEN 'A' THEN 'T0' WHEN 'N' THEN 'T1' ELSE 'T2' END AS b, l_linenumber::VARCHAR AS c FROM lineitem),
+       r AS (SELECT o_orderkey::VARCHAR AS a, 'T1' AS b, '1' AS c FROM orders),
+       lk AS (SELECT a, b, c, count(*) AS n FROM l GROUP BY ALL), m AS (SELECT count(*) AS n FROM lk JOIN r USING (a, b, c))
+       SELECT (SELECT count(*) FROM l) AS left_rows, (SELECT count(*) FROM lk) AS left_unique_keys, (SELECT count(*) FROM r) AS right_unique_keys, n AS matches, (SELECT count(*) FROM lk) - n AS left_only_keys FROM m""",
+)
+def canonical_key_audit(spark, sf_dir):
+    flag = F.col("l_returnflag")
+    label = F.when(flag == "A", "t0 (≤75)").when(flag == "N", " T1 (75-80)").otherwise("T2")
+    left = {"k": text.composite_key(F.col("l_orderkey").cast("double").cast("decimal(20,1)"), label, F.col("l_linenumber"))}
+    right = {"k": text.composite_key(F.col("o_orderkey"), F.lit("T1"), F.lit(" 1 "))}
+    found = joins.composite_join_audit(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), left, right)
+    return found.select("left_rows", "left_unique_keys", "right_unique_keys", "matches", "left_only_keys")
+
+
+@query(
+    "manifest_partition",
+    f"""WITH {SPLIT_PRINT} SELECT o_orderkey, o_totalprice FROM orders JOIN f USING (o_orderkey) WHERE split = 'validation'""",
+)
+def manifest_partition(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    manifest = splits.split_assignments(orders, "o_orderpriority", "o_orderkey")
+    return joins.manifest_partition(orders, manifest, "o_orderkey", "split", "validation").select("o_orderkey", "o_totalprice")
+
+
+@query("fold_lookup", "SELECT l_orderkey, l_linenumber, l_partkey, length(p_name)::INTEGER AS fold FROM lineitem JOIN part ON l_partkey = p_partkey")
+def fold_lookup(spark, sf_dir):
+    folds = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.length("p_name").cast("int").alias("fold"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return joins.attach_fold(rows, folds, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "fold")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from herdspark.functions import dates, text, values
-from herdspark.operators import alerts, joins, latest, requests
+from herdspark.operators import alerts, joins, latest, records, requests
 from herdspark.plans import derived as d
 from herdspark.plans.registry import query, table
 from herdspark.plans.summary_queries import rounded
@@ -154,13 +154,20 @@ def first_filled_fields(spark, sf_dir):
         coalesce(nullif(trim(recovery_status), ''), 'In Treatment') AS recovery_status, {d.HEALTH_FOLD_SQL.format(s='recovery_status')} AS folded FROM health""",
 )
 def normalised_health_records(spark, sf_dir):
-    def filled(name, default):
-        return F.coalesce(text.first_text([F.col(name)]), F.lit(default)).alias(name)
+    source = d.health_records(spark, sf_dir)
+    folded = text.health_status(F.col("recovery_status")).alias("folded")
+    shown = records.normalised_health(source)
+    return shown.select("id", "livestock_id", "animal_name", "disease_type", "recovery_status").join(source.select("id", folded), "id")
 
-    return d.health_records(spark, sf_dir).select(
-        "id", filled("livestock_id", ""), filled("animal_name", "Unknown Animal"), filled("disease_type", "Unspecified Issue"),
-        filled("recovery_status", "In Treatment"), text.health_status(F.col("recovery_status")).alias("folded"),
-    )
+
+@query(
+    "normalised_livestock",
+    f"""WITH {d.ANIMALS} SELECT id, animal_id, coalesce(nullif(trim(animal_name), ''), 'Unnamed Animal') AS animal_name, {d.DISPLAY_SPECIES_SQL.format(s='species')} AS species, breed,
+        TRY_CAST(age AS BIGINT) AS age_months, weight::DOUBLE AS weight_kg, user_id FROM animals
+        WHERE lower(trim(species)) IN ('dairy cattle', 'dairy cow', 'cattle (dairy)', 'cow')""",
+)
+def normalised_livestock(spark, sf_dir):
+    return records.normalised_livestock(d.animals(spark, sf_dir), d.as_of())
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from herdspark.functions.values import quoted
@@ -28,14 +28,16 @@ def write_contracted(df: DataFrame, path: str, columns: Sequence[str], partition
     """Write exactly the agreed columns, read them back and compare columns and rows."""
     if list(df.columns) != list(columns):
         raise WriteError(f"columns {df.columns} differ from the contract {list(columns)}")
-    writer = df.write.mode("errorifexists")
+    # Rows are counted while they are written, so the plan runs once.
+    seen = Observation()
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     stored = df.sparkSession.read.parquet(path)
     if sorted(stored.columns) != sorted(columns):
         raise WriteError(f"{path} reads back with columns {stored.columns}")
-    written, read = df.count(), stored.count()
+    written, read = seen.get["rows"], stored.count()
     if written != read:
         raise WriteError(f"{path} reads back {read} rows of {written}")
     return stored.select(*[quoted(c) for c in columns])

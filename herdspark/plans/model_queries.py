@@ -544,15 +544,6 @@ def inference_feature_view(spark, sf_dir):
     return mapping.feature_view(rows, "milk_yield_regressor", include_target=False, keys=["source_row_number"]).features
 
 
-@query(
-    "excluded_fields",
-    """SELECT * FROM (VALUES ('source_row_number', 'NOT_SELECTED_BY_MODEL_CONTRACT'), ('cattle_id', 'IDENTIFIER_METADATA_ONLY'), ('feed_quantity_kg', 'SAME_RECORD_TARGET_OR_OUTCOME'), ('feed_type', 'SAME_RECORD_TARGET_OR_OUTCOME')) t(field, reason)
-       WHERE (SELECT count(*) FROM orders) > 0""",
-)
-def excluded_fields(spark, sf_dir):
-    return mapping.feature_view(_observations(spark, sf_dir), "milk_yield_regressor", include_target=False).excluded_table()
-
-
 @query(
     "design_views",
     """SELECT o_orderkey AS source_row_number, feed_quantity_kg, design, predicted_feed_type FROM (SELECT o_orderkey, o_totalprice / 100 AS feed_quantity_kg, unnest(['A', 'B']) AS design,

@@ -410,6 +410,8 @@ def _spelling_sql(column: str) -> str:
         SELECT 'duplicates' AS section, 'Duplicate complete rows' AS issue, 'ALL_COLUMNS' AS "column", CASE WHEN surplus > 0 THEN 'FLAGGED' ELSE 'PASS' END AS status,
           'WARNING' AS severity, surplus AS affected_rows, round(surplus * 100.0 / rows, 4) AS percentage, 'Exact duplicate across all parsed columns.' AS evidence FROM d
         UNION ALL SELECT 'rules', * FROM ({RULES_SQL})
+        UNION ALL SELECT 'constancy', 'Extremely high-cardinality categorical column', 'l_shipdate', 'FLAGGED', 'WARNING', count(DISTINCT l_shipdate),
+          round(count(DISTINCT l_shipdate) * 100.0 / count(*), 4), 'Counted over all rows.' FROM lineitem HAVING count(DISTINCT l_shipdate) > greatest(1000, floor(count(*) * 0.2))
         UNION ALL {_spelling_sql('l_returnflag')} UNION ALL {_spelling_sql('l_linestatus')}""",
 )
 def whole_table_audit(spark, sf_dir):

@@ -127,7 +127,7 @@ def test_scores_of_bad_requests_stay_empty(spark):
 
 
 def test_selection_is_locked_once(spark, rows, tmp_path):
-    tagged = rows.withColumn("split", F.when(F.col("id") % 7 < 3, "train").when(F.col("id") % 7 < 5, "validation").otherwise("test"))
+    tagged = rows.filter("x is not null").withColumn("split", F.when(F.col("id") % 7 < 3, "train").when(F.col("id") % 7 < 5, "validation").otherwise("test"))
     path = str(tmp_path / "lock")
     done = experiments.regression_experiment(tagged, FEATURES, "y", "id", [*m.regression_candidates("y")[:3], LINEAR], path).first()
     assert done["status"] == "BEATS_BASELINE" and done["test_r2"] > 0.8

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -247,12 +247,8 @@ def reloaded_model_check(spark, sf_dir):
 
 
 def _work_folder(spark):
-    """A new folder below the shared checkpoint folder."""
-    root = checkpoint_root(spark)
-    if root.startswith("/") or root.startswith("file:"):
-        return tempfile.mkdtemp(prefix="run-", dir=root.removeprefix("file://").removeprefix("file:"))
-    run = spark.sql("select uuid()").first()[0]
-    return f"{root}/run-{run}"
+    """A new path below the shared checkpoint folder; Spark makes it when it writes."""
+    return f"{checkpoint_root(spark).rstrip('/')}/run-{uuid.uuid4()}"
 
 
 @query("unknown_category_smoke", f"WITH {FACTS} SELECT count(*) AS rows, 0::BIGINT AS non_finite FROM tagged WHERE split = 'validation'")

@@ -33,7 +33,7 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 CALIBRATION_SHARE = 5
 UNKNOWN = "und"
 #: A document whose language is less certain than this is rejected by the filter.
-MIN_SCORE = 0.5
+MIN_SCORE = 0.3
 _CHUNK = 1 << 18
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 

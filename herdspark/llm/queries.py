@@ -6,11 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdspark.llm import block_dedup, decontaminate, langid, packing, sharding, simhash
+from herdspark.llm import block_dedup, decontaminate, langid, licenses, packing, pii, secret_scan, sharding, simhash, url_filter
 from herdspark.llm.registry import query
 from herdspark.plans.registry import table
 
 
+@query("op2_pii")
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op5_licenses", licenses.check_sql())
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def byte_bpe_50k() -> tuple[str, str, str]:
     """The tokenizer's file, its rank file and the pattern that splits a text."""
     path = public_tokenizers.path
@@ -33,12 +43,22 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+@query("op6_secrets", secret_scan.check_sql())
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op7_language")
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predictions(docs, langid.learn(docs, ~langid.held_out()))
 
 
+@query("op8_url_filter", url_filter.check_sql())
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 FOLDED = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -89,7 +89,7 @@ class Finder:
             while at >= 0:
                 for size in self.sizes:
                     label = self.phrases.get(tuple(words[at : at + size]))
-                    if label:
+                    if label and at + size <= len(words):
                         starts.append(done + at)
                         labels.add(label)
                 gram = self.grams.get(tuple(words[at : at + self.k]))

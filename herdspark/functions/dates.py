@@ -11,18 +11,27 @@ from herdspark.functions.text import first_text
 from herdspark.functions.values import first_number, stripped
 
 
+# The last millisecond and second that a four-digit year can show.
+LAST_MILLISECOND = 253_402_300_799_999
+LAST_SECOND = LAST_MILLISECOND // 1000
+
+
 def parsed_time(text: Column) -> Column:
-    """A plain date, an ISO timestamp or an epoch in milliseconds, all as text."""
+    """A plain date, an ISO timestamp or an epoch in milliseconds, all as text.
+
+    An epoch beyond the years that can be shown is no time.
+    """
     clean = stripped(text.cast("string"))
     plain = F.try_to_timestamp(F.regexp_extract(clean, r"^(\d{4}-\d{2}-\d{2})$", 1), F.lit("yyyy-MM-dd"))
-    epoch = F.timestamp_millis(F.regexp_extract(clean, r"^(-?\d{5,18})$", 1).try_cast("bigint"))
+    millis = F.regexp_extract(clean, r"^(-?\d{5,18})$", 1).try_cast("bigint")
+    epoch = F.timestamp_millis(F.when(millis.between(-LAST_MILLISECOND, LAST_MILLISECOND), millis))
     iso = F.when(clean.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), F.try_to_timestamp(clean))
     return F.coalesce(plain, epoch, iso)
 
 
 def seconds_time(seconds: Column) -> Column:
     """The seconds field of a stored timestamp record."""
-    return F.timestamp_seconds(seconds)
+    return F.timestamp_seconds(F.when(seconds.between(-LAST_SECOND, LAST_SECOND), seconds))
 
 
 def parsed_date(text: Column) -> Column:

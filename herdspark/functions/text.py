@@ -47,6 +47,14 @@ def literal_map(mapping: Mapping[str, str]) -> Column:
     return F.create_map(*parts)
 
 
+def literal_lists(mapping: Mapping[str, Sequence[str]]) -> Column:
+    """A map column from names to lists of texts."""
+    parts: list[Column] = []
+    for key, values in mapping.items():
+        parts += [F.lit(key), F.array(*[F.lit(v) for v in values])]
+    return F.create_map(*parts)
+
+
 def looked_up(value: Column, mapping: Mapping[str, str]) -> Column:
     """Map lookup, null when the key is unknown."""
     if not mapping:
@@ -79,10 +87,19 @@ def name_tokens(value: Column) -> Column:
 
 
 def canonical_id(value: Column) -> Column:
-    """Trimmed text, a whole number without its fraction, missing as null."""
+    """Trimmed text, a whole number without its fraction, missing as null.
+
+    A floating number is read as a number, because its text has an exponent from
+    ten millions on; ``1E7`` in a text column stays the text it is.
+    """
     text = stripped(value.cast("string"))
     whole = F.regexp_extract(text, r"^([+-]?\d+)\.0+$", 1)
-    return F.when(~missing_text(value), F.when(whole != "", whole).otherwise(text))
+    number = text.try_cast("double")
+    integral = F.when(number % 1 == 0, number.try_cast("decimal(38,0)").cast("string"))
+    shown = F.when(F.typeof(value).isin("double", "float"), F.coalesce(integral, text)).otherwise(
+        F.when(whole != "", whole).otherwise(text)
+    )
+    return F.when(~missing_text(value), shown)
 
 
 def label_prefix(value: Column, pattern: str = r"(?i)^\s*(T[012])") -> Column:

@@ -97,16 +97,19 @@ def first_number(texts: Sequence[Column]) -> Column:
 
 def decimal_places(value: Column, scale: int = 12) -> Column:
     """Shown decimals of a number, trailing zeros dropped."""
-    rendered = value.cast(T.DecimalType(38, scale)).cast("string")
+    # From 2^53 on a double is whole; beyond the decimal's range nothing is left to show.
+    rendered = value.try_cast(T.DecimalType(38, scale)).cast("string")
     fraction = F.regexp_extract(rendered, r"\.(\d*?)0*$", 1)
-    return F.when(value.isNotNull(), F.length(fraction))
+    return F.when(value.isNotNull(), F.coalesce(F.length(fraction), F.lit(0)))
 
 
 def round_quantity(quantity: Column, unit: Column, whole_units: Sequence[str]) -> Column:
     """Half-up rounding, whole for counted units and two decimals otherwise."""
     places = F.when(F.lower(stripped(unit)).isin(*whole_units), F.lit(1.0)).otherwise(F.lit(100.0))
     epsilon = F.lit(2.220446049250313e-16)
-    return F.floor((quantity + epsilon) * places + F.lit(0.5)).cast("double") / places
+    rounded = F.floor((quantity + epsilon) * places + F.lit(0.5)).cast("double") / places
+    # A double this large is whole already and would not fit a long.
+    return F.when(F.abs(quantity) >= F.lit(2.0**52), quantity).otherwise(rounded)
 
 
 def interval_label(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from herdspark.functions.text import display_species, first_text
 from herdspark.functions.values import finite_or_null, stripped
-from herdspark.operators.joins import spread_missing, with_optional_dimension
+from herdspark.operators.joins import looked_up_rows, with_optional_dimension
 from herdspark.operators.requests import profile_gap
 
 # Health words that raise an alert, and the urgent ones.
@@ -87,11 +87,7 @@ def health_alerts(records: DataFrame, animals: DataFrame) -> DataFrame:
     """
     fk = F.nullif(stripped(F.col("livestock_id").cast("string")), F.lit(""))
     known = animals.select(F.col("id").cast("string").alias("__id")).distinct()
-    linked = (
-        records.withColumns({"__fk": fk, "__key": spread_missing(fk, records)})
-        .join(known, F.col("__key") == F.col("__id"), "left")
-        .filter(F.col("__fk").isNull() | F.col("__id").isNotNull())
-    )
+    linked = looked_up_rows(records, fk, known, "__id", "inner")
     status = F.coalesce(first_text([F.col("recovery_status")]), F.lit("Needs review"))
     folded = F.lower(status)
     kinds = F.array_compact(

@@ -153,14 +153,15 @@ def manifest_partition(df: DataFrame, manifest: DataFrame, key: str, split: str,
     return df.join(chosen, key, "left_semi")
 
 
-def spread_missing(key: Column, df: DataFrame) -> Column:
-    """A join key whose missing values differ from row to row.
+def looked_up_rows(df: DataFrame, key: Column, dimension: DataFrame, dimension_key: str, how: str = "left") -> DataFrame:
+    """Join a dimension; rows without a key are not sent to the join, where all would meet in one task.
 
-    A missing key meets no partner either way, but as nulls all such rows would
-    be sent to one task.
+    They are united with the others afterwards, with nulls for the dimension. With
+    ``how="inner"`` rows whose key names nothing are dropped, rows without a key are kept.
     """
-    own = F.concat(F.lit("\0"), F.xxhash64(*[quoted(c) for c in df.columns]).cast("string"))
-    return F.coalesce(key, own)
+    joined = df.filter(key.isNotNull()).join(dimension, key == F.col(dimension_key), how)
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in dimension.schema.fields]
+    return joined.unionByName(df.filter(key.isNull()).select("*", *nothing))
 
 
 def with_optional_dimension(
@@ -169,12 +170,8 @@ def with_optional_dimension(
     """Attach a dimension; a row is dropped only when it names a missing one."""
     named = dimension.select(*[F.col(c).alias(f"{prefix}{c}") for c in dimension.columns])
     fk = F.nullif(stripped(F.col(foreign).cast("string")), F.lit(""))
-    return (
-        fact.withColumns({"__fk": fk, "__key": spread_missing(fk, fact)})
-        .join(named, F.col("__key") == F.col(f"{prefix}{key}").cast("string"), "left")
-        .filter(F.col("__fk").isNull() | F.col(f"{prefix}{key}").isNotNull())
-        .drop("__fk", "__key")
-    )
+    dimensions = named.withColumn("__dk", F.col(f"{prefix}{key}").cast("string"))
+    return looked_up_rows(fact, fk, dimensions, "__dk", "inner").drop("__dk")
 
 
 def status_by_any_key(
@@ -229,17 +226,14 @@ def display_target(
     """The shown name of a record's batch or animal, with a fallback text."""
     a = animals.select(F.col("id").alias("__a"), F.format_string("%s (%s)", "animal_name", "animal_id").alias("__animal"))
     b = batches.select(F.col("id").alias("__b"), F.concat(F.lit("Batch: "), F.col("batch_name")).alias("__batch"))
-    keyed = records.withColumns(
-        {"__la": spread_missing(F.col("livestock_id"), records), "__lb": spread_missing(F.col("batch_id"), records)}
-    )
-    joined = keyed.join(a, F.col("__la") == F.col("__a"), "left").join(b, F.col("__lb") == F.col("__b"), "left")
+    joined = looked_up_rows(looked_up_rows(records, F.col("livestock_id"), a, "__a"), F.col("batch_id"), b, "__b")
     is_batch = F.coalesce(F.col("target_type") == "Batch", F.lit(False)) | (
         F.coalesce(stripped(F.col("batch_id").cast("string")), F.lit("")) != ""
     )
     name = F.when(is_batch, F.coalesce("__batch", F.lit("Unknown Batch"))).otherwise(
         F.coalesce("__animal", F.lit("Unknown Animal"))
     )
-    return joined.withColumn("target_name", name).drop("__a", "__b", "__la", "__lb", "__animal", "__batch")
+    return joined.withColumn("target_name", name).drop("__a", "__b", "__animal", "__batch")
 
 
 def search_display(records: DataFrame, needle: str, columns: Sequence[str] = ("vaccine_name", "target_name")) -> DataFrame:
@@ -248,10 +242,13 @@ def search_display(records: DataFrame, needle: str, columns: Sequence[str] = ("v
 
 
 def attach_fold(df: DataFrame, folds: DataFrame, key: str, fold: str = "fold") -> DataFrame:
-    """Fold by row key; a row without one fails when it is read."""
+    """Fold by row key; a row without one fails any job over the result.
+
+    The check is a filter, so it runs even if nobody reads the fold.
+    """
     joined = df.join(folds.select(key, fold), key, "left")
-    missing = F.raise_error(F.concat(F.lit("no fold for "), F.col(key).cast("string"))).cast("int")
-    return joined.withColumn(fold, F.when(F.col(fold).isNull(), missing).otherwise(F.col(fold)))
+    missing = F.raise_error(F.concat(F.lit("no fold for "), F.col(key).cast("string"))).cast("boolean")
+    return joined.filter(F.when(F.col(fold).isNull(), missing).otherwise(F.lit(True)))
 
 
 def without_removed(

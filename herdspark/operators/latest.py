@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from herdspark.functions.text import display_species, health_status
 from herdspark.functions.values import stripped
+from herdspark.session import cut_lineage
 
 EPOCH = "1970-01-01 00:00:00"
 
@@ -68,14 +69,57 @@ def due_status(
     ).drop("__k", "__over", "__soon")
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """The whole table with each row's place in an order, from 1.
+
+    Ranges of the order are sorted apart; the few range sizes say where each one
+    begins. No task sees more than its range.
+    """
+    spark = df.sparkSession
+    ranges = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = cut_lineage(
+        df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumns(
+            {"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}
+        )
+    )
+    sizes = placed.groupBy("__range").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    # One row per range.
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__range", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__shift"))
+    return placed.join(F.broadcast(starts), "__range").withColumn(name, F.col("__at") + F.col("__shift")).drop(
+        "__range", "__at", "__shift"
+    )
+
+
+def numbered_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], name: str = "position") -> DataFrame:
+    """As ``numbered``, from 1 in every group; a large group spreads over many ranges."""
+    placed = numbered(df, [*[F.col(g) for g in groups], *order], "__place")
+    first = placed.groupBy(*groups).agg(F.min("__place").alias("__lead"))
+    same = [F.col(f"__g{i}").eqNullSafe(F.col(g)) for i, g in enumerate(groups)]
+    renamed = first.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], "__lead")
+    return placed.join(renamed, same).withColumn(name, F.col("__place") - F.col("__lead") + 1).drop(
+        "__place", "__lead", *[f"__g{i}" for i in range(len(groups))]
+    )
+
+
+def newest_order(time: Column, tiebreak: str) -> list[Column]:
+    """H4: newest first; no time counts as the epoch."""
+    return [F.coalesce(time, F.lit(EPOCH).cast("timestamp")).desc(), F.col(tiebreak).asc()]
+
+
 def newest_first(df: DataFrame, time: Column, tiebreak: str) -> DataFrame:
-    """H4: the whole table, newest first; no time counts as the epoch."""
-    return df.orderBy(F.coalesce(time, F.lit(EPOCH).cast("timestamp")).desc(), F.col(tiebreak).asc())
+    """H4: the whole table with its position, newest first."""
+    return numbered(df, newest_order(time, tiebreak))
+
+
+def newest_first_per(df: DataFrame, groups: Sequence[str], time: Column, tiebreak: str) -> DataFrame:
+    """H4: the whole table with its position in the list of its group, newest first."""
+    return numbered_per_group(df, groups, newest_order(time, tiebreak))
 
 
 def due_first(df: DataFrame, due: Column, tiebreak: str) -> DataFrame:
-    """H5: by due date, records without one last."""
-    return df.orderBy(due.asc_nulls_last(), F.col(tiebreak).asc())
+    """H5: by due date, records without one last, with the position."""
+    return numbered(df, [due.asc_nulls_last(), F.col(tiebreak).asc()])
 
 
 def priority_rank(priority: Column) -> Column:
@@ -83,10 +127,8 @@ def priority_rank(priority: Column) -> Column:
 
 
 def by_priority(df: DataFrame, priority: Column, time: Column, tiebreak: str) -> DataFrame:
-    """H6: High, Medium, Low; inside each the newest first."""
-    return df.orderBy(
-        priority_rank(priority), F.coalesce(time, F.lit(EPOCH).cast("timestamp")).desc(), F.col(tiebreak).asc()
-    )
+    """H6: High, Medium, Low; inside each the newest first, with the position."""
+    return numbered(df, [priority_rank(priority), *newest_order(time, tiebreak)])
 
 
 def species_rank(species: Column) -> Column:
@@ -99,8 +141,8 @@ def species_rank(species: Column) -> Column:
 
 
 def by_species(df: DataFrame, species: Column, name: Column, tiebreak: str) -> DataFrame:
-    """H7: species rank, then name."""
-    return df.orderBy(species_rank(species), name, F.col(tiebreak))
+    """H7: species rank, then name, with the position."""
+    return numbered(df, [species_rank(species), name, F.col(tiebreak)])
 
 
 def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
@@ -163,13 +205,14 @@ def owned_upsert(
 ) -> DataFrame:
     """I4: incoming records replace current ones with the same key and owner.
 
-    An incoming record whose owner differs from the current one's is ignored;
-    within the incoming table the newest record of a key and owner wins.
+    An incoming record whose owner differs from the current one's is ignored.
+    Of the others the newest of a key wins, whoever owns it, so keys stay unique.
     """
     newest = latest_per_key(incoming, [key, owner], time, tiebreak)
     owners = current.select(F.col(key).alias("__k"), F.col(owner).alias("__o"))
     known = newest.join(owners, F.col(key) == F.col("__k"), "left")
-    accepted = known.filter(F.col("__k").isNull() | F.col("__o").eqNullSafe(F.col(owner))).drop("__k", "__o")
+    allowed = known.filter(F.col("__k").isNull() | F.col("__o").eqNullSafe(F.col(owner))).drop("__k", "__o")
+    accepted = latest_per_key(allowed, [key], time, tiebreak)
     kept = current.join(accepted.select(key), key, "left_anti")
     return kept.unionByName(accepted.select(*current.columns))
 

@@ -167,15 +167,13 @@ def ablation_view(view: FeatureView, dropped: str) -> FeatureView:
 
 
 def attach_prediction(df: DataFrame, predictions: DataFrame, key: str, name: str) -> DataFrame:
-    """Add a cross-fitted prediction by key; rows without one fail on read.
+    """Add a cross-fitted prediction by key; a row without one fails any job over the result.
 
-    The check is part of the plan, so it costs no extra job.
+    The check is a filter of the plan: it costs no extra job and runs even if nobody reads the prediction.
     """
-    joined = df.join(predictions.select(key, F.col(name)), key, "left")
-    guarded = F.when(F.col(name).isNull(), F.raise_error(F.lit(f"row without {name}")).cast("string")).otherwise(
-        F.col(name).cast("string")
-    )
-    return joined.withColumn(name, guarded)
+    joined = df.join(predictions.select(key, F.col(name).cast("string").alias(name)), key, "left")
+    missing = F.raise_error(F.lit(f"row without {name}")).cast("boolean")
+    return joined.filter(F.when(F.col(name).isNull(), missing).otherwise(F.lit(True)))
 
 
 def task_frame(

@@ -43,11 +43,20 @@ def order_facts(spark, sf_dir):
     return lines.join(orders, "id")
 
 
+# Parts of a training table: many passes go over it, and the seeds of tree ensembles follow its parts,
+# so their number depends neither on the table nor on the machine.
+FIT_PARTS = 32
+
+
+def dealt(rows):
+    return rows.repartition(FIT_PARTS, "id").sortWithinPartitions("id")
+
+
 def tagged_facts(spark, sf_dir):
     """The order facts with their split, materialised once for the fits that follow."""
     rows = order_facts(spark, sf_dir)
     manifest = splits.split_assignments(rows, "priority", "id").select("id", "split")
-    return cut_lineage(rows.join(manifest, "id"), spread=True)
+    return cut_lineage(dealt(rows.join(manifest, "id")))
 
 
 def _part(rows, name):
@@ -146,7 +155,7 @@ def classification_candidates(spark, sf_dir):
 def _folded(spark, sf_dir):
     rows = tagged_facts(spark, sf_dir)
     folds = splits.training_folds(rows, "priority", "id").select("id", "training_fold")
-    return cut_lineage(_part(rows, "train").join(folds, "id"), spread=True)
+    return cut_lineage(dealt(_part(rows, "train").join(folds, "id")))
 
 
 FOLDED = f"""{FACTS}, folded AS (SELECT *, ((row_number() OVER (PARTITION BY priority ORDER BY md5('42-fold|' || id::VARCHAR), id) - 1) % 5 + 1)::INTEGER AS training_fold FROM tagged WHERE split = 'train'),
@@ -179,7 +188,7 @@ CUSTOMER_GROUPS = f"""{FACTS}, g AS (SELECT customer, count(*) AS rows FROM rows
 
 def _grouped(spark, sf_dir):
     rows = order_facts(spark, sf_dir)
-    return cut_lineage(splits.apply_groups(rows, splits.group_assignments(rows, "customer"), "customer"), spread=True)
+    return cut_lineage(dealt(splits.apply_groups(rows, splits.group_assignments(rows, "customer"), "customer")))
 
 
 @query(
@@ -579,7 +588,7 @@ def rule_selected_features(spark, sf_dir):
 def canonical_key_audit(spark, sf_dir):
     flag = F.col("l_returnflag")
     label = F.when(flag == "A", "t0 (≤75)").when(flag == "N", " T1 (75-80)").otherwise("T2")
-    left = {"k": text.composite_key(F.col("l_orderkey").cast("double").cast("decimal(20,1)"), label, F.col("l_linenumber"))}
+    left = {"k": text.composite_key(F.col("l_orderkey").cast("double"), label, F.col("l_linenumber"))}
     right = {"k": text.composite_key(F.col("o_orderkey"), F.lit("T1"), F.lit(" 1 "))}
     found = joins.composite_join_audit(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), left, right)
     return found.select("left_rows", "left_unique_keys", "right_unique_keys", "matches", "left_only_keys")

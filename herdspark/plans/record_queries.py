@@ -362,38 +362,49 @@ def vaccination_due_status(spark, sf_dir):
 
 @query(
     "newest_records",
-    f"""WITH {d.HEALTH} SELECT id, created_at FROM health ORDER BY created_at DESC, id LIMIT 25""",
+    f"""WITH {d.HEALTH} SELECT id, created_at, row_number() OVER (ORDER BY created_at DESC, id) AS position FROM health""",
 )
 def newest_records(spark, sf_dir):
-    rows = latest.newest_first(d.health_records(spark, sf_dir), F.col("created_at"), "id").limit(25)
-    return rows.select("id", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+    rows = latest.newest_first(d.health_records(spark, sf_dir).select("id", "created_at"), F.col("created_at"), "id")
+    return rows.select("id", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "position")
 
 
 @query(
     "newest_per_animal",
-    f"""WITH {d.HEALTH} SELECT livestock_id, id, rank FROM (SELECT livestock_id, id, row_number() OVER (PARTITION BY livestock_id ORDER BY created_at DESC, id) AS rank FROM health) WHERE rank <= 3""",
+    f"""WITH {d.HEALTH} SELECT livestock_id, id, row_number() OVER (PARTITION BY livestock_id ORDER BY created_at DESC, id) AS position FROM health""",
 )
 def newest_per_animal(spark, sf_dir):
-    rows = latest.top_per_group(d.health_records(spark, sf_dir), ["livestock_id"], [F.col("created_at").desc(), F.col("id")], 3)
+    rows = d.health_records(spark, sf_dir).select("livestock_id", "id", "created_at")
+    return latest.newest_first_per(rows, ["livestock_id"], F.col("created_at"), "id").select("livestock_id", "id", "position")
+
+
+@query(
+    "recent_records",
+    f"""WITH {d.HEALTH} SELECT livestock_id, id, rank FROM (SELECT livestock_id, id, row_number() OVER (PARTITION BY livestock_id ORDER BY created_at DESC, id) AS rank FROM health) WHERE rank <= 6""",
+)
+def recent_records(spark, sf_dir):
+    rows = latest.top_per_group(d.health_records(spark, sf_dir), ["livestock_id"], [F.col("created_at").desc(), F.col("id")], 6)
     return rows.select("livestock_id", "id", "rank")
 
 
 @query(
     "earliest_due_dates",
-    f"""WITH {d.VACCINATIONS} SELECT id, next_due_date FROM vaccinations ORDER BY next_due_date ASC NULLS LAST, id LIMIT 30""",
+    f"""WITH {d.VACCINATIONS} SELECT id, next_due_date, row_number() OVER (ORDER BY next_due_date ASC NULLS LAST, id) AS position FROM vaccinations""",
 )
 def earliest_due_dates(spark, sf_dir):
-    return latest.due_first(d.vaccinations(spark, sf_dir), F.col("next_due_date"), "id").limit(30).select("id", "next_due_date")
+    rows = d.vaccinations(spark, sf_dir).select("id", "next_due_date")
+    return latest.due_first(rows, F.col("next_due_date"), "id").select("id", "next_due_date", "position")
 
 
 @query(
     "species_order",
     f"""WITH {d.ANIMALS}, s AS (SELECT id, animal_name, {d.DISPLAY_SPECIES_SQL.format(s='species')} AS shown FROM animals)
-        SELECT id, shown FROM s ORDER BY CASE lower(shown) WHEN 'dairy cattle' THEN 0 ELSE 3 END, animal_name, id LIMIT 40""",
+        SELECT id, shown, row_number() OVER (ORDER BY CASE lower(shown) WHEN 'dairy cattle' THEN 0 ELSE 3 END, animal_name NULLS FIRST, id) AS position FROM s""",
 )
 def species_order(spark, sf_dir):
     rows = d.animals(spark, sf_dir).withColumn("shown", text.display_species(F.col("species")))
-    return latest.by_species(rows, F.col("shown"), F.col("animal_name"), "id").limit(40).select("id", "shown")
+    rows = rows.select("id", "shown", "animal_name")
+    return latest.by_species(rows, F.col("shown"), F.col("animal_name"), "id").select("id", "shown", "position")
 
 
 @query(
@@ -522,13 +533,13 @@ def alert_sections(spark, sf_dir):
 
 @query(
     "urgent_alerts_by_priority",
-    f"""WITH {ALL_ALERTS} SELECT alert_id, priority, sort_date FROM sections WHERE section = 'urgent'
-        ORDER BY CASE priority WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END, coalesce(sort_date, DATE '1970-01-01') DESC, alert_id LIMIT 50""",
+    f"""WITH {ALL_ALERTS} SELECT alert_id, priority, sort_date, row_number() OVER (
+          ORDER BY CASE priority WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END, coalesce(sort_date, DATE '1970-01-01') DESC, alert_id) AS position FROM sections WHERE section = 'urgent'""",
 )
 def urgent_alerts_by_priority(spark, sf_dir):
-    urgent = _sections(spark, sf_dir).filter("section = 'urgent'")
-    rows = latest.by_priority(urgent, F.col("priority"), F.col("sort_date").cast("timestamp"), "alert_id").limit(50)
-    return rows.select("alert_id", "priority", "sort_date")
+    urgent = _sections(spark, sf_dir).filter("section = 'urgent'").select("alert_id", "priority", "sort_date")
+    rows = latest.by_priority(urgent, F.col("priority"), F.col("sort_date").cast("timestamp"), "alert_id")
+    return rows.select("alert_id", "priority", "sort_date", "position")
 
 
 @query(

@@ -423,38 +423,47 @@ def contaminated_number_column(spark, sf_dir):
     return formulas.contaminated_column(rows, "p", "v")
 
 
-COLUMN_WORDS = """words AS (SELECT DISTINCT lower(w) AS variable FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE w <> '')"""
-
-
-def _words(spark, sf_dir):
-    words = F.explode(F.split("text", "[^A-Za-z]+"))
-    return (
-        table(spark, sf_dir, "benchmark").select(words.alias("w")).filter("w <> ''").select(F.lower("w").alias("variable")).distinct()
-    )
+# Variable names and definitions that reach every unit, period and status: (variable, status, counted per day).
+VARIABLES = (
+    ("Cow_ID", "IDENTIFIER", False), ("Replication_No", "IDENTIFIER", False), ("Genetic_Group", "OBSERVED", False), ("THI_Range", "TREATMENT_ASSIGNED", False),
+    ("Glucose_x", "LABORATORY_MEASURED", False), ("Dry_Matter_Intake", "DIRECTLY_MEASURED", False), ("Milk_Yield", "OBSERVED", False),
+    ("Rectal_Temp", "DIRECTLY_MEASURED", False), ("Pulse_Rate", "DIRECTLY_MEASURED", False), ("Water_Per_Day", "UNKNOWN", True), ("Coat", "UNKNOWN", False),
+)
+DEFINITIONS = (
+    ("in mmol/l", "mmol/L"), ("in µg/dl", "µg/dL"), ("in mgdl", "mg/dL"), ("in g/dl", "g/dL"), ("cells/ml", "cells/mL"), ("breaths per minute", "breaths/min"),
+    ("bpm", "beats/min"), ("in °f", "°F"), ("liters per cow", "L"), ("daily, in kg", "kg"), ("a percentage", "%"), ("no unit", "UNCLEAR"),
+)
+DEFINITIONS_SQL = "p_definitions(u, d, unit) AS (VALUES {}), p_variables(v, status, per_day, milk) AS (VALUES {})".format(
+    ", ".join(f"({i}, '{d}', '{unit}')" for i, (d, unit) in enumerate(DEFINITIONS)),
+    ", ".join(f"({i}, '{status}', {str(day).lower()}, {str(v == 'Milk_Yield').lower()})" for i, (v, status, day) in enumerate(VARIABLES)),
+)
 
 
 @query(
     "definition_details",
-    f"""WITH {COLUMN_WORDS} SELECT variable, CASE WHEN variable LIKE '%th%' THEN 'L' ELSE 'kg' END AS unit, CASE WHEN variable LIKE '%th%' THEN 'per cow per day' ELSE 'per observation' END AS period,
-        CASE WHEN contains(variable, 'ph') OR contains(variable, 'hdl') OR ends_with(variable, 'ast') OR ends_with(variable, 'alt') OR ends_with(variable, 'scc') THEN 'LABORATORY_MEASURED' ELSE 'DIRECTLY_MEASURED' END AS measurement_status FROM words""",
+    f"""WITH {DEFINITIONS_SQL} SELECT p_partkey, p_definitions.unit, CASE WHEN per_day OR d LIKE '%daily%' OR milk AND d LIKE '%per cow%' THEN 'per cow per day' ELSE 'per observation' END AS period, status AS measurement_status
+        FROM part JOIN p_definitions ON u = p_partkey % 12 JOIN p_variables ON v = p_partkey % 11""",
 )
 def definition_details(spark, sf_dir):
-    words = _words(spark, sf_dir).withColumns(
-        {
-            "definition": F.when(F.col("variable").contains("th"), "daily liters").otherwise("weight in kg of"),
-            "renamed": F.concat(F.col("variable"), F.lit("_rectal")),
-        }
+    key = F.col("p_partkey")
+    variables = F.array(*[F.lit(v) for v, _, _ in VARIABLES])
+    definitions = F.array(*[F.lit(d) for d, _ in DEFINITIONS])
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.get(variables, (key % len(VARIABLES)).cast("int")).alias("variable"), F.get(definitions, (key % len(DEFINITIONS)).cast("int")).alias("definition")
     )
-    return catalogue.definition_details(words, "renamed").select("variable", "unit", "period", "measurement_status")
+    return catalogue.definition_details(rows).select("p_partkey", "unit", "period", "measurement_status")
 
 
 @query(
     "target_domains",
-    f"""WITH {COLUMN_WORDS}, v AS (SELECT variable || '_dmi_ph' AS v FROM words) SELECT v AS variable, 'dmi' AS domain FROM v UNION ALL SELECT v, 'milk_composition' FROM v""",
+    """WITH f(i, variable, domains) AS (VALUES (0, 'Dry_Matter_Intake', ['dmi']), (1, 'Milk_Yield', ['milk_yield']), (2, 'SCC_count', ['milk_composition']), (3, 'Rectal_Temp', ['temperature', 'physiology']),
+        (4, 'Humidity', ['humidity']), (5, 'THI_Range', ['thi']), (6, 'Pulse_Rate', ['physiology']), (7, 'Glucose_dmi', ['dmi', 'blood']), (8, 'Coat', []::VARCHAR[]))
+       SELECT p_partkey, variable, unnest(domains) AS domain FROM part JOIN f ON i = p_partkey % 9""",
 )
 def target_domains(spark, sf_dir):
-    words = _words(spark, sf_dir).select(F.concat("variable", F.lit("_dmi_ph")).alias("variable"))
-    return catalogue.target_fields(words)
+    names = F.array(*[F.lit(n) for n in ("Dry_Matter_Intake", "Milk_Yield", "SCC_count", "Rectal_Temp", "Humidity", "THI_Range", "Pulse_Rate", "Glucose_dmi", "Coat")])
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % 9).cast("int")).alias("variable"))
+    return catalogue.target_fields(rows)
 
 
 @query(
@@ -474,11 +483,13 @@ def target_classes(spark, sf_dir):
 
 @query(
     "label_evidence",
-    """WITH d AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, CASE WHEN 'label ' || t LIKE '%different fodder ingredients%' OR t LIKE '%served%' THEN 'OBSERVED_DIET_ONLY' WHEN t LIKE '%feeding program%' AND t LIKE '%followed by farmers%' THEN 'VERIFIED_OBSERVED_PRACTICE'
-       WHEN t LIKE '%recommend%' AND t LIKE '%expert%' THEN 'VERIFIED_EXPERT_RECOMMENDATION_LABEL' ELSE 'UNCLEAR' END AS label_evidence FROM d""",
+    """SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR lower(text) LIKE '%served%' OR lower(text) LIKE '%different fodder ingredients%' THEN 'OBSERVED_DIET_ONLY' WHEN doc_id % 5 = 1 THEN 'VERIFIED_OBSERVED_PRACTICE'
+       WHEN doc_id % 5 = 2 THEN 'VERIFIED_EXPERT_RECOMMENDATION_LABEL' ELSE 'UNCLEAR' END AS label_evidence FROM documents""",
 )
 def label_evidence(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("label").alias("variable"), F.col("text").alias("definition"))
+    prefixes = F.array(*[F.lit(p) for p in ("Different fodder ingredients", "A feeding program followed by farmers", "Recommended by an expert", "By an adviser", "A feeding program")])
+    definition = F.concat_ws(" ", F.get(prefixes, (F.col("doc_id") % 5).cast("int")), "text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("label").alias("variable"), definition.alias("definition"))
     return catalogue.feed_label_evidence(rows).select("doc_id", "label_evidence")
 
 
@@ -500,11 +511,17 @@ def leakage_classes(spark, sf_dir):
 
 @query(
     "study_leakage",
-    f"""WITH {COLUMN_WORDS} SELECT variable AS "column", CASE WHEN variable LIKE '%fat%' OR variable LIKE '%protein%' OR variable LIKE '%lactose%' OR variable LIKE '%snf%' OR variable LIKE '%scc%' OR variable LIKE '%ph%' THEN 'POSSIBLE_LEAKAGE' ELSE 'NOT_AVAILABLE_AT_INFERENCE' END AS classification FROM words""",
+    """WITH f(i, field, dmi, milk) AS (VALUES (0, 'Blood sugar', 'RESEARCH_ONLY', 'RESEARCH_ONLY'), (1, 'Fat %', 'POSSIBLE_LEAKAGE', 'POSSIBLE_LEAKAGE'), (2, 'Rectal temp', 'UNCLEAR', 'UNCLEAR'),
+        (3, 'Milk yield', 'POSSIBLE_LEAKAGE', 'NOT_AVAILABLE_AT_INFERENCE'), (4, 'DMI', 'NOT_AVAILABLE_AT_INFERENCE', 'POSSIBLE_LEAKAGE'), (5, 'THI range', 'UNCLEAR', 'UNCLEAR'), (6, 'Genetic group', 'SAFE', 'SAFE'),
+        (7, 'Coat', 'NOT_AVAILABLE_AT_INFERENCE', 'NOT_AVAILABLE_AT_INFERENCE'))
+       SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN dmi ELSE milk END AS classification FROM part JOIN f ON i = p_partkey % 8""",
 )
 def study_leakage(spark, sf_dir):
-    rows = _words(spark, sf_dir).select(F.col("variable").alias("column"), F.lit("DMI").alias("target"))
-    return catalogue.study_leakage(rows).select("column", "classification")
+    fields = F.array(*[F.lit(f) for f in ("Blood sugar", "Fat %", "Rectal temp", "Milk yield", "DMI", "THI range", "Genetic group", "Coat")])
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.get(fields, (F.col("p_partkey") % 8).cast("int")).alias("column"), F.when(F.col("p_size") % 2 == 0, "DMI").otherwise("MILK").alias("target")
+    )
+    return catalogue.study_leakage(rows).select("p_partkey", "classification")
 
 
 @query(

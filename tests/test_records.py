@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from herdspark.functions import text
-from herdspark.operators import alerts, joins, latest, metrics, requests, splits
+from herdspark.operators import alerts, joins, latest, mapping, metrics, requests, splits
 
 AS_OF = dt.date(2024, 5, 15)
 
@@ -223,3 +223,32 @@ def test_keys_meet_in_canonical_form(spark):
     right = spark.createDataFrame([("7", "t0", " 1")], "a string, t string, r string")
     key = {"k": text.composite_key(F.col("a"), F.col("t"), F.col("r"))}
     assert joins.composite_join_audit(left, right, key, key).first()["matches"] == 1
+
+
+def test_guards_hold_without_reading_the_column(spark):
+    rows = spark.createDataFrame([(1,), (2,)], "k int")
+    some = spark.createDataFrame([(1, 3, "x")], "k int, fold int, p string")
+    for guarded in (joins.attach_fold(rows, some, "k"), mapping.attach_prediction(rows, some, "k", "p")):
+        with pytest.raises(Exception, match="no fold for|row without"):
+            guarded.count()
+    assert joins.attach_fold(rows.filter("k = 1"), some, "k").count() == 1
+
+
+def test_positions(spark):
+    rows = [(i % 3, i * 7 % 50, i) for i in range(200)] + [(None, None, 900), (1, None, 901)]
+    df = spark.createDataFrame(rows, "g int, t int, id int")
+    found = {r["id"]: r["position"] for r in latest.numbered(df, [F.col("t").desc(), F.col("id")]).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+    assert found == {r[2]: i + 1 for i, r in enumerate(want)}
+    grouped = {r["id"]: r["position"] for r in latest.numbered_per_group(df, ["g"], [F.col("t").desc(), F.col("id")]).collect()}
+    for g in (0, 1, 2, None):
+        assert [grouped[r[2]] for r in want if r[0] == g] == list(range(1, 1 + sum(r[0] == g for r in rows)))
+    assert latest.numbered(df.limit(0), [F.col("t")]).count() == 0
+
+
+def test_upsert_keeps_keys_unique(spark):
+    schema = "id int, owner string, t int, v string"
+    current = spark.createDataFrame([(1, "a", 1, "old"), (2, "b", 1, "old")], schema)
+    incoming = spark.createDataFrame([(1, "a", 2, "new"), (2, "x", 9, "stolen"), (3, "a", 5, "first"), (3, "b", 6, "later")], schema)
+    found = sorted(tuple(r) for r in latest.owned_upsert(current, incoming, "id", "owner", F.col("t"), "v").collect())
+    assert found == [(1, "a", 2, "new"), (2, "b", 1, "old"), (3, "b", 6, "later")]

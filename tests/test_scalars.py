@@ -102,3 +102,13 @@ def test_first_values(spark):
     rows = spark.createDataFrame([(" ", "x", "about 7.5 l"), (None, "", "-3")], "a string, b string, c string")
     assert [r[0] for r in rows.select(text.first_text([F.col("a"), F.col("b")])).collect()] == ["x", None]
     assert [r[0] for r in rows.select(values.first_number([F.col("a"), F.col("c")])).collect()] == [7.5, -3.0]
+
+
+def test_strained_values(spark):
+    df = spark.createDataFrame([(12345678.0, "1E7", "12345678901234567", 1e300), (2.5, "7.0", "-99999999999999999", float("nan"))], "d double, s string, e string, q double")
+    row = df.select(
+        text.canonical_id(F.col("d")).alias("d"), text.canonical_id(F.col("s")).alias("s"), dates.parsed_time(F.col("e")).alias("e"),
+        values.decimal_places(F.col("q")).alias("p"), values.round_quantity(F.col("q"), F.lit("kg"), ["piece"]).alias("q"),
+    ).collect()
+    assert [tuple(r)[:3] for r in row] == [("12345678", "1E7", None), ("2.5", "7", None)]
+    assert row[0]["p"] == 0 and row[0]["q"] == 1e300

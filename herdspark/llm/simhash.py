@@ -1,14 +1,15 @@
 """SimHash near-duplicates found by deletion-variant signatures.
 
-A 64-bit fingerprint is cut into three segments. Of four differing bits at most
-one can fall into the least changed segment, so two linked fingerprints agree
-there up to one bit. Each segment is indexed once for each of its bits with that
-bit blanked: fingerprints that differ by one bit or none meet in a bucket, and
-the whole fingerprints are compared.
-
-Buckets answer with a spanning forest of their links, never with all pairs. A
-bucket of more than ``BLOCK`` fingerprints is split into blocks, and each two
-blocks are compared in a task of their own, so that memory is bounded.
+A 64-bit fingerprint is cut into three segments. Two fingerprints with four
+differing bits differ by at most one bit in the first segment or in the second,
+or by none in the third: two and two and one would be five. The first two are
+indexed once for each of their bits with that bit blanked, the third as it is. So
+linked fingerprints meet in a bucket of an equality join and are verified there.
+
+Buckets of more than ``SMALL`` fingerprints are not joined with themselves. They
+answer with a spanning forest of their links, never with all pairs; beyond
+``BLOCK`` fingerprints a bucket is split into blocks, and each two blocks are
+compared in a task of their own, so that memory is bounded.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from herdspark.session import cut_lineage
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
-#: (first bit, bits): three segments, one of which differs by at most one of four bits.
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: (first bit, bits, blanked bits) of the segments; these widths make the fewest chance meetings.
+SEGMENTS = ((0, 23, 1), (23, 23, 1), (46, 18, 0))
+SMALL = 32
 BLOCK = 4096
 SEED = 42
 
@@ -71,13 +73,13 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def variant_keys(fp: Column) -> Column:
-    """64 keys: for each bit, the bit's number and its segment with the bit blanked."""
+    """The segments' keys: a number for the segment and blanked bit, and the segment without that bit."""
     keys = []
-    for start, width in SEGMENTS:
+    for start, width, blanked in SEGMENTS:
         segment = F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
-        for bit in range(width):
-            blank = segment.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << bit)).cast("bigint"))
-            keys.append((blank + F.lit((start + bit) << 22).cast("bigint")).cast("int"))
+        for bit in range(width) if blanked else [None]:
+            shown = segment if bit is None else segment.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << bit)).cast("bigint"))
+            keys.append((shown + F.lit(len(keys) << 23).cast("bigint")).cast("int"))
     return F.array(*keys)
 
 
@@ -141,22 +143,25 @@ def _forest(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Rec
     yield links(held_g, held_f)
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = MAX_BITS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """(u, v): links that connect all distinct fingerprints at ``max_bits`` or fewer differing bits."""
     if max_bits > MAX_BITS:
-        raise ValueError("three segments with one blank bit find four differing bits at most")
+        raise ValueError("these segments find four differing bits at most")
     variants = fps.select("fp", F.explode(variant_keys(F.col("fp"))).alias("key"))
-    sizes = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = variants.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    members = members.withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
+    large = cut_lineage(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small))
+    few = variants.join(large, "key", "left_anti")
+    close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits
+    met = few.withColumnRenamed("fp", "u").join(few.withColumnRenamed("fp", "v"), "key")
+    joined = met.filter((F.col("u") < F.col("v")) & close).select("u", "v")
+    members = variants.join(large, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
     dealt = members.select(
         "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "fp"
     )
     sorted_ = dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
-    return sorted_.mapInArrow(lambda batches: _forest(batches, max_bits), "u bigint, v bigint")
+    return joined.unionByName(sorted_.mapInArrow(lambda batches: _forest(batches, max_bits), "u bigint, v bigint"))
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:

@@ -37,44 +37,30 @@ PREDICTION_FIELDS = (
 )
 
 
-def _kind(variant_type: Column) -> Column:
-    """string, integer, number, boolean, null or other, from a VARIANT type name."""
-    return (
-        F.when(variant_type.isNull() | (variant_type == "VOID"), "null")
-        .when(variant_type == "STRING", "string")
-        .when(variant_type == "BOOLEAN", "boolean")
-        .when(variant_type == "BIGINT", "integer")
-        .when(variant_type.startswith("DECIMAL") | variant_type.isin("DOUBLE", "FLOAT"), "number")
-        .otherwise("other")
-    )
-
-
-def _message(name: Column, kind: Column, text: Column) -> Column:
-    """What is wrong with one given field; null when nothing is."""
-    number = text.try_cast("double")
-    is_number = kind.isin("integer", "number") & finite_or_null(number).isNotNull()
-    of_text = (
-        F.when(kind != "string", "Must be a string.")
-        .when(stripped(text) == "", "Must not be empty.")
-        .when(F.length(text) > MAX_TEXT, "Text value is too long.")
-    )
-    age = F.when(kind != "integer", "Must be an integer.").when(number <= 0, "Must be greater than zero.")
-    weight = F.when(~is_number, "Must be a finite number.").when(number <= 0, "Must be greater than zero.")
-    days = F.when(kind != "integer", "Must be an integer or null.").when(number < 0, "Must be zero or greater.")
-    optional = (
-        F.when(~is_number, "Must be a finite number or null.")
-        .when((name == "previous_week_avg_yield_l") & (number < 0), "Must be zero or greater.")
-        .when((name == "body_condition_score") & ~number.between(1, 5), "Must be from 1 through 5.")
-    )
-    return (
-        F.when(~name.isin(*REQUEST_FIELDS), "Unexpected field.")
-        .when(kind == "null", F.lit(None).cast("string"))
-        .when(name.isin(*REQUEST_TEXTS), of_text)
-        .when(name == "age_months", age)
-        .when(name == "weight_kg", weight)
-        .when(name == "days_in_milk", days)
-        .otherwise(optional)
-    )
+def _message(name: str, type_: Column, text: Column, number: Column) -> Column:
+    """What is wrong with one contract field of a VARIANT type; null when nothing is, or when it is not given."""
+    whole = type_ == "BIGINT"
+    finite = ~type_.isin("STRING", "BOOLEAN") & number.isNotNull()
+    if name in REQUEST_TEXTS:
+        wrong = (
+            F.when(type_ != "STRING", "Must be a string.")
+            .when(stripped(text) == "", "Must not be empty.")
+            .when(F.length(text) > MAX_TEXT, "Text value is too long.")
+        )
+    elif name == "age_months":
+        wrong = F.when(~whole, "Must be an integer.").when(number <= 0, "Must be greater than zero.")
+    elif name == "weight_kg":
+        wrong = F.when(~finite, "Must be a finite number.").when(number <= 0, "Must be greater than zero.")
+    elif name == "days_in_milk":
+        wrong = F.when(~whole, "Must be an integer or null.").when(number < 0, "Must be zero or greater.")
+    else:
+        wrong = F.when(~finite, "Must be a finite number or null.")
+        if name == "previous_week_avg_yield_l":
+            wrong = wrong.when(number < 0, "Must be zero or greater.")
+        if name == "body_condition_score":
+            wrong = wrong.when((number < 1) | (number > 5), "Must be from 1 through 5.")
+    absent = F.lit("Required field is missing." if name in REQUEST_REQUIRED else None).cast("string")
+    return F.when(type_.isNull() | (type_ == "VOID"), absent).otherwise(wrong)
 
 
 def error_code(errors: Column) -> Column:
@@ -90,31 +76,39 @@ def error_code(errors: Column) -> Column:
 def validate_requests(df: DataFrame, json_column: str, keys: Sequence[str]) -> DataFrame:
     """E15 over a table of JSON request texts: errors, code and valid flag per row.
 
-    Every text is parsed once, into VARIANT values that keep their JSON types.
-    The tests run over the fields a request has, not once per contract field.
-    A text that is no object, or names a field twice, is invalid JSON.
+    The contract's fields are read as VARIANT columns that keep their JSON types,
+    and each has its own flat test; the list of names serves unexpected and
+    repeated ones. A text that is no object, or names a field twice, is invalid JSON.
     """
-    entries = F.map_entries(F.from_json(quoted(json_column), "map<string,variant>"))
-    typed = F.transform(
-        entries,
-        lambda e: F.struct(
-            e["key"].alias("k"), _kind(F.schema_of_variant(e["value"])).alias("kind"), e["value"].try_cast("string").alias("text")
-        ),
-    )
-    rows = df.select(*keys, typed.alias("__f"))
-    found = F.transform(F.col("__f"), lambda f: F.struct(f["k"].alias("k"), _message(f["k"], f["kind"], f["text"]).alias("v")))
-    given = F.transform(F.filter("__f", lambda f: f["kind"] != "null"), lambda f: f["k"])
-    required = F.array(*[F.lit(f) for f in REQUEST_REQUIRED])
-    missing = F.transform(
-        F.array_except(required, given), lambda n: F.struct(n.alias("k"), F.lit("Required field is missing.").alias("v"))
+    fields = ", ".join(f"`{f}` variant" for f in REQUEST_FIELDS)
+    body = quoted(json_column)
+    rows = df.select(
+        *keys,
+        F.from_json(body, f"{fields}, `__bad` string", {"columnNameOfCorruptRecord": "__bad"}).alias("__r"),
+        F.json_object_keys(body).alias("__names"),
     )
-    names = F.transform(F.col("__f"), lambda f: f["k"])
+    given = {f: F.col(f"__r.`{f}`") for f in REQUEST_FIELDS}
     rows = rows.select(
-        *keys,
-        F.coalesce(F.size(F.array_distinct(names)) != F.size(names), F.lit(True)).alias("__broken"),
-        F.concat(F.filter(found, lambda f: f["v"].isNotNull()), missing).alias("__e"),
+        *keys, "__names",
+        (F.col("__names").isNull() | F.col("__r.__bad").isNotNull() | (F.size(F.array_distinct("__names")) != F.size("__names"))).alias("__broken"),
+        *[F.schema_of_variant(v).alias(f"__type_{f}") for f, v in given.items()],
+        *[given[f].try_cast("string").alias(f"__text_{f}") for f in REQUEST_TEXTS],
+        *[finite_or_null(given[f].try_cast("double")).alias(f"__number_{f}") for f in REQUEST_FIELDS if f not in REQUEST_TEXTS],
+    )
+    # Types, texts and numbers are columns of their own, so each test is a few comparisons.
+    messages = [
+        _message(f, F.col(f"__type_{f}"), F.col(f"__text_{f}") if f in REQUEST_TEXTS else F.lit(None), F.col(f"__number_{f}") if f not in REQUEST_TEXTS else F.lit(None)).alias(f"__message_{f}")
+        for f in REQUEST_FIELDS
+    ]
+    rows = rows.select(*keys, "__broken", "__names", *messages)
+    entry = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    found = F.array_compact(
+        F.array(*[F.when(F.col(f"__message_{f}").isNotNull(), entry(F.lit(f), F.col(f"__message_{f}"))) for f in REQUEST_FIELDS])
     )
-    rows = rows.select(*keys, "__broken", F.when(~F.col("__broken"), F.map_from_entries("__e")).alias("errors"))
+    strange = F.array_except("__names", F.array(*[F.lit(f) for f in REQUEST_FIELDS]))
+    more = F.transform(strange, lambda n: entry(n, F.lit("Unexpected field.")))
+    errors = F.map_from_entries(F.when(F.size(strange) > 0, F.concat(found, more)).otherwise(found))
+    rows = rows.select(*keys, "__broken", F.when(~F.col("__broken"), errors).alias("errors"))
     return rows.select(
         *keys,
         "errors",

@@ -2,9 +2,9 @@
 
 Exact quantiles never gather a group in one task. Values are counted first
 (partial aggregation absorbs hot values), the distinct values are placed in
-equal-width buckets between the group's minimum and maximum, the small bucket
-table gives every bucket its starting rank, and only the few buckets that hold
-a wanted rank are ordered.
+buckets cut at approximate quantiles of themselves, the small bucket table
+gives every bucket its starting rank, and only the few buckets that hold a
+wanted rank are ordered. An outlier widens no bucket.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from herdspark.functions.values import (
 
 # The reported percentiles.
 PERCENTILES = (0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99)
-QUANTILE_BUCKETS = 4096
+# Buckets of distinct values per group are the square of this; they are found in two steps.
+CUT_STEP = 16
+CUT_ACCURACY = 2048
 
 # Body-weight bands in kilograms.
 INF = float("inf")
@@ -87,20 +89,27 @@ def quantiles_from_counts(
     keys: Sequence[str],
     probabilities: Sequence[float],
     value: str = "value",
-    buckets: int = QUANTILE_BUCKETS,
+    distinct: bool = False,
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles per key from (key, value, n) rows."""
+    """Exact linear-interpolation quantiles, and on request the distinct values, per key from (key, value, n) rows.
+
+    Values are put into buckets cut at approximate quantiles of the distinct
+    values, so a bucket holds a small share of them whatever their spread; the
+    bucket sizes give starting ranks, and only buckets with a wanted rank are ordered.
+    """
     keys = list(keys)
     usable = counts.filter(counted(value))
+    shares = [i / (CUT_STEP * CUT_STEP) for i in range(1, CUT_STEP * CUT_STEP)]
     bounds = usable.groupBy(*keys).agg(
-        F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("n").alias("__total")
-    )
-    width = F.col("__hi") - F.col("__lo")
-    share = F.try_divide(F.col(value) - F.col("__lo"), width)
-    placed = null_safe_join(usable, bounds, keys).withColumn(
-        "__bucket",
-        F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1)).cast("int"),
+        F.percentile_approx(value, shares, CUT_ACCURACY).alias("__cuts"), F.sum("n").alias("__total"),
+        F.count(value).alias("__distinct"),
     )
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(value)))
+    coarse = F.array(*[F.get("__cuts", F.lit(CUT_STEP * i - 1)) for i in range(1, CUT_STEP)])
+    placed = null_safe_join(usable, bounds.withColumn("__coarse", coarse), keys).withColumn("__step", below(F.col("__coarse")))
+    placed = placed.withColumn(
+        "__bucket", F.col("__step") * CUT_STEP + below(F.slice("__cuts", F.col("__step") * CUT_STEP + 1, F.lit(CUT_STEP - 1)))
+    ).drop("__cuts", "__coarse", "__step")
     per_bucket = placed.groupBy(*keys, "__bucket").agg(
         F.sum("n").alias("__in_bucket"), F.first("__total").alias("__total")
     )
@@ -124,7 +133,7 @@ def quantiles_from_counts(
     ranked = null_safe_join(placed, needed, [*keys, "__bucket"]).withColumn(
         "__from", F.col("__start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
     )
-    picks: list[Column] = [F.max("__total").alias("__total")]
+    picks: list[Column] = [F.max("__total").alias("__total"), F.max("__distinct").alias("unique_values")]
     for p in probabilities:
         for upper in (False, True):
             hit = holds(F.col("__from"), F.col("n"), p, upper)
@@ -136,7 +145,7 @@ def quantiles_from_counts(
         high = F.col(f"__{percentile_name(p)}_1")
         position = F.lit(float(p)) * (F.col("__total") - 1)
         out.append((low + (high - low) * (position - F.floor(position))).alias(percentile_name(p)))
-    return found.select(*keys, *out)
+    return found.select(*keys, *(["unique_values"] if distinct else []), *out)
 
 
 def numeric_summary(
@@ -157,41 +166,32 @@ def numeric_summary(
     by = keys or ["__all"]
     rows = rows.select(*by, F.col(value).alias("value"))
     probabilities = sorted({*probabilities, 0.5})
-    v, n = F.col("value"), F.col("n")
-    base_columns = [
-        F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0)).alias("count"),
-        F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("missing_count"),
+    v = F.col("value")
+    # One aggregate over the rows, combined before its shuffle; only quantiles need the count table.
+    base = rows.groupBy(*by).agg(
+        F.count(v).alias("count"),
+        F.count_if(v.isNull()).alias("missing_count"),
         F.min(v).alias("minimum"),
         F.max(v).alias("maximum"),
-        F.try_divide(F.sum(v * n), F.sum(F.when(v.isNotNull(), n))).alias("mean"),
-        F.coalesce(F.sum(F.when(v == 0, n)), F.lit(0)).alias("zero_count"),
-        F.coalesce(F.sum(F.when(v < 0, n)), F.lit(0)).alias("negative_count"),
-        F.count(v).alias("unique_values"),
-    ]
+        F.avg(v).alias("mean"),
+        F.stddev_samp(v).alias("standard_deviation"),
+        F.count_if(v == 0).alias("zero_count"),
+        F.count_if(v < 0).alias("negative_count"),
+        *(
+            []
+            if exact
+            else [
+                F.approx_count_distinct(v).alias("unique_values"),
+                F.percentile_approx(v, [float(p) for p in probabilities], 10000).alias("__q"),
+            ]
+        ),
+    )
     if exact:
-        counts = value_counts(rows, by)
-        base = counts.groupBy(*by).agg(*base_columns)
-        spread = (
-            null_safe_join(counts.filter(counted()), base.select(*by, "mean", "count"), by)
-            .groupBy(*by)
-            .agg(
-                F.sqrt(
-                    F.try_divide(F.sum(n * F.pow(v - F.col("mean"), 2)), F.max("count") - 1)
-                ).alias("standard_deviation")
-            )
-        )
-        quantiles = quantiles_from_counts(counts, by, probabilities)
-        full = null_safe_join(null_safe_join(base, spread, by, "left"), quantiles, by, "left")
+        quantiles = quantiles_from_counts(value_counts(rows, by), by, probabilities, distinct=True)
+        full = null_safe_join(base, quantiles, by, "left").withColumn("unique_values", F.coalesce("unique_values", F.lit(0)))
     else:
-        sketch = rows.withColumn("n", F.lit(1)).groupBy(*by).agg(
-            *base_columns[:-1],
-            F.approx_count_distinct(v).alias("unique_values"),
-            F.stddev_samp(v).alias("standard_deviation"),
-            F.percentile_approx(v, [float(p) for p in probabilities], 10000).alias("__q"),
-        )
-        full = sketch.select(
-            "*",
-            *[F.col("__q")[i].alias(percentile_name(p)) for i, p in enumerate(probabilities)],
+        full = base.select(
+            "*", *[F.col("__q")[i].alias(percentile_name(p)) for i, p in enumerate(probabilities)]
         ).drop("__q")
     rows_total = F.col("count") + F.col("missing_count")
     full = full.withColumn(

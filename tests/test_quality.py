@@ -236,3 +236,18 @@ def test_catalogue(spark):
     assert got["Milk_Yield_L"] == ("L", "per cow per day", "OBSERVED") and got["Cow_ID"][2] == "IDENTIFIER"
     assert got["Glucose_mmol"][0] == "mmol/L" and got["Rectal_Temp_F"] == ("°F", "per observation", "DIRECTLY_MEASURED")
     assert by(catalogue.classify_targets(df).collect(), "variable")[("gapCP",)]["domain"] == "protein"
+
+
+def test_quantiles_with_an_outlier_and_a_hot_value(spark):
+    import numpy as np
+
+    values = [float(i % 997) / 7 for i in range(4000)] + [5.0] * 3000 + [1e15, -1e300]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0), ("c", None), (None, 2.0), (None, 4.0)], "g string, v double")
+    found = by(summary.numeric_summary(df, "v", ["g"]).collect(), "g")
+    row = found[("a",)]
+    for p in (1, 5, 25, 50, 75, 95, 99):
+        assert abs(row[f"p{p:02d}"] - np.percentile(values, p)) < 1e-9
+    assert row["unique_values"] == len(set(values)) and row["count"] == len(values)
+    assert found[("b",)]["p50"] == 1.0 and found[("b",)]["standard_deviation"] is None
+    assert found[("c",)]["p50"] is None and found[("c",)]["unique_values"] == 0 and found[("c",)]["missing_count"] == 1
+    assert found[(None,)]["median"] == 3.0

@@ -7,6 +7,7 @@ model is one persistable ``PipelineModel`` of JVM stages.
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -411,35 +412,48 @@ def cross_fitted(
     seed: int = 42,
     facts: Mapping[int, Facts] | None = None,
     carry: Sequence[str] = (),
+    fits: list[DataFrame] | None = None,
 ) -> DataFrame:
-    """(key, fold, prediction) where each row's model never saw its fold."""
+    """(key, fold, prediction) where each row's model never saw its fold.
+
+    With ``fits`` the tables that the models are fitted on are recorded there as
+    (model, key), and the result names the model of each row, for ``fold_audit``.
+    """
     out = None
     output = "predicted_label" if classification else PREDICTION
     facts = facts or learn_facts(rows, features, None if classification else label, fold, folds)
     for i in range(1, folds + 1):
+        train = rows.filter(F.col(fold) != i)
+        if fits is not None:
+            fits.append(train.select(F.lit(i).alias("model"), key))
         fitted = fit_candidate(
-            rows.filter(F.col(fold) != i), prepared_for(candidate, features), label, candidate, key, classification, seed,
+            train, prepared_for(candidate, features), label, candidate, key, classification, seed,
             facts=facts[i],
         )
         part = fitted.predict(rows.filter(F.col(fold) == i)).select(
-            key, F.col(fold).cast("int").alias(fold), *carry, F.col(output)
+            key, F.col(fold).cast("int").alias(fold), *carry, F.col(output), *([] if fits is None else [F.lit(i).alias("model")])
         )
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def fold_audit(rows: DataFrame, predictions: DataFrame, key: str, fold: str) -> DataFrame:
-    """Per fold, rows fitted on, rows predicted, and predicted rows that were fitted on."""
-    sizes = rows.groupBy(fold).agg(F.count(F.lit(1)).alias("heldout_rows"))
-    total = sizes.agg(F.sum("heldout_rows")).scalar()
-    given = predictions.groupBy(fold).agg(
+def fold_audit(rows: DataFrame, predictions: DataFrame, fits: Sequence[DataFrame], key: str, fold: str) -> DataFrame:
+    """Per fold, rows its model was fitted on, rows predicted, and predicted rows that the model was fitted on.
+
+    ``predictions`` and ``fits`` come from ``cross_fitted``: the audit joins what
+    each model predicted with what it was given.
+    """
+    given_rows = fits[0]
+    for more in fits[1:]:
+        given_rows = given_rows.unionByName(more)
+    sizes = rows.groupBy(F.col(fold).cast("int").alias(fold)).agg(F.count(F.lit(1)).alias("heldout_rows"))
+    fitted = given_rows.groupBy(F.col("model").alias(fold)).agg(F.count(F.lit(1)).alias("fit_rows"))
+    predicted = predictions.groupBy(fold).agg(
         F.count(F.lit(1)).alias("predicted_rows"), F.countDistinct(key).alias("distinct_rows")
     )
-    moved = predictions.alias("p").join(rows.select(key, F.col(fold).alias("__own")), key).groupBy(fold).agg(
-        F.count_if(F.col(fold) != F.col("__own")).alias("heldout_rows_in_fit")
-    )
-    return sizes.join(given, fold).join(moved, fold).select(
-        fold, (total - F.col("heldout_rows")).alias("fit_rows"), "heldout_rows", "predicted_rows", "distinct_rows", "heldout_rows_in_fit"
+    leaks = predictions.join(given_rows, ["model", key], "left_semi").groupBy(fold).agg(F.count(F.lit(1)).alias("leaks"))
+    return sizes.join(fitted, fold).join(predicted, fold).join(leaks, fold, "left").select(
+        fold, "fit_rows", "heldout_rows", "predicted_rows", "distinct_rows", F.coalesce("leaks", F.lit(0)).cast("bigint").alias("heldout_rows_in_fit")
     )
 
 
@@ -449,29 +463,55 @@ def confidence(predicted: DataFrame, label: str) -> DataFrame:
     return scores.confidence_report(predicted.withColumn("__p", top), "__p", label, "predicted_label")
 
 
+def _macro_f1(predicted: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """(keys, score): the mean F1 over all classes that are labels or predictions."""
+    counts = predicted.groupBy(*keys, F.col(label).cast("string").alias("__is"), F.col("predicted_label").alias("__said")).agg(
+        F.count(F.lit(1)).alias("__n")
+    )
+    sides = F.array(
+        F.struct(F.col("__is").alias("class"), F.col("__n").alias("n"), F.when(F.col("__is") == F.col("__said"), F.col("__n")).otherwise(0).alias("hit")),
+        F.struct(F.col("__said").alias("class"), F.col("__n").alias("n"), F.lit(0).cast("bigint").alias("hit")),
+    )
+    per_class = counts.select(*keys, F.explode(sides).alias("c")).groupBy(*keys, "c.class").agg(
+        (2.0 * F.sum("c.hit") / F.sum("c.n")).alias("__f1")
+    )
+    return per_class.groupBy(*keys).agg(F.avg("__f1").alias("score"))
+
+
 def permutation_importance(
     fitted: Fitted, rows: DataFrame, features: Features, label: str, key: str,
-    repeats: int = 5, sample_rows: int | None = None, seed: int = 42,
+    repeats: int = 5, sample_rows: int | None = None, seed: int = 42, scoring: str = "error",
 ) -> DataFrame:
-    """Rise of the mean absolute error when one feature is shuffled.
+    """What shuffling one feature costs: the rise of the mean absolute error, or the fall of macro F1.
 
-    A shuffle is a join of two hash orders of the same rows: the row at one
-    position takes the value found at that position in another order.
+    Rows are put into one hash order. A shuffle gives each row the feature of the
+    row a seeded number of places further on, which is a permutation without
+    fixed rows. All features and repeats are scored in one job.
     """
     base = fixed_sample(rows, key, sample_rows, seed) if sample_rows else rows
-    base = base.select(key, label, *features.names).persist(StorageLevel.MEMORY_AND_DISK)
-    error = F.avg(F.abs(F.col(label) - F.col(PREDICTION)))
-    plain = fitted.predict(base).agg(error.alias("e")).first()["e"]
-    positions = ranked(base, [], key, f"{seed}-own").select(key, "stratum_rank")
-    results = []
-    for name in features.names:
-        for r in range(repeats):
-            donors = ranked(base, [], key, f"{seed}-{name}-{r}").select(F.col(key).alias("__d"), "stratum_rank")
-            given = donors.join(base.select(F.col(key).alias("__d"), F.col(name).alias("__v")), "__d").select("stratum_rank", "__v")
-            moved = base.join(positions, key).join(given, "stratum_rank").withColumn(name, F.col("__v")).drop("__v", "stratum_rank")
-            results.append((name, r, fitted.predict(moved).agg(error.alias("e")).first()["e"] - plain))
-    base.unpersist()
-    table = rows.sparkSession.createDataFrame(results, "feature string, repeat int, increase double")
+    base = base.select(key, label, *features.names)
+    names, total = list(features.names), base.count()
+    if total < 2:
+        raise ValueError("a shuffle needs two rows")
+    draw = random.Random(seed)
+    shifts = [(n, r, draw.randrange(1, total)) for n in names for r in range(repeats)] + [("", 0, 0)]
+    placed = ranked(base, [], key, f"{seed}-own").select(key, (F.col("stratum_rank") - 1).alias("__at")).join(base, key)
+    cases = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(r).alias("repeat"), F.lit(k).cast("bigint").alias("shift")) for n, r, k in shifts])
+    asked = placed.withColumn("__case", F.explode(cases)).withColumn("__from", (F.col("__at") + F.col("__case.shift")) % total)
+    donors = placed.select(F.col("__at").alias("__from"), F.struct(*names).alias("__donor"))
+    changed = {n: F.when(F.col("__case.feature") == n, F.col(f"__donor.{n}")).otherwise(F.col(n)) for n in names}
+    moved = asked.join(donors, "__from").withColumns(changed).select(key, label, *names, "__case.feature", "__case.repeat")
+    predicted = fitted.predict(moved)
+    if scoring == "macro_f1":
+        scored = _macro_f1(predicted, ["feature", "repeat"], label).withColumn("score", -F.col("score"))
+    else:
+        scored = predicted.groupBy("feature", "repeat").agg(F.avg(F.abs(F.col(label) - F.col(PREDICTION))).alias("score"))
+    # One row for each feature and repeat.
+    found = scored.collect()
+    plain = next(r["score"] for r in found if r["feature"] == "")
+    table = rows.sparkSession.createDataFrame(
+        [(r["feature"], r["repeat"], r["score"] - plain) for r in found if r["feature"]], "feature string, repeat int, increase double"
+    )
     return table.groupBy("feature").agg(
         F.avg("increase").alias("importance_mean"), F.stddev_pop("increase").alias("importance_standard_deviation")
     )

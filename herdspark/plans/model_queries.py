@@ -43,13 +43,14 @@ def order_facts(spark, sf_dir):
     return lines.join(orders, "id")
 
 
-# Parts of a training table: many passes go over it, and the seeds of tree ensembles follow its parts,
-# so their number depends neither on the table nor on the machine.
-FIT_PARTS = 32
-
-
 def dealt(rows):
-    return rows.repartition(FIT_PARTS, "id").sortWithinPartitions("id")
+    """A training table in as many parts as the session's shuffles have.
+
+    Many passes go over it, and the seeds of tree ensembles follow its parts, so
+    their number is a setting and does not follow the size of the table.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "id").sortWithinPartitions("id")
 
 
 def tagged_facts(spark, sf_dir):
@@ -172,11 +173,14 @@ def cross_fitted_predictions(spark, sf_dir):
 
 @query(
     "cross_fit_audit",
-    f"""WITH {FOLDED} SELECT training_fold, (SELECT count(*) FROM folded) - count(*) AS fit_rows, count(*) AS heldout_rows, count(*) AS predicted_rows, count(*) AS distinct_rows, 0::BIGINT AS heldout_rows_in_fit FROM folded GROUP BY 1""",
+    f"""WITH {FOLDED} SELECT training_fold, (SELECT count(*) FROM folded o WHERE o.training_fold <> f.training_fold) AS fit_rows, count(*) AS heldout_rows, count(*) AS predicted_rows, count(DISTINCT id) AS distinct_rows,
+        (SELECT count(*) FROM folded a JOIN folded b USING (id) WHERE a.training_fold = f.training_fold AND b.training_fold <> f.training_fold) AS heldout_rows_in_fit FROM folded f GROUP BY 1""",
 )
 def cross_fit_audit(spark, sf_dir):
     rows = _folded(spark, sf_dir)
-    return m.fold_audit(rows, m.cross_fitted(rows, ONE, "price", LINEAR, "id", "training_fold", 5), "id", "training_fold")
+    fits = []
+    predictions = m.cross_fitted(rows, ONE, "price", LINEAR, "id", "training_fold", 5, fits=fits)
+    return m.fold_audit(rows, predictions, fits, "id", "training_fold")
 
 
 CUSTOMER_GROUPS = f"""{FACTS}, g AS (SELECT customer, count(*) AS rows FROM rows GROUP BY 1),
@@ -272,7 +276,15 @@ def unknown_category_smoke(spark, sf_dir):
 def permutation_importance(spark, sf_dir):
     rows = tagged_facts(spark, sf_dir)
     fitted = m.fit_candidate(_part(rows, "train"), ALL, "price", LINEAR)
-    return m.permutation_importance(fitted, _part(rows, "validation"), ALL, "price", "id", repeats=1)
+    return m.permutation_importance(fitted, _part(rows, "validation"), ALL, "price", "id", repeats=3)
+
+
+@query("classifier_importance")
+def classifier_importance(spark, sf_dir):
+    rows = tagged_facts(spark, sf_dir)
+    tree = m.Candidate("tree", "tree", {"depth": 4, "leaf": 20})
+    fitted = m.fit_candidate(_part(rows, "train"), ALL, "flag", tree, "id", classification=True)
+    return m.permutation_importance(fitted, _part(rows, "validation"), ALL, "flag", "id", repeats=3, scoring="macro_f1")
 
 
 @query("classifier_confidence")

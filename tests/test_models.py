@@ -99,11 +99,21 @@ def test_candidates_and_cross_fitting(spark, rows):
     assert scored["l_dummy_most_frequent"]["predicted_class_count"] == 1 and scored["t"]["accuracy"] > 0.8 and scored["b"]["accuracy"] > 0.8
     assert scored["l_logistic_c1"]["macro_f1"] > scored["l_dummy_stratified"]["macro_f1"]
     folded = rows.withColumn("f", F.col("id") % 4 + 1)
-    predicted = m.cross_fitted(folded, FEATURES, "y", LINEAR, "id", "f", 4)
-    audit = m.fold_audit(folded, predicted, "id", "f").collect()
+    fits = []
+    predicted = m.cross_fitted(folded, FEATURES, "y", LINEAR, "id", "f", 4, fits=fits)
+    audit = m.fold_audit(folded, predicted, fits, "id", "f").collect()
     assert [r["heldout_rows"] for r in audit] == [50] * 4 and all(r["heldout_rows_in_fit"] == 0 and r["fit_rows"] == 150 for r in audit)
 
 
+def test_fold_audit_finds_a_leak(spark, rows):
+    folded = rows.withColumn("f", F.col("id") % 4 + 1)
+    fits = []
+    predicted = m.cross_fitted(folded, FEATURES, "y", LINEAR, "id", "f", 4, fits=fits)
+    fits[1] = fits[1].unionAll(folded.filter("f = 2").limit(3).select(F.lit(2), "id"))
+    found = {r["f"]: (r["fit_rows"], r["heldout_rows_in_fit"]) for r in m.fold_audit(folded, predicted, fits, "id", "f").collect()}
+    assert found == {1: (150, 0), 2: (153, 3), 3: (150, 0), 4: (150, 0)}
+
+
 def test_confidence_importance_and_reload(spark, rows, tmp_path):
     tree = m.fit_candidate(rows, FEATURES, "label", m.Candidate("t", "tree", {"depth": 3, "leaf": 1}), "id", classification=True)
     audit = m.confidence(tree.predict(rows), "label").first()
@@ -111,6 +121,8 @@ def test_confidence_importance_and_reload(spark, rows, tmp_path):
     fitted = m.fit_candidate(rows, FEATURES, "y", LINEAR)
     found = {r["feature"]: r["importance_mean"] for r in m.permutation_importance(fitted, rows, FEATURES, "y", "id", 2).collect()}
     assert found["x"] > 5 * abs(found["c"])
+    classes = {r["feature"]: r["importance_mean"] for r in m.permutation_importance(tree, rows, FEATURES, "label", "id", 2, scoring="macro_f1").collect()}
+    assert set(classes) == set(found) and max(classes.values()) > 0.05
     check = m.reload_check(fitted, rows, "id", str(tmp_path / "model")).first()
     assert check["identical"] and check["rows"] == 200
     assert m.unknown_category_check(fitted, rows, "c").first()["non_finite"] == 0

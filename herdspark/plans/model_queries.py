@@ -122,25 +122,10 @@ def dummy_classifiers(spark, sf_dir):
     return rounded(found.select("configuration_id", "rows", "accuracy"), 6)
 
 
-SMALL_REGRESSORS = [
-    *m.regression_candidates("price")[:3],
-    m.Candidate("price_decision_tree", "tree", {"depth": 5, "leaf": 20}),
-    m.Candidate("price_random_forest", "forest", {"trees": 10, "depth": 5, "leaf": 5, "subset": "0.8"}),
-    m.Candidate("price_boosted_trees", "boosted", {"rounds": 5, "step": 0.08, "depth": 4}),
-]
-SMALL_CLASSIFIERS = [
-    *m.classifier_candidates("flag")[:2],
-    m.Candidate("flag_logistic", "logistic", {"c": 1.0, "rounds": 30}, linear=True),
-    m.Candidate("flag_decision_tree", "tree", {"depth": 5, "leaf": 20}),
-    m.Candidate("flag_random_forest", "forest", {"trees": 10, "depth": 5, "leaf": 5, "subset": "sqrt"}),
-    m.Candidate("flag_boosted_trees", "boosted", {"rounds": 3, "step": 0.08, "depth": 3}),
-]
-
-
 @query("regression_candidates")
 def regression_candidates(spark, sf_dir):
     rows = tagged_facts(spark, sf_dir)
-    found, _ = m.evaluate_candidates(_part(rows, "train"), _part(rows, "validation"), ALL, "price", SMALL_REGRESSORS, "id")
+    found, _ = m.evaluate_candidates(_part(rows, "train"), _part(rows, "validation"), ALL, "price", m.regression_candidates("price"), "id")
     return found
 
 
@@ -148,7 +133,7 @@ def regression_candidates(spark, sf_dir):
 def classification_candidates(spark, sf_dir):
     rows = tagged_facts(spark, sf_dir)
     found, _ = m.evaluate_candidates(
-        _part(rows, "train"), _part(rows, "validation"), ALL, "flag", SMALL_CLASSIFIERS, "id", ["A", "N", "R"]
+        _part(rows, "train"), _part(rows, "validation"), ALL, "flag", m.classifier_candidates("flag"), "id", ["A", "N", "R"]
     )
     return found
 
@@ -320,32 +305,26 @@ def feature_ablation(spark, sf_dir):
 @query("locked_experiment")
 def locked_experiment(spark, sf_dir):
     path = f"{_work_folder(spark)}/lock"
-    return experiments.regression_experiment(tagged_facts(spark, sf_dir), ALL, "price", "id", SMALL_REGRESSORS[:4], path)
+    return experiments.regression_experiment(tagged_facts(spark, sf_dir), ALL, "price", "id", m.regression_candidates("price"), path)
 
 
 @query("label_and_amount_designs")
 def label_and_amount_designs(spark, sf_dir):
     rows = tagged_facts(spark, sf_dir)
-    folds = splits.training_folds(rows, "priority", "id", 3).select("id", "training_fold")
+    folds = splits.training_folds(rows, "priority", "id").select("id", "training_fold")
     rows = rows.join(folds, "id", "left")
-    tree = m.Candidate("tree", "tree", {"depth": 4, "leaf": 20})
-    return experiments.label_and_amount_experiment(rows, ALL, "flag", "price", "id", "training_fold", 3, tree, LINEAR)
+    chosen = {c.algorithm: c for c in [*m.classifier_candidates("flag"), *m.regression_candidates("price")[2:3]]}
+    return experiments.label_and_amount_experiment(rows, ALL, "flag", "price", "id", "training_fold", 5, chosen["forest"], chosen["ridge"])
 
 
 @query("first_generation_regression")
 def first_generation_regression(spark, sf_dir):
-    chosen = [m.Candidate("dummy_mean", "mean", baseline="mean"), m.Candidate("random_forest", "forest", {"trees": 10, "depth": 6, "leaf": 1, "subset": "all"})]
-    rows = order_facts(spark, sf_dir)
-    return experiments.first_generation_regression(rows, "price", "id", ["quantity", "lines", "priority", "customer id"], candidates=chosen)
+    return experiments.first_generation_regression(order_facts(spark, sf_dir), "price", "id", ["quantity", "lines", "priority", "customer id"])
 
 
 @query("first_generation_classification")
 def first_generation_classification(spark, sf_dir):
-    chosen = [
-        m.Candidate("dummy_most_frequent", "most_frequent", baseline="most_frequent"),
-        m.Candidate("random_forest", "forest", {"trees": 10, "depth": 6, "leaf": 1, "subset": "sqrt"}),
-    ]
-    return experiments.first_generation_classification(order_facts(spark, sf_dir), "flag", "id", m.Features(("priority",), ("quantity", "lines")), chosen)
+    return experiments.first_generation_classification(order_facts(spark, sf_dir), "flag", "id", m.Features(("priority",), ("quantity", "lines")))
 
 
 @query("joined_grouped_experiment")

@@ -404,9 +404,15 @@ def class_members(df: DataFrame, column: str, classes: Mapping[str, Sequence[str
     )
 
 
-def spelling_groups(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """values that differ only by case, blanks or punctuation, as rows."""
-    counts = cell_counts(df, columns).filter(F.when(F.col("value").isNotNull(), F.col("n")) > 0)
+def spelling_groups(df: DataFrame, columns: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
+    """values that differ only by case, blanks or punctuation, as rows.
+
+    ``counts`` may be the cell counts of more columns. The filter reads ``n``, so
+    it stays above the counts and their shuffle is shared.
+    """
+    counts = cell_counts(df, columns) if counts is None else counts
+    wanted = F.col("value").isNotNull() & F.col("column").isin(*columns)
+    counts = counts.filter(F.when(wanted, F.col("n")) > 0)
     keyed = counts.withColumn("compare_key", compare_key(F.col("value")))
     # A count per key joined back, so that no window holds one key's spellings.
     several = keyed.groupBy("column", "compare_key").agg(F.count(F.lit(1)).alias("spellings")).filter("spellings > 1")

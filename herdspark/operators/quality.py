@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from herdspark.functions.text import looked_up
 from herdspark.functions.values import is_number, is_text, number_of
+from herdspark.operators.catalogue import leakage_classes
 from herdspark.operators.profile import cell_counts, spelling_groups
 from herdspark.operators.relations import duplicate_rows
 
@@ -176,9 +177,49 @@ def constancy_checks(df: DataFrame, columns: Sequence[str] | None = None, counts
     )
 
 
-def spelling_checks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def missing_checks(counts: DataFrame) -> DataFrame:
+    """F25 as a check: missing cells per column, from cell counts."""
+    rows = counts.groupBy("column").agg(
+        F.sum("n").alias("total_rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("affected_rows")
+    )
+    return _checked(rows, "Missing values", "Null, NaN or a text that stands for none.")
+
+
+def identifier_checks(counts: DataFrame, identifiers: Sequence[str]) -> DataFrame:
+    """F13 as a check: rows that repeat an identifier, from cell counts."""
+    known = F.col("value").isNotNull() & F.col("column").isin(*identifiers)
+    rows = counts.groupBy("column").agg(
+        F.sum("n").alias("total_rows"), F.coalesce(F.sum(F.when(known, F.col("n") - 1)), F.lit(0)).alias("affected_rows")
+    )
+    return _checked(rows.filter(F.col("column").isin(*identifiers)), "Repeated identifiers", "Rows beyond the first of each identifier.")
+
+
+def _checked(rows: DataFrame, issue: str, evidence: str) -> DataFrame:
+    return _finish(
+        rows.select(
+            "column", "total_rows", "affected_rows", F.lit(issue).alias("issue"), F.lit(None).cast("string").alias("status"),
+            F.lit("WARNING").alias("severity"), F.lit(evidence).alias("evidence"),
+        )
+    )
+
+
+def leakage_checks(df: DataFrame, dataset: str, targets: Sequence[str]) -> DataFrame:
+    """F29 as check rows: columns of the table that may give a target away."""
+    spark = df.sparkSession
+    columns = spark.createDataFrame([(dataset, c) for c in df.columns], "dataset string, column string")
+    wanted = spark.createDataFrame([(dataset, t) for t in targets], "dataset string, target string")
+    found = leakage_classes(columns, wanted).filter("classification in ('DEFINITE_LEAKAGE', 'POSSIBLE_LEAKAGE')")
+    none = F.lit(None)
+    return found.select(
+        F.concat(F.lit("Leakage towards "), "target").alias("issue"), "column", F.lit("FLAGGED").alias("status"),
+        F.when(F.col("classification") == "DEFINITE_LEAKAGE", "ERROR").otherwise("WARNING").alias("severity"),
+        none.cast("bigint").alias("affected_rows"), none.cast("double").alias("percentage"), F.col("reason").alias("evidence"),
+    )
+
+
+def spelling_checks(df: DataFrame, columns: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
     """F20 as a check: the number of spelling groups per text column."""
-    groups = spelling_groups(df, columns).select("column", "compare_key").distinct()
+    groups = spelling_groups(df, columns, counts).select("column", "compare_key").distinct()
     found = groups.groupBy("column").agg(F.count(F.lit(1)).alias("affected_rows"))
     all_columns = df.agg(F.count(F.lit(1)).alias("total_rows")).select(
         "total_rows", F.explode(F.array(*[F.lit(c) for c in columns])).alias("column")
@@ -204,23 +245,31 @@ def duplicate_check(df: DataFrame) -> DataFrame:
     )
 
 
-def table_audit(df: DataFrame, rules: Sequence[Rule], unclear: Sequence[tuple[str, str]] = ()) -> DataFrame:
+def table_audit(
+    df: DataFrame, rules: Sequence[Rule], unclear: Sequence[tuple[str, str]] = (),
+    identifiers: Sequence[str] = (), dataset: str = "table", targets: Sequence[str] = (),
+) -> DataFrame:
     """all checks of one table as (section, issue, column, …) rows.
 
-    The constancy and spelling sections share the count table's shuffle.
+    The constancy, missing, identifier and spelling sections read one table of
+    cell counts and share its shuffle.
     """
     text = [c for c in df.columns if is_text(df, c)]
+    counts = cell_counts(df, df.columns)
     parts = [
         ("duplicates", duplicate_check(df)),
         ("rules", rule_checks(df, rules, unclear)),
-        ("constancy", constancy_checks(df)),
+        ("constancy", constancy_checks(df, counts=counts)),
+        ("missing", missing_checks(counts)),
     ]
+    if identifiers:
+        parts.append(("identifiers", identifier_checks(counts, identifiers)))
     if text:
-        parts.append(("spelling", spelling_checks(df, text)))
+        parts.append(("spelling", spelling_checks(df, text, counts)))
+    if targets:
+        parts.append(("leakage", leakage_checks(df, dataset, targets)))
     out = None
     for section, rows in parts:
         tagged = rows.select(F.lit(section).alias("section"), "*")
         out = tagged if out is None else out.unionByName(tagged)
     return out
-
-

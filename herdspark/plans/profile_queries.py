@@ -397,6 +397,12 @@ def constancy_checks(spark, sf_dir):
     return rounded(quality.constancy_checks(rows))
 
 
+LINE_COLUMNS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+)
+
+
 def _spelling_sql(column: str) -> str:
     groups = f"(SELECT count(*) FROM (SELECT regexp_replace(lower({column}), '[^a-z0-9]+', '', 'g') AS k FROM lineitem GROUP BY k HAVING count(DISTINCT {column}) > 1))"
     return f"""SELECT 'spelling' AS section, 'Inconsistent categorical spelling' AS issue, '{column}' AS "column", CASE WHEN {groups} > 0 THEN 'FLAGGED' ELSE 'PASS' END AS status,
@@ -412,10 +418,16 @@ def _spelling_sql(column: str) -> str:
         UNION ALL SELECT 'rules', * FROM ({RULES_SQL})
         UNION ALL SELECT 'constancy', 'Extremely high-cardinality categorical column', 'l_shipdate', 'FLAGGED', 'WARNING', count(DISTINCT l_shipdate),
           round(count(DISTINCT l_shipdate) * 100.0 / count(*), 4), 'Counted over all rows.' FROM lineitem HAVING count(DISTINCT l_shipdate) > greatest(1000, floor(count(*) * 0.2))
-        UNION ALL {_spelling_sql('l_returnflag')} UNION ALL {_spelling_sql('l_linestatus')}""",
+        UNION ALL {_spelling_sql('l_returnflag')} UNION ALL {_spelling_sql('l_linestatus')}
+        UNION ALL SELECT 'missing', 'Missing values', c, CASE WHEN k > 0 THEN 'FLAGGED' ELSE 'PASS' END, 'WARNING', k, round(k * 100.0 / rows, 4), 'Null, NaN or a text that stands for none.'
+          FROM (SELECT unnest([{', '.join(f"'{c}'" for c in LINE_COLUMNS)}]) AS c, unnest([{', '.join(f"count(*) FILTER ({c} IS NULL)" for c in LINE_COLUMNS)}]) AS k FROM lineitem), n
+        UNION ALL SELECT 'identifiers', 'Repeated identifiers', 'l_orderkey', 'FLAGGED', 'WARNING', count(*) - count(DISTINCT l_orderkey), round((count(*) - count(DISTINCT l_orderkey)) * 100.0 / count(*), 4),
+          'Rows beyond the first of each identifier.' FROM lineitem
+        UNION ALL SELECT 'leakage', 'Leakage towards l_tax', 'l_tax', 'FLAGGED', 'ERROR', NULL, NULL, 'TARGET'""",
 )
 def whole_table_audit(spark, sf_dir):
-    return rounded(quality.table_audit(table(spark, sf_dir, "lineitem"), LINE_RULES, UNCLEAR))
+    rows = table(spark, sf_dir, "lineitem")
+    return rounded(quality.table_audit(rows, LINE_RULES, UNCLEAR, ["l_orderkey"], "lines", ["l_tax"]))
 
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")

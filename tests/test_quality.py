@@ -193,7 +193,11 @@ def test_rules_and_audit(spark):
     assert found[("Invalid parity",)]["status"] == "NOT_APPLICABLE" and ("Impossible young-age/parity combination",) not in found
     assert found[("Mixed or undocumented feed units",)]["status"] == "UNCLEAR"
     sections = {r["section"] for r in quality.table_audit(df.withColumn("t", F.lit("x")), quality.herd_rules()).collect()}
-    assert sections == {"duplicates", "rules", "constancy", "spelling"}
+    assert sections == {"duplicates", "rules", "constancy", "missing", "spelling"}
+    audit = quality.table_audit(df, quality.herd_rules(), identifiers=["Days_in_Milk"], targets=["Weight_kg"]).collect()
+    found = {(r["section"], r["column"]): r for r in audit if r["section"] in ("missing", "identifiers", "leakage")}
+    assert found[("missing", "Weight_kg")]["status"] == "PASS" and found[("identifiers", "Days_in_Milk")]["affected_rows"] == 0
+    assert found[("leakage", "Weight_kg")]["evidence"] == "TARGET"
 
 
 def test_spelling_and_lists(spark):

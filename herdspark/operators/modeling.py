@@ -47,6 +47,12 @@ from herdspark.operators.splits import fixed_sample, ranked
 from herdspark.operators.summary import long_values, quantiles_from_counts, value_counts
 
 PREDICTION = "prediction"
+#: One-hot values of all category features together; each becomes a column and a literal of the plan.
+MAX_CATEGORY_VALUES = 10_000
+
+
+class TooManyCategories(ValueError):
+    """One-hot features with more values than a plan can hold."""
 
 
 @dataclass(frozen=True)
@@ -150,7 +156,7 @@ def learn_facts(
     Cells are counted per fold once. The counts without each fold follow from
     them, so cross-validation reads the rows one time for all its folds. What
     comes to the driver is one row per feature, and per category of a one-hot
-    feature.
+    feature; more than ``MAX_CATEGORY_VALUES`` of these are refused.
     """
     held = [0] if fold is None else list(range(1, folds + 1))
     keep = [] if fold is None else [fold]
@@ -161,7 +167,11 @@ def learn_facts(
             train.select(*keep, F.explode(cells).alias("c")).filter("c.value is not null")
             .groupBy(*keep, F.col("c.column").alias("column"), F.col("c.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
         )
-        for r in _held_out(counts, fold, folds, ["column", "value"]).collect():
+        most = MAX_CATEGORY_VALUES * len(held)
+        rows = _held_out(counts, fold, folds, ["column", "value"]).limit(most + 1).collect()
+        if len(rows) > most:
+            raise TooManyCategories(f"{', '.join(features.categories)}: more than {MAX_CATEGORY_VALUES} values; hash or group them first")
+        for r in rows:
             labels[r["heldout"]][r["column"]].append((r["value"], r["n"]))
     numbers = [*features.numbers, *([label] if label else [])]
     found: dict[int, dict[str, object]] = {h: {} for h in held}

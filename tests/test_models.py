@@ -105,6 +105,12 @@ def test_candidates_and_cross_fitting(spark, rows):
     assert [r["heldout_rows"] for r in audit] == [50] * 4 and all(r["heldout_rows_in_fit"] == 0 and r["fit_rows"] == 150 for r in audit)
 
 
+def test_too_many_categories_are_refused(rows, monkeypatch):
+    monkeypatch.setattr(m, "MAX_CATEGORY_VALUES", 1)
+    with pytest.raises(m.TooManyCategories):
+        m.learn_facts(rows, FEATURES)
+
+
 def test_fold_audit_finds_a_leak(spark, rows):
     folded = rows.withColumn("f", F.col("id") % 4 + 1)
     fits = []

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from herdspark.functions.values import finite_or_null, number_of
+from herdspark.operators.latest import numbered
 from herdspark.operators.summary import numeric_summary
 
 SPLITS = (("train", 0.70), ("validation", 0.15), ("test", 0.15))
@@ -178,7 +179,9 @@ def group_assignments(
         F.when(F.col("stratum_rank") <= F.ceil(F.col("stratum_rows") * F.lit(holdout)), "holdout").otherwise("development"),
     )
     named = sizes.join(drawn.select(group, "partition", "stratum_rank"), group)
-    developing = _size_ranked(named.filter("partition = 'development'"), group)
+    # Position by size, largest first, ties by hash rank.
+    by_size = [F.desc("rows"), F.asc("stratum_rank")]
+    developing = numbered(named.filter("partition = 'development'"), by_size, "__pos")
     round_number = F.floor((F.col("__pos") - 1) / folds)
     step = (F.col("__pos") - 1) % folds
     fold = F.when(round_number % 2 == 0, step + 1).otherwise(F.lit(folds) - step)
@@ -186,23 +189,6 @@ def group_assignments(
     return named.join(dealt, group, "left").select(group, "rows", "partition", "group_fold")
 
 
-def _size_ranked(groups: DataFrame, group: str) -> DataFrame:
-    """Position of every group by size, largest first, ties by hash rank.
-
-    Counting per size first, and per (size, rank range) inside, keeps any one
-    task to a slice of the groups.
-    """
-    slice_rows = 65536
-    rows = groups.withColumn("__slice", F.floor(F.col("stratum_rank") / slice_rows)).withColumn("__neg", -F.col("rows"))
-    counts = rows.groupBy("__neg", "__slice").agg(F.count(F.lit(1)).alias("__n")).withColumn("__all", F.lit(1))
-    before = Window.partitionBy("__all").orderBy("__neg", "__slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n", "__all")
-    inside = Window.partitionBy("__neg", "__slice").orderBy("stratum_rank")
-    return rows.withColumn("__rn", F.row_number().over(inside)).join(starts, ["__neg", "__slice"]).withColumn(
-        "__pos", F.col("__start") + F.col("__rn")
-    )
-
-
 def apply_groups(df: DataFrame, assignments: DataFrame, group: str) -> DataFrame:
     """K7: every row with its group's partition and fold."""
     return df.join(assignments.select(group, "partition", "group_fold"), group)

@@ -489,6 +489,23 @@ def live_record_view(spark, sf_dir):
     return snapshot.live_view(spark, f"{folder}/view", "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", "value")
 
 
+@query(
+    "live_records_of_owner",
+    """SELECT user_id, event_id, event_type, owner FROM (SELECT *, 'owner' || event_id % 3 AS owner FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+       WHERE event_type <> 'error' AND owner = 'owner1'""",
+)
+def live_records_of_owner(spark, sf_dir):
+    folder = _work_folder(spark)
+    changes = event_stream(spark, sf_dir).select(
+        "user_id", "event_id", "ts", "event_type", F.concat(F.lit("owner"), (F.col("event_id") % 3).cast("string")).alias("owner"),
+        (F.col("event_type") == "error").alias("gone"),
+    )
+    snapshot.start_live_view(changes, f"{folder}/view", f"{folder}/progress", "user_id", "ts", "event_id").awaitTermination()
+    snapshot.compact_live_view(spark, f"{folder}/view", f"{folder}/compact", "user_id", "ts", "event_id")
+    found = snapshot.live_view(spark, f"{folder}/compact", "user_id", "ts", "event_id", "owner", "owner1", "gone")
+    return found.select("user_id", "event_id", "event_type", "owner")
+
+
 def stock_events(events):
     """Stock changes from the event table: the sender always saw a round quantity."""
     kind = F.col("event_type")

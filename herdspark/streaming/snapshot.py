@@ -40,17 +40,24 @@ def start_live_view(
 
 def live_view(
     spark: SparkSession, path: str, key: str, time: str, sequence: str,
-    owner_column: str | None = None, owner: str | None = None,
+    owner_column: str | None = None, owner: str | None = None, removed: str | None = None,
 ) -> DataFrame:
-    """L1: the current records, strictly of one owner if given."""
+    """L1: the current records, strictly of one owner if given.
+
+    ``removed`` names a boolean column of the changes: a record whose newest
+    version sets it is gone, as a listener that lists the collection anew no
+    longer shows it.
+    """
     stored = spark.read.parquet(f"{path}/batch_*")
     order = Window.partitionBy(key).orderBy(F.desc("__batch"), F.desc(time), F.desc(sequence))
     rows = stored.withColumn("__rn", F.row_number().over(order)).filter("__rn = 1").drop("__rn", "__batch")
+    if removed is not None:
+        rows = rows.filter(~F.coalesce(F.col(removed), F.lit(False))).drop(removed)
     return rows if owner is None else rows.filter(F.col(owner_column) == owner)
 
 
 def compact_live_view(spark: SparkSession, path: str, target: str, key: str, time: str, sequence: str) -> DataFrame:
-    """L1: rewrite the change batches as one, into a new folder."""
+    """L1: rewrite the change batches as one, into a new folder; removals stay, for later views to see them."""
     live_view(spark, path, key, time, sequence).withColumn("__batch", F.lit(0)).write.mode("errorifexists").parquet(
         f"{target}/batch_{0:012d}"
     )

@@ -25,8 +25,8 @@ from herdspark.functions.values import (
 # The reported percentiles.
 PERCENTILES = (0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99)
 # Buckets of distinct values per group are the square of this; they are found in two steps.
-CUT_STEP = 16
-CUT_ACCURACY = 2048
+CUT_STEP = 10
+CUT_ACCURACY = 512
 
 # Body-weight bands in kilograms.
 INF = float("inf")
@@ -104,12 +104,13 @@ def quantiles_from_counts(
         F.percentile_approx(value, shares, CUT_ACCURACY).alias("__cuts"), F.sum("n").alias("__total"),
         F.count(value).alias("__distinct"),
     )
-    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(value)))
-    coarse = F.array(*[F.get("__cuts", F.lit(CUT_STEP * i - 1)) for i in range(1, CUT_STEP)])
-    placed = null_safe_join(usable, bounds.withColumn("__coarse", coarse), keys).withColumn("__step", below(F.col("__coarse")))
-    placed = placed.withColumn(
-        "__bucket", F.col("__step") * CUT_STEP + below(F.slice("__cuts", F.col("__step") * CUT_STEP + 1, F.lit(CUT_STEP - 1)))
-    ).drop("__cuts", "__coarse", "__step")
+    # Plain comparisons with single cuts: first every tenth one, then those of its step.
+    below = lambda place: F.coalesce((F.get("__cuts", place) < F.col(value)).cast("int"), F.lit(0))
+    placed = null_safe_join(usable, bounds, keys)
+    coarse = sum((below(F.lit(CUT_STEP * i - 1)) for i in range(1, CUT_STEP)), F.lit(0))
+    placed = placed.withColumn("__first", coarse * CUT_STEP)
+    fine = sum((below(F.col("__first") + (i - 1)) for i in range(1, CUT_STEP)), F.lit(0))
+    placed = placed.withColumn("__bucket", F.col("__first") + fine).drop("__cuts", "__first")
     per_bucket = placed.groupBy(*keys, "__bucket").agg(
         F.sum("n").alias("__in_bucket"), F.first("__total").alias("__total")
     )

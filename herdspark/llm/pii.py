@@ -1,15 +1,17 @@
 """Personal data, and the terms that give it away.
 
 Mail addresses, network addresses, card numbers and phone numbers are found by
-their form. Each distinct value is a protected entity. Words near an entity's
-mentions are its terms; their co-occurrence over the whole corpus tells how much
-a term reveals: the pointwise mutual information of term and entity, as a share
-of the entity's own information content. A share of one means that whoever reads
-the term knows the entity even after the value itself is masked. Terms above the
-disclosure thresholds are generalised or removed.
-
-Terms count with every occurrence in the corpus. A term must be seen with the
-entity in several different surroundings, so copies of a text reveal nothing.
+their form. Each distinct value is a protected entity. The words of its documents
+are its terms; their co-occurrence over the whole corpus tells how much a term
+reveals: the pointwise mutual information of term and entity, as a share of the
+entity's own information content. A share of one means that whoever reads the
+term knows the entity even after the value itself is masked. Terms above the
+disclosure thresholds are generalised or removed: in all documents of the entity,
+wherever they stand, and those that reveal it by themselves in every document.
+
+Co-occurrence is counted over distinct documents, and over the words near the
+entity's mentions; the larger share counts. A term must be seen with the entity in
+several different documents or surroundings, so copies of a text reveal nothing.
 """
 
 from __future__ import annotations
@@ -30,11 +32,11 @@ from herdspark.session import cut_lineage
 KINDS = ("email", "ip", "card", "phone")
 #: Characters to either side of a mention in which terms are gathered.
 CONTEXT = 64
-#: Different surroundings in which a term must be seen with an entity.
+#: Different documents, or surroundings, in which a term must be seen with an entity.
 MIN_SUPPORT = 3
-#: Shares of the entity's information from which a term is generalised, and removed.
+#: Shares of the entity's information from which a term is generalised, and removed; a removed one reveals the entity by itself.
 GENERALISE, REMOVE = 0.85, 0.95
-#: Up to so many candidate terms are given to the tasks that count them; beyond, all words are counted.
+#: Up to so many terms are given to the tasks that count or mark them; beyond, all words are counted or joined.
 MAX_SHARED_TERMS = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -117,6 +119,19 @@ def nearby_terms(text: str, spans: list[tuple[int, int, int]], context: int = CO
             yield entity, around, term, a, b
 
 
+def words_outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the whole words that touch no value."""
+    at, done = 0, 0
+    values = sorted((a, b) for a, _, b in spans)
+    for m in _TERM.finditer(text):
+        start, end = m.span()
+        while at < len(values) and values[at][0] < end:
+            done = max(done, values[at][1])
+            at += 1
+        if start >= done:
+            yield m[0].translate(_FOLD), start, end
+
+
 _SPAN = "struct<start:bigint,kind:int,end:bigint>"
 _TERM_TYPE = "struct<entity:bigint,around:bigint,term:string,start:bigint,end:bigint>"
 #: Kinds of spans in the order in which those that start together are listed.
@@ -124,7 +139,7 @@ SPAN_KINDS = (*KINDS, "general", "removed")
 
 
 def mentions(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
-    """(doc_id, sha, spans, terms, row): the values of each whole text and the terms around them."""
+    """(doc_id, sha, spans, terms, entities, row): the values of each whole text and the terms around them."""
     source = docs.select("doc_id", F.sha2(bytes_of(), 256).alias("sha"), text_of().alias("text"))
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
     term = pa.struct([("entity", pa.int64()), ("around", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -132,17 +147,18 @@ def mentions(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, terms = [], []
+            spans, terms, entities = [], [], []
             for text in slices(batch.column(2), 64):
                 found = base_spans(text)
                 spans.append([dict(zip(names[0], s, strict=True)) for s in found])
                 terms.append([dict(zip(names[1], t, strict=True)) for t in nearby_terms(text, found, context)])
+                entities.append(sorted({entity_of(text, *s) for s in found}))
+            columns = [pa.array(spans, pa.list_(span)), pa.array(terms, pa.list_(term)), pa.array(entities, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(spans, pa.list_(span)), pa.array(terms, pa.list_(term))],
-                ["doc_id", "sha", "spans", "terms"],
+                [batch.column(0), batch.column(1), *columns], ["doc_id", "sha", "spans", "terms", "entities"]
             )
 
-    kinds = T.StructType.fromDDL(f"spans array<{_SPAN}>, terms array<{_TERM_TYPE}>")
+    kinds = T.StructType.fromDDL(f"spans array<{_SPAN}>, terms array<{_TERM_TYPE}>, entities array<bigint>")
     schema = T.StructType([*source.schema.fields[:2], *kinds.fields])
     return source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
@@ -183,7 +199,7 @@ def term_counts(docs: DataFrame, wanted: DataFrame, max_shared: int = MAX_SHARED
     return source.mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing_terms(
+def disclosing_near(
     docs: DataFrame, rows: DataFrame, min_support: int = MIN_SUPPORT, least: float = GENERALISE, max_shared: int = MAX_SHARED_TERMS
 ) -> DataFrame:
     """(entity, term, share) of the terms that reveal at least ``least`` of an entity's information.
@@ -208,16 +224,126 @@ def disclosing_terms(
     return found.filter(F.col("share") >= least).select("entity", "term", "share")
 
 
+def document_counts(docs: DataFrame, rows: DataFrame, size: DataFrame, texts: DataFrame) -> DataFrame:
+    """(entity, term, n): distinct documents with the term and, where the entity is not null, with both.
+
+    ``size`` names the entities that count. Whole texts are shuffled once, by
+    (sha, doc_id), to leave copies out; tasks add up what they count.
+    """
+    held = texts.select("sha", F.explode("entities").alias("entity")).join(size, "entity")
+    chosen = held.groupBy("sha").agg(F.collect_list("entity").alias("entities"))
+    one = texts.select(F.col("sha").alias("key"), F.col("one.doc_id").alias("mark")).join(chosen.withColumnRenamed("sha", "key"), "key", "left")
+    keyed = docs.select("doc_id", text_of().alias("text"), F.sha2(bytes_of(), 256).alias("sha"))
+    kept = keyed.join(one, (F.col("sha") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("mark")))
+    if not rows.groupBy("doc_id", "sha").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["sha"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[int | None, str]] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array([k[0] for k in counts], pa.int64()), pa.array([k[1] for k in counts], pa.string())]
+            columns.append(pa.array(list(counts.values()), pa.int64()))
+            counts.clear()
+            return pa.RecordBatch.from_arrays(columns, ["entity", "term", "n"])
+
+        for batch in batches:
+            for text, entities in zip(slices(batch.column(0), 64), slices(batch.column(1), 64), strict=True):
+                terms = {t for t, _, _ in words_outside(text, base_spans(text))}
+                for entity in (None, *(entities or ())):
+                    counts.update((entity, t) for t in terms)
+                    if len(counts) > 200_000:
+                        yield flush()
+        yield flush()
+
+    sums = kept.select("text", "entities").mapInArrow(run, "entity bigint, term string, n bigint")
+    return sums.groupBy("entity", "term").agg(F.sum("n").alias("n"))
+
+
+def disclosing_in_documents(docs: DataFrame, rows: DataFrame, min_support: int = MIN_SUPPORT, least: float = GENERALISE) -> DataFrame:
+    """(entity, term, share) of the terms that reveal an entity by the distinct documents they share with it.
+
+    Of N distinct documents n_e hold the entity, n_t the term and n_te both; the
+    share is that of ``disclosing_near``. As a term stands in no more documents of
+    an entity than there are, entities below the support are left out at once.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("one")
+    texts = cut_lineage(rows.groupBy("sha").agg(first, F.first("entities").alias("entities")))
+    held = texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    size = cut_lineage(held.filter(F.col("n_e") >= min_support))
+    if size.isEmpty():
+        return size.select("entity", F.lit("").alias("term"), F.lit(0.0).alias("share"))
+    counts = cut_lineage(document_counts(docs, rows, size.select("entity"), texts))
+    total = F.lit(float(texts.count()))
+    joint = counts.filter(F.col("entity").isNotNull() & (F.col("n") >= min_support)).withColumnRenamed("n", "n_te")
+    alone = counts.filter("entity is null").select("term", F.col("n").alias("n_t"))
+    gained = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    share = F.try_divide(gained, F.log2(total / F.col("n_e")))
+    found = joint.join(alone, "term").join(size, "entity").withColumn("share", share)
+    return found.filter(F.col("share") >= least).select("entity", "term", "share")
+
+
+def disclosing_terms(
+    docs: DataFrame, rows: DataFrame, min_support: int = MIN_SUPPORT, least: float = GENERALISE, max_shared: int = MAX_SHARED_TERMS
+) -> DataFrame:
+    """(entity, term, share) of the terms that reveal at least ``least`` of an entity's information, by either count."""
+    either = disclosing_near(docs, rows, min_support, least, max_shared).unionByName(
+        disclosing_in_documents(docs, rows, min_support, least)
+    )
+    return either.groupBy("entity", "term").agg(F.max("share").alias("share"))
+
+
+def occurrences(docs: DataFrame, telling: DataFrame, max_shared: int = MAX_SHARED_TERMS) -> DataFrame:
+    """(doc_id, sha, spans, entities, hits, row): the values of each whole text and the places of disclosing terms.
+
+    If these are many, the places of all words; the join with ``telling`` picks the same.
+    """
+    few = [r[0] for r in telling.select("term").distinct().limit(max_shared + 1).collect()]
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(few) if len(few) <= max_shared else None)
+    source = docs.select("doc_id", F.sha2(bytes_of(), 256).alias("sha"), text_of().alias("text"))
+    span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
+    hit = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+    names = [[f.name for f in kind] for kind in (span, hit)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = shared.value
+        for batch in batches:
+            spans, entities, hits = [], [], []
+            for text in slices(batch.column(2), 64):
+                found = base_spans(text)
+                spans.append([dict(zip(names[0], s, strict=True)) for s in found])
+                entities.append(sorted({entity_of(text, *s) for s in found}))
+                words = (w for w in words_outside(text, found) if chosen is None or w[0] in chosen)
+                hits.append([dict(zip(names[1], w, strict=True)) for w in words])
+            columns = [pa.array(spans, pa.list_(span)), pa.array(entities, pa.list_(pa.int64())), pa.array(hits, pa.list_(hit))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *columns], ["doc_id", "sha", "spans", "entities", "hits"]
+            )
+
+    kinds = T.StructType.fromDDL(f"spans array<{_SPAN}>, entities array<bigint>, hits array<struct<term:string,start:bigint,end:bigint>>")
+    schema = T.StructType([*source.schema.fields[:2], *kinds.fields])
+    return source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
+
+
 def all_spans(
     docs: DataFrame, context: int = CONTEXT, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE,
     remove: float = REMOVE, max_shared: int = MAX_SHARED_TERMS,
 ) -> DataFrame:
-    """(doc_id, sha, base, found): per document the spans found by form, and those with the disclosing terms."""
-    rows = cut_lineage(mentions(docs.select("doc_id", "text"), context))
-    telling = cut_lineage(disclosing_terms(docs, rows, min_support, generalise, max_shared))
-    near = rows.select("row", F.explode("terms").alias("x")).select("row", "x.entity", "x.term", "x.start", "x.end")
+    """(doc_id, sha, base, found): per document the spans found by form, and those with the disclosing terms.
+
+    A term is marked wherever it stands in the documents of its entity; from a
+    share of ``remove`` on in all documents.
+    """
+    source = docs.select("doc_id", "text")
+    rows = cut_lineage(mentions(source, context))
+    telling = cut_lineage(disclosing_terms(source, rows, min_support, generalise, max_shared))
+    if telling.isEmpty():
+        return rows.select("doc_id", "sha", F.col("spans").alias("base"), F.col("spans").alias("found"))
+    rows = cut_lineage(occurrences(source, telling, max_shared))
+    places = rows.select("row", "entities", F.explode("hits").alias("x")).select("row", "entities", "x.*")
+    own = (F.col("share") >= remove) | F.array_contains(F.col("entities"), F.col("entity"))
     kind = F.when(F.max("share") >= remove, len(KINDS) + 1).otherwise(len(KINDS))
-    terms = near.join(telling, ["entity", "term"]).groupBy("row", "start", "end").agg(kind.cast("int").alias("kind"))
+    terms = places.join(telling, "term").filter(own).groupBy("row", "start", "end").agg(kind.cast("int").alias("kind"))
     per_row = terms.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     more = F.coalesce("more", F.array().cast(f"array<{_SPAN}>"))
     return rows.join(per_row, "row", "left").select(

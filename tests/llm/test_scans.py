@@ -106,6 +106,24 @@ def test_terms_that_give_an_entity_away(spark):
     assert clean[10]["text"] == texts[10] and clean[0]["kind"] == "k"
 
 
+def test_terms_are_marked_wherever_they_give_the_entity_away(spark):
+    """Far from the value in its documents; and by itself where the value is not mentioned."""
+    rng = random.Random(3)
+    filler = ["lorem", "ipsum", "dolor", "sit", "amet", "elit"]
+    say = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    texts = [f"{say(30)} Zorro {say(40)} hidden.one@mail.example {say(40)} {'Fox' if i < 5 else ''} {say(5)} zorro" for i in range(6)]
+    texts += [f"{say(20)} Zorro {say(20)}"] + [f"{say(20)} fox {say(20)}" for _ in range(2)]
+    texts += [f"{say(40)}" for _ in range(400)] + ["copied words far away " + say(40) + " other@mail.example"] * 50
+    for shared in (pii.MAX_SHARED_TERMS, 0):
+        rows = pii.scan(frame(spark, enumerate(texts)), max_shared=shared).collect()
+        told = sorted((r["doc_id"], texts[r["doc_id"]][int(s[1]) : int(s[2])], s[0]) for r in rows for s in [x.split(":") for x in r["spans"].split(",")] if s[0] in ("general", "removed"))
+        # Fox stands in seven documents, five of them the entity's: it reveals less, and is masked only there.
+        want = [(i, w, "removed") for i in range(6) for w in ("Zorro", "zorro")] + [(6, "Zorro", "removed")] + [(i, "Fox", "general") for i in range(5)]
+        assert told == sorted(want)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(frame(spark, enumerate(texts))).collect()}
+    assert all("orro" not in t for t in clean.values()) and "fox" in clean[7]
+
+
 def test_words_cut_by_the_border_are_left_out():
     text = "abcdef ghi a@b.c jkl mnopqr"
     span = pii.base_spans(text)

@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,40 +164,54 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one task: document frequencies (null lang) and the n-gram counts of sampled texts."""
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, hash) of each text with a letter; and of the task the document frequencies (null lang)."""
     frequency = np.zeros(BUCKETS, np.int64)
     documents = 0
-    seen: set[tuple[int, str]] = set()
     names = ["lang", "hash", "documents", "at", "counts"]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
-    def record(*values) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
-
     for batch in batches:
-        rows = zip(slices(batch.column(0), 64), *(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)
-        for text, lang, key, sampled in rows:
+        rows = []
+        for row, text in enumerate(slices(batch.column(0), 64)):
             counts, lettered = gram_counts(text)
-            if not lettered:
+            if lettered:
+                frequency[np.flatnonzero(counts)] += 1
+                rows.append(row)
+        documents += len(rows)
+        taken = pa.array(rows, pa.int64())
+        empty = [pa.nulls(len(rows), k) for k in kinds[2:]]
+        yield pa.RecordBatch.from_arrays([batch.column(1).take(taken), batch.column(2).take(taken), *empty], names)
+    at = np.flatnonzero(frequency)
+    last = (None, 0, documents, at, frequency[at])
+    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(last, kinds, strict=True)], names)
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, hash, at, counts): the n-gram counts of each text with a letter, once in a task."""
+    seen: set[tuple[int, str]] = set()
+    kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    for batch in batches:
+        rows = zip(slices(batch.column(0), 64), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+        for text, lang, key in rows:
+            if (key, lang) in seen:
                 continue
-            at = np.flatnonzero(counts)
-            frequency[at] += 1
-            documents += 1
-            if sampled and (key, lang) not in seen:
+            counts, lettered = gram_counts(text)
+            if lettered:
                 seen.add((key, lang))
-                yield record(lang, key, 0, at, counts[at])
-    at = np.flatnonzero(frequency)
-    yield record(None, 0, documents, at, frequency[at])
+                at = np.flatnonzero(counts)
+                one = zip((lang, key, at, counts[at]), kinds, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in one], ["lang", "hash", "at", "counts"])
 
 
 def learn(docs: DataFrame, training: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """A model of the rows where ``training`` holds and text and lang are not null.
 
     The sample is the ``per_language`` distinct texts of each language with the
-    smallest hashes; so it is the same however the table is partitioned, and
-    copies count once. Its size, and that of the statistics brought to the
-    driver, do not grow with the table. Only text and lang are learned from.
+    smallest hashes among those with a letter; so it is the same however the
+    table is partitioned, and copies count once. Its size, and that of the
+    statistics brought to the driver, do not grow with the table. Only text and
+    lang are learned from.
     """
     rows = docs.filter(training & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
         F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
@@ -207,15 +221,9 @@ def learn(docs: DataFrame, training: Column, per_language: int = SAMPLE_PER_LANG
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not found:
         return Model([], np.ones(BUCKETS), np.zeros((BUCKETS + 1, 0)), 1.0)
-    # Three times as many texts as wanted are expected below the limit of each language.
-    limit = F.lit(False)
-    for lang, n in found:
-        share = min(1.0, 3 * per_language / n)
-        below = F.lit(int((2 * share - 1) * (1 << 63)) if share < 1 else (1 << 63) - 1)
-        limit = limit | ((F.col("lang") == lang) & (F.col("hash") <= below))
-    keyed = rows.withColumn("hash", F.xxhash64("text")).select("text", "lang", "hash", limit.alias("sampled"))
+    keyed = rows.withColumn("hash", F.xxhash64("text"))
     learned = cut_lineage(
-        keyed.mapInArrow(_learned, "lang string, hash bigint, documents bigint, at array<int>, counts array<bigint>")
+        keyed.mapInArrow(_frequencies, "lang string, hash bigint, documents bigint, at array<int>, counts array<bigint>")
     )
     sums = learned.filter("lang is null")
     total = sums.agg(F.sum("documents")).first()[0] or 0
@@ -224,13 +232,15 @@ def learn(docs: DataFrame, training: Column, per_language: int = SAMPLE_PER_LANG
         frequency[at] = n
     idf = np.log((1.0 + total) / (1.0 + frequency)) + 1.0
     unique = learned.filter("lang is not null").select("lang", "hash").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    least = unique.withColumn("place", place).filter(F.col("place") <= per_language)
+    edges = least.groupBy("lang").agg(F.max("hash").alias("edge")).collect()
     languages = [r[0] for r in sorted(found)]
-    chosen: list = []
-    for lang in languages:
-        edge = [r[0] for r in unique.filter(F.col("lang") == lang).orderBy("hash").limit(per_language).select("hash").collect()]
-        if edge:
-            texts = learned.filter((F.col("lang") == lang) & (F.col("hash") <= edge[-1])).dropDuplicates(["hash"])
-            chosen += texts.select("lang", "hash", "at", "counts").collect()
+    within = F.lit(False)
+    for lang, edge in edges:
+        within = within | ((F.col("lang") == lang) & (F.col("hash") <= edge))
+    texts = keyed.filter(within).mapInArrow(_sampled, "lang string, hash bigint, at array<int>, counts array<bigint>")
+    chosen = texts.dropDuplicates(["lang", "hash"]).collect()
     samples, labels, aside = [], [], []
     for lang, key, at, counts in sorted(chosen, key=lambda r: (r[0], r[1])):
         values = (1.0 + np.log(np.array(counts, float))) * idf[at]

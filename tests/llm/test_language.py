@@ -1,6 +1,7 @@
 """Language identification: held-out accuracy, training method, odd rows."""
 
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -78,3 +79,28 @@ def test_temperature():
     unsure = langid.calibrate(scores, np.array([0, 0, 1, 1]))
     assert sure < 1 < unsure
     assert abs(langid.softmax(np.array([4.0, 0.0]) / unsure)[0] - 0.75) < 0.01
+
+
+def test_copies_and_texts_without_letters_take_no_place_in_the_sample(spark, monkeypatch):
+    rng = random.Random(4)
+    hot = made(rng, "aa")
+    rows = [(i, hot, "aa") for i in range(3000)] + [(3000 + i, made(rng, "aa"), "aa") for i in range(40)]
+    rows += [(4000 + i, f"{i} 12 ?", "bb") for i in range(3000)] + [(7000 + i, made(rng, "bb"), "bb") for i in range(15)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(5)
+    taken = Counter()
+    train, calibrate = langid.train_ftrl, langid.calibrate
+
+    def training(samples, labels, classes):
+        taken.update(labels.tolist())
+        return train(samples, labels, classes)
+
+    def calibrating(scores, labels):
+        taken.update(labels.tolist())
+        return calibrate(scores, labels)
+
+    monkeypatch.setattr(langid, "train_ftrl", training)
+    monkeypatch.setattr(langid, "calibrate", calibrating)
+    model = langid.learn(df, df["doc_id"].isNotNull(), per_language=20)
+    assert model.languages == ["aa", "bb"] and taken == {0: 20, 1: 15}
+    texts = [made(rng, lang) for lang in ("aa", "bb") for _ in range(20)]
+    assert [model.predict(t)[0] for t in texts] == ["aa"] * 20 + ["bb"] * 20

@@ -29,7 +29,7 @@ from herdspark.session import cut_lineage
 
 TIERS = (1024, 512, 256, 128)
 END_ID = 0
-#: Tokens of one training step; every step has as many sequences of one tier as fit.
+#: Tokens of one training step at most; a step has sequences of one tier.
 STEP_TOKENS = 65_536
 CACHED_WORDS = 300_000
 SPECIAL = "<|endoftext|>"
@@ -174,16 +174,43 @@ def plan(counts: dict[int, int], tiers: tuple[int, ...] = TIERS) -> list[tuple[i
     return rows
 
 
-PLAN_SCHEMA = "p_length bigint, rank_from bigint, rank_to bigint, per_sequence bigint, sequence_from bigint, at bigint, tier int"
+def dealt_steps(rows: list[tuple[int, int, int, int, int, int, int]], step_tokens: int = STEP_TOKENS) -> list[tuple[int, ...]]:
+    """The plan's rows with (tier_from, tier_steps, first_step) added.
+
+    ``tier_from`` numbers the sequences within their tier, in plan order; the n-th
+    of a tier goes to step ``first_step + n % tier_steps``. Equal patterns are
+    neighbours in the plan, so the steps of a tier differ by at most one sequence,
+    and by at most one of each pattern. A tier has as few steps as hold its
+    sequences; steps are numbered from the longest tier to the shortest.
+    """
+    blocks = {first: (tier, (end - start) // per) for _, start, end, per, first, _, tier in rows}
+    sequences: dict[int, int] = {}
+    before = {}
+    for first, (tier, times) in sorted(blocks.items()):
+        before[first] = sequences.get(tier, 0)
+        sequences[tier] = before[first] + times
+    steps, first_step, used = {}, {}, 0
+    for tier in sorted(sequences, reverse=True):
+        steps[tier] = -(-sequences[tier] // max(1, step_tokens // tier))
+        first_step[tier] = used
+        used += steps[tier]
+    return [(*row, before[row[4]], steps[row[6]], first_step[row[6]]) for row in rows]
+
+
+PLAN_SCHEMA = (
+    "p_length bigint, rank_from bigint, rank_to bigint, per_sequence bigint, sequence_from bigint, at bigint, tier int, "
+    "tier_from bigint, tier_steps bigint, first_step bigint"
+)
 
 
 def pack(docs: DataFrame, tokenizer: tuple[str, str, str], tiers: tuple[int, ...] = TIERS) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, sequence_tokens, step_group).
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group).
 
     One row per piece; every document, an empty one too, has at least the end id.
     Sequences of the longest tier are padded to it, those of shorter tiers are
-    exactly full. Steps hold ``STEP_TOKENS`` tokens of one tier. Repeated rows
-    are packed each; an empty table gives no rows.
+    exactly full. A step group holds sequences of one tier, at most ``STEP_TOKENS``
+    tokens; the groups of a tier are even in size and in patterns of lengths.
+    Repeated rows are packed each; an empty table gives no rows.
     """
     spark = docs.sparkSession
     cut = cut_lineage(
@@ -193,7 +220,7 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str, str], tiers: tuple[int, ...
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    steps = spark.createDataFrame(plan(counts, tiers), PLAN_SCHEMA)
+    steps = spark.createDataFrame(dealt_steps(plan(counts, tiers)), PLAN_SCHEMA)
     inside = Window.partitionBy("length", "part").orderBy("place")
     ranked = (
         cut.withColumn("own", F.row_number().over(inside) - 1)
@@ -204,11 +231,11 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str, str], tiers: tuple[int, ...
     # At most a few rows for each length up to the longest window: a bounded table.
     here = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
     placed = ranked.join(F.broadcast(steps), here)
-    sequence = (F.col("sequence_from") + F.floor(nth / F.col("per_sequence"))).cast("bigint")
+    nth_sequence = F.floor(nth / F.col("per_sequence")).cast("bigint")
     return placed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-        sequence.alias("sequence_id"),
+        (F.col("sequence_from") + nth_sequence).alias("sequence_id"),
         (F.col("at") + F.pmod(nth, F.col("per_sequence")) * F.col("length")).alias("offset"),
         "tier",
-        F.floor(sequence / (F.lit(STEP_TOKENS) / F.col("tier"))).cast("bigint").alias("step_group"),
+        (F.col("first_step") + F.pmod(F.col("tier_from") + nth_sequence, F.col("tier_steps"))).alias("step_group"),
     )

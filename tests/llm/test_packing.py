@@ -97,3 +97,30 @@ def test_plan_places_every_piece_once():
                 assert at == end
                 end += size
             assert end == tier or (tier == 1024 and end < 1024)
+
+
+def test_step_groups_hold_one_tier_and_are_even(spark, tokenizer):
+    """More than a step's worth of sequences in two tiers, in two patterns each."""
+    word = "a"
+    assert ids_of(tokenizer, " ".join([word] * 9)) == ids_of(tokenizer, word)[:1] + ids_of(tokenizer, " a")[:1] * 8 + [0]
+    sizes = [1024] * 90 + [600, 424] * 60 + [512] * 150 + [300, 212] * 170
+    df = spark.createDataFrame([(i, " ".join([word] * (n - 1)), 1, 1, "x") for i, n in enumerate(sizes)], SCHEMA).repartition(3)
+    patterns, steps = {}, {}
+    for r in packing.pack(df, byte_bpe_50k()).collect():
+        patterns.setdefault((r["step_group"], r["tier"], r["sequence_id"]), []).append(r["length"])
+    for (step, tier, _), lengths in patterns.items():
+        steps.setdefault(step, []).append((tier, tuple(sorted(lengths))))
+    assert sorted(steps) == list(range(len(steps)))
+    by_tier = {}
+    for step, found in steps.items():
+        tiers = {tier for tier, _ in found}
+        assert len(tiers) == 1 and sum(tier for tier, _ in found) <= packing.STEP_TOKENS
+        by_tier.setdefault(tiers.pop(), []).append([pattern for _, pattern in found])
+    assert len(by_tier) >= 2 and all(len(by_tier[t]) >= 2 for t in (1024, 512))
+    for tier, groups in by_tier.items():
+        total = sum(map(len, groups))
+        assert len(groups) == -(-total // (packing.STEP_TOKENS // tier))
+        assert max(map(len, groups)) - min(map(len, groups)) <= 1
+        for pattern in {p for g in groups for p in g}:
+            counts = [g.count(pattern) for g in groups]
+            assert max(counts) - min(counts) <= 1

@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -231,14 +231,13 @@ def learn(docs: DataFrame, training: Column, per_language: int = SAMPLE_PER_LANG
     for at, n in sums.select(F.explode(F.arrays_zip("at", "counts")).alias("x")).groupBy("x.at").agg(F.sum("x.counts")).collect():
         frequency[at] = n
     idf = np.log((1.0 + total) / (1.0 + frequency)) + 1.0
-    unique = learned.filter("lang is not null").select("lang", "hash").distinct()
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
-    least = unique.withColumn("place", place).filter(F.col("place") <= per_language)
-    edges = least.groupBy("lang").agg(F.max("hash").alias("edge")).collect()
+    unique = cut_lineage(learned.filter("lang is not null").select("lang", "hash").distinct())
     languages = [r[0] for r in sorted(found)]
     within = F.lit(False)
-    for lang, edge in edges:
-        within = within | ((F.col("lang") == lang) & (F.col("hash") <= edge))
+    for lang in languages:
+        least = [r[0] for r in unique.filter(F.col("lang") == lang).orderBy("hash").limit(per_language).select("hash").collect()]
+        if least:
+            within = within | ((F.col("lang") == lang) & (F.col("hash") <= least[-1]))
     texts = keyed.filter(within).mapInArrow(_sampled, "lang string, hash bigint, at array<int>, counts array<bigint>")
     chosen = texts.dropDuplicates(["lang", "hash"]).collect()
     samples, labels, aside = [], [], []

@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdspark.llm import block_dedup, decontaminate, langid, licenses, packing, pii, secret_scan, sharding, simhash, url_filter
+from herdspark.llm import (
+    block_dedup,
+    decontaminate,
+    langid,
+    licenses,
+    packing,
+    pii,
+    secret_scan,
+    sharding,
+    simhash,
+    token_cache,
+    url_filter,
+)
 from herdspark.llm.registry import query
 from herdspark.plans.registry import table
 
@@ -98,3 +110,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run begins with an empty cache, so its figures hold every distinct text."""
+    return token_cache.token_counts(table(spark, sf_dir, "documents"), byte_bpe_50k())

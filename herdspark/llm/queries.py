@@ -16,6 +16,7 @@ from herdspark.llm import (
     secret_scan,
     sharding,
     simhash,
+    spelling,
     token_cache,
     url_filter,
 )
@@ -116,3 +117,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each run begins with an empty cache, so its figures hold every distinct text."""
     return token_cache.token_counts(table(spark, sf_dir, "documents"), byte_bpe_50k())
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))

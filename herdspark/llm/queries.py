@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from herdspark.llm import (
     block_dedup,
+    conversations,
     decontaminate,
     langid,
     licenses,
@@ -122,3 +123,8 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_spelling_variants")
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(table(spark, sf_dir, "conversations"))

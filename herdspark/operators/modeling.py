@@ -1,8 +1,9 @@
 """Preprocessing, candidate models, cross-fitting, importance and batch scoring.
 
-All learning runs on MLlib. Imputation values, scales and dummy predictions are
-a handful of aggregates that become ``SQLTransformer`` stages, so every fitted
-model is one persistable ``PipelineModel`` of JVM stages.
+Linear models, trees and forests learn on MLlib, boosted trees in ``boosting``.
+Imputation values, scales and dummy predictions are a handful of aggregates that
+become ``SQLTransformer`` stages, so every fitted model is one persistable
+``PipelineModel``.
 """
 
 from __future__ import annotations
@@ -15,9 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LogisticRegression,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import (
@@ -31,7 +30,6 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
-    GBTRegressor,
     LinearRegression,
     RandomForestRegressor,
 )
@@ -40,8 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from herdspark.functions.values import interval_label
+from herdspark.operators import boosting, rules
 from herdspark.operators import metrics as scores
-from herdspark.operators import rules
 from herdspark.operators.latest import largest_groups
 from herdspark.operators.splits import fixed_sample, ranked
 from herdspark.operators.summary import long_values, quantiles_from_counts, value_counts
@@ -51,6 +49,10 @@ PREDICTION = "prediction"
 MAX_CATEGORY_VALUES = 10_000
 
 
+#: Classes of a label; each is a row on the driver and a tree of a boosting round.
+MAX_CLASSES = 1_000
+
+
 class TooManyCategories(ValueError):
     """One-hot features with more values than a plan can hold."""
 
@@ -103,7 +105,7 @@ def regression_candidates(prefix: str, small: bool = False) -> list[Candidate]:
         Candidate(f"{prefix}_ridge", "ridge", {"alpha": 1.0}, linear=True),
         Candidate(f"{prefix}_decision_tree", "tree", {"depth": 14, "leaf": 20}),
         Candidate(f"{prefix}_random_forest", "forest", {"trees": 60, "depth": 18, "leaf": 5, "subset": "0.8"}),
-        Candidate(f"{prefix}_boosted_trees", "boosted", {"rounds": 100, "step": 0.08, "depth": 5}),
+        Candidate(f"{prefix}_boosted_trees", "boosted", {"rounds": 100, "step": 0.08, "leaves": 31, "l2": 0.1}),
     ]
 
 
@@ -115,7 +117,7 @@ def classifier_candidates(prefix: str) -> list[Candidate]:
         Candidate(f"{prefix}_logistic_c1", "logistic", {"c": 1.0, "rounds": 300}, linear=True),
         Candidate(f"{prefix}_decision_tree", "tree", {"depth": 14, "leaf": 20}),
         Candidate(f"{prefix}_random_forest", "forest", {"trees": 60, "depth": 18, "leaf": 5, "subset": "sqrt"}),
-        Candidate(f"{prefix}_boosted_trees", "boosted", {"rounds": 80, "step": 0.08, "depth": 5}),
+        Candidate(f"{prefix}_boosted_trees", "boosted", {"rounds": 80, "step": 0.08, "leaves": 31, "l2": 0.1}),
     ]
 
 
@@ -269,14 +271,16 @@ def _regressor(train: DataFrame, label: str, candidate: Candidate, seed: int, fa
             featureSubsetStrategy=p["subset"], seed=seed, **FOREST, **common
         ).fit(train)
     if candidate.algorithm == "boosted":
-        return GBTRegressor(maxIter=p["rounds"], stepSize=p["step"], maxDepth=p["depth"], seed=seed, **common).fit(train)
+        return boosting.fit(train, label, boosting.Settings(**p))
     raise ValueError(f"unknown regressor {candidate.algorithm}")
 
 
 def _classifier(train: DataFrame, label: str, key: str, candidate: Candidate, seed: int, weight: str | None) -> PipelineModel:
     p = candidate.parameters
     if candidate.algorithm in ("most_frequent", "stratified"):
-        counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
+        counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+        if len(counts) > MAX_CLASSES:
+            raise TooManyCategories(f"{label}: more than {MAX_CLASSES} classes")
         counts = sorted(((r[label], r["n"]) for r in counts), key=lambda x: (-x[1], x[0]))
         if candidate.algorithm == "most_frequent":
             expression = _sql_text(counts[0][0])
@@ -290,6 +294,8 @@ def _classifier(train: DataFrame, label: str, key: str, candidate: Candidate, se
             expression = expression.replace("__u", f"({unit})")
         return PipelineModel([SQLTransformer(statement=f"select *, {expression} as predicted_label from __THIS__")])
     indexer = StringIndexer(inputCol=label, outputCol="__label", handleInvalid="error", stringOrderType="alphabetAsc").fit(train)
+    if len(indexer.labels) > MAX_CLASSES:
+        raise TooManyCategories(f"{label}: more than {MAX_CLASSES} classes")
     rows = indexer.transform(train)
     common = {"featuresCol": "features", "labelCol": "__label", "predictionCol": PREDICTION}
     if weight:
@@ -308,8 +314,7 @@ def _classifier(train: DataFrame, label: str, key: str, candidate: Candidate, se
             featureSubsetStrategy=p["subset"], seed=seed, **FOREST, **common
         ).fit(rows)
     elif candidate.algorithm == "boosted":
-        binary = GBTClassifier(maxIter=p["rounds"], stepSize=p["step"], maxDepth=p["depth"], seed=seed)
-        model = OneVsRest(classifier=binary, **common).fit(rows)
+        model = boosting.fit(rows, "__label", boosting.Settings(**p), len(indexer.labels), weight=weight)
     else:
         raise ValueError(f"unknown classifier {candidate.algorithm}")
     named = IndexToString(inputCol=PREDICTION, outputCol="predicted_label", labels=list(indexer.labels))

@@ -166,7 +166,7 @@ def first_generation_regression(
     chosen = candidates or [
         m.Candidate("dummy_mean", "mean", baseline="mean"),
         m.Candidate("random_forest", "forest", {"trees": 80, "depth": 14, "leaf": 1, "subset": "all"}),
-        m.Candidate("boosted_trees", "boosted", {"rounds": 120, "step": 0.08, "depth": 5}),
+        m.Candidate("boosted_trees", "boosted", {"rounds": 120, "step": 0.08, "leaves": 31}),
     ]
     table, _ = m.evaluate_candidates(
         tagged.filter("split = 'train'").drop("split"), tagged.filter("split = 'test'").drop("split"), features, label, chosen, key

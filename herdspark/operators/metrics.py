@@ -113,7 +113,8 @@ def regression_metrics(
     )
     constant = F.when(F.col("__sse") == 0, 1.0).otherwise(0.0)
     sums = sums.withColumn("r2", F.coalesce(F.lit(1.0) - F.col("__unexplained"), constant))
-    errors = value_counts(rows.select(*by, F.abs(e).alias("value")), by)
+    # Nearly every error is distinct, so errors are not counted by value first.
+    errors = rows.select(*by, F.abs(e).alias("value"), F.lit(1).cast("bigint").alias("n"))
     median = quantiles_from_counts(errors, by, (0.5,)).withColumnRenamed("p50", "median_absolute_error")
     return null_safe_join(sums, median, by).select(*keys, "rows", *REGRESSION_METRICS)
 

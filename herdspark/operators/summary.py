@@ -1,10 +1,9 @@
 """Numeric summaries, bands, grouping-set reports, quantiles and fences.
 
-Exact quantiles never gather a group in one task. Values are counted first
-(partial aggregation absorbs hot values), the distinct values are placed in
-buckets cut at approximate quantiles of themselves, the small bucket table
-gives every bucket its starting rank, and only the few buckets that hold a
-wanted rank are ordered. An outlier widens no bucket.
+Exact quantiles never gather or order the values of a group. Values are counted
+by the leading bits of a form that orders like them (partial aggregation absorbs
+hot values); the bucket that holds a wanted rank is refined by the next bits
+until they are used up. An outlier widens no bucket.
 """
 
 from __future__ import annotations
@@ -24,9 +23,9 @@ from herdspark.functions.values import (
 
 # The reported percentiles.
 PERCENTILES = (0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99)
-# Buckets of distinct values per group are the square of this; they are found in two steps.
-CUT_STEP = 10
-CUT_ACCURACY = 512
+# Bits of a value's ordered form that one step of a quantile search looks at.
+DIGITS = (22, 21, 21)
+LEAST_NORMAL = 2.0**-1022
 
 # Body-weight bands in kilograms.
 INF = float("inf")
@@ -84,69 +83,92 @@ def counted(value: str = "value") -> Column:
     return F.when(F.col(value).isNotNull(), F.col("n")) > 0
 
 
+def ordered_bits(value: Column) -> Column:
+    """A 64-bit integer for a double that orders like it: sign, exponent and fraction.
+
+    Infinities and NaN, which counts as largest, come last; both zeros are equal.
+    """
+    odd = F.isnan(value) | (F.abs(value) == INF)
+    size = F.when(odd, F.lit(1.0)).otherwise(F.abs(value))
+    guess = F.floor(F.log2(F.greatest(size, F.lit(LEAST_NORMAL))))
+    fraction = size / F.pow(F.lit(2.0), guess)
+    # The logarithm may be off by one next to a power of two.
+    low, high = fraction < 1, fraction >= 2
+    exponent = guess + F.when(low, -1).when(high, 1).otherwise(0)
+    fraction = F.when(low, fraction * 2).when(high, fraction / 2).otherwise(fraction)
+    bits = (exponent + 1023).cast("bigint") * F.lit(1 << 52) + F.floor((fraction - 1) * float(1 << 52)).cast("bigint")
+    # Below the least normal number the fraction counts steps of 2**-1074.
+    tiny = F.floor(size * 2.0**537 * 2.0**537).cast("bigint")
+    bits = F.when(size < LEAST_NORMAL, tiny).otherwise(bits)
+    bits = F.when(F.isnan(value), F.lit((1 << 63) - 1)).when(odd, F.lit(2047 << 52)).otherwise(bits)
+    return F.when(value < 0, -bits).otherwise(bits)
+
+
+def _in_bucket(rank: Column) -> Column:
+    return (rank["rank"] >= F.col("__start")) & (rank["rank"] < F.col("__start") + F.col("__n"))
+
+
+def _rank_in_bucket(rank: Column) -> Column:
+    return F.struct(rank["slot"].alias("slot"), (rank["rank"] - F.col("__start")).alias("rank"))
+
+
 def quantiles_from_counts(
     counts: DataFrame,
     keys: Sequence[str],
     probabilities: Sequence[float],
     value: str = "value",
     distinct: bool = False,
+    digits: Sequence[int] = DIGITS,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles, and on request the distinct values, per key from (key, value, n) rows.
 
-    Values are put into buckets cut at approximate quantiles of the distinct
-    values, so a bucket holds a small share of them whatever their spread; the
-    bucket sizes give starting ranks, and only buckets with a wanted rank are ordered.
+    A wanted rank is found digit by digit. Values are counted by the first bits of
+    their ordered form; the bucket that holds the rank is kept, its values are
+    counted by the next bits, and so on until the bits are used up. No values are
+    ordered: what is ordered is a table of counts of at most 2**bits rows, however
+    many values there are and however they are spread. Rows may repeat a value, so
+    plain rows with n = 1 will do where ``distinct`` is not asked for.
     """
     keys = list(keys)
-    usable = counts.filter(counted(value))
-    shares = [i / (CUT_STEP * CUT_STEP) for i in range(1, CUT_STEP * CUT_STEP)]
-    bounds = usable.groupBy(*keys).agg(
-        F.percentile_approx(value, shares, CUT_ACCURACY).alias("__cuts"), F.sum("n").alias("__total"),
-        F.count(value).alias("__distinct"),
-    )
-    # Plain comparisons with single cuts: first every tenth one, then those of its step.
-    below = lambda place: F.coalesce((F.get("__cuts", place) < F.col(value)).cast("int"), F.lit(0))
-    placed = null_safe_join(usable, bounds, keys)
-    coarse = sum((below(F.lit(CUT_STEP * i - 1)) for i in range(1, CUT_STEP)), F.lit(0))
-    placed = placed.withColumn("__first", coarse * CUT_STEP)
-    fine = sum((below(F.col("__first") + (i - 1)) for i in range(1, CUT_STEP)), F.lit(0))
-    placed = placed.withColumn("__bucket", F.col("__first") + fine).drop("__cuts", "__first")
-    per_bucket = placed.groupBy(*keys, "__bucket").agg(
-        F.sum("n").alias("__in_bucket"), F.first("__total").alias("__total")
-    )
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.withColumn("__start", F.coalesce(F.sum("__in_bucket").over(before), F.lit(0)))
-
-    def rank(p: float, upper: bool) -> Column:
-        position = F.lit(float(p)) * (F.col("__total") - 1)
-        return (F.ceil(position) if upper else F.floor(position)).cast("bigint")
-
-    def holds(start: Column, size: Column, p: float, upper: bool) -> Column:
-        wanted = rank(p, upper)
-        return (start <= wanted) & (wanted < start + size)
-
-    wanted = F.lit(False)
-    for p in probabilities:
-        for upper in (False, True):
-            wanted = wanted | holds(F.col("__start"), F.col("__in_bucket"), p, upper)
-    needed = offsets.filter(wanted).select(*keys, "__bucket", "__start")
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = null_safe_join(placed, needed, [*keys, "__bucket"]).withColumn(
-        "__from", F.col("__start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    )
-    picks: list[Column] = [F.max("__total").alias("__total"), F.max("__distinct").alias("unique_values")]
-    for p in probabilities:
-        for upper in (False, True):
-            hit = holds(F.col("__from"), F.col("n"), p, upper)
-            picks.append(F.max(F.when(hit, F.col(value))).alias(f"__{percentile_name(p)}_{int(upper)}"))
-    found = ranked.groupBy(*keys).agg(*picks)
+    number = F.col(value).cast("double")
+    usable = counts.filter(counted(value)).select(*keys, F.col(value).alias("__value"), "n", ordered_bits(number).alias("__bits"))
+    slots = [(p, upper) for p in probabilities for upper in (False, True)]
+    rows, shift, by = usable, 64, keys
+    for step, bits in enumerate(digits):
+        shift -= bits
+        prefix = F.shiftright("__bits", shift) if shift else F.col("__bits")
+        carried = [] if step == 0 else ["__ranks", "__total", "__distinct"]
+        found = rows.groupBy(*by, *carried, prefix.alias("__next")).agg(
+            F.sum("n").alias("__n"), F.max("__value").alias("__value"), *([F.count(F.lit(1)).alias("__seen")] if step == 0 else [])
+        )
+        before = Window.partitionBy(*by).orderBy("__next").rowsBetween(Window.unboundedPreceding, -1)
+        found = found.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        if step == 0:
+            group = Window.partitionBy(*by)
+            found = found.withColumns({"__total": F.sum("__n").over(group), "__distinct": F.sum("__seen").over(group)})
+            places = [F.lit(float(p)) * (F.col("__total") - 1) for p, _ in slots]
+            ranks = [(F.ceil(at) if upper else F.floor(at)).cast("bigint") for at, (_, upper) in zip(places, slots, strict=True)]
+            found = found.withColumn(
+                "__ranks", F.array(*[F.struct(F.lit(i).alias("slot"), rank.alias("rank")) for i, rank in enumerate(ranks)])
+            )
+        found = found.withColumn("__here", F.transform(F.filter("__ranks", _in_bucket), _rank_in_bucket)).filter(F.size("__here") > 0)
+        found = found.select(*keys, F.col("__next").alias("__at"), F.col("__here").alias("__ranks"), "__total", "__distinct", "__value")
+        if shift:
+            by = [*keys, "__at"]
+            rows = null_safe_join(usable.withColumn("__at", prefix), found.drop("__value"), by)
+    picks = [F.max("__total").alias("__total"), F.max("__distinct").alias("unique_values")]
+    picked = found.select(*keys, "__total", "__distinct", "__value", F.explode("__ranks").alias("__rank"))
+    for i in range(len(slots)):
+        picks.append(F.max(F.when(F.col("__rank.slot") == i, F.col("__value"))).alias(f"__q{i}"))
+    picked = picked.groupBy(*keys).agg(*picks)
     out = []
-    for p in probabilities:
-        low = F.col(f"__{percentile_name(p)}_0")
-        high = F.col(f"__{percentile_name(p)}_1")
+    for i, p in enumerate(probabilities):
+        low, high = F.col(f"__q{2 * i}"), F.col(f"__q{2 * i + 1}")
         position = F.lit(float(p)) * (F.col("__total") - 1)
-        out.append((low + (high - low) * (position - F.floor(position))).alias(percentile_name(p)))
-    return found.select(*keys, *(["unique_values"] if distinct else []), *out)
+        # Equal neighbours are taken as they are: the difference of two infinities is no number.
+        between = F.when(low == high, low).otherwise(low + (high - low) * (position - F.floor(position)))
+        out.append(between.alias(percentile_name(p)))
+    return picked.select(*keys, *(["unique_values"] if distinct else []), *out)
 
 
 def numeric_summary(

@@ -2,32 +2,36 @@
 
 An event names the quantity and unit its sender saw. It is applied only if the
 item still has exactly these; what it then makes of them follows from the event
-alone. So results are computed as columns first, and resolving the order of
-events only has to compare and set.
+alone. So an event is a map of states: a valid ``set`` leads every state to one,
+a change leads the state it expects to its result, and whatever is left alone
+stays. After an event that applies, the next to apply is the next ``set`` or the
+next change that expects its result, so the events that apply form a chain, and
+chains are followed for whole tables of events at once by doubling pointers.
 
 In batch an item's events are cut into slices by sequence number. A slice is
-summed up as the map from each quantity its events expect to the quantity the
-slice would leave. Walking the slices needs only these maps, and then every
-slice is resolved on its own: one item with most of the events still spreads
-over many tasks.
+summed up as one map; maps are maps of states again, so neighbouring slices are
+summed up in turn, level by level, until an item has few enough. From the top
+the state before each slice is handed down the levels, and slices are resolved
+apart. No task walks an item: one with most of the events spreads over many.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from herdspark.functions.values import finite_or_null, stripped
 from herdspark.operators.rules import MAX_STOCK, STOCK_STEP, WHOLE_UNITS, adjusted_stock, stock_level
+from herdspark.session import cut_lineage
 
 EVENT_COLUMNS = ("item_id", "seq", "op", "amount", "unit", "expected_quantity", "threshold")
-OUTCOME = "item_id string, seq bigint, status string, error string, quantity double, unit string, threshold double"
 STATE = "quantity double, unit string"
-NOTHING = (None, None)
 
 
 def prepared(events: DataFrame) -> DataFrame:
@@ -52,56 +56,49 @@ def prepared(events: DataFrame) -> DataFrame:
     )
 
 
-def _number(value) -> float | None:
-    return None if value is None or value != value else float(value)
+CHANGES = ("decrease", "increase", "restock")
 
 
-def _text(value) -> str | None:
-    return None if value is None or value != value else value
+def _over_limit(quantity: Column, unit: str) -> Column:
+    """Would the change, taken from this quantity in this unit, pass the limit?"""
+    factor = F.when(F.col("op") == "decrease", 1 - STOCK_STEP).otherwise(1 + STOCK_STEP)
+    raw = F.when(F.col("op") == "restock", quantity + F.coalesce("amount", F.lit(0.0))).otherwise(quantity * factor)
+    places = F.when(F.lower(stripped(F.col(unit))).isin(*WHOLE_UNITS), 1.0).otherwise(100.0)
+    return F.floor((raw + 2.220446049250313e-16) * places + 0.5) / places > MAX_STOCK
 
 
-def _over_limit(quantity: float, op: str, amount: float | None, unit: str) -> bool:
-    """Would the change, taken from the quantity in stock, pass the limit?"""
-    if op == "restock":
-        raw = quantity + (amount or 0.0)
-    else:
-        raw = quantity * (1 - STOCK_STEP if op == "decrease" else 1 + STOCK_STEP)
-    places = 1.0 if unit.strip().lower() in WHOLE_UNITS else 100.0
-    return math.floor((raw + 2.220446049250313e-16) * places + 0.5) / places > MAX_STOCK
-
-
-def step(state: tuple, event) -> tuple[tuple, str, str | None]:
-    """One event on one item's (quantity, unit): new state, status and error."""
-    op, problem = event.op, _text(event.problem)
-    if op == "set":
-        if problem:
-            return state, "rejected", problem
-        return (_number(event.result), event.unit), "updated", None
-    if op not in ("decrease", "increase", "restock"):
-        return state, "rejected", "UNKNOWN_OPERATION"
-    quantity, unit = state
-    if quantity is None:
-        return state, "rejected", "ITEM_UNKNOWN"
-    amount = _number(event.amount)
-    if op == "restock" and (amount is None or amount <= 0):
-        return state, "rejected", "AMOUNT_INVALID"
-    if _over_limit(quantity, op, amount, unit):
-        return state, "rejected", "ABOVE_MAXIMUM"
-    if quantity != _number(event.expected) or unit != event.unit:
-        return state, "stale", None
-    return (_number(event.result), unit), "updated", None
-
-
-OUTCOME_NAMES = [part.split()[0] for part in OUTCOME.split(", ")]
-
-
-def _resolved(events, state: tuple):
-    """Outcomes of ordered events from a starting state, and the state they leave."""
-    rows = []
-    for event in events:
-        state, status, error = step(state, event)
-        rows.append((event.item_id, event.seq, status, error, state[0], state[1], _number(event.threshold)))
-    return rows, state
+def _as_maps(rows: DataFrame) -> DataFrame:
+    """Prepared events as maps of states: ``kind`` (1 sets, 2 changes, 0 leaves all), state before and after."""
+    sets = (F.col("op") == "set") & F.col("problem").isNull()
+    fits = F.col("op").isin(*CHANGES) & F.col("expected").isNotNull() & ~_over_limit(F.col("expected"), "unit")
+    fits = fits & ((F.col("op") != "restock") | (F.coalesce("amount", F.lit(0.0)) > 0))
+    kind = F.when(sets, 1).when(F.coalesce(fits, F.lit(False)), 2).otherwise(0)
+    return rows.withColumn("kind", kind).withColumns(
+        {
+            "q0": F.when(F.col("kind") == 2, F.col("expected")), "u0": F.when(F.col("kind") == 2, F.col("unit")),
+            "q1": F.when(F.col("kind") > 0, F.col("result")), "u1": F.when(F.col("kind") > 0, F.col("unit")),
+        }
+    )
+
+
+def _outcomes(rows: DataFrame) -> DataFrame:
+    """Status, error and state of events whose ``state_quantity`` and ``state_unit`` they meet."""
+    known, op = F.col("state_quantity"), F.col("op")
+    # A change is rounded by the unit in stock.
+    over = _over_limit(known, "state_unit")
+    error = (
+        F.when(op == "set", F.col("problem")).when(~op.isin(*CHANGES) | op.isNull(), "UNKNOWN_OPERATION")
+        .when(known.isNull(), "ITEM_UNKNOWN").when((op == "restock") & ~F.coalesce(F.col("amount") > 0, F.lit(False)), "AMOUNT_INVALID")
+        .when(over, "ABOVE_MAXIMUM")
+    )
+    same = F.coalesce((known == F.col("expected")) & (F.col("state_unit") == F.col("unit")), F.lit(False)) | (op == "set")
+    status = F.when(F.col("error").isNotNull(), "rejected").when(same, "updated").otherwise("stale")
+    applied = F.col("status") == "updated"
+    rows = rows.withColumn("error", error).withColumn("status", status)
+    return rows.select(
+        "item_id", "seq", "status", "error", F.when(applied, F.col("result")).otherwise(known).alias("quantity"),
+        F.when(applied, F.col("unit")).otherwise(F.col("state_unit")).alias("unit"), "threshold",
+    )
 
 
 def _with_level(outcomes: DataFrame) -> DataFrame:
@@ -109,143 +106,238 @@ def _with_level(outcomes: DataFrame) -> DataFrame:
     return outcomes.withColumn("stock_level", level)
 
 
-# --- batch -----------------------------------------------------------------
-
+# --- chains ------------------------------------------------------------------
 
-MAP = "item_id string, slice bigint, is_rest boolean, q0 double, u0 string, q1 double, u1 string"
 
+class Chains:
+    """Which of many maps apply, for maps sorted by group and place.
 
-class _SliceMap:
-    """What a slice makes of each state its events expect, built from its end.
-
-    ``rest`` is what becomes of any other state: a constant once a ``set`` was
-    met, else None for "stays as it is".
+    ``kind`` is 1 for a map that leads every state to (q1, u1), 2 for one that
+    leads (q0, u0) there, 0 for one that changes nothing. Maps of one place are
+    parts of one map: the next to apply after one of them has a later place.
     """
 
-    def __init__(self):
-        self.after: dict[tuple, tuple] = {}
-        self.rest: tuple | None = None
-
-    def leaves(self, state: tuple) -> tuple:
-        return self.after.get(state, state if self.rest is None else self.rest)
-
-    def prepend(self, event) -> None:
-        if event.op == "set":
-            if not _text(event.problem):
-                self.rest, self.after = self.leaves((_number(event.result), event.unit)), {}
-            return
-        expected = _number(event.expected)
-        if expected is not None:
-            before = (expected, event.unit)
-            new, status, _ = step(before, event)
-            if status == "updated":
-                self.after[before] = self.leaves(new)
-
-    def rows(self, key: tuple) -> list[tuple]:
-        out = [(*key, False, b[0], b[1], a[0], a[1]) for b, a in self.after.items()]
-        # A slice always has its rest row, so that the walk meets every slice.
-        rest = self.rest or NOTHING
-        return [*out, (*key, True, None, None, rest[0], rest[1])]
-
-
-def _slice_maps(batches: Iterator) -> Iterator:
-    """Maps of the slices; rows come sorted by item and slice, latest event first."""
-    import pandas as pd
-
-    names = [part.split()[0] for part in MAP.split(", ")]
-    key, current = None, _SliceMap()
+    def __init__(self, rows: pd.DataFrame, group: np.ndarray, starts: pd.DataFrame | None = None) -> None:
+        self.size, self.group = len(rows), group
+        kind = rows["kind"].to_numpy()
+        new = np.r_[True, (group[1:] != group[:-1])]
+        place = rows["place"].to_numpy()
+        self.place = np.cumsum(np.r_[True, new[1:] | (place[1:] != place[:-1])]) - 1
+        self.first = np.flatnonzero(new)  # row numbers
+        self.count = len(self.first)
+        number = np.cumsum(new) - 1
+        self.number = number
+        quantities = [rows["q0"], rows["q1"]] + ([] if starts is None else [starts["q"]])
+        units = [rows["u0"], rows["u1"]] + ([] if starts is None else [starts["u"]])
+        groups = [number, number] + ([] if starts is None else [np.arange(self.count)])
+        q = pd.factorize(np.concatenate([x.to_numpy(float) for x in quantities]), use_na_sentinel=False)[0].astype(np.int64)
+        u = pd.factorize(pd.concat(units, ignore_index=True), use_na_sentinel=False)[0].astype(np.int64)
+        state = (np.concatenate(groups) * (q.max() + 1) + q) * (u.max() + 1) + u if len(q) else q
+        state = np.unique(state, return_inverse=True)[1]
+        self.before, self.after = state[: self.size], state[self.size : 2 * self.size]
+        self.start = state[2 * self.size :]
+        self.span = int(self.place[-1]) + 2 if self.size else 1
+        points = np.flatnonzero(kind == 2)
+        keys = self.before[points] * self.span + self.place[points]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.points = keys[order], points[order]
+        self.sets = np.flatnonzero(kind == 1)
+        applies = self.following(self.after, self.place + 1, number)
+        self.next = np.where(kind > 0, applies, self.size)
+
+    def following(self, state: np.ndarray, place: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The first row of the group at or after a place that applies to the state; ``size`` if none."""
+        none = self.size
+        at = np.searchsorted(self.keys, state * self.span + place)
+        point = np.full(len(state), none)
+        there = at < len(self.keys)
+        hit = np.flatnonzero(there)[self.keys[at[there]] // self.span == state[there]]
+        point[hit] = self.points[at[hit]]
+        at = np.searchsorted(self.place[self.sets], place)
+        found = np.r_[self.sets, none][at]
+        found = np.where((found < none) & (np.r_[self.number, -1][found] == number), found, none)
+        # A set and a change never share a place, so the earlier row is the earlier place.
+        return np.minimum(point, found)
+
+    def ends(self) -> np.ndarray:
+        """The last row of the chain that begins with each row."""
+        end = np.where(self.next < self.size, self.next, np.arange(self.size))
+        while True:
+            further = end[end]
+            if (further == end).all():
+                return end
+            end = further
+
+    def on_chain(self, begin: np.ndarray) -> np.ndarray:
+        """The rows on the chains that begin with the given rows."""
+        mark = np.zeros(self.size + 1, bool)
+        mark[begin] = True
+        jump = np.r_[self.next, self.size]
+        while (jump[:-1] < self.size).any():
+            mark[jump[mark]] = True
+            jump = jump[jump]
+        mark[-1] = False
+        return mark[:-1]
+
+
+def _summed(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+    """The map of each group: one row that sets, or a row for each state that is led on, and one that changes nothing."""
+    chains = Chains(rows, group)
+    end = chains.ends()
+    q1, u1 = rows["q1"].to_numpy(), rows["u1"].to_numpy()
+    first = rows.iloc[chains.first]
+    # With a valid set in it, a group leads every state to the same one.
+    setting = np.full(chains.count, -1)
+    setting[chains.number[chains.sets[::-1]]] = chains.sets[::-1]
+    sets = setting >= 0
+    last = end[setting[sets]]
+    out = [pd.DataFrame({"item_id": first["item_id"].to_numpy()[sets], "place": first["node"].to_numpy()[sets], "kind": 1,
+                         "q0": np.nan, "u0": None, "q1": q1[last], "u1": u1[last]})]
+    points = chains.points[np.r_[True, chains.before[chains.points[1:]] != chains.before[chains.points[:-1]]]] if len(chains.points) else chains.points
+    points = points[~sets[chains.number[points]]]
+    last = end[points]
+    out.append(pd.DataFrame({"item_id": rows["item_id"].to_numpy()[points], "place": rows["node"].to_numpy()[points], "kind": 2,
+                             "q0": rows["q0"].to_numpy()[points], "u0": rows["u0"].to_numpy()[points], "q1": q1[last], "u1": u1[last]}))
+    out.append(pd.DataFrame({"item_id": first["item_id"].to_numpy()[~sets], "place": first["node"].to_numpy()[~sets], "kind": 0,
+                             "q0": np.nan, "u0": None, "q1": np.nan, "u1": None}))
+    return pd.concat(out, ignore_index=True)
+
+
+def _states(rows: pd.DataFrame, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(quantity, unit) that each row meets, from the group's ``start_quantity`` and ``start_unit``."""
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    starts = pd.DataFrame({"q": rows["start_quantity"].to_numpy()[first], "u": rows["start_unit"].to_numpy()[first]})
+    chains = Chains(rows, group, starts)
+    begin = chains.following(chains.start, chains.place[first], np.arange(chains.count))
+    applied = chains.on_chain(begin[begin < chains.size])
+    # The last applied row of an earlier place.
+    latest = np.maximum.accumulate(np.where(applied, np.arange(chains.size), -1))
+    opens = np.r_[True, chains.place[1:] != chains.place[:-1]]
+    before = np.maximum.accumulate(np.where(opens, np.arange(chains.size), 0)) - 1
+    latest = np.where(before >= 0, latest[before], -1)
+    own = latest >= first[chains.number]
+    q = np.where(own, rows["q1"].to_numpy(float)[latest], starts["q"].to_numpy(float)[chains.number])
+    u = np.where(own, rows["u1"].to_numpy(object)[latest], starts["u"].to_numpy(object)[chains.number])
+    return q, u
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted rows as tables of whole groups (item_id, node), with group numbers."""
+    held: list[pd.DataFrame] = []
+
+    def numbered(parts: list[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray]:
+        rows = pd.concat(parts, ignore_index=True)
+        item, node = rows["item_id"].to_numpy(), rows["node"].to_numpy()
+        new = (item[1:] != item[:-1]) | (node[1:] != node[:-1])
+        return rows, np.cumsum(np.r_[False, new])
+
     for batch in batches:
-        done: list[tuple] = []
-        for event in batch.itertuples(index=False):
-            if (event.item_id, event.slice) != key:
-                if key is not None:
-                    done += current.rows(key)
-                key, current = (event.item_id, event.slice), _SliceMap()
-            current.prepend(event)
-        yield pd.DataFrame(done, columns=names)
-    if key is not None:
-        yield pd.DataFrame(current.rows(key), columns=names)
-
-
-def _slice_starts(batches: Iterator) -> Iterator:
-    """The state at the start of each slice; rows come sorted by item and slice.
-
-    Only the current slice's map is held.
-    """
-    import pandas as pd
+        if not len(batch):
+            continue
+        last = (batch["item_id"] == batch["item_id"].iloc[-1]) & (batch["node"] == batch["node"].iloc[-1])
+        if last.all() and held and (held[0]["item_id"].iloc[-1], held[0]["node"].iloc[-1]) == (batch["item_id"].iloc[-1], batch["node"].iloc[-1]):
+            held.append(batch)
+            continue
+        done = [*held, batch[~last]]
+        if any(len(d) for d in done):
+            yield numbered(done)
+        held = [batch[last]]
+    if held:
+        yield numbered(held)
 
-    item, current, state = None, None, NOTHING
-    table: dict[tuple, tuple] = {}
-    rest = None
 
-    def finished() -> tuple:
-        return table.get(state, state if rest is None else rest)
+# --- batch -----------------------------------------------------------------
 
-    for batch in batches:
-        starts = []
-        for row in batch.itertuples(index=False):
-            if row.item_id != item:
-                item, current, state, table, rest = row.item_id, None, NOTHING, {}, None
-            if row.slice != current:
-                if current is not None:
-                    state = finished()
-                current, table, rest = row.slice, {}, None
-                starts.append((item, int(current), state[0], state[1]))
-            target = (_number(row.q1), _text(row.u1))
-            if not row.is_rest:
-                table[(_number(row.q0), _text(row.u0))] = target
-            elif target != NOTHING:
-                rest = target
-        yield pd.DataFrame(starts, columns=["item_id", "slice", "start_quantity", "start_unit"])
-
-
-def _slice_outcomes(batches: Iterator) -> Iterator:
-    """Outcomes of the events; rows come sorted by item, slice and sequence number."""
-    import pandas as pd
-
-    key, state = None, NOTHING
-    for batch in batches:
-        rows = []
-        for event in batch.itertuples(index=False):
-            if (event.item_id, event.slice) != key:
-                key = (event.item_id, event.slice)
-                state = (_number(event.start_quantity), _text(event.start_unit))
-            found, state = _resolved([event], state)
-            rows += found
-        yield pd.DataFrame(rows, columns=OUTCOME_NAMES)
 
+MAP = "item_id string, place bigint, kind int, q0 double, u0 string, q1 double, u1 string"
+#: Neighbouring slices that are summed up together.
+FAN = 64
+
+
+def _sum_up(rows: DataFrame) -> DataFrame:
+    """One map per (item_id, node), as rows placed by node."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table, group in _whole_groups(batches):
+            yield _summed(table, group)
 
-def ledger(events: DataFrame, slice_size: int = 50_000) -> DataFrame:
+    names = ["item_id", "node", "place", "kind", "q0", "u0", "q1", "u1"]
+    return rows.select(*names).repartition("item_id", "node").sortWithinPartitions("item_id", "node", "place").mapInPandas(run, MAP)
+
+
+def _hand_down(rows: DataFrame, starts: DataFrame | None) -> DataFrame:
+    """(item_id, node, start_quantity, start_unit) of the places of each group, from the starts of the groups."""
+    if starts is None:
+        rows = rows.withColumns({"start_quantity": F.lit(None).cast("double"), "start_unit": F.lit(None).cast("string")})
+    else:
+        rows = rows.join(starts, ["item_id", "node"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table, group in _whole_groups(batches):
+            q, u = _states(table, group)
+            opens = np.r_[True, (group[1:] != group[:-1]) | (table["place"].to_numpy()[1:] != table["place"].to_numpy()[:-1])]
+            yield pd.DataFrame({"item_id": table["item_id"][opens], "node": table["place"][opens], "start_quantity": q[opens], "start_unit": u[opens]})
+
+    dealt = rows.repartition("item_id", "node").sortWithinPartitions("item_id", "node", "place")
+    return dealt.mapInPandas(run, "item_id string, node bigint, start_quantity double, start_unit string")
+
+
+def slice_starts(rows: DataFrame, fan: int = FAN) -> DataFrame:
+    """(item_id, node, start_quantity, start_unit): the state before each slice, by sums of sums up and starts down."""
+    levels = []
+    while True:
+        maps = cut_lineage(_sum_up(rows))
+        span = maps.groupBy("item_id").agg((F.max("place") - F.min("place")).alias("span")).agg(F.max("span")).first()[0]
+        if span is None or span < fan:
+            break
+        rows = maps.withColumn("node", F.floor(F.col("place") / fan).cast("bigint"))
+        levels.append(rows)
+    starts = _hand_down(maps.withColumn("node", F.lit(0).cast("bigint")), None)
+    for rows in reversed(levels):
+        starts = cut_lineage(_hand_down(rows, starts))
+    return starts
+
+
+def ledger(events: DataFrame, slice_size: int = 50_000, fan: int = FAN) -> DataFrame:
     """L2 in batch: one outcome per event, in order of ``seq`` per item.
 
     ``slice_size`` is a span of sequence numbers; ``seq`` is unique per item, so
-    it also bounds the rows of a slice. Tasks stream through their sorted
-    slices and hold the state or the map of one slice at a time.
+    it also bounds the rows of a slice. A task holds one slice, or the maps of
+    ``fan`` neighbouring ones, beside the batch it reads.
     """
-    rows = prepared(events).withColumn("slice", F.floor(F.col("seq") / slice_size).cast("bigint"))
-    placed = rows.repartition("item_id", "slice")
-    maps = placed.sortWithinPartitions("item_id", "slice", F.desc("seq")).mapInPandas(_slice_maps, MAP)
-    starts = maps.repartition("item_id").sortWithinPartitions("item_id", "slice").mapInPandas(
-        _slice_starts, "item_id string, slice bigint, start_quantity double, start_unit string"
-    )
-    joined = rows.join(starts, ["item_id", "slice"]).repartition("item_id", "slice")
-    return _with_level(
-        joined.sortWithinPartitions("item_id", "slice", "seq").mapInPandas(_slice_outcomes, OUTCOME)
-    )
+    rows = _as_maps(prepared(events)).withColumn("node", F.floor(F.col("seq") / slice_size).cast("bigint")).withColumn("place", F.col("seq"))
+    joined = rows.join(slice_starts(rows, fan), ["item_id", "node"])
+    names = joined.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table, group in _whole_groups(batches):
+            q, u = _states(table, group)
+            yield table[names].assign(state_quantity=q, state_unit=u)
+
+    dealt = joined.repartition("item_id", "node").sortWithinPartitions("item_id", "node", "place")
+    schema = T.StructType([*joined.schema.fields, T.StructField("state_quantity", T.DoubleType()), T.StructField("state_unit", T.StringType())])
+    return _with_level(_outcomes(dealt.mapInPandas(run, schema)))
 
 
 # --- stream ----------------------------------------------------------------
 
 
-def _advance(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-    import pandas as pd
+STREAMED = "item_id string, seq bigint, op string, amount double, unit string, expected double, threshold double, result double, problem string, state_quantity double, state_unit string"
+
 
-    held = state.get if state.exists else NOTHING
+def _advance(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
+    held = state.get if state.exists else (None, None)
     # One item's events of one micro-batch, which the trigger's file limit bounds.
-    ordered = pd.concat(list(frames)).sort_values("seq", kind="stable")
-    outcomes, left = _resolved(ordered.itertuples(index=False), tuple(held))
-    state.update(left)
-    yield pd.DataFrame(outcomes, columns=OUTCOME_NAMES)
+    rows = pd.concat(list(frames)).sort_values("seq", kind="stable", ignore_index=True)
+    rows = rows.assign(place=np.arange(len(rows)), start_quantity=held[0], start_unit=held[1])
+    rows["start_quantity"] = rows["start_quantity"].astype(float)
+    q, u = _states(rows, np.zeros(len(rows), np.int64))
+    end = rows.iloc[[-1]]
+    # The state after the last event: what a further event would meet.
+    more = pd.concat([rows, end.assign(place=len(rows), kind=0)], ignore_index=True)
+    after_q, after_u = (x[-1] for x in _states(more, np.zeros(len(more), np.int64)))
+    state.update((None if after_q != after_q else float(after_q), after_u))
+    yield rows.assign(state_quantity=q, state_unit=u)[[c.split()[0] for c in STREAMED.split(", ")]]
 
 
 def ledger_stream(events: DataFrame) -> DataFrame:
@@ -254,7 +346,7 @@ def ledger_stream(events: DataFrame) -> DataFrame:
     Events are put in order inside a micro-batch; an event that comes later
     than its successors meets a changed quantity and is reported as stale.
     """
-    outcomes = prepared(events).groupBy("item_id").applyInPandasWithState(
-        _advance, OUTCOME, STATE, "append", GroupStateTimeout.NoTimeout
+    met = _as_maps(prepared(events)).groupBy("item_id").applyInPandasWithState(
+        _advance, STREAMED, STATE, "append", GroupStateTimeout.NoTimeout
     )
-    return _with_level(outcomes)
+    return _with_level(_outcomes(met))

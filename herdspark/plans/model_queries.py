@@ -517,12 +517,26 @@ def stock_events(events):
     )
 
 
-@query("stock_ledger")
+#: One event after the other for all items at once; the stream delivers the table in one batch, so both agree.
+LEDGER_SQL = """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS item_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, round(value / 50) * 10 AS expected,
+    CASE event_type WHEN 'signup' THEN 'set' WHEN 'view' THEN 'decrease' WHEN 'click' THEN 'increase' ELSE 'restock' END AS op, CASE WHEN event_type = 'signup' THEN round(value / 50) * 10 ELSE round(value, 2) END AS amount FROM events),
+  s AS (SELECT DISTINCT item_id, 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::VARCHAR AS status, NULL::VARCHAR AS error, NULL::DOUBLE AS quantity FROM e
+    UNION ALL SELECT item_id, k, seq, status, error, CASE WHEN status <> 'updated' THEN q WHEN op = 'set' THEN amount ELSE made END FROM (
+      SELECT *, CASE WHEN error IS NOT NULL THEN 'rejected' WHEN op = 'set' OR coalesce(q = expected, false) THEN 'updated' ELSE 'stale' END AS status FROM (
+        SELECT *, CASE WHEN op = 'set' THEN CASE WHEN amount IS NULL OR amount NOT BETWEEN 0 AND 1000000 THEN 'STOCK_INVALID' END WHEN q IS NULL THEN 'ITEM_UNKNOWN'
+          WHEN op = 'restock' AND coalesce(amount, 0) <= 0 THEN 'AMOUNT_INVALID' WHEN made > 1000000 THEN 'ABOVE_MAXIMUM' END AS error FROM (
+          SELECT e.*, s.quantity AS q, floor((CASE op WHEN 'restock' THEN s.quantity + amount WHEN 'decrease' THEN s.quantity * 0.9::DOUBLE ELSE s.quantity * 1.1::DOUBLE END + 2.220446049250313e-16::DOUBLE) * 100 + 0.5) / 100 AS made
+          FROM s JOIN e ON e.item_id = s.item_id AND e.k = s.k + 1))))
+  SELECT item_id, seq, status, error, quantity, CASE WHEN quantity IS NOT NULL THEN 'kg' END AS unit, 10.0::DOUBLE AS threshold,
+    CASE WHEN quantity IS NULL THEN NULL WHEN quantity <= 0 THEN 'Out of Stock' WHEN quantity <= 10 THEN 'Low' WHEN quantity <= 20 THEN 'Medium' ELSE 'High' END AS stock_level FROM s WHERE k > 0"""
+
+
+@query("stock_ledger", LEDGER_SQL)
 def stock_ledger(spark, sf_dir):
     return stock.ledger(stock_events(table(spark, sf_dir, "events")), slice_size=2000)
 
 
-@query("stock_ledger_stream")
+@query("stock_ledger_stream", LEDGER_SQL)
 def stock_ledger_stream(spark, sf_dir):
     folder = _work_folder(spark)
     outcomes = stock.ledger_stream(stock_events(event_stream(spark, sf_dir)))

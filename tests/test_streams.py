@@ -74,6 +74,29 @@ def test_ledger_equals_brute_force_for_every_slice_size(spark):
         assert as_dict(ledger.ledger(table, slice_size=size).collect()) == wanted, size
 
 
+def test_one_item_over_many_levels(spark):
+    """Slices of one event, few to a node: sums of sums over several levels, also where no set ever comes again."""
+    rng = random.Random(3)
+    events = [("hot", 0, "set", 100.0, "kg", None, 10.0)]
+    held = 100.0
+    for seq in range(1, 300):
+        right = rng.random() < 0.6
+        op = rng.choice(["increase", "decrease"])
+        events.append(("hot", seq * 7, op, None, "kg", held if right else 55.5, 10.0))
+        if right:
+            held = rounded(held * (0.9 if op == "decrease" else 1.1), "kg")
+    events += random_events(5, items=2, length=40)
+    wanted = brute_force(events)
+    assert sum(s == "updated" for s, _ in wanted.values()) > 150
+    table = spark.createDataFrame(events, FIELDS).repartition(6)
+    for size, fan in ((1, 4), (50, 3)):
+        assert as_dict(ledger.ledger(table, slice_size=size, fan=fan).collect()) == wanted
+
+
+def test_empty_ledger(spark):
+    assert ledger.ledger(spark.createDataFrame([], FIELDS)).collect() == []
+
+
 def test_ledger_cases(spark):
     cases = [
         ("a", 1, "set", 1000.0, "kg", None, 100.0), ("a", 2, "decrease", None, "kg", 1000.0, 100.0),

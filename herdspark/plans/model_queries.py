@@ -506,14 +506,14 @@ def live_records_of_owner(spark, sf_dir):
     return found.select("user_id", "event_id", "event_type", "owner")
 
 
-def stock_events(events):
+def stock_events(events, *keep):
     """Stock changes from the event table: the sender always saw a round quantity."""
     kind = F.col("event_type")
     op = F.when(kind == "signup", "set").when(kind == "view", "decrease").when(kind == "click", "increase").otherwise("restock")
     return events.select(
         F.col("user_id").cast("string").alias("item_id"), F.col("event_id").alias("seq"), op.alias("op"),
         F.when(kind == "signup", F.round(F.col("value") / 50) * 10).otherwise(F.round("value", 2)).alias("amount"),
-        F.lit("kg").alias("unit"), (F.round(F.col("value") / 50) * 10).alias("expected_quantity"), F.lit(10.0).alias("threshold"),
+        F.lit("kg").alias("unit"), (F.round(F.col("value") / 50) * 10).alias("expected_quantity"), F.lit(10.0).alias("threshold"), *keep,
     )
 
 
@@ -548,6 +548,28 @@ def stock_ledger_stream(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out")
 
 
+@query(
+    "ordered_stock_ledger",
+    LEDGER_SQL.replace("FROM events)", "FROM events WHERE ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events))").replace("ORDER BY event_id) AS k", "ORDER BY ts, event_id) AS k"),
+)
+def ordered_stock_ledger(spark, sf_dir):
+    """The ledger in the order of event time; the last hour of events still waits for its watermark."""
+    folder = _work_folder(spark)
+    events = event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    outcomes = stock.ordered_ledger_stream(stock_events(events, "ts"), "ts", "1 hour")
+    before = spark.conf.get(stock.STATE_STORE[0], None)
+    spark.conf.set(*stock.STATE_STORE)
+    try:
+        running = (
+            outcomes.writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").option("path", f"{folder}/out")
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        running.awaitTermination()
+    finally:
+        spark.conf.unset(stock.STATE_STORE[0]) if before is None else spark.conf.set(stock.STATE_STORE[0], before)
+    return spark.read.parquet(f"{folder}/out")
+
+
 # --- views and lookups ----------------------------------------------------------
 
 

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from herdspark.functions.values import finite_or_null, stripped
@@ -34,8 +35,8 @@ EVENT_COLUMNS = ("item_id", "seq", "op", "amount", "unit", "expected_quantity",
 STATE = "quantity double, unit string"
 
 
-def prepared(events: DataFrame) -> DataFrame:
-    """Events with what each would leave: ``result`` and ``problem`` columns.
+def prepared(events: DataFrame, *keep: str) -> DataFrame:
+    """Events with what each would leave: ``result`` and ``problem`` columns, and the columns to keep.
 
     ``set`` records a quantity and unit as they are and needs no expectation.
     """
@@ -46,13 +47,13 @@ def prepared(events: DataFrame) -> DataFrame:
         F.col("item_id").cast("string").alias("item_id"), F.col("seq").cast("bigint").alias("seq"), "op",
         finite_or_null(F.col("amount").cast("double")).alias("amount"), unit.alias("unit"),
         finite_or_null(F.col("expected_quantity").cast("double")).alias("expected"),
-        F.col("threshold").cast("double").alias("threshold"), change.alias("__c"),
+        F.col("threshold").cast("double").alias("threshold"), change.alias("__c"), *keep,
     )
     set_problem = F.when(F.col("amount").isNull() | ~F.col("amount").between(0, MAX_STOCK), "STOCK_INVALID")
     return rows.select(
         "item_id", "seq", "op", "amount", "unit", "expected", "threshold",
         F.when(is_set, F.col("amount")).otherwise(F.col("__c.quantity")).alias("result"),
-        F.when(is_set, set_problem).otherwise(F.col("__c.error")).alias("problem"),
+        F.when(is_set, set_problem).otherwise(F.col("__c.error")).alias("problem"), *keep,
     )
 
 
@@ -325,18 +326,20 @@ def ledger(events: DataFrame, slice_size: int = 50_000, fan: int = FAN) -> DataF
 STREAMED = "item_id string, seq bigint, op string, amount double, unit string, expected double, threshold double, result double, problem string, state_quantity double, state_unit string"
 
 
+def _applied(rows: pd.DataFrame, held: tuple) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """The state that each of an item's ordered events meets, and the state after them."""
+    # One more event that changes nothing meets what the others leave.
+    rows = pd.concat([rows, rows.iloc[[-1]].assign(kind=0)], ignore_index=True)
+    rows = rows.assign(place=np.arange(len(rows)), start_quantity=float("nan") if held[0] is None else float(held[0]), start_unit=held[1])
+    q, u = _states(rows, np.zeros(len(rows), np.int64))
+    return q[:-1], u[:-1], (_plain(q[-1]), _plain(u[-1]))
+
+
 def _advance(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-    held = state.get if state.exists else (None, None)
     # One item's events of one micro-batch, which the trigger's file limit bounds.
     rows = pd.concat(list(frames)).sort_values("seq", kind="stable", ignore_index=True)
-    rows = rows.assign(place=np.arange(len(rows)), start_quantity=held[0], start_unit=held[1])
-    rows["start_quantity"] = rows["start_quantity"].astype(float)
-    q, u = _states(rows, np.zeros(len(rows), np.int64))
-    end = rows.iloc[[-1]]
-    # The state after the last event: what a further event would meet.
-    more = pd.concat([rows, end.assign(place=len(rows), kind=0)], ignore_index=True)
-    after_q, after_u = (x[-1] for x in _states(more, np.zeros(len(more), np.int64)))
-    state.update((None if after_q != after_q else float(after_q), after_u))
+    q, u, after = _applied(rows, state.get if state.exists else (None, None))
+    state.update(after)
     yield rows.assign(state_quantity=q, state_unit=u)[[c.split()[0] for c in STREAMED.split(", ")]]
 
 
@@ -350,3 +353,95 @@ def ledger_stream(events: DataFrame) -> DataFrame:
         _advance, STREAMED, STATE, "append", GroupStateTimeout.NoTimeout
     )
     return _with_level(_outcomes(met))
+
+
+# --- stream in order of event time -------------------------------------------
+
+#: The state store that timers and map states need; set it before the stream starts.
+STATE_STORE = (
+    "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+)
+MET = (
+    "item_id string, seq bigint, op string, amount double, unit string, expected double, threshold double, result double, "
+    "problem string, kind int, q0 double, u0 string, q1 double, u1 string, at_us bigint"
+)
+WAITING = ", ".join(part for part in MET.split(", ") if part.split()[0] not in ("item_id", "seq", "at_us"))
+
+
+def _plain(value):
+    """A value of a data frame as the state store takes it."""
+    if value is None or value != value:
+        return None
+    return value.item() if isinstance(value, np.generic) else value
+
+
+class OrderedItem(StatefulProcessor):
+    """One item: what is in stock, and the events that wait until the watermark has passed them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.stock = handle.getValueState("stock", STATE)
+        self.waiting = handle.getMapState("waiting", "at_us bigint, seq bigint", WAITING)
+        self.timer = handle.getValueState("timer", "at_ms bigint")
+        self.names = [part.split()[0] for part in WAITING.split(", ")]
+        self.output = [part.split()[0] for part in STREAMED.split(", ")]
+
+    def _wake(self, at_us: int | None) -> None:
+        """Have the item called when the watermark reaches this time; only the earliest wait needs a timer."""
+        now = self.timer.get()[0] if self.timer.exists() else None
+        at_ms = None if at_us is None else -(-at_us // 1000)
+        if now is not None and (at_ms is None or at_ms < now):
+            self.handle.deleteTimer(now)
+            self.timer.clear()
+            now = None
+        if now is None and at_ms is not None:
+            self.handle.registerTimer(at_ms)
+            self.timer.update((at_ms,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for table in rows:
+            for event in table.to_dict("records"):
+                at = int(event["at_us"])
+                self.waiting.updateValue((at, int(event["seq"])), tuple(_plain(event[n]) for n in self.names))
+                earliest = at if earliest is None else min(earliest, at)
+        self._wake(earliest)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        self.timer.clear()
+        due, left = [], None
+        for (at, seq), event in self.waiting.iterator():
+            if at <= passed:
+                due.append((at, seq, *event))
+            else:
+                left = at if left is None else min(left, at)
+        for at, seq, *_ in due:
+            self.waiting.removeKey((at, seq))
+        self._wake(left)
+        if not due:
+            return
+        rows = pd.DataFrame(due, columns=["at_us", "seq", *self.names]).sort_values(["at_us", "seq"], ignore_index=True)
+        held = self.stock.get() if self.stock.exists() else (None, None)
+        q, u, left_in_stock = _applied(rows.assign(item_id=key[0]), held)
+        self.stock.update(left_in_stock)
+        yield rows.assign(item_id=key[0], state_quantity=q, state_unit=u)[self.output]
+
+    def close(self) -> None:
+        """Nothing is held outside the state store."""
+
+
+def ordered_ledger_stream(events: DataFrame, time: str, delay: str) -> DataFrame:
+    """L2 as a stream in the order of event time, then ``seq``, however the events arrive.
+
+    An event waits in the state until the watermark, ``delay`` behind the latest
+    time seen, has passed it; then all events up to there are applied in order. So
+    an event out of order by less than ``delay`` is not judged stale for it. Later
+    ones are dropped, and counted by the stream's progress. The state of an item
+    is its stock and its waiting events. The session must use ``STATE_STORE``.
+    """
+    timed = events.withWatermark(time, delay)
+    rows = _as_maps(prepared(timed, time)).withColumn("at_us", F.unix_micros(F.col(time)))
+    met = rows.groupBy("item_id").transformWithStateInPandas(OrderedItem(), STREAMED, "append", "EventTime")
+    return _with_level(_outcomes(met))

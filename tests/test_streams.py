@@ -129,6 +129,38 @@ def test_ledger_stream_over_several_batches(spark, tmp_path):
     assert as_dict(spark.read.parquet(str(tmp_path / "out")).collect()) == brute_force(events)
 
 
+def test_ordered_stream_waits_for_events_out_of_order(spark, tmp_path):
+    """Batches deliver an item's events in disorder; outcomes are those of the order of time."""
+    rng = random.Random(13)
+    events = [(*e, 86_400 + 60 * e[1]) for e in random_events(17, items=3, length=45)]
+    # Each event arrives up to 14 places late.
+    arrival = sorted(events, key=lambda e: e[1] + rng.uniform(0, 14))
+    batches = [arrival[k : k + 30] for k in range(0, len(arrival), 30)]
+    batches.append([("end", 0, "set", 1.0, "kg", None, 10.0, 864_000)])
+    made = f"{FIELDS}, t bigint"
+    for rows in batches:
+        frame = spark.createDataFrame(rows, made).withColumn("ts", F.timestamp_seconds("t"))
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    before = spark.conf.get(ledger.STATE_STORE[0])
+    spark.conf.set(*ledger.STATE_STORE)
+    try:
+        stream = spark.readStream.schema(f"{made}, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        outcomes = ledger.ordered_ledger_stream(stream, "ts", "20 minutes")
+        query = (
+            outcomes.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(ledger.STATE_STORE[0], before)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert as_dict(got) == brute_force([e[:7] for e in events]) and len(got) == len(events)
+    by_arrival = {}
+    for batch in batches[:-1]:
+        by_arrival.update(brute_force([(e[0], 1000 * i + e[1], *e[2:7]) for i, e in enumerate(batch)]))
+    assert sum(s == "updated" for s, _ in by_arrival.values()) != sum(s == "updated" for s, _ in as_dict(got).values())
+
+
 def test_live_view_keeps_the_newest(spark, tmp_path):
     fields = "id string, user_id string, ts timestamp, n bigint, note string"
     first = [("a", "u1", 1, "old"), ("b", "u2", 5, "b5"), ("a", "u1", 3, "new")]

@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -102,6 +104,7 @@ def entity_of(text: str, start: int, kind: int, end: int) -> int:
 def nearby_terms(text: str, spans: list[tuple[int, int, int]], context: int = CONTEXT) -> Iterator[tuple[int, int, str, int, int]]:
     """(entity, surroundings, term, start, end) for the whole words near each value, values left out."""
     taken = [(a, b) for a, _, b in spans]
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for start, kind, end in spans:
         low, high = max(0, start - context), min(len(text), end + context)
         # A word that the border cuts is left out.
@@ -110,7 +113,7 @@ def nearby_terms(text: str, spans: list[tuple[int, int, int]], context: int = CO
             (a, b) for a, b in words
             if (a > low or a == 0 or not _TERM.match(text[a - 1])) and (b < high or b == len(text) or not _TERM.match(text[b]))
         ]
-        close = [t for t in taken if t[0] < high and t[1] > low]
+        close = taken[bisect_right(ends, low) : bisect_left(starts, high)]
         words = [(a, b) for a, b in words if not any(a < t[1] and b > t[0] for t in close)]
         terms = [text[a:b].translate(_FOLD) for a, b in words]
         around = int.from_bytes(hashlib.blake2b(" ".join(terms).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
@@ -224,59 +227,100 @@ def disclosing_near(
     return found.filter(F.col("share") >= least).select("entity", "term", "share")
 
 
-def document_counts(docs: DataFrame, rows: DataFrame, size: DataFrame, texts: DataFrame) -> DataFrame:
-    """(entity, term, n): distinct documents with the term and, where the entity is not null, with both.
+def _chosen(df: DataFrame, name: str, max_shared: int) -> set | None:
+    """The distinct values of a column, or none if there are more than may be given to every task."""
+    few = [r[0] for r in df.select(name).distinct().limit(max_shared + 1).collect()]
+    return set(few) if len(few) <= max_shared else None
 
-    ``size`` names the entities that count. Whole texts are shuffled once, by
-    (sha, doc_id), to leave copies out; tasks add up what they count.
+
+def chosen_words(text: str, chosen: frozenset[bytes] | None) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the chosen words outside values; most texts have none, which their split bytes tell."""
+    if chosen is not None and all(chosen.isdisjoint(words) for words in word_chunks(text.encode("utf-8", "replace"), WORDS)):
+        return []
+    words = words_outside(text, base_spans(text))
+    return [w for w in words if chosen is None or w[0].encode("utf-8", "replace") in chosen]
+
+
+def pairs_in_documents(docs: DataFrame, size: DataFrame, max_shared: int = MAX_SHARED_TERMS) -> DataFrame:
+    """(entity, term, n_te): distinct documents with both, for the entities of ``size``.
+
+    Only documents that hold such an entity give their terms, once however many
+    copies there are.
     """
-    held = texts.select("sha", F.explode("entities").alias("entity")).join(size, "entity")
-    chosen = held.groupBy("sha").agg(F.collect_list("entity").alias("entities"))
-    one = texts.select(F.col("sha").alias("key"), F.col("one.doc_id").alias("mark")).join(chosen.withColumnRenamed("sha", "key"), "key", "left")
-    keyed = docs.select("doc_id", text_of().alias("text"), F.sha2(bytes_of(), 256).alias("sha"))
-    kept = keyed.join(one, (F.col("sha") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("mark")))
-    if not rows.groupBy("doc_id", "sha").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["sha"])
+    few = _chosen(size, "entity", max_shared)
+    shared = docs.sparkSession.sparkContext.broadcast(few)
+    source = docs.select(F.sha2(bytes_of(), 256).alias("sha"), text_of().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[tuple[int | None, str]] = Counter()
+        known = shared.value
+        for batch in batches:
+            rows, entities, terms = [], [], []
+            for row, text in enumerate(slices(batch.column(1), 64)):
+                spans = base_spans(text)
+                held = {entity_of(text, *s) for s in spans}
+                held = held if known is None else held & known
+                if held:
+                    rows.append(row)
+                    entities.append(sorted(held))
+                    terms.append(sorted({t for t, _, _ in words_outside(text, spans)}))
+            sha = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [sha, pa.array(entities, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.string()))], ["sha", "entities", "terms"]
+            )
 
-        def flush() -> pa.RecordBatch:
-            columns = [pa.array([k[0] for k in counts], pa.int64()), pa.array([k[1] for k in counts], pa.string())]
-            columns.append(pa.array(list(counts.values()), pa.int64()))
-            counts.clear()
-            return pa.RecordBatch.from_arrays(columns, ["entity", "term", "n"])
+    found = source.mapInArrow(run, "sha string, entities array<bigint>, terms array<string>").dropDuplicates(["sha"])
+    held = found.select(F.explode("entities").alias("entity"), "terms")
+    if few is None:
+        held = held.join(size.select("entity"), "entity", "left_semi")
+    return held.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
 
+
+def document_frequencies(docs: DataFrame, wanted: DataFrame, max_shared: int = MAX_SHARED_TERMS) -> DataFrame:
+    """(term, n_t): distinct documents in which each wanted term stands outside values.
+
+    Documents give the wanted terms they hold; copies are known by their digests.
+    If too many terms are wanted to be given to every task, all terms are counted.
+    """
+    few = _chosen(wanted, "term", max_shared)
+    shared = docs.sparkSession.sparkContext.broadcast(None if few is None else frozenset(t.encode() for t in few))
+    source = docs.select(F.sha2(bytes_of(), 256).alias("sha"), text_of().alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = shared.value
         for batch in batches:
-            for text, entities in zip(slices(batch.column(0), 64), slices(batch.column(1), 64), strict=True):
-                terms = {t for t, _, _ in words_outside(text, base_spans(text))}
-                for entity in (None, *(entities or ())):
-                    counts.update((entity, t) for t in terms)
-                    if len(counts) > 200_000:
-                        yield flush()
-        yield flush()
+            rows, terms = [], []
+            for row, text in enumerate(slices(batch.column(1), 64)):
+                found = {t for t, _, _ in chosen_words(text, chosen)}
+                if found:
+                    rows.append(row)
+                    terms.append(sorted(found))
+            sha = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([sha, pa.array(terms, pa.list_(pa.string()))], ["sha", "terms"])
 
-    sums = kept.select("text", "entities").mapInArrow(run, "entity bigint, term string, n bigint")
-    return sums.groupBy("entity", "term").agg(F.sum("n").alias("n"))
+    found = source.mapInArrow(run, "sha string, terms array<string>").dropDuplicates(["sha"])
+    return found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
 
-def disclosing_in_documents(docs: DataFrame, rows: DataFrame, min_support: int = MIN_SUPPORT, least: float = GENERALISE) -> DataFrame:
+def disclosing_in_documents(
+    docs: DataFrame, rows: DataFrame, min_support: int = MIN_SUPPORT, least: float = GENERALISE, max_shared: int = MAX_SHARED_TERMS
+) -> DataFrame:
     """(entity, term, share) of the terms that reveal an entity by the distinct documents they share with it.
 
     Of N distinct documents n_e hold the entity, n_t the term and n_te both; the
     share is that of ``disclosing_near``. As a term stands in no more documents of
-    an entity than there are, entities below the support are left out at once.
+    an entity than there are, entities below the support are left out at once, and
+    only terms that reach it with some entity are counted over all documents.
     """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("one")
-    texts = cut_lineage(rows.groupBy("sha").agg(first, F.first("entities").alias("entities")))
+    texts = cut_lineage(rows.groupBy("sha").agg(F.first("entities").alias("entities")))
     held = texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     size = cut_lineage(held.filter(F.col("n_e") >= min_support))
-    if size.isEmpty():
-        return size.select("entity", F.lit("").alias("term"), F.lit(0.0).alias("share"))
-    counts = cut_lineage(document_counts(docs, rows, size.select("entity"), texts))
+    joint = size.select("entity", F.lit("").alias("term"), F.lit(0).alias("n_te")).limit(0)
+    if not size.isEmpty():
+        joint = cut_lineage(pairs_in_documents(docs, size, max_shared).filter(F.col("n_te") >= min_support))
+    if joint.isEmpty():
+        return joint.select("entity", "term", F.lit(0.0).alias("share"))
+    alone = cut_lineage(document_frequencies(docs, joint, max_shared))
     total = F.lit(float(texts.count()))
-    joint = counts.filter(F.col("entity").isNotNull() & (F.col("n") >= min_support)).withColumnRenamed("n", "n_te")
-    alone = counts.filter("entity is null").select("term", F.col("n").alias("n_t"))
     gained = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     share = F.try_divide(gained, F.log2(total / F.col("n_e")))
     found = joint.join(alone, "term").join(size, "entity").withColumn("share", share)
@@ -288,7 +332,7 @@ def disclosing_terms(
 ) -> DataFrame:
     """(entity, term, share) of the terms that reveal at least ``least`` of an entity's information, by either count."""
     either = disclosing_near(docs, rows, min_support, least, max_shared).unionByName(
-        disclosing_in_documents(docs, rows, min_support, least)
+        disclosing_in_documents(docs, rows, min_support, least, max_shared)
     )
     return either.groupBy("entity", "term").agg(F.max("share").alias("share"))
 
@@ -298,8 +342,8 @@ def occurrences(docs: DataFrame, telling: DataFrame, max_shared: int = MAX_SHARE
 
     If these are many, the places of all words; the join with ``telling`` picks the same.
     """
-    few = [r[0] for r in telling.select("term").distinct().limit(max_shared + 1).collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(few) if len(few) <= max_shared else None)
+    few = _chosen(telling, "term", max_shared)
+    shared = docs.sparkSession.sparkContext.broadcast(None if few is None else frozenset(t.encode() for t in few))
     source = docs.select("doc_id", F.sha2(bytes_of(), 256).alias("sha"), text_of().alias("text"))
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
     hit = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -313,8 +357,7 @@ def occurrences(docs: DataFrame, telling: DataFrame, max_shared: int = MAX_SHARE
                 found = base_spans(text)
                 spans.append([dict(zip(names[0], s, strict=True)) for s in found])
                 entities.append(sorted({entity_of(text, *s) for s in found}))
-                words = (w for w in words_outside(text, found) if chosen is None or w[0] in chosen)
-                hits.append([dict(zip(names[1], w, strict=True)) for w in words])
+                hits.append([dict(zip(names[1], w, strict=True)) for w in chosen_words(text, chosen)])
             columns = [pa.array(spans, pa.list_(span)), pa.array(entities, pa.list_(pa.int64())), pa.array(hits, pa.list_(hit))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *columns], ["doc_id", "sha", "spans", "entities", "hits"]

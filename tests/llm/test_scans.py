@@ -249,3 +249,60 @@ def test_license_chunks(monkeypatch):
     for size in (1, 9, 33):
         monkeypatch.setattr(common, "CHUNK_BYTES", size)
         assert [finder.find(t) for t in texts] == whole
+
+
+def plain_telling_in_documents(texts, support, least):
+    """By sets of distinct documents."""
+    import math
+
+    texts = sorted(set(texts))
+    terms = [{t for t, _, _ in pii.words_outside(x, pii.base_spans(x))} for x in texts]
+    held = [{pii.entity_of(x, *s) for s in pii.base_spans(x)} for x in texts]
+    out = set()
+    for entity in set().union(*held):
+        own = [i for i, h in enumerate(held) if entity in h]
+        for term in set().union(*(terms[i] for i in own)):
+            both, alone = sum(term in terms[i] for i in own), sum(term in t for t in terms)
+            if len(own) >= support and both >= support and len(own) < len(texts):
+                if math.log2(len(texts) * both / (alone * len(own))) / math.log2(len(texts) / len(own)) >= least:
+                    out.add((entity, term))
+    return out
+
+
+@pytest.mark.parametrize("shared", [0, 2, 100_000])
+def test_document_counts_equal_brute_force(spark, shared):
+    import random
+
+    rng = random.Random(9)
+    names = [f"person{k}@mail.example.org" for k in range(6)]
+    words = [f"word{k}" for k in range(30)]
+    texts = []
+    for i in range(120):
+        who = rng.choice(names) if rng.random() < 0.4 else ""
+        told = f" nick{names.index(who)}" if who and rng.random() < 0.8 else ""
+        texts.append(f"{' '.join(rng.choices(words, k=rng.randint(0, 12)))} {who}{' and ' if who else ''}{told} no {i % 50}")
+    texts += texts[:40] + ["", "word1 person1@mail.example.orgword1"]
+    expected = plain_telling_in_documents(texts, 3, pii.GENERALISE)
+    assert any(term.startswith("nick") for _, term in expected)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    found = pii.disclosing_in_documents(docs, pii.mentions(docs), max_shared=shared).collect()
+    assert {(r["entity"], r["term"]) for r in found} == expected
+
+
+def test_very_many_values_in_one_text():
+    import time
+
+    text = " ".join(f"a{k}@b.example" for k in range(100_000))
+    started = time.time()
+    spans = pii.base_spans(text)
+    assert len(spans) == 100_000 and list(pii.nearby_terms(text, spans)) == []
+    assert time.time() - started < 30
+
+
+def test_secrets_in_texts_of_very_many_labels(spark):
+    long = "x@" + "a." * 100_000 + "a"
+    local = "n" * 500 + "@host.example token=abcdefgh12"
+    docs = spark.createDataFrame([(1, long), (2, local), (3, "." * 300_000), (4, "a" * 200_000 + "@")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
+    assert got[1]["spans"] == "" and got[2]["spans"].startswith("email:0:513,assign:514:")
+    assert got[2]["n_assign"] == 1 and got[3]["spans"] == ""

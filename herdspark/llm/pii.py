@@ -242,7 +242,7 @@ def chosen_words(text: str, chosen: frozenset[bytes] | None) -> list[tuple[str,
 
 
 def pairs_in_documents(docs: DataFrame, size: DataFrame, max_shared: int = MAX_SHARED_TERMS) -> DataFrame:
-    """(entity, term, n_te): distinct documents with both, for the entities of ``size``.
+    """(entity, term, n_te): distinct documents with both, for the entities of ``size``; a null entity stands for any of them.
 
     Only documents that hold such an entity give their terms, once however many
     copies there are.
@@ -269,9 +269,12 @@ def pairs_in_documents(docs: DataFrame, size: DataFrame, max_shared: int = MAX_S
             )
 
     found = source.mapInArrow(run, "sha string, entities array<bigint>, terms array<string>").dropDuplicates(["sha"])
-    held = found.select(F.explode("entities").alias("entity"), "terms")
     if few is None:
-        held = held.join(size.select("entity"), "entity", "left_semi")
+        held = found.select("sha", "terms", F.explode("entities").alias("entity")).join(size.select("entity"), "entity", "left_semi")
+        held = held.groupBy("sha").agg(F.first("terms").alias("terms"), F.collect_list("entity").alias("entities"))
+        found = held.select("sha", "entities", "terms")
+    any_of = F.array(F.lit(None).cast("bigint"))
+    held = found.select(F.explode(F.concat(any_of, "entities")).alias("entity"), "terms")
     return held.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
 
 
@@ -309,21 +312,29 @@ def disclosing_in_documents(
     Of N distinct documents n_e hold the entity, n_t the term and n_te both; the
     share is that of ``disclosing_near``. As a term stands in no more documents of
     an entity than there are, entities below the support are left out at once, and
-    only terms that reach it with some entity are counted over all documents.
+    only terms that may reach the share with some entity are counted over all documents.
     """
     texts = cut_lineage(rows.groupBy("sha").agg(F.first("entities").alias("entities")))
     held = texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     size = cut_lineage(held.filter(F.col("n_e") >= min_support))
     joint = size.select("entity", F.lit("").alias("term"), F.lit(0).alias("n_te")).limit(0)
     if not size.isEmpty():
-        joint = cut_lineage(pairs_in_documents(docs, size, max_shared).filter(F.col("n_te") >= min_support))
+        counts = cut_lineage(pairs_in_documents(docs, size, max_shared).filter(F.col("n_te") >= min_support))
+        joint = counts.filter("entity IS NOT NULL")
     if joint.isEmpty():
         return joint.select("entity", "term", F.lit(0.0).alias("share"))
-    alone = cut_lineage(document_frequencies(docs, joint, max_shared))
     total = F.lit(float(texts.count()))
-    gained = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    share = F.try_divide(gained, F.log2(total / F.col("n_e")))
-    found = joint.join(alone, "term").join(size, "entity").withColumn("share", share)
+
+    def share(term_documents: str) -> Column:
+        gained = F.log2(total * F.col("n_te") / (F.col(term_documents) * F.col("n_e")))
+        return F.try_divide(gained, F.log2(total / F.col("n_e")))
+
+    # A term stands in no fewer documents than in those of the entities: what fails by these need not be counted.
+    least_known = counts.filter("entity IS NULL").select("term", F.col("n_te").alias("known"))
+    joint = joint.join(least_known, "term").join(size, "entity").filter(share("known") >= least - 1e-9)
+    joint = cut_lineage(joint.drop("known"))
+    alone = document_frequencies(docs, joint, max_shared)
+    found = joint.join(alone, "term").withColumn("share", share("n_t"))
     return found.filter(F.col("share") >= least).select("entity", "term", "share")
 
 

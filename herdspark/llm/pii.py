@@ -44,6 +44,8 @@ MAX_SHARED_TERMS = 200_000
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
+#: Without one of these a text has no value.
+_VALUE_BYTE = re.compile(rb"[0-9@]")
 # A match starts where a run of digits starts, as none ends inside one.
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -167,7 +169,10 @@ def mentions(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, wanted: DataFrame, max_shared: int = MAX_SHARED_TERMS) -> DataFrame:
-    """(term, n): occurrences in the whole corpus of the wanted terms; the empty term counts all words.
+    """(term, n, least): occurrences in the whole corpus of the wanted terms; the empty term counts all words.
+
+    ``least`` is a number of distinct documents that have the term outside values:
+    the most that one task met among texts without a digit or an ``@``.
 
     Tasks count the words they read and send each word's sum once. If the wanted
     terms are few, tasks count only these; if not, all words, and the later join
@@ -181,25 +186,36 @@ def term_counts(docs: DataFrame, wanted: DataFrame, max_shared: int = MAX_SHARED
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = shared.value
         counts: Counter[bytes] = Counter()
+        documents: Counter[bytes] = Counter()
+        seen: set[int] = set()
         total = 0
 
         def flush() -> pa.RecordBatch:
             words = [w.decode("utf-8", "replace") for w in counts]
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            columns = [pa.array(list(counts.values()), pa.int64()), pa.array([documents[w] for w in counts], pa.int64())]
             counts.clear()
-            return out
+            documents.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *columns], ["term", "n", "least"])
 
         for batch in batches:
             for raw in slices(batch.column(0), 64):
+                here: set[bytes] = set()
                 for words in word_chunks(raw, WORDS):
                     total += len(words)
-                    counts.update(words if chosen is None else filter(chosen.__contains__, words))
+                    words = words if chosen is None else list(filter(chosen.__contains__, words))
+                    counts.update(words)
+                    here.update(words)
+                mark = hash(raw)
+                if here and mark not in seen and not _VALUE_BYTE.search(raw):
+                    seen.add(mark)
+                    documents.update(here)
                 if len(counts) > 200_000:
                     yield flush()
         yield flush()
-        yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([total], pa.int64())], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([total], pa.int64()), pa.array([0], pa.int64())], ["term", "n", "least"])
 
-    return source.mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = source.mapInArrow(run, "term string, n bigint, least bigint")
+    return counted.groupBy("term").agg(F.sum("n").alias("n"), F.max("least").alias("least"))
 
 
 def disclosing_near(
@@ -333,6 +349,9 @@ def disclosing_in_documents(
     least_known = counts.filter("entity IS NULL").select("term", F.col("n_te").alias("known"))
     joint = joint.join(least_known, "term").join(size, "entity").filter(share("known") >= least - 1e-9)
     joint = cut_lineage(joint.drop("known"))
+    met = term_counts(docs, joint.select("term").distinct(), max_shared).filter("least > 0").select("term", "least")
+    joint = joint.join(met, "term", "left").withColumn("least", F.greatest(F.coalesce("least", F.lit(1)), "n_te"))
+    joint = cut_lineage(joint.filter(share("least") >= least - 1e-9).drop("least"))
     alone = document_frequencies(docs, joint, max_shared)
     found = joint.join(alone, "term").withColumn("share", share("n_t"))
     return found.filter(F.col("share") >= least).select("entity", "term", "share")

@@ -40,12 +40,14 @@ MIN_SUPPORT = 3
 GENERALISE, REMOVE = 0.85, 0.95
 #: Up to so many terms are given to the tasks that count or mark them; beyond, all words are counted or joined.
 MAX_SHARED_TERMS = 200_000
+#: Words whose documents a task counts before it forgets those met once; documents with values it holds back meanwhile.
+HELD_WORDS, HELD_DOCUMENTS = 1_000_000, 2_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
 #: Without one of these a text has no value.
-_VALUE_BYTE = re.compile(rb"[0-9@]")
+_VALUE_BYTE, _VALUE = re.compile(rb"[0-9@]"), re.compile("[0-9@]")
 # A match starts where a run of digits starts, as none ends inside one.
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -257,32 +259,62 @@ def chosen_words(text: str, chosen: frozenset[bytes] | None) -> list[tuple[str,
     return [w for w in words if chosen is None or w[0].encode("utf-8", "replace") in chosen]
 
 
-def pairs_in_documents(docs: DataFrame, size: DataFrame, max_shared: int = MAX_SHARED_TERMS) -> DataFrame:
+def most_documents(n_e: int, total: int, least: float) -> float:
+    """No term of more documents than this reveals ``least`` of an entity that stands in ``n_e`` of ``total``."""
+    return n_e * (total / n_e) ** (1 - least) * (1 + 1e-9)
+
+
+def pairs_in_documents(
+    docs: DataFrame, size: DataFrame, total: int, least: float = GENERALISE, max_shared: int = MAX_SHARED_TERMS
+) -> DataFrame:
     """(entity, term, n_te): distinct documents with both, for the entities of ``size``; a null entity stands for any of them.
 
     Only documents that hold such an entity give their terms, once however many
-    copies there are.
+    copies there are. A task leaves out terms that it alone meets in too many
+    distinct documents to reveal any entity of the document, so common words make
+    no pairs.
     """
-    few = _chosen(size, "entity", max_shared)
+    few = {r[0]: most_documents(r[1], total, least) for r in size.select("entity", "n_e").limit(max_shared + 1).collect()}
+    few = few if len(few) <= max_shared else None
     shared = docs.sparkSession.sparkContext.broadcast(few)
     source = docs.select(F.sha2(bytes_of(), 256).alias("sha"), text_of().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        held: list[tuple[str, list[int], set[str]]] = []
+        documents: Counter[bytes] = Counter()
+        seen: set[int] = set()
+
+        def flush() -> pa.RecordBatch:
+            rows = []
+            for sha, entities, terms in held:
+                most = None if known is None else max(known[e] for e in entities)
+                rows.append((sha, entities, sorted(t for t in terms if most is None or documents[t.encode("utf-8", "replace")] <= most)))
+            held.clear()
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["sha", "entities", "terms"])
+
         for batch in batches:
-            rows, entities, terms = [], [], []
-            for row, text in enumerate(slices(batch.column(1), 64)):
+            for sha, text in zip(batch.column(0).to_pylist(), slices(batch.column(1), 64), strict=True):
+                mark = int(sha[:32], 16)
+                if mark in seen:
+                    continue
+                seen.add(mark)
+                if not _VALUE.search(text):
+                    if known is not None:
+                        documents.update({w for words in word_chunks(text.encode("utf-8", "replace"), WORDS) for w in words})
+                    if len(documents) > HELD_WORDS:
+                        documents = Counter({w: n for w, n in documents.items() if n > 1})
+                    continue
                 spans = base_spans(text)
-                held = {entity_of(text, *s) for s in spans}
-                held = held if known is None else held & known
-                if held:
-                    rows.append(row)
-                    entities.append(sorted(held))
-                    terms.append(sorted({t for t, _, _ in words_outside(text, spans)}))
-            sha = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [sha, pa.array(entities, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.string()))], ["sha", "entities", "terms"]
-            )
+                found = {entity_of(text, *s) for s in spans}
+                found = found if known is None else found & known.keys()
+                if found:
+                    held.append((sha, sorted(found), {t for t, _, _ in words_outside(text, spans)}))
+                if len(held) > HELD_DOCUMENTS:
+                    yield flush()
+        yield flush()
 
     found = source.mapInArrow(run, "sha string, entities array<bigint>, terms array<string>").dropDuplicates(["sha"])
     if few is None:
@@ -335,7 +367,7 @@ def disclosing_in_documents(
     size = cut_lineage(held.filter(F.col("n_e") >= min_support))
     joint = size.select("entity", F.lit("").alias("term"), F.lit(0).alias("n_te")).limit(0)
     if not size.isEmpty():
-        counts = cut_lineage(pairs_in_documents(docs, size, max_shared).filter(F.col("n_te") >= min_support))
+        counts = cut_lineage(pairs_in_documents(docs, size, texts.count(), least, max_shared).filter(F.col("n_te") >= min_support))
         joint = counts.filter("entity IS NOT NULL")
     if joint.isEmpty():
         return joint.select("entity", "term", F.lit(0.0).alias("share"))

@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +42,8 @@ MIN_SUPPORT = 3
 GENERALISE, REMOVE = 0.85, 0.95
 #: Up to so many terms are given to the tasks that count or mark them; beyond, all words are counted or joined.
 MAX_SHARED_TERMS = 200_000
+#: Words of 64 bits that tell in which classes of documents a term occurs.
+CLASSES = 8
 #: Words whose documents a task counts before it forgets those met once; documents with values it holds back meanwhile.
 HELD_WORDS, HELD_DOCUMENTS = 1_000_000, 2_000
 
@@ -173,8 +177,9 @@ def mentions(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
 def term_counts(docs: DataFrame, wanted: DataFrame, max_shared: int = MAX_SHARED_TERMS) -> DataFrame:
     """(term, n, least): occurrences in the whole corpus of the wanted terms; the empty term counts all words.
 
-    ``least`` is a number of distinct documents that have the term outside values:
-    the most that one task met among texts without a digit or an ``@``.
+    ``least`` is a number of distinct documents that the term surely reaches
+    outside values: how many of ``64 * CLASSES`` classes of text hashes have it, among
+    texts without a digit or an ``@``. Tasks send one bit set a word, so nothing grows.
 
     Tasks count the words they read and send each word's sum once. If the wanted
     terms are few, tasks count only these; if not, all words, and the later join
@@ -184,20 +189,22 @@ def term_counts(docs: DataFrame, wanted: DataFrame, max_shared: int = MAX_SHARED
     chosen = frozenset(t.encode() for t in few) if len(few) <= max_shared else None
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
     source = docs.select(bytes_of().alias("raw"))
+    names = [f"b{k}" for k in range(CLASSES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = shared.value
         counts: Counter[bytes] = Counter()
-        documents: Counter[bytes] = Counter()
-        seen: set[int] = set()
+        classes: dict[bytes, int] = {}
         total = 0
 
         def flush() -> pa.RecordBatch:
             words = [w.decode("utf-8", "replace") for w in counts]
-            columns = [pa.array(list(counts.values()), pa.int64()), pa.array([documents[w] for w in counts], pa.int64())]
+            bits = [np.frombuffer(classes.get(w, 0).to_bytes(8 * CLASSES, "little"), "<i8") for w in counts]
+            bits = np.array(bits, np.int64).reshape(-1, CLASSES)
+            columns = [pa.array(list(counts.values()), pa.int64()), *(pa.array(bits[:, k]) for k in range(CLASSES))]
             counts.clear()
-            documents.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *columns], ["term", "n", "least"])
+            classes.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *columns], ["term", "n", *names])
 
         for batch in batches:
             for raw in slices(batch.column(0), 64):
@@ -207,17 +214,19 @@ def term_counts(docs: DataFrame, wanted: DataFrame, max_shared: int = MAX_SHARED
                     words = words if chosen is None else list(filter(chosen.__contains__, words))
                     counts.update(words)
                     here.update(words)
-                mark = hash(raw)
-                if here and mark not in seen and not _VALUE_BYTE.search(raw):
-                    seen.add(mark)
-                    documents.update(here)
+                if here and not _VALUE_BYTE.search(raw):
+                    one = 1 << zlib.crc32(raw) % (64 * CLASSES)
+                    for word in here:
+                        classes[word] = classes.get(word, 0) | one
                 if len(counts) > 200_000:
                     yield flush()
         yield flush()
-        yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([total], pa.int64()), pa.array([0], pa.int64())], ["term", "n", "least"])
+        none = [pa.array([0], pa.int64())] * CLASSES
+        yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([total], pa.int64()), *none], ["term", "n", *names])
 
-    counted = source.mapInArrow(run, "term string, n bigint, least bigint")
-    return counted.groupBy("term").agg(F.sum("n").alias("n"), F.max("least").alias("least"))
+    counted = source.mapInArrow(run, "term string, n bigint, " + ", ".join(f"{name} bigint" for name in names))
+    least = sum((F.bit_count(F.bit_or(name)) for name in names), F.lit(0)).cast("bigint")
+    return counted.groupBy("term").agg(F.sum("n").alias("n"), least.alias("least"))
 
 
 def disclosing_near(

@@ -8,7 +8,9 @@ summed up; the other is what is left of their parent.
 
 Sums are exact: gradients are whole multiples of a small unit, so the sums do
 not depend on the order or the number of parts, and a fit gives the same trees
-again. A step is one job with a tree reduction over persisted blocks of rows.
+again. A step is one job with a tree reduction over persisted blocks of rows. A
+table of one part (``TASK_ROWS`` rows at most) goes through the same steps within
+its task.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ MAX_BINS = 255
 BIN_ROWS = 200_000
 #: Cells that come to the driver for the bins: fewer rows if there are many features.
 BIN_CELLS = 20_000_000
-#: Rows of a task at least, so that small tables are not cut finely.
-TASK_ROWS = 32_768
+#: Rows of a part at least; a table of one part is boosted within its task, without a job per step.
+TASK_ROWS = 131_072
 #: Above so many rows a tenth is set aside to stop early.
 EARLY_ROWS = 10_000
 CHECKPOINT_ROUNDS = 10
@@ -211,6 +213,28 @@ class Steps:
                 blocks.unpersist()
 
 
+class WithinTask:
+    """Steps over the rows of the only part of a table, in its task."""
+
+    def __init__(self, rows: Rows, loss: Loss, bins: int) -> None:
+        self.rows, self.loss, self.bins = rows, loss, bins
+
+    def sums(self, trees: list[Tree], nodes: list[list[int]]) -> np.ndarray:
+        return self.rows.sums(self.loss, trees, nodes, self.bins)
+
+    def commit(self, trees: list[Tree]) -> None:
+        self.rows = self.rows.with_trees(trees)
+
+
+def _boost_in_task(blocks, loss: Loss, settings: Settings, width: int, bins: int, early: bool) -> list[list[Tree]]:
+    def task(own: Iterator[Rows]) -> Iterator[list[list[Tree]]]:
+        held = list(own)
+        rows = Rows(*(np.concatenate([getattr(b, c) for b in held]) for c in ("cells", "label", "weight", "held", "score")))
+        yield boost(WithinTask(rows, loss, bins), loss, settings, width, bins, early)
+
+    return blocks.mapPartitions(task).collect()[0]
+
+
 class _Growing:
     """A tree, and the best splits of its leaves that can be split."""
 
@@ -267,7 +291,7 @@ class _Growing:
             self.best = {}
 
 
-def boost(steps: Steps, loss: Loss, settings: Settings, width: int, bins: int, early: bool) -> list[list[Tree]]:
+def boost(steps: Steps | WithinTask, loss: Loss, settings: Settings, width: int, bins: int, early: bool) -> list[list[Tree]]:
     """Rounds of one tree per score column; stops early when the held rows gain nothing for ``patience`` rounds."""
     count, rounds, scores = len(loss.start), [], []
     cell = width * bins * 3
@@ -370,12 +394,16 @@ def fit(
             return Rows(np.frombuffer(row["x"], np.uint8).reshape(-1, width), y, w, np.frombuffer(row["held"], bool), score)
 
         packed = source.withColumn("held", held).mapInPandas(block, "x binary, y binary, w binary, held binary").repartition(parts)
-        checkpoint_root(rows.sparkSession)
-        steps = Steps(packed.rdd.map(unpacked), loss, bins)
-        try:
-            rounds = boost(steps, loss, settings, width, bins, early)
-        finally:
-            steps.close()
+        blocks = packed.rdd.map(unpacked)
+        if n <= TASK_ROWS:
+            rounds = _boost_in_task(blocks, loss, settings, width, bins, early)
+        else:
+            checkpoint_root(rows.sparkSession)
+            steps = Steps(blocks, loss, bins)
+            try:
+                rounds = boost(steps, loss, settings, width, bins, early)
+            finally:
+                steps.close()
     finally:
         source.unpersist()
     named = [[_named(tree, edges) for tree in trees] for trees in rounds]

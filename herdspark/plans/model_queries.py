@@ -506,6 +506,22 @@ def live_records_of_owner(spark, sf_dir):
     return found.select("user_id", "event_id", "event_type", "owner")
 
 
+@query(
+    "merged_live_view",
+    "SELECT user_id, event_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND event_type <> 'error'",
+)
+def merged_live_view(spark, sf_dir):
+    """Twelve batches out of order, merged within the stream; records end with an error."""
+    folder = _work_folder(spark)
+    changes = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value", (F.col("event_type") == "error").alias("gone"))
+    changes.repartition(12, "event_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    view = f"{folder}/view"
+    snapshot.start_live_view(stream, view, f"{folder}/progress", "user_id", "ts", "event_id", fan=3, removed="gone").awaitTermination()
+    found = snapshot.live_view(spark, view, "user_id", "ts", "event_id", removed="gone")
+    return found.select("user_id", "event_id", "ts", "value")
+
+
 def stock_events(events, *keep):
     """Stock changes from the event table: the sender always saw a round quantity."""
     kind = F.col("event_type")

@@ -1,6 +1,7 @@
 """The stock ledger and the live view against brute force."""
 
 import random
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -177,3 +178,75 @@ def test_live_view_keeps_the_newest(spark, tmp_path):
     assert sorted(r["id"] for r in mine.collect()) == ["a", "c"]
     packed = snapshot.compact_live_view(spark, view, str(tmp_path / "packed"), "id", "ts", "n")
     assert packed.count() == 3
+
+
+def newest_of(changes):
+    """Plain latest-wins over (time, sequence)."""
+    held = {}
+    for key, time, n, note, gone in changes:
+        if key not in held or (time, n) > held[key][:2]:
+            held[key] = (time, n, note, gone)
+    return {k: v[2] for k, v in held.items() if not v[3]}
+
+
+def delivered(spark, folder, batches):
+    made = "id string, t bigint, n bigint, note string, gone boolean"
+    for rows in batches:
+        frame = spark.createDataFrame(rows, made).withColumn("ts", F.timestamp_seconds("t")).drop("t")
+        frame.select("id", "ts", "n", "note", "gone").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("id string, ts timestamp, n bigint, note string, gone boolean")
+    return stream.option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_live_view_merges_levels_within_the_stream(spark, tmp_path):
+    """Versions in disorder, one record in a third of all rows, null ids and times; the levels stay below the fan."""
+    rng = random.Random(23)
+    changes = []
+    for n in range(600):
+        key = "hot" if n % 3 == 0 else rng.choice([None, *(f"k{i}" for i in range(40))])
+        changes.append((key, rng.randrange(1, 500), n, f"v{n}", rng.random() < 0.2))
+    batches = [changes[i : i + 40] for i in range(0, 600, 40)]
+    stream = delivered(spark, str(tmp_path / "in"), batches)
+    view, progress = str(tmp_path / "view"), str(tmp_path / "cp")
+    snapshot.start_live_view(stream, view, progress, "id", "ts", "n", fan=3, removed="gone").awaitTermination()
+    held = snapshot.generations(spark, view)[0]
+    assert held.number == 15 and held.late == 0
+    assert sorted((level for _, level in held.parts), reverse=True) == [level for _, level in held.parts] == [2, 1, 1]
+    found = {r["id"]: r["note"] for r in snapshot.live_view(spark, view, "id", "ts", "n", removed="gone").collect()}
+    assert found == newest_of(changes)
+    kept = {folder for g in snapshot.generations(spark, view, 8) for folder, _ in g.parts}
+    assert {p.name for p in (tmp_path / "view" / "parts").iterdir()} == kept
+    assert len(list((tmp_path / "view" / "manifest").iterdir())) == 8
+
+
+def test_live_view_forgets_removals_without_showing_older_versions(spark, tmp_path):
+    day = 86_400
+    first = [("a", 10 * day, 1, "a1", False), ("b", 10 * day, 2, "b1", False)]
+    second = [("a", 11 * day, 3, "", True)]
+    third = [("c", 30 * day, 4, "c1", False)]
+    fourth = [("a", 10 * day + 5, 0, "too late", False), ("b", 29 * day, 5, "b2", False), ("d", 12 * day, 6, "late too", False)]
+    stream = delivered(spark, str(tmp_path / "in"), [first, second, third, fourth])
+    view, progress = str(tmp_path / "view"), str(tmp_path / "cp")
+    query = snapshot.start_live_view(stream, view, progress, "id", "ts", "n", fan=3, removed="gone", keep_removed=timedelta(days=7))
+    query.awaitTermination()
+    held = snapshot.generations(spark, view)[0]
+    assert held.late == 2
+    rows = snapshot.live_view(spark, view, "id", "ts", "n").collect()
+    assert {r["id"]: r["note"] for r in rows} == {"b": "b2", "c": "c1"}
+
+
+def test_live_view_batch_that_runs_again(spark, tmp_path):
+    """A stream whose last commit was lost repeats its batch; a new stream goes on in the same view."""
+    batches = [[("a", 1, 1, "a1", False)], [("a", 2, 2, "a2", False), ("b", 1, 3, "b1", False)]]
+    stream = delivered(spark, str(tmp_path / "in"), batches)
+    view, progress = str(tmp_path / "view"), str(tmp_path / "cp")
+    snapshot.start_live_view(stream, view, progress, "id", "ts", "n").awaitTermination()
+    before = snapshot.generations(spark, view)[0]
+    for lost in (tmp_path / "cp" / "commits").glob("*1*"):
+        lost.unlink()
+    snapshot.start_live_view(stream, view, progress, "id", "ts", "n").awaitTermination()
+    assert snapshot.generations(spark, view)[0] == before
+    snapshot.start_live_view(stream, view, str(tmp_path / "other"), "id", "ts", "n").awaitTermination()
+    assert snapshot.generations(spark, view)[0].number == 4
+    found = {r["id"]: r["note"] for r in snapshot.live_view(spark, view, "id", "ts", "n").collect()}
+    assert found == {"a": "a2", "b": "b1"}

@@ -13,6 +13,7 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from herdspark.functions.values import interval_label
-from herdspark.operators import boosting, rules
+from herdspark.operators import boosting, grams, rules
 from herdspark.operators import metrics as scores
 from herdspark.operators.latest import largest_groups
 from herdspark.operators.splits import fixed_sample, ranked
@@ -344,10 +345,11 @@ def fit_candidate(
     weight: str | None = None,
     facts: Facts | None = None,
     forbidden: Sequence[str] = (),
+    vectors: tuple[PipelineModel, DataFrame] | None = None,
 ) -> Fitted:
     """Preprocess and fit one candidate; barred names are refused before any job.
 
-    ``facts`` spares learning again what several candidates share.
+    ``facts`` and ``vectors`` (of ``vector_table``) spare learning and computing again what several candidates share.
     """
     leaked = sorted({label, *forbidden} & set(features.names))
     if leaked:
@@ -356,8 +358,11 @@ def fit_candidate(
         raise ValueError("classification needs the row key")
     started = time.perf_counter()
     facts = facts or learn_facts(train, features, None if classification else label)[0]
-    prepared = preprocessor(features, facts, train)
-    rows = prepared.transform(train)
+    if vectors is None:
+        prepared = preprocessor(features, facts, train)
+        rows = prepared.transform(train)
+    else:
+        prepared, rows = vectors
     if classification:
         stages = _classifier(rows, label, key, candidate, seed, weight).stages
     else:
@@ -366,6 +371,13 @@ def fit_candidate(
     return Fitted(candidate, model, time.perf_counter() - started)
 
 
+def vector_table(train: DataFrame, features: Features, facts: Facts, keep: Sequence[str]) -> tuple[PipelineModel, DataFrame]:
+    """The preprocessor and the persisted rows it makes: kept columns and the feature vector, no raw inputs."""
+    prepared = preprocessor(features, facts, train)
+    rows = prepared.transform(train).select(*dict.fromkeys(keep), "features")
+    return prepared, rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def prepared_for(candidate: Candidate, features: Features) -> Features:
     """Scaled numbers for linear candidates, plain ones for trees."""
     return Features(features.categories, features.numbers, features.indicators, scaled=candidate.linear and features.scaled)
@@ -392,12 +404,19 @@ def evaluate_candidates(
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     validation = validation.persist(StorageLevel.MEMORY_AND_DISK)
     fitted: dict[str, Fitted] = {}
+    tables: dict[Features, tuple[PipelineModel, DataFrame]] = {}
+    keep = [label, key, *([weight] if weight else [])]
     predicted = None
     try:
         facts = learn_facts(train, features, None if classification else label)[0]
         output = "predicted_label" if classification else PREDICTION
         for c in candidates:
-            fitted[c.id] = fit_candidate(train, prepared_for(c, features), label, c, key, classification, seed, weight, facts)
+            inputs = prepared_for(c, features)
+            if inputs not in tables and label not in inputs.names:
+                tables[inputs] = vector_table(train, inputs, facts, keep)
+            fitted[c.id] = fit_candidate(
+                train, inputs, label, c, key, classification, seed, weight, facts, vectors=tables.get(inputs)
+            )
             part = fitted[c.id].predict(validation).select(F.lit(c.id).alias("configuration_id"), label, output)
             predicted = part if predicted is None else predicted.unionByName(part)
         if classification:
@@ -406,6 +425,8 @@ def evaluate_candidates(
             scored = scores.regression_metrics(predicted, label, output, ["configuration_id"])
         found = spark.createDataFrame(scored.collect(), scored.schema)  # one row per candidate
     finally:
+        for _, rows in tables.values():
+            rows.unpersist()
         train.unpersist()
         validation.unpersist()
     about = spark.createDataFrame(
@@ -565,11 +586,20 @@ def grouped_cross_validation(
     rows: DataFrame, features: Features, label: str, candidates: Sequence[Candidate], key: str, group: str,
     fold: str = "group_fold", folds: int = 5, seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
-    """(pooled metrics with stability and baseline flag, fold metrics) per configuration."""
+    """(pooled metrics with stability and baseline flag, fold metrics) per configuration.
+
+    All linear candidates are fitted on all folds from one pass and predicted in another.
+    """
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     facts = learn_facts(rows, features, label, fold, folds)
+    linear = [c for c in candidates if c.algorithm in ("linear", "ridge")]
+    grid = linear_grid(rows, features, label, linear, key, fold, folds, facts) if linear else None
     parts = None
+    if grid is not None:
+        parts = grid.select("configuration_id", F.lit(False).alias("is_baseline"), fold, label, PREDICTION)
     for c in candidates:
+        if grid is not None and c in linear:
+            continue
         predicted = cross_fitted(rows, features, label, c, key, fold, folds, seed=seed, facts=facts, carry=(label,))
         tagged = predicted.select(
             F.lit(c.id).alias("configuration_id"), F.lit(c.baseline is not None).alias("is_baseline"), fold, label, PREDICTION
@@ -582,6 +612,40 @@ def grouped_cross_validation(
     return pooled.join(stability, keys), by_fold
 
 
+def linear_grid(
+    rows: DataFrame, features: Features, label: str, candidates: Sequence[Candidate], key: str, fold: str, folds: int,
+    facts: Mapping[int, Facts],
+) -> DataFrame | None:
+    """(key, label, fold, configuration_id, prediction) of a grid of linear and ridge candidates.
+
+    Products are summed up per fold once; a model's are the total less its held-out fold, turned into
+    the features that the other folds define. None where the design is too wide; it is fitted by iteration then.
+    """
+    leaked = {label} & set(features.names)
+    if leaked:
+        raise ValueError(f"target or identifier used as a feature: {label}")
+    values = tuple((c, tuple(sorted({v for f in facts.values() for v in f.labels[c]}))) for c in features.categories)
+    # Indicators of columns that are no number inputs have no flag in the design.
+    extra = [c for c in features.indicators if c not in features.numbers]
+    design = grams.Design(values, tuple((c, facts[1].means[c]) for c in features.numbers))
+    if extra or design.width > grams.MAX_WIDTH:
+        return None
+    centre = facts[1].means[label]
+    sums = grams.fold_products(rows, design, label, centre, fold, folds)
+    gram, with_label = (sum(s[i] for s in sums.values()) for i in (0, 1))
+    weights = {}
+    for f, (own, own_label) in sums.items():
+        found = []
+        for c in candidates:
+            inputs = prepared_for(c, features)
+            scales = {n: (facts[f].means[n], facts[f].deviations[n]) for n in inputs.numbers} if inputs.scaled else {}
+            shape = design.features(facts[f].labels, facts[f].modes, facts[f].medians, scales, inputs.indicators)
+            alpha = float(c.parameters["alpha"]) if c.algorithm == "ridge" else 0.0
+            found.append(grams.solve(gram - own, with_label - own_label, shape, alpha, centre))
+        weights[f] = np.array(found)
+    return grams.predictions(rows, design, fold, weights, [c.id for c in candidates], [key, label])
+
+
 def final_holdout(
     development: DataFrame, holdout: DataFrame, features: Features, label: str, selected: Candidate,
     baselines: Sequence[Candidate], key: str, minimum: float = 0.05,

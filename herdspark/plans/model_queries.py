@@ -198,6 +198,31 @@ def grouped_cross_validation(spark, sf_dir):
     )
 
 
+RIDGES = (0.0, 10.0, 1000.0, 100000.0)
+
+
+@query(
+    "ridge_grid_cross_validation",
+    f"""WITH {CUSTOMER_GROUPS}, s AS (SELECT f, count(*) AS n, sum(price) AS sy, sum(quantity) AS sx, sum(price * quantity) AS sxy, sum(quantity * quantity) AS sxx FROM dev GROUP BY 1),
+        o AS (SELECT a.f, sum(b.n) AS n, sum(b.sy) AS sy, sum(b.sx) AS sx, sum(b.sxy) AS sxy, sum(b.sxx) AS sxx FROM s a JOIN s b ON a.f <> b.f GROUP BY 1),
+        m AS (SELECT f, sy / n AS my, sx / n AS mx, sxy - sx * sy / n AS c, sxx - sx * sx / n AS v FROM o),
+        x AS (SELECT 'ridge_' || alpha::BIGINT AS configuration_id, dev.f, price AS a, my + c / (v + alpha) * (quantity - mx) AS p FROM dev JOIN m USING (f), (SELECT unnest({list(RIDGES)})::DOUBLE AS alpha)),
+        folds AS (SELECT configuration_id, f, avg(abs(a - p)) AS mae FROM x GROUP BY 1, 2),
+        st AS (SELECT configuration_id, round(avg(mae), 3) AS fold_mae_mean, round(stddev_samp(mae), 3) AS fold_mae_standard_deviation FROM folds GROUP BY 1),
+        po AS (SELECT configuration_id, count(*) AS rows, round(avg(abs(a - p)), 3) AS mae, round(1 - sum((a - p) * (a - p)) / (var_pop(a) * count(*)), 5) AS r2 FROM x GROUP BY 1)
+        SELECT configuration_id, rows, mae, r2, fold_mae_mean, fold_mae_standard_deviation FROM po JOIN st USING (configuration_id)""",
+)
+def ridge_grid_cross_validation(spark, sf_dir):
+    """Four penalties over five folds of customers, from one pass of sums."""
+    rows = _grouped(spark, sf_dir).filter("partition = 'development'")
+    grid = [m.Candidate(f"ridge_{alpha:.0f}", "ridge", {"alpha": alpha}, linear=True) for alpha in RIDGES]
+    pooled, _ = m.grouped_cross_validation(rows, ONE, "price", grid, "id", "customer")
+    return pooled.select(
+        "configuration_id", "rows", F.round("mae", 3).alias("mae"), F.round("r2", 5).alias("r2"),
+        *[F.round(c, 3).alias(c) for c in ("fold_mae_mean", "fold_mae_standard_deviation")],
+    )
+
+
 @query(
     "final_group_holdout",
     f"""WITH {CUSTOMER_GROUPS}, m AS (SELECT avg(price) AS mean, median(price) AS med, regr_slope(price, quantity) AS s, regr_intercept(price, quantity) AS i FROM dev),

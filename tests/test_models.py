@@ -105,6 +105,31 @@ def test_candidates_and_cross_fitting(spark, rows):
     assert [r["heldout_rows"] for r in audit] == [50] * 4 and all(r["heldout_rows_in_fit"] == 0 and r["fit_rows"] == 150 for r in audit)
 
 
+@pytest.mark.parametrize("scaled", [True, False])
+def test_linear_grid_equals_fits_of_every_fold(spark, rows, scaled):
+    """A fold lacks a category, one has a number that is always missing in it; the sums of the others still give its model."""
+    odd = spark.createDataFrame([(200 + i, "z", "only1", 5.0 + i, 20.0 + i, "lo") for i in range(6)], rows.schema)
+    folded = rows.unionByName(odd).withColumn("f", F.when(F.col("g") == "z", 1).otherwise(F.col("id") % 4 + 1))
+    folded = folded.withColumn("w", F.when(F.col("f") != 2, F.col("x") * 1000 + F.col("id") % 7)).repartition(5)
+    features = m.Features(("c",), ("x", "w"), ("x",), scaled=scaled)
+    grid = [m.Candidate(f"r{a}", "ridge", {"alpha": a}, linear=True) for a in (0.1, 1.0, 10.0)]
+    facts = m.learn_facts(folded, features, "y", "f", 4)
+    found = m.linear_grid(folded, features, "y", grid, "id", "f", 4, facts)
+    got = {(r["configuration_id"], r["id"]): r["prediction"] for r in found.collect()}
+    assert len(got) == 3 * 206
+    for c in grid:
+        for r in m.cross_fitted(folded, features, "y", c, "id", "f", 4, facts=facts).collect():
+            assert math.isclose(got[c.id, r["id"]], r["prediction"], rel_tol=1e-6, abs_tol=1e-6), (c.id, r)
+
+
+def test_linear_grid_of_wide_designs_and_hidden_targets(rows):
+    folded = rows.withColumn("f", F.col("id") % 2 + 1)
+    with pytest.raises(ValueError, match="target"):
+        m.linear_grid(folded, m.Features((), ("y",)), "y", [LINEAR], "id", "f", 2, {})
+    wide = {f: m.Facts({"c": tuple(f"v{i}" for i in range(600))}, {}, {}, {"y": 0.0}, {}, 1) for f in (1, 2)}
+    assert m.linear_grid(folded, m.Features(("c",)), "y", [LINEAR], "id", "f", 2, wide) is None
+
+
 def test_too_many_categories_are_refused(rows, monkeypatch):
     monkeypatch.setattr(m, "MAX_CATEGORY_VALUES", 1)
     with pytest.raises(m.TooManyCategories):

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from herdspark.functions.dates import parsed_date
 from herdspark.functions.text import canonical_id
-from herdspark.functions.values import is_text, number_of, quoted
+from herdspark.functions.values import finite_or_null, is_infinite, is_text, number_of, quoted
+from herdspark.operators import grams
+from herdspark.session import cut_lineage
 
 
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -42,13 +46,90 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return wide.agg(*aggregates).select(F.explode(rows).alias("r")).select("r.*")
 
 
-def all_correlations(df: DataFrame, columns: Sequence[str], flag_at: float = 0.9999) -> DataFrame:
+#: From so many columns on, correlations come from blocks of products instead of an aggregate per pair.
+WIDE = 16
+#: Pairs that are checked by their own aggregates in one pass.
+PAIRS_A_PASS = 200
+
+
+def all_correlations(df: DataFrame, columns: Sequence[str], flag_at: float = 0.9999, wide: int = WIDE) -> DataFrame:
     """all column pairs with a flag for near-perfect ones."""
-    found = correlations(df, list(combinations(columns, 2)))
+    found = correlations(df, list(combinations(columns, 2))) if len(columns) < wide else blocked_correlations(df, columns)
     strong = F.coalesce(F.abs("correlation") >= flag_at, F.lit(False))
     return found.withColumn("near_perfect", strong)
 
 
+def blocked_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """F10 for wide tables: (left, right, pairs, correlation) of all column pairs from two passes.
+
+    A task multiplies its rows' values, squares and masks as matrices; every pair's sums over its complete
+    rows are entries of these products. Values are taken from their column's mean, which changes no
+    correlation and keeps the sums small. A pair that is nearly constant by its sums, or whose column holds an
+    infinity, is answered by its own aggregates; so null still means constant, never rounding.
+    """
+    width = len(columns)
+    wide = df.select(*[number_of(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    facts = wide.agg(
+        *[
+            F.struct(F.avg(finite_or_null(F.col(f"c{i}"))).alias("mean"), F.count_if(is_infinite(F.col(f"c{i}"))).alias("infinite")).alias(f"c{i}")
+            for i in range(width)
+        ],
+        F.count(F.lit(1)).alias("rows"),
+    ).first()
+    if not facts["rows"]:
+        nothing = [(left, right, 0, None) for left, right in combinations(columns, 2)]
+        return df.sparkSession.createDataFrame(nothing, "left string, right string, pairs bigint, correlation double")
+    means = np.array([facts[i]["mean"] or 0.0 for i in range(width)])
+    infinite = [i for i in range(width) if facts[i]["infinite"]]
+
+    partial = wide.mapInArrow(_pair_products(means), "i int, block int, n array<double>, x array<double>, y array<double>, xx array<double>, yy array<double>, xy array<double>")
+    sums = grams.add_blocks(partial, ["i", "block"], ["n", "x", "y", "xx", "yy", "xy"])
+    cells = F.arrays_zip("n", "x", "y", "xx", "yy", "xy")
+    each = sums.select("i", "block", F.posexplode(cells).alias("k", "s")).select("i", (F.col("block") * grams.BLOCK + F.col("k")).alias("j"), "s.*")
+    each = cut_lineage(each.filter((F.col("j") > F.col("i")) & (F.col("j") < width)))
+    n = F.nullif("n", F.lit(0.0))
+    vx, vy = F.col("xx") - F.col("x") * F.col("x") / n, F.col("yy") - F.col("y") * F.col("y") / n
+    # Rounding leaves about 1e-16 of the squares; ten thousand times as much is certainly spread.
+    clear = (vx > F.col("xx") * 1e-12) & (vy > F.col("yy") * 1e-12) & ~F.col("i").isin(infinite) & ~F.col("j").isin(infinite)
+    shared = (F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(vx * vy)
+    names = F.array(*[F.lit(c) for c in columns])
+    told = each.withColumn("clear", F.coalesce(clear, F.lit(False)) | (F.col("n") == 0))
+    out = told.filter("clear").select(
+        names[F.col("i")].alias("left"), names[F.col("j")].alias("right"), F.col("n").cast("bigint").alias("pairs"),
+        F.when(F.col("n") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), shared))).alias("correlation"),
+    )
+    # At most the number of pairs of the table's columns.
+    unclear = [(columns[r["i"]], columns[r["j"]]) for r in told.filter("not clear").select("i", "j").collect()]
+    for at in range(0, len(unclear), PAIRS_A_PASS):
+        out = out.unionByName(correlations(df, unclear[at : at + PAIRS_A_PASS]))
+    return out
+
+
+def _pair_products(means: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per task the sums of all pairs: rows of one column against a block of columns not before it."""
+    width, block = len(means), grams.BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((6, width, width))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(np.float64) - means
+            m = np.isfinite(x).astype(np.float64)
+            x[m == 0] = 0.0
+            squares = x * x
+            for k, (left, right) in enumerate(((m, m), (x, m), (m, x), (squares, m), (m, squares), (x, x))):
+                held[k] += left.T @ right
+        for i in range(width):
+            first = i // block
+            rows = grams.padded(held[:, i, first * block :]).reshape(6, -1, block)
+            count = rows.shape[1]
+            ends = pa.array(np.arange(count + 1, dtype=np.int32) * block)
+            arrays = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(rows[k]).ravel())) for k in range(6)]
+            place = [pa.array(np.full(count, i, np.int32)), pa.array(np.arange(first, first + count, dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays([*place, *arrays], ["i", "block", "n", "x", "y", "xx", "yy", "xy"])
+
+    return run
+
+
 def contingency(df: DataFrame, left: str, right: str) -> DataFrame:
     """rows per pair of values, missing values kept as their own."""
     return df.groupBy(quoted(left).alias("left"), quoted(right).alias("right")).agg(

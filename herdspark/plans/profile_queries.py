@@ -256,6 +256,22 @@ def all_pairs_correlation(spark, sf_dir):
     return rounded(relations.all_correlations(lines, (*ALL, "double_quantity")), 6)
 
 
+@query(
+    "wide_correlations",
+    """WITH v AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+       k AS (SELECT vec_id, i, CASE WHEN abs(x) >= 0.01 THEN x END AS x FROM v),
+       p AS (SELECT a.i, b.i AS j, count(a.x + b.x) AS pairs, corr(a.x, b.x) AS r FROM k a JOIN k b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY 1, 2)
+       SELECT 'd' || i AS "left", 'd' || j AS "right", pairs, round(r, 6) AS correlation, abs(r) >= 0.9999 AS near_perfect FROM p""",
+)
+def wide_correlations(spark, sf_dir):
+    """All pairs of an embedding's dimensions; small values count as missing."""
+    vectors = table(spark, sf_dir, "embeddings")
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    cell = [F.get("embedding", F.lit(i)).cast("double") for i in range(width)]
+    wide = vectors.select(*[F.when(F.abs(c) >= 0.01, c).alias(f"d{i + 1}") for i, c in enumerate(cell)])
+    return rounded(relations.all_correlations(wide, wide.columns), 6)
+
+
 @query(
     "cramers_association",
     """WITH o AS (SELECT o_orderstatus AS l, o_orderpriority AS r, count(*)::DOUBLE AS n FROM orders GROUP BY 1, 2),

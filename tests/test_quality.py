@@ -255,3 +255,42 @@ def test_quantiles_with_an_outlier_and_a_hot_value(spark):
     assert found[("b",)]["p50"] == 1.0 and found[("b",)]["standard_deviation"] is None
     assert found[("c",)]["p50"] is None and found[("c",)]["unique_values"] == 0 and found[("c",)]["missing_count"] == 1
     assert found[(None,)]["median"] == 3.0
+
+
+def test_blocked_correlations_equal_one_aggregate_per_pair(spark):
+    """Columns with nulls, an infinity, a constant, a large mean, a constant overlap, one without values; 40 in all."""
+    rng = random.Random(31)
+    names = [f"c{i}" for i in range(40)]
+    rows = []
+    for i in range(150):
+        base = rng.gauss(0, 1)
+        row = [base * (k % 5) + rng.gauss(0, 1) if rng.random() < 0.8 else None for k in range(40)]
+        row[3] = float("inf") if i == 17 else base
+        row[4] = 7.5
+        row[5] = 1e9 + base
+        row[6] = 0.1 if i < 40 else base
+        row[7] = base if i < 40 else None
+        row[8] = None
+        row[9] = float("nan") if i % 3 else base
+        rows.append(tuple(row))
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(7)
+    got = {(r["left"], r["right"]): r for r in relations.blocked_correlations(df, names).collect()}
+    assert len(got) == 40 * 39 // 2
+    chosen = [(a, b) for a, b in got if names.index(b) < 10]
+    for r in relations.correlations(df, chosen).collect():
+        mine = got[r["left"], r["right"]]
+        assert mine["pairs"] == r["pairs"], r
+        if r["correlation"] is None or math.isnan(r["correlation"]):
+            assert str(mine["correlation"]) == str(r["correlation"]), (r, mine)
+        else:
+            assert math.isclose(mine["correlation"], r["correlation"], abs_tol=1e-6), (r, mine)
+    for (a, b), mine in got.items():
+        if names.index(a) >= 10:
+            both = [(r[names.index(a)], r[names.index(b)]) for r in rows]
+            both = [(x, y) for x, y in both if x is not None and y is not None]
+            assert mine["pairs"] == len(both)
+            assert math.isclose(mine["correlation"], statistics.correlation(*zip(*both)), abs_tol=1e-9)
+    assert got["c6", "c7"]["correlation"] is None and got["c6", "c7"]["pairs"] == 40
+    assert got["c0", "c8"]["pairs"] == 0 and got["c0", "c8"]["correlation"] is None
+    empty = relations.all_correlations(df.limit(0), names).collect()
+    assert len(empty) == 780 and all(r["pairs"] == 0 and r["correlation"] is None for r in empty)

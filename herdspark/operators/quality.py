@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from herdspark.functions.text import looked_up
-from herdspark.functions.values import is_number, is_text, number_of
+from herdspark.functions.values import is_number, is_text, missing_null, number_of
 from herdspark.operators.catalogue import leakage_classes
+from herdspark.operators.mapping import candidate_presence
 from herdspark.operators.profile import cell_counts, spelling_groups
-from herdspark.operators.relations import duplicate_rows
+from herdspark.operators.relations import all_correlations, duplicate_rows
 
 
 @dataclass(frozen=True)
@@ -245,6 +246,113 @@ def duplicate_check(df: DataFrame) -> DataFrame:
     )
 
 
+def profile_checks(df: DataFrame, counts: DataFrame) -> DataFrame:
+    """F1 as check rows: type, distinct values and range of every column, from cell counts."""
+    dtypes = dict(df.dtypes)
+    numeric = [c for c in df.columns if is_number(df, c)]
+    value, known = F.col("value"), F.col("value").isNotNull()
+    number = F.when(F.col("column").isin(*numeric), F.expr("try_cast(value as double)"))
+    order = F.struct(number, F.when(number.isNull(), value))
+    facts = counts.groupBy("column").agg(
+        F.sum("n").alias("total_rows"), F.count("value").alias("affected_rows"),
+        F.min_by("value", F.when(known, order)).alias("low"), F.max_by("value", F.when(known, order)).alias("high"),
+    )
+    held = F.concat_ws(" to ", "low", "high")
+    return _finish(
+        facts.select(
+            "column", "total_rows", "affected_rows", F.lit("Distinct values").alias("issue"), F.lit("INFO").alias("status"),
+            F.lit("INFO").alias("severity"), F.concat_ws(": ", looked_up(F.col("column"), dtypes), F.nullif(held, F.lit(""))).alias("evidence"),
+        )
+    )
+
+
+def empty_row_check(df: DataFrame) -> DataFrame:
+    """A row without any value, as a check row."""
+    empty = F.lit(True)
+    for c in df.columns:
+        empty = empty & missing_null(df, c)
+    rows = df.agg(F.count_if(empty).alias("affected_rows"), F.count(F.lit(1)).alias("total_rows"))
+    return _checked(rows.withColumn("column", F.lit("ALL_COLUMNS")), "Empty rows", "Rows whose cells are all missing.")
+
+
+def blank_line_check(blanks: DataFrame) -> DataFrame:
+    """A4 as a check row; ``blanks`` is the one row of ``blank_lines`` for the file behind the table."""
+    rows = blanks.select(
+        F.col("blank_lines").alias("affected_rows"), F.lit(None).cast("bigint").alias("total_rows"), F.lit("ALL_COLUMNS").alias("column")
+    )
+    return _checked(rows, "Blank lines", "Physical lines after the header that hold no text.")
+
+
+def population_checks(counts: DataFrame, populations: Mapping[str, Mapping[str, Sequence[str]]]) -> DataFrame:
+    """F16 as check rows: rows of each population class, values that belong to none flagged."""
+    member = {f"{c}\n{v}": name for c, classes in populations.items() for name, values in classes.items() for v in values}
+    wanted = F.col("value").isNotNull() & F.col("column").isin(*populations)
+    # The filter reads ``n``, so it stays above the counts and their shuffle is shared.
+    rows = counts.filter(F.when(wanted, F.col("n")) > 0)
+    found = looked_up(F.concat_ws("\n", "column", "value"), member)
+    by_class = rows.groupBy("column", F.coalesce(found, F.lit("UNCLASSIFIED")).alias("class")).agg(
+        F.sum("n").alias("affected_rows"), F.count(F.lit(1)).alias("values")
+    )
+    totals = rows.groupBy("column").agg(F.sum("n").alias("total_rows"))
+    odd = F.col("class") == "UNCLASSIFIED"
+    return _finish(
+        by_class.join(totals, "column").select(
+            "column", "total_rows", "affected_rows", F.concat(F.lit("Population "), "class").alias("issue"),
+            F.when(odd, "FLAGGED").otherwise("INFO").alias("status"), F.when(odd, "WARNING").otherwise("INFO").alias("severity"),
+            F.concat(F.col("values").cast("string"), F.lit(" distinct values.")).alias("evidence"),
+        )
+    )
+
+
+def candidate_checks(
+    df: DataFrame, counts: DataFrame, candidates: Mapping[str, Sequence[str]], availability: Mapping[str, str]
+) -> DataFrame:
+    """B15 as check rows: wanted features, the missing rows of those that are there."""
+    gone = F.when(F.col("value").isNull(), F.col("n"))
+    facts = counts.groupBy("column").agg(
+        F.sum("n").alias("total_rows"), F.coalesce(F.sum(gone), F.lit(0)).alias("missing"), F.count("value").alias("unique_non_null")
+    )
+    table = facts.select(
+        "column", looked_up(F.col("column"), dict(df.dtypes)).alias("data_type"),
+        F.try_divide(F.col("missing") * 100.0, F.col("total_rows")).alias("missing_percentage"), "unique_non_null",
+    )
+    found = candidate_presence(table, candidates, availability)
+    rows = found.join(facts.select(F.col("column").alias("source_column"), "missing", "total_rows"), "source_column", "left")
+    safe = F.col("prediction_time_safety") == "SAFE_WITH_INPUT_VALIDATION"
+    return _finish(
+        rows.select(
+            F.coalesce("source_column", "candidate_feature").alias("column"), "total_rows", F.col("missing").alias("affected_rows"),
+            F.concat(F.lit("Candidate feature "), "candidate_feature").alias("issue"),
+            F.when(~F.col("present"), "NOT_APPLICABLE").when(safe, "PASS").otherwise("FLAGGED").alias("status"),
+            F.when(F.col("present") & ~safe, "WARNING").otherwise("INFO").alias("severity"),
+            F.when(~F.col("present"), "No column of this name or its aliases.").otherwise(F.col("prediction_time_safety")).alias("evidence"),
+        )
+    )
+
+
+def synthetic_checks(df: DataFrame, counts: DataFrame, balanced: Sequence[str], even: float = 0.05) -> DataFrame:
+    """F32 and F10 as check rows: classes of nearly the same size, and numbers that follow each other exactly."""
+    n = F.when(F.col("value").isNotNull() & F.col("column").isin(*balanced), F.col("n"))
+    classes = counts.groupBy("column").agg(
+        F.count(n).alias("classes"), (F.max(n) - F.min(n)).alias("affected_rows"), F.sum(n).alias("total_rows"), F.avg(n).alias("mean")
+    )
+    flat = (F.col("classes") > 1) & (F.col("affected_rows") <= even * F.col("mean"))
+    balance = _finish(
+        classes.filter(F.col("column").isin(*balanced)).select(
+            "column", "total_rows", "affected_rows", F.lit("Evenly balanced classes").alias("issue"),
+            F.when(flat, "FLAGGED").otherwise("PASS").alias("status"), F.lit("INFO").alias("severity"),
+            F.lit("Rows between the largest and the smallest class.").alias("evidence"),
+        )
+    )
+    numbers = [c for c in df.columns if is_number(df, c)]
+    if len(numbers) < 2:
+        return balance
+    exact = all_correlations(df, numbers).filter("near_perfect").select(
+        F.concat_ws(", ", "left", "right").alias("column"), F.col("pairs").alias("total_rows"), F.col("pairs").alias("affected_rows")
+    )
+    return balance.unionByName(_checked(exact, "Near-perfect correlation", "Correlation of 0.9999 or more over complete pairs."))
+
+
 def table_audit(
     df: DataFrame, rules: Sequence[Rule], unclear: Sequence[tuple[str, str]] = (),
     identifiers: Sequence[str] = (), dataset: str = "table", targets: Sequence[str] = (),
@@ -254,11 +362,44 @@ def table_audit(
     The constancy, missing, identifier and spelling sections read one table of
     cell counts and share its shuffle.
     """
-    text = [c for c in df.columns if is_text(df, c)]
+    return _tagged(_table_sections(df, cell_counts(df, df.columns), rules, unclear, identifiers, dataset, targets))
+
+
+def dataset_audit(
+    df: DataFrame, rules: Sequence[Rule], unclear: Sequence[tuple[str, str]] = (),
+    identifiers: Sequence[str] = (), dataset: str = "table", targets: Sequence[str] = (),
+    populations: Mapping[str, Mapping[str, Sequence[str]]] | None = None,
+    candidates: Mapping[str, Sequence[str]] | None = None, availability: Mapping[str, str] | None = None,
+    balanced: Sequence[str] = (), blanks: DataFrame | None = None,
+) -> DataFrame:
+    """the whole audit of a dataset: those of ``table_audit``, and its profile, empty rows, blank lines of its
+    file, populations, candidate features and synthetic indicators.
+
+    ``populations`` names the known classes of a column's values, ``candidates`` the wanted features and their
+    aliases. An empty table gives its sections with zero rows or none.
+    """
     counts = cell_counts(df, df.columns)
+    parts = _table_sections(df, counts, rules, unclear, identifiers, dataset, targets)
+    parts += [("profile", profile_checks(df, counts)), ("empty rows", empty_row_check(df))]
+    if blanks is not None:
+        parts.append(("blank lines", blank_line_check(blanks)))
+    if populations:
+        parts.append(("populations", population_checks(counts, populations)))
+    if candidates:
+        parts.append(("candidates", candidate_checks(df, counts, candidates, availability or {})))
+    if balanced:
+        parts.append(("synthetic", synthetic_checks(df, counts, balanced)))
+    return _tagged(parts)
+
+
+def _table_sections(
+    df: DataFrame, counts: DataFrame, rules: Sequence[Rule], unclear: Sequence[tuple[str, str]],
+    identifiers: Sequence[str], dataset: str, targets: Sequence[str],
+) -> list[tuple[str, DataFrame]]:
+    text = [c for c in df.columns if is_text(df, c)]
     parts = [
         ("duplicates", duplicate_check(df)),
-        ("rules", rule_checks(df, rules, unclear)),
+        *([("rules", rule_checks(df, rules, unclear))] if rules or unclear else []),
         ("constancy", constancy_checks(df, counts=counts)),
         ("missing", missing_checks(counts)),
     ]
@@ -268,6 +409,10 @@ def table_audit(
         parts.append(("spelling", spelling_checks(df, text, counts)))
     if targets:
         parts.append(("leakage", leakage_checks(df, dataset, targets)))
+    return parts
+
+
+def _tagged(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     out = None
     for section, rows in parts:
         tagged = rows.select(F.lit(section).alias("section"), "*")

@@ -446,6 +446,41 @@ def whole_table_audit(spark, sf_dir):
     return rounded(quality.table_audit(rows, LINE_RULES, UNCLEAR, ["l_orderkey"], "lines", ["l_tax"]))
 
 
+AUDITED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority", "customer_twice")
+
+
+@query(
+    "dataset_audit_sections",
+    f"""WITH t AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS o_custkey, o_orderstatus, o_orderdate, o_orderpriority,
+          CASE WHEN o_orderstatus <> 'P' THEN o_custkey * 2 END AS customer_twice FROM orders),
+        n AS (SELECT count(*) AS rows FROM t),
+        b AS (SELECT 'o_orderstatus' AS c, max(k) - min(k) AS d, avg(k) AS m, sum(k)::BIGINT AS rows FROM (SELECT count(*) AS k FROM t GROUP BY o_orderstatus)
+          UNION ALL SELECT 'o_orderpriority', max(k) - min(k), avg(k), sum(k)::BIGINT FROM (SELECT count(*) AS k FROM t GROUP BY o_orderpriority))
+        SELECT 'profile' AS section, 'Distinct values' AS issue, c AS "column", 'INFO' AS status, 'INFO' AS severity, k AS affected_rows, round(k * 100.0 / rows, 4) AS percentage, e AS evidence
+          FROM (SELECT unnest([{', '.join(f"'{c}'" for c in AUDITED)}]) AS c, unnest([{', '.join(f"count(DISTINCT {c})" for c in AUDITED)}]) AS k,
+            unnest([{', '.join(f"'{kind}: ' || min({c})::VARCHAR || ' to ' || max({c})::VARCHAR" for c, kind in zip(AUDITED, ("bigint", "bigint", "string", "timestamp_ntz", "string", "bigint"), strict=True))}]) AS e FROM t), n
+        UNION ALL SELECT 'empty rows', 'Empty rows', 'ALL_COLUMNS', 'PASS', 'WARNING', 0, 0.0, 'Rows whose cells are all missing.'
+        UNION ALL SELECT 'populations', 'Population ' || CASE WHEN o_orderstatus IN ('O', 'F') THEN 'KNOWN' ELSE 'UNCLASSIFIED' END, 'o_orderstatus', CASE WHEN o_orderstatus IN ('O', 'F') THEN 'INFO' ELSE 'FLAGGED' END,
+          CASE WHEN o_orderstatus IN ('O', 'F') THEN 'INFO' ELSE 'WARNING' END, count(*), round(count(*) * 100.0 / any_value(rows), 4), count(DISTINCT o_orderstatus) || ' distinct values.' FROM t, n GROUP BY ALL
+        UNION ALL SELECT 'candidates', 'Candidate feature customer', 'o_custkey', 'PASS', 'INFO', count(*) - count(o_custkey), round((count(*) - count(o_custkey)) * 100.0 / count(*), 4), 'SAFE_WITH_INPUT_VALIDATION' FROM t
+        UNION ALL SELECT 'candidates', 'Candidate feature weight', 'weight', 'NOT_APPLICABLE', 'INFO', NULL, NULL, 'No column of this name or its aliases.'
+        UNION ALL SELECT 'synthetic', 'Evenly balanced classes', c, CASE WHEN d <= 0.05 * m THEN 'FLAGGED' ELSE 'PASS' END, 'INFO', d, round(d * 100.0 / rows, 4), 'Rows between the largest and the smallest class.' FROM b
+        UNION ALL SELECT 'synthetic', 'Near-perfect correlation', 'o_custkey, customer_twice', 'FLAGGED', 'WARNING', count(o_custkey), 100.0, 'Correlation of 0.9999 or more over complete pairs.' FROM t""".replace(
+        "GROUP BY ALL", "GROUP BY o_orderstatus IN ('O', 'F')").replace("CASE WHEN o_orderstatus IN ('O', 'F')", "CASE WHEN any_value(o_orderstatus) IN ('O', 'F')"),
+)
+def dataset_audit_sections(spark, sf_dir):
+    """The sections that the whole audit has beyond those of a table."""
+    customer = F.when(F.col("o_orderstatus") != "P", F.col("o_custkey"))
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", customer.alias("o_custkey"), "o_orderstatus", "o_orderdate", "o_orderpriority", (customer * 2).alias("customer_twice")
+    )
+    found = quality.dataset_audit(
+        rows, (), populations={"o_orderstatus": {"KNOWN": ("O", "F")}}, candidates={"customer": ("O custkey",), "weight": ()},
+        availability={"customer": "PROVIDED"}, balanced=("o_orderstatus", "o_orderpriority"),
+    )
+    return rounded(found.filter(F.col("section").isin("profile", "empty rows", "populations", "candidates", "synthetic")))
+
+
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 ORDER_CONTRACT = TableContract(
     fields={

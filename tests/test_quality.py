@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from herdspark.operators import catalogue, cleaning, formulas, issues, mapping, profile, quality, relations, summary, validate
 from herdspark.operators.contracts import HERD, HERD_ALIASES, INFERENCE, TRAINING, ContractError, ModelContract
+from herdspark.sources import tables
 from tests.fixtures import SCHEMA, observations
 
 
@@ -294,3 +295,27 @@ def test_blocked_correlations_equal_one_aggregate_per_pair(spark):
     assert got["c0", "c8"]["pairs"] == 0 and got["c0", "c8"]["correlation"] is None
     empty = relations.all_correlations(df.limit(0), names).collect()
     assert len(empty) == 780 and all(r["pairs"] == 0 and r["correlation"] is None for r in empty)
+
+
+def test_dataset_audit_has_every_section(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b,k\n1,2,x\n\n2,4,y\n   \n")
+    rows = [(1, 2, "x"), (2, 4, "y"), (None, None, None), (10, 20, "x"), (10, 20, "z")]
+    df = spark.createDataFrame(rows, "a int, b int, k string")
+    blanks = tables.blank_lines(spark, str(tmp_path / "t.csv"))
+    found = quality.dataset_audit(
+        df, (), identifiers=["a"], populations={"k": {"GOOD": ("x", "y")}}, candidates={"Alpha": ("A",), "gone": ()},
+        availability={}, balanced=["k"], blanks=blanks,
+    ).collect()
+    got = {(r["section"], r["issue"], r["column"]): r for r in found}
+    assert len(got) == len(found)
+    assert got["profile", "Distinct values", "a"]["evidence"] == "int: 1 to 10" and got["profile", "Distinct values", "a"]["affected_rows"] == 3
+    assert got["empty rows", "Empty rows", "ALL_COLUMNS"]["affected_rows"] == 1
+    assert got["blank lines", "Blank lines", "ALL_COLUMNS"]["affected_rows"] == 2
+    assert got["populations", "Population GOOD", "k"]["affected_rows"] == 3
+    assert got["populations", "Population UNCLASSIFIED", "k"]["status"] == "FLAGGED"
+    assert got["candidates", "Candidate feature Alpha", "a"]["status"] == "FLAGGED" and got["candidates", "Candidate feature gone", "gone"]["status"] == "NOT_APPLICABLE"
+    assert got["synthetic", "Evenly balanced classes", "k"]["status"] == "PASS"
+    assert got["synthetic", "Near-perfect correlation", "a, b"]["affected_rows"] == 4
+    assert {s for s, _, _ in got} == {"duplicates", "missing", "identifiers", "spelling", "profile", "empty rows", "blank lines", "populations", "candidates", "synthetic"}
+    empty = quality.dataset_audit(df.limit(0), (), populations={"k": {"GOOD": ("x",)}}, candidates={"Alpha": ("a",)}, balanced=["k"]).collect()
+    assert all(not r["affected_rows"] for r in empty)

@@ -7,11 +7,12 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from herdspark.functions import text, values
-from herdspark.operators import cleaning, issues, profile, quality, relations, validate
+from herdspark.operators import cleaning, issues, profile, quality, relations, sketches, validate
 from herdspark.operators.contracts import INFERENCE, TRAINING, FieldContract, ModelContract, TableContract
 from herdspark.plans.derived import DIRTY_ORDERS, dirty_orders
 from herdspark.plans.registry import query, table
 from herdspark.plans.summary_queries import rounded
+from herdspark.session import cut_lineage
 
 ORDER_COLUMNS = {
     "o_orderkey": ("bigint", "integer"),
@@ -446,6 +447,25 @@ def whole_table_audit(spark, sf_dir):
     return rounded(quality.table_audit(rows, LINE_RULES, UNCLEAR, ["l_orderkey"], "lines", ["l_tax"]))
 
 
+SKETCHED = ("l_orderkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag")
+
+
+@query(
+    "merged_sketch_errors",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS rows, count(DISTINCT {c}) AS exact_distinct, true AS distinct_within, {'true' if c in SKETCHED[:3] else 'NULL::BOOLEAN'} AS ranks_within FROM lineitem"""
+        for c in SKETCHED
+    ),
+)
+def merged_sketch_errors(spark, sf_dir):
+    """Sketches kept per return flag, those of two parts merged first and the last one later, against exact counts."""
+    lines = table(spark, sf_dir, "lineitem")
+    kept = cut_lineage(sketches.part_sketches(lines, SKETCHED, "l_returnflag"))
+    early = sketches.merged_sketches(kept.filter("part <> 'R'"))
+    profiled = cut_lineage(sketches.sketched_profile(sketches.merged_sketches(early.unionByName(kept.filter("part = 'R'")))))
+    return profiled.select("column", "rows").join(sketches.sketch_errors(lines, profiled, SKETCHED), "column")
+
+
 AUDITED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority", "customer_twice")
 
 

@@ -7,7 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from herdspark.operators import catalogue, cleaning, formulas, issues, mapping, profile, quality, relations, summary, validate
+from herdspark.operators import catalogue, cleaning, formulas, issues, mapping, profile, quality, relations, sketches, summary, validate
 from herdspark.operators.contracts import HERD, HERD_ALIASES, INFERENCE, TRAINING, ContractError, ModelContract
 from herdspark.sources import tables
 from tests.fixtures import SCHEMA, observations
@@ -319,3 +319,23 @@ def test_dataset_audit_has_every_section(spark, tmp_path):
     assert {s for s, _, _ in got} == {"duplicates", "missing", "identifiers", "spelling", "profile", "empty rows", "blank lines", "populations", "candidates", "synthetic"}
     empty = quality.dataset_audit(df.limit(0), (), populations={"k": {"GOOD": ("x",)}}, candidates={"Alpha": ("a",)}, balanced=["k"]).collect()
     assert all(not r["affected_rows"] for r in empty)
+
+
+def test_sketches_merge_over_parts(spark):
+    """Small parts are exact; missing cells, a column without values and a part of one row."""
+    rows = [(f"p{i % 3}", float(i % 50) if i % 10 else None, f"v{i % 7}", None) for i in range(300)] + [("last", 1000.0, "new", None)]
+    df = spark.createDataFrame(rows, "part string, x double, k string, gone int")
+    columns = ("x", "k", "gone")
+    parts = sketches.part_sketches(df, columns, "part")
+    assert parts.count() == 4 * 3
+    late = sketches.merged_sketches(sketches.merged_sketches(parts.filter("part <> 'last'")).unionByName(parts.filter("part = 'last'")))
+    whole = sketches.sketched_profile(sketches.part_sketches(df, columns))
+    for found in (by(sketches.sketched_profile(late).collect(), "column"), by(whole.collect(), "column")):
+        x, k, gone = (found[c,] for c in columns)
+        assert (x["rows"], x["missing"], x["distinct"], x["minimum"], x["maximum"]) == (301, 30, 46, 1.0, 1000.0)
+        assert abs(x["p50"] - 25) <= 1 and (k["missing"], k["distinct"], k["p50"]) == (0, 8, None)
+        assert (gone["missing"], gone["distinct"], gone["p50"]) == (301, 0, None)
+    assert all(r["distinct_within"] and r["ranks_within"] in (True, None) for r in sketches.sketch_errors(df, whole, columns).collect())
+    wrong = whole.withColumn("p50", F.lit(40.0))
+    assert not by(sketches.sketch_errors(df, wrong, columns).collect(), "column")["x",]["ranks_within"]
+    assert sketches.sketched_profile(sketches.merged_sketches(sketches.part_sketches(df.limit(0), columns, "part"))).count() == 0

@@ -46,7 +46,7 @@ from herdspark.operators.splits import fixed_sample, ranked
 from herdspark.operators.summary import long_values, quantiles_from_counts, value_counts
 
 PREDICTION = "prediction"
-#: One-hot values of all category features together; each becomes a column and a literal of the plan.
+#: One-hot values of a category feature; each becomes a column and a literal of the plan.
 MAX_CATEGORY_VALUES = 10_000
 
 
@@ -159,7 +159,7 @@ def learn_facts(
     Cells are counted per fold once. The counts without each fold follow from
     them, so cross-validation reads the rows one time for all its folds. What
     comes to the driver is one row per feature, and per category of a one-hot
-    feature; more than ``MAX_CATEGORY_VALUES`` of these are refused.
+    feature; a column with more than ``MAX_CATEGORY_VALUES`` of these is refused by name.
     """
     held = [0] if fold is None else list(range(1, folds + 1))
     keep = [] if fold is None else [fold]
@@ -170,10 +170,13 @@ def learn_facts(
             train.select(*keep, F.explode(cells).alias("c")).filter("c.value is not null")
             .groupBy(*keep, F.col("c.column").alias("column"), F.col("c.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
         )
-        most = MAX_CATEGORY_VALUES * len(held)
-        rows = _held_out(counts, fold, folds, ["column", "value"]).limit(most + 1).collect()
-        if len(rows) > most:
-            raise TooManyCategories(f"{', '.join(features.categories)}: more than {MAX_CATEGORY_VALUES} values; hash or group them first")
+        # A column's distinct values are those of all folds; one row per column tells whether they may come to the driver.
+        sizes = counts.groupBy("column").agg(F.countDistinct("value").alias("values")).filter(F.col("values") > MAX_CATEGORY_VALUES)
+        wide = sorted((r["column"], r["values"]) for r in sizes.collect())
+        if wide:
+            told = ", ".join(f"{c} ({n} values)" for c, n in wide)
+            raise TooManyCategories(f"{told}: more than {MAX_CATEGORY_VALUES}; hash or group them first")
+        rows = _held_out(counts, fold, folds, ["column", "value"]).collect()
         for r in rows:
             labels[r["heldout"]][r["column"]].append((r["value"], r["n"]))
     numbers = [*features.numbers, *([label] if label else [])]

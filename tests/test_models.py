@@ -136,6 +136,16 @@ def test_too_many_categories_are_refused(rows, monkeypatch):
         m.learn_facts(rows, FEATURES)
 
 
+def test_the_limit_of_categories_holds_for_each_column(rows, monkeypatch):
+    monkeypatch.setattr(m, "MAX_CATEGORY_VALUES", 4)
+    folded = rows.withColumn("f", F.col("id") % 4 + 1).withColumn("d", F.col("c"))
+    # Six values and more of all columns and folds together, two of each.
+    facts = m.learn_facts(folded, m.Features(("c", "d", "label")), fold="f", folds=4)
+    assert facts[1].labels == {"c": ("a", "b"), "d": ("a", "b"), "label": ("hi", "lo")}
+    with pytest.raises(m.TooManyCategories, match=r"^g \(10 values\)"):
+        m.learn_facts(folded, m.Features(("c", "g")), fold="f", folds=4)
+
+
 def test_fold_audit_finds_a_leak(spark, rows):
     folded = rows.withColumn("f", F.col("id") % 4 + 1)
     fits = []

@@ -83,22 +83,16 @@ def classification_metrics(
     )
 
 
-def regression_metrics(
-    df: DataFrame, actual: str, predicted: str, keys: Sequence[str] = ()
-) -> DataFrame:
-    """Errors and residuals per key, or over all rows.
-
-    The spread of the target is summed around each key's own mean, found in a
-    first pass, so large offsets do not cost precision.
-    """
-    keys = list(keys)
-    rows = df if keys else one_group(df)
-    by = keys or ["__all"]
-    rows = rows.select(
+def _residuals(df: DataFrame, actual: str, predicted: str, by: Sequence[str]) -> DataFrame:
+    return df.select(
         *by, F.col(actual).cast("double").alias("__a"), F.col(predicted).cast("double").alias("__p")
     ).withColumn("__e", F.col("__a") - F.col("__p"))
+
+
+def regression_sums(df: DataFrame, actual: str, predicted: str, keys: Sequence[str]) -> DataFrame:
+    """K12 but for the median error: what one pass of sums over the rows tells per key."""
     a, p, e = F.col("__a"), F.col("__p"), F.col("__e")
-    sums = rows.groupBy(*by).agg(
+    sums = _residuals(df, actual, predicted, keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
@@ -112,10 +106,25 @@ def regression_metrics(
         F.count_if(p < 0).alias("negative_prediction_count"),
     )
     constant = F.when(F.col("__sse") == 0, 1.0).otherwise(0.0)
-    sums = sums.withColumn("r2", F.coalesce(F.lit(1.0) - F.col("__unexplained"), constant))
+    return sums.withColumn("r2", F.coalesce(F.lit(1.0) - F.col("__unexplained"), constant))
+
+
+def regression_metrics(
+    df: DataFrame, actual: str, predicted: str, keys: Sequence[str] = (), few_keys: bool = False
+) -> DataFrame:
+    """Errors and residuals per key, or over all rows.
+
+    The spread of the target is summed around each key's own mean, found in a
+    first pass, so large offsets do not cost precision. ``few_keys`` is that of
+    ``quantiles_from_counts``.
+    """
+    keys = list(keys)
+    rows = df if keys else one_group(df)
+    by = keys or ["__all"]
+    sums = regression_sums(rows, actual, predicted, by)
     # Nearly every error is distinct, so errors are not counted by value first.
-    errors = rows.select(*by, F.abs(e).alias("value"), F.lit(1).cast("bigint").alias("n"))
-    median = quantiles_from_counts(errors, by, (0.5,)).withColumnRenamed("p50", "median_absolute_error")
+    errors = _residuals(rows, actual, predicted, by).select(*by, F.abs("__e").alias("value"), F.lit(1).cast("bigint").alias("n"))
+    median = quantiles_from_counts(errors, by, (0.5,), few_keys=few_keys or not keys).withColumnRenamed("p50", "median_absolute_error")
     return null_safe_join(sums, median, by).select(*keys, "rows", *REGRESSION_METRICS)
 
 

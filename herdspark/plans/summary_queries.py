@@ -43,7 +43,7 @@ def rounded(df, digits: int = 4):
 def grouping_sets_summary(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     report = summary.grouping_report(
-        lines, "l_extendedprice", {"returnflag": "l_returnflag", "linestatus": "l_linestatus"}
+        lines, "l_extendedprice", {"returnflag": "l_returnflag", "linestatus": "l_linestatus"}, few_keys=True
     )
     return rounded(report)
 

@@ -8,6 +8,7 @@ become ``SQLTransformer`` stages, so every fitted model is one persistable
 
 from __future__ import annotations
 
+import math
 import random
 import time
 from collections.abc import Callable, Mapping, Sequence
@@ -43,7 +44,8 @@ from herdspark.operators import boosting, grams, rules
 from herdspark.operators import metrics as scores
 from herdspark.operators.latest import largest_groups
 from herdspark.operators.splits import fixed_sample, ranked
-from herdspark.operators.summary import long_values, quantiles_from_counts, value_counts
+from herdspark.operators.summary import held_out, long_values, quantiles_from_counts
+from herdspark.session import cut_lineage
 
 PREDICTION = "prediction"
 #: One-hot values of a category feature; each becomes a column and a literal of the plan.
@@ -146,9 +148,19 @@ def _held_out(counts: DataFrame, fold: str | None, folds: int, keys: Sequence[st
     """Value counts of the training rows for every held-out fold, from counts per fold."""
     if fold is None:
         return counts.withColumn("heldout", F.lit(0))
-    every = F.explode(F.array(*[F.lit(i) for i in range(1, folds + 1)]))
-    spread = counts.select("*", every.alias("heldout")).filter(F.col(fold) != F.col("heldout"))
-    return spread.groupBy("heldout", *keys).agg(F.sum("n").alias("n"))
+    return held_out(counts, fold, folds).groupBy("heldout", *keys).agg(F.sum("n").alias("n"))
+
+
+def _moments(parts: Sequence, median: float | None) -> tuple[int, float, float]:
+    """Rows, mean and population deviation of some folds' numbers, nulls filled with their median."""
+    rows, known, fill = sum(r["rows"] for r in parts), [r for r in parts if r["known"]], 0.0 if median is None else median
+    sums = [(r["known"], r["mean"], r["variance"]) for r in known]
+    if rows > sum(n for n, _, _ in sums):
+        sums.append((rows - sum(n for n, _, _ in sums), fill, 0.0))
+    if all(r["low"] == r["high"] == fill for r in known):
+        return rows, fill, 0.0
+    mean = sum(n * at for n, at, _ in sums) / rows
+    return rows, mean, math.sqrt(sum(n * (spread + (at - mean) * (at - mean)) for n, at, spread in sums) / rows)
 
 
 def learn_facts(
@@ -156,9 +168,9 @@ def learn_facts(
 ) -> dict[int, Facts]:
     """Categories, modes, medians, means and deviations; with folds, for every held-out fold at once.
 
-    Cells are counted per fold once. The counts without each fold follow from
-    them, so cross-validation reads the rows one time for all its folds. What
-    comes to the driver is one row per feature, and per category of a one-hot
+    Cells are counted and summed up per fold once. What holds without each fold
+    follows from these, so cross-validation reads the rows one time for all its
+    folds. What comes to the driver is one row per fold and feature, and per category of a one-hot
     feature; a column with more than ``MAX_CATEGORY_VALUES`` of these is refused by name.
     """
     held = [0] if fold is None else list(range(1, folds + 1))
@@ -182,20 +194,25 @@ def learn_facts(
     numbers = [*features.numbers, *([label] if label else [])]
     found: dict[int, dict[str, object]] = {h: {} for h in held}
     if numbers:
-        counts = value_counts(long_values(train, numbers, keep), [*keep, "column"])
-        held_counts = _held_out(counts, fold, folds, ["column", "value"])
-        keys = ["heldout", "column"]
-        medians = quantiles_from_counts(held_counts, keys, (0.5,))
-        n, value = F.col("n"), F.col("__v")
-        filled = held_counts.join(medians, keys, "left").withColumn("__v", F.coalesce("value", "p50", F.lit(0.0)))
-        means = filled.groupBy(*keys).agg(
-            F.sum("n").alias("rows"), F.max("p50").alias("median"), (F.sum(value * n) / F.sum("n")).alias("mean")
-        )
-        spread = filled.join(means.select(*keys, "mean"), keys).groupBy(*keys).agg(
-            F.sqrt(F.sum(n * F.pow(value - F.col("mean"), 2)) / F.sum("n")).alias("deviation")
-        )
-        for r in means.join(spread, keys).collect():
-            found[r["heldout"]][r["column"]] = r
+        # Sums per fold, and medians found digit by digit: no value is shuffled.
+        cells, v = long_values(train, numbers, keep), F.col("value")
+        sums = cells.groupBy(*keep, "column").agg(
+            F.count(F.lit(1)).alias("rows"), F.count(v).alias("known"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"),
+            F.min(v).alias("low"), F.max(v).alias("high"),
+        ).collect()
+        without = None if fold is None else (fold, folds)
+        ones = cells.withColumn("n", F.lit(1).cast("bigint"))
+        medians = {
+            (r["heldout"] if fold else 0, r["column"]): r["p50"]
+            for r in quantiles_from_counts(ones, ["column"], (0.5,), few_keys=True, without=without).collect()
+        }
+        for h in held:
+            for c in dict.fromkeys(numbers):
+                parts = [r for r in sums if r["column"] == c and (fold is None or (r[fold] is not None and int(r[fold]) != h))]
+                if parts:
+                    median = medians.get((h, c))
+                    total, mean, deviation = _moments(parts, median)
+                    found[h][c] = {"rows": total, "median": median, "mean": mean, "deviation": deviation}
     out = {}
     for h in held:
         modes = {c: min(v, key=lambda x: (-x[1], x[0]))[0] for c, v in labels[h].items() if v}
@@ -422,10 +439,12 @@ def evaluate_candidates(
             )
             part = fitted[c.id].predict(validation).select(F.lit(c.id).alias("configuration_id"), label, output)
             predicted = part if predicted is None else predicted.unionByName(part)
+        # The metrics read the predictions several times; no model predicts a row twice.
+        predicted = cut_lineage(predicted)
         if classification:
             scored = scores.classification_metrics(predicted, label, output, labels, ["configuration_id"])
         else:
-            scored = scores.regression_metrics(predicted, label, output, ["configuration_id"])
+            scored = scores.regression_metrics(predicted, label, output, ["configuration_id"], few_keys=True)
         found = spark.createDataFrame(scored.collect(), scored.schema)  # one row per candidate
     finally:
         for _, rows in tables.values():
@@ -608,10 +627,13 @@ def grouped_cross_validation(
             F.lit(c.id).alias("configuration_id"), F.lit(c.baseline is not None).alias("is_baseline"), fold, label, PREDICTION
         )
         parts = tagged if parts is None else parts.unionByName(tagged)
+    # The metrics read the predictions several times; no model predicts a row twice.
+    parts = cut_lineage(parts)
+    rows.unpersist()
     keys = ["configuration_id", "is_baseline"]
-    by_fold = scores.regression_metrics(parts, label, PREDICTION, [*keys, fold])
-    pooled = scores.regression_metrics(parts, label, PREDICTION, keys)
-    stability = scores.fold_stability(by_fold, keys)
+    by_fold = scores.regression_metrics(parts, label, PREDICTION, [*keys, fold], few_keys=True)
+    pooled = scores.regression_metrics(parts, label, PREDICTION, keys, few_keys=True)
+    stability = scores.fold_stability(scores.regression_sums(parts, label, PREDICTION, [*keys, fold]), keys)
     return pooled.join(stability, keys), by_fold
 
 

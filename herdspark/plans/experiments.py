@@ -87,7 +87,8 @@ def regression_experiment(
     best_baseline = table.filter("is_baseline").orderBy("mae", "rmse").first()["configuration_id"]
     scored = None
     for name in (chosen["selected"], best_baseline):
-        part = scores.regression_metrics(fitted[name].predict(parts["test"]), label, m.PREDICTION).select(
+        tested = cut_lineage(fitted[name].predict(parts["test"]).select(label, m.PREDICTION))
+        part = scores.regression_metrics(tested, label, m.PREDICTION).select(
             F.lit(name).alias("configuration_id"), F.lit(name == best_baseline).alias("is_baseline"), "*"
         )
         scored = part if scored is None else scored.unionByName(part)
@@ -121,12 +122,13 @@ def label_and_amount_experiment(
     final = m.fit_candidate(train, features, label, classifier, key, classification=True)
     given = final.predict(validation).select(key, "predicted_label")
     predicted = cut_lineage(out_of_fold.select(key, "predicted_label").unionByName(given))
-    with_label = mapping.attach_prediction(rows.drop(label), predicted, key, "predicted_label")
+    with_label = cut_lineage(mapping.attach_prediction(rows.drop(label), predicted, key, "predicted_label"))
     labelled = m.Features((*features.categories, "predicted_label"), features.numbers, features.indicators, features.scaled)
     result = None
     for design, table, inputs in (("A", rows.drop(label), features), ("B", with_label, labelled)):
         one = m.fit_candidate(table.filter("split = 'train'"), m.prepared_for(regressor, inputs), amount, regressor, forbidden=(label,))
-        scored = scores.regression_metrics(one.predict(table.filter("split = 'validation'")), amount, m.PREDICTION)
+        judged = cut_lineage(one.predict(table.filter("split = 'validation'")).select(amount, m.PREDICTION))
+        scored = scores.regression_metrics(judged, amount, m.PREDICTION)
         part = scored.select(F.lit(design).alias("design"), "*")
         result = part if result is None else result.unionByName(part)
     pair = result.groupBy().pivot("design", ["A", "B"]).agg(F.first(F.struct("mae", "rmse", "r2")))

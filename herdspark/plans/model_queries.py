@@ -55,7 +55,7 @@ def dealt(rows):
 
 def tagged_facts(spark, sf_dir):
     """The order facts with their split, materialised once for the fits that follow."""
-    rows = order_facts(spark, sf_dir)
+    rows = cut_lineage(order_facts(spark, sf_dir))
     manifest = splits.split_assignments(rows, "priority", "id").select("id", "split")
     return cut_lineage(dealt(rows.join(manifest, "id")))
 
@@ -176,7 +176,7 @@ CUSTOMER_GROUPS = f"""{FACTS}, g AS (SELECT customer, count(*) AS rows FROM rows
 
 
 def _grouped(spark, sf_dir):
-    rows = order_facts(spark, sf_dir)
+    rows = cut_lineage(order_facts(spark, sf_dir))
     return cut_lineage(dealt(splits.apply_groups(rows, splits.group_assignments(rows, "customer"), "customer")))
 
 
@@ -254,7 +254,7 @@ def leave_one_group_out(spark, sf_dir):
 
 @query("leave_one_group_out_scores")
 def leave_one_group_out_scores(spark, sf_dir):
-    found = m.leave_one_group_out(order_facts(spark, sf_dir), ALL, "price", "customer", "id", 1.0)
+    found = m.leave_one_group_out(cut_lineage(order_facts(spark, sf_dir)), ALL, "price", "customer", "id", 1.0)
     return metrics.regression_metrics(found, "price", "prediction", ["customer"])
 
 
@@ -337,19 +337,19 @@ def locked_experiment(spark, sf_dir):
 def label_and_amount_designs(spark, sf_dir):
     rows = tagged_facts(spark, sf_dir)
     folds = splits.training_folds(rows, "priority", "id").select("id", "training_fold")
-    rows = rows.join(folds, "id", "left")
+    rows = cut_lineage(rows.join(folds, "id", "left"))
     chosen = {c.algorithm: c for c in [*m.classifier_candidates("flag"), *m.regression_candidates("price")[2:3]]}
     return experiments.label_and_amount_experiment(rows, ALL, "flag", "price", "id", "training_fold", 5, chosen["forest"], chosen["ridge"])
 
 
 @query("first_generation_regression")
 def first_generation_regression(spark, sf_dir):
-    return experiments.first_generation_regression(order_facts(spark, sf_dir), "price", "id", ["quantity", "lines", "priority", "customer id"])
+    return experiments.first_generation_regression(cut_lineage(order_facts(spark, sf_dir)), "price", "id", ["quantity", "lines", "priority", "customer id"])
 
 
 @query("first_generation_classification")
 def first_generation_classification(spark, sf_dir):
-    return experiments.first_generation_classification(order_facts(spark, sf_dir), "flag", "id", m.Features(("priority",), ("quantity", "lines")))
+    return experiments.first_generation_classification(cut_lineage(order_facts(spark, sf_dir)), "flag", "id", m.Features(("priority",), ("quantity", "lines")))
 
 
 @query("joined_grouped_experiment")

@@ -8,7 +8,8 @@ summed up; the other is what is left of their parent.
 
 Sums are exact: gradients are whole multiples of a small unit, so the sums do
 not depend on the order or the number of parts, and a fit gives the same trees
-again. A step is one job with a tree reduction over persisted blocks of rows. A
+again. Rows that fall into the same bins have one score, so a block keeps them as
+one with their sums (rows held for early stops stay apart). A step is one job with a tree reduction over persisted blocks of rows. A
 table of one part (``TASK_ROWS`` rows at most) goes through the same steps within
 its task.
 """
@@ -107,9 +108,14 @@ class Loss:
     classes: int
     unit: float
     start: list[float]
+    #: Amounts without weights: gradients are sums of scores less sums of labels, each in whole units.
+    plain: bool = False
 
     def slopes(self, label: np.ndarray, score: np.ndarray, weight: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
         """(gradient, curvature) of each row for one of the trees of a round, in whole units."""
+        if self.plain:
+            # Of the score alone; the labels are summed up once.
+            return np.rint((score[:, 0] - self.start[0]) / self.unit), np.rint(weight / self.unit)
         if not self.classes:
             slope, curve = score[:, 0] - label, np.ones(len(label))
         else:
@@ -145,12 +151,27 @@ class Rows:
     weight: np.ndarray
     held: np.ndarray
     score: np.ndarray
+    times: np.ndarray  # equal rows that one stands for
+    units: np.ndarray  # their labels' distance from the start in whole units, summed up
+
+    def collapsed(self, plain: bool) -> Rows:
+        """Rows that always have the same gradients as one: of the same bins, and label and weight if not ``plain``."""
+        parts = [self.cells] if plain else [self.cells, self.label[:, None].view(np.uint8), self.weight[:, None].view(np.uint8)]
+        keys = np.ascontiguousarray(np.hstack(parts))
+        known, first, at = np.unique(keys.view(f"S{keys.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        return Rows(
+            self.cells[first], self.label[first], self.weight[first], self.held[first], self.score[first],
+            np.bincount(at, self.times, len(known)), np.bincount(at, self.units, len(known)),
+        )
+
+    def part(self, rows: np.ndarray) -> Rows:
+        return Rows(*(getattr(self, c)[rows] for c in COLUMNS))
 
     def with_trees(self, trees: list[Tree]) -> Rows:
         score = self.score.copy()
         for k, tree in enumerate(trees):
             score[:, k] += np.asarray(tree.value)[leaf_of(tree, self.cells, tree.bin)]
-        return Rows(self.cells, self.label, self.weight, self.held, score)
+        return Rows(self.cells, self.label, self.weight, self.held, score, self.times, self.units)
 
     def sums(self, loss: Loss, trees: list[Tree], nodes: list[list[int]], bins: int) -> np.ndarray:
         """The held rows' loss and weight, if roots are asked for, and (gradient, curvature, rows) of
@@ -159,6 +180,8 @@ class Rows:
         if any(0 in wanted for wanted in nodes):
             out = [np.array([loss.value(self.label[held], self.score[held], self.weight[held]), self.weight[held].sum()])]
         width = self.cells.shape[1]
+        if held.all():
+            return np.concatenate([*out, np.zeros(sum(map(len, nodes)) * width * bins * 3)])
         for k, (tree, wanted) in enumerate(zip(trees, nodes, strict=True)):
             place = np.full(len(tree.feature), -1, np.int64)
             place[wanted] = np.arange(len(wanted))
@@ -166,17 +189,46 @@ class Rows:
             rows = np.flatnonzero(~held & (at >= 0))
             at, cells = at[rows] * bins, self.cells[rows]
             slope, curve = loss.slopes(self.label[rows], self.score[rows], self.weight[rows], k)
+            times = self.times[rows]
+            slope = slope * times - self.units[rows]
             even = float(curve[0]) if len(rows) and (curve == curve[0]).all() else None
+            curve = curve * times
             found, size = np.zeros((len(wanted), width, bins, 3)), len(wanted) * bins
             for f in range(width if len(rows) else 0):
                 where = at + cells[:, f]
                 found[:, f, :, 0] = np.bincount(where, slope, size).reshape(-1, bins)
-                found[:, f, :, 2] = n = np.bincount(where, None, size).reshape(-1, bins)
+                found[:, f, :, 2] = n = np.bincount(where, times, size).reshape(-1, bins)
                 found[:, f, :, 1] = n * even if even is not None else np.bincount(where, curve, size).reshape(-1, bins)
             out.append(found.ravel())
         return np.concatenate(out)
 
 
+COLUMNS = ("cells", "label", "weight", "held", "score", "times", "units")
+
+
+def _joined(parts: list[Rows]) -> Rows:
+    return Rows(*(np.concatenate([getattr(b, c) for b in parts]) for c in COLUMNS))
+
+
+def _blocks(own: Iterator[Rows], plain: bool) -> Iterator[Rows]:
+    """Some rows as blocks of about ``TASK_ROWS``: those to learn from collapsed, the held ones apart."""
+    def made(parts: list[Rows]) -> Iterator[Rows]:
+        rows = _joined(parts)
+        if not rows.held.all():
+            yield rows.part(~rows.held).collapsed(plain)
+        if rows.held.any():
+            yield rows.part(rows.held)
+
+    parts: list[Rows] = []
+    for rows in own:
+        parts.append(rows)
+        if sum(len(b.label) for b in parts) >= TASK_ROWS:
+            yield from made(parts)
+            parts = []
+    if parts:
+        yield from made(parts)
+
+
 class Steps:
     """Steps as jobs over persisted blocks; scores are brought up to date once a round."""
 
@@ -228,9 +280,7 @@ class WithinTask:
 
 def _boost_in_task(blocks, loss: Loss, settings: Settings, width: int, bins: int, early: bool) -> list[list[Tree]]:
     def task(own: Iterator[Rows]) -> Iterator[list[list[Tree]]]:
-        held = list(own)
-        rows = Rows(*(np.concatenate([getattr(b, c) for b in held]) for c in ("cells", "label", "weight", "held", "score")))
-        yield boost(WithinTask(rows, loss, bins), loss, settings, width, bins, early)
+        yield boost(WithinTask(_joined(list(own)), loss, bins), loss, settings, width, bins, early)
 
     return blocks.mapPartitions(task).collect()[0]
 
@@ -322,19 +372,30 @@ def boost(steps: Steps | WithinTask, loss: Loss, settings: Settings, width: int,
         steps.commit(trees)
 
 
-def bin_edges(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+def bin_edges(values: np.ndarray, low: np.ndarray, high: np.ndarray, most: int = MAX_BINS) -> list[np.ndarray]:
     """Upper limits of all bins but the last, per feature: between neighbouring values, or at quantiles of the sample."""
     out = []
     for f in range(len(low)):
         known = np.unique(np.concatenate([values[:, f], [low[f], high[f]]]))
-        if len(known) > MAX_BINS:
-            cut = np.quantile(np.concatenate([values[:, f], [low[f], high[f]]]), np.linspace(0, 1, MAX_BINS + 1)[1:-1], method="nearest")
+        if len(known) > most:
+            cut = np.quantile(np.concatenate([values[:, f], [low[f], high[f]]]), np.linspace(0, 1, most + 1)[1:-1], method="nearest")
             out.append(np.unique(cut))
         else:
             out.append(known[:-1] + (known[1:] - known[:-1]) / 2)
     return out
 
 
+def learned_edges(source: DataFrame, n: int, width: int, most: int = MAX_BINS) -> list[np.ndarray]:
+    """The bins of ``source``'s features ``x``, from their bounds and a bounded sample chosen by hash."""
+    bounds = source.agg(*[F.array(low(F.col("x")[f]), high(F.col("x")[f])) for f in range(width) for low, high in [(F.min, F.max)]]).first()
+    low, high = np.array(bounds, dtype=float).T
+    share = min(BIN_ROWS, BIN_CELLS // width) / n
+    drawn = source if share >= 1 else source.filter(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    sample = drawn.select("x").toArrow().column("x").combine_chunks()
+    values = sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return bin_edges(values, low, high, most)
+
+
 def _binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, x[:, f]) for f, e in enumerate(edges)], axis=1).astype(np.uint8)
 
@@ -361,13 +422,7 @@ def fit(
         n, width = facts["n"], facts["p"]
         if not n or not width or width != facts["most"]:
             raise ValueError("boosting needs rows with equally many features, one at least")
-        bounds = source.agg(*[F.array(low(F.col("x")[f]), high(F.col("x")[f])) for f in range(width) for low, high in [(F.min, F.max)]]).first()
-        low, high = np.array(bounds, dtype=float).T
-        share = min(BIN_ROWS, BIN_CELLS // width) / n
-        drawn = source if share >= 1 else source.filter(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 40)) < int(share * (1 << 40)))
-        sample = drawn.select("x").toArrow().column("x").combine_chunks()
-        values = sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-        edges = bin_edges(values, low, high)
+        edges = learned_edges(source, n, width)
         bins = max(2, max(len(e) for e in edges) + 1)
         bits = max(8, min(30, 52 - n.bit_length()))
         if classes:
@@ -377,7 +432,7 @@ def fit(
             reach = 1.0
         else:
             start, reach = [facts["sy"] / facts["sw"]], 2.0 * (facts["high"] - facts["low"]) or 1.0
-        loss = Loss(classes, reach * facts["mw"] * 2.0**-bits, start)
+        loss = Loss(classes, reach * facts["mw"] * 2.0**-bits, start, plain=not classes and weight is None)
         early = n > EARLY_ROWS
         held = F.pmod(F.xxhash64("y", "x"), F.lit(10)) == 0 if early else F.lit(False)
         parts = max(1, min(source.rdd.getNumPartitions(), -(-n // TASK_ROWS)))
@@ -391,10 +446,11 @@ def fit(
         def unpacked(row) -> Rows:
             y, w = np.frombuffer(row["y"]), np.frombuffer(row["w"])
             score = np.tile(np.array(start), (len(y), 1))
-            return Rows(np.frombuffer(row["x"], np.uint8).reshape(-1, width), y, w, np.frombuffer(row["held"], bool), score)
+            units = np.rint((y - start[0]) / loss.unit) if loss.plain else np.zeros(len(y))
+            return Rows(np.frombuffer(row["x"], np.uint8).reshape(-1, width), y, w, np.frombuffer(row["held"], bool), score, np.ones(len(y)), units)
 
         packed = source.withColumn("held", held).mapInPandas(block, "x binary, y binary, w binary, held binary").repartition(parts)
-        blocks = packed.rdd.map(unpacked)
+        blocks = packed.rdd.mapPartitions(lambda own: _blocks(map(unpacked, own), loss.plain))
         if n <= TASK_ROWS:
             rounds = _boost_in_task(blocks, loss, settings, width, bins, early)
         else:

@@ -1,6 +1,6 @@
 """Preprocessing, candidate models, cross-fitting, importance and batch scoring.
 
-Linear models, trees and forests learn on MLlib, boosted trees in ``boosting``.
+Linear models and trees learn on MLlib, forests in ``forest``, boosted trees in ``boosting``.
 Imputation values, scales and dummy predictions are a handful of aggregates that
 become ``SQLTransformer`` stages, so every fitted model is one persistable
 ``PipelineModel``.
@@ -19,7 +19,6 @@ from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LogisticRegression,
-    RandomForestClassifier,
 )
 from pyspark.ml.feature import (
     IndexToString,
@@ -33,14 +32,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     LinearRegression,
-    RandomForestRegressor,
 )
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from herdspark.functions.values import interval_label
-from herdspark.operators import boosting, grams, rules
+from herdspark.operators import boosting, forest, grams, rules
 from herdspark.operators import metrics as scores
 from herdspark.operators.latest import largest_groups
 from herdspark.operators.splits import fixed_sample, ranked
@@ -261,11 +259,6 @@ def fitted_preprocessor(train: DataFrame, features: Features) -> PipelineModel:
     return preprocessor(features, learn_facts(train, features)[0], train)
 
 
-# Deep forests: keep each row's node instead of walking the trees again, and
-# grow more nodes per pass over the rows.
-FOREST = {"cacheNodeIds": True, "maxMemoryInMB": 1024}
-
-
 def _constant(value: float) -> SQLTransformer:
     return SQLTransformer(statement=f"select *, {value!r}D as {PREDICTION} from __THIS__")
 
@@ -287,10 +280,7 @@ def _regressor(train: DataFrame, label: str, candidate: Candidate, seed: int, fa
     if candidate.algorithm == "tree":
         return DecisionTreeRegressor(maxDepth=p["depth"], minInstancesPerNode=p["leaf"], seed=seed, **common).fit(train)
     if candidate.algorithm == "forest":
-        return RandomForestRegressor(
-            numTrees=p["trees"], maxDepth=p["depth"], minInstancesPerNode=p["leaf"],
-            featureSubsetStrategy=p["subset"], seed=seed, **FOREST, **common
-        ).fit(train)
+        return forest.fit(train, label, forest.Settings(**p, seed=seed))
     if candidate.algorithm == "boosted":
         return boosting.fit(train, label, boosting.Settings(**p))
     raise ValueError(f"unknown regressor {candidate.algorithm}")
@@ -330,10 +320,7 @@ def _classifier(train: DataFrame, label: str, key: str, candidate: Candidate, se
     elif candidate.algorithm == "tree":
         model = DecisionTreeClassifier(maxDepth=p["depth"], minInstancesPerNode=p["leaf"], seed=seed, **common).fit(rows)
     elif candidate.algorithm == "forest":
-        model = RandomForestClassifier(
-            numTrees=p["trees"], maxDepth=p["depth"], minInstancesPerNode=p["leaf"],
-            featureSubsetStrategy=p["subset"], seed=seed, **FOREST, **common
-        ).fit(rows)
+        model = forest.fit(rows, "__label", forest.Settings(**p, seed=seed), len(indexer.labels), weight=weight)
     elif candidate.algorithm == "boosted":
         model = boosting.fit(rows, "__label", boosting.Settings(**p), len(indexer.labels), weight=weight)
     else:

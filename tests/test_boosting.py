@@ -135,3 +135,21 @@ def test_bins_hold_rare_values_and_many():
     edges = b.bin_edges(values, np.array([0.0, 0.0]), np.array([1.0, 999.0]))
     assert edges[0].tolist() == [0.5] and 200 < len(edges[1]) <= 254
     assert b._binned(np.array([[0.0, -5.0], [1.0, 5000.0]]), edges).tolist() == [[0, 0], [1, len(edges[1])]]
+
+
+def test_equal_bins_are_kept_as_one_row():
+    """Sums of collapsed rows are those of all rows, for amounts and for classes."""
+    rng = np.random.default_rng(8)
+    cells = rng.integers(0, 3, (400, 2)).astype(np.uint8)
+    for classes in (0, 3):
+        label = rng.integers(0, 3, 400).astype(float) if classes else rng.normal(size=400)
+        loss = b.Loss(classes, 2.0**-20, [0.1] * max(classes, 1), plain=not classes)
+        units = np.rint((label - 0.1) / loss.unit) if loss.plain else np.zeros(400)
+        rows = b.Rows(cells, label, np.ones(400), rng.random(400) < 0.1, np.full((400, max(classes, 1)), 0.1), np.ones(400), units)
+        blocks = list(b._blocks(iter([rows]), loss.plain))
+        assert len(blocks[0].label) <= 9 * max(classes, 1) and sum(x.times.sum() for x in blocks) == 400
+        tree = b.Tree()
+        tree.split(0, 1, 0)
+        trees = [tree] * len(loss.start)
+        for nodes in ([[0]] * len(trees), [[1, 2]] * len(trees)):
+            assert np.array_equal(sum(x.sums(loss, trees, nodes, 3) for x in blocks), rows.sums(loss, trees, nodes, 3))

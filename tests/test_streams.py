@@ -1,8 +1,11 @@
 """The stock ledger and the live view against brute force."""
 
 import random
+import types
 from datetime import timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from herdspark.streaming import ledger, snapshot
@@ -250,3 +253,87 @@ def test_live_view_batch_that_runs_again(spark, tmp_path):
     assert snapshot.generations(spark, view)[0].number == 4
     found = {r["id"]: r["note"] for r in snapshot.live_view(spark, view, "id", "ts", "n").collect()}
     assert found == {"a": "a2", "b": "b1"}
+
+
+class _Kept:
+    """A state in memory that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def get(self):
+        return self.held.get(None)
+
+    def update(self, value):
+        self.held[None] = value
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.held[key]
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+
+class _Handle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getValueState(self, name, *schemas):
+        return self.states.setdefault(name, _Kept())
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_events_wait_in_packs():
+    """Few calls of the state store for many events, and the outcomes of the order of time."""
+    events = random_events(5, items=1, length=6000)
+    item = events[0][0]
+    handle, processor = _Handle(), ledger.OrderedItem()
+    processor.init(handle)
+    frame = pd.DataFrame([
+        {"item_id": item, "seq": e[1], "at_us": 1_000_000 * e[1], "op": e[2], "amount": e[3], "unit": e[4], "expected": e[5], "threshold": e[6], "result": 1.0,
+         "problem": None, "kind": 1 if e[2] == "set" else 0, "q0": None, "u0": None, "q1": float(e[1]), "u1": "kg"} for e in events
+    ])
+    order = np.random.default_rng(2).permutation(len(frame))
+    for part in np.array_split(order, 3):
+        assert list(processor.handleInputRows((item,), iter([frame.iloc[part]]), None)) == []
+    got = []
+    for at in (2000, 2000, 9000):
+        watermark = types.SimpleNamespace(getCurrentWatermarkInMs=lambda at=at: 1000 * at)
+        if handle.timers and min(handle.timers) <= 1000 * at:
+            handle.timers.remove(min(handle.timers))
+            got += list(processor.handleExpiredTimer((item,), watermark, None))
+    assert [len(g) for g in got] == [sum(e[1] <= 2000 for e in events), sum(e[1] > 2000 for e in events)]
+    rows = pd.concat(got)
+    assert rows["seq"].tolist() == sorted(e[1] for e in events) and not handle.timers
+    last = None
+    for seq, op, q in zip(rows["seq"], rows["op"], rows["state_quantity"], strict=True):
+        assert (q is None or q != q) if last is None else q == last
+        last = float(seq) if op == "set" else last
+    assert handle.states["waiting"].calls < 40
+
+
+def test_states_met_one_after_the_other_equal_the_chains():
+    rng = np.random.default_rng(4)
+    n = 500
+    kind = rng.integers(0, 3, n) * (rng.random(n) < 0.9)
+    kind = np.where((kind == 1) & (rng.random(n) < 0.9), 2, kind)
+    rows = pd.DataFrame({
+        "kind": kind, "q0": np.where(kind == 2, rng.integers(0, 3, n), np.nan), "u0": np.where(kind == 2, "kg", None),
+        "q1": np.where(kind > 0, rng.integers(0, 3, n), np.nan), "u1": np.where(kind > 0, rng.choice(["kg", "l"], n), None),
+        "place": np.arange(n), "start_quantity": 1.0, "start_unit": "kg",
+    })
+    q, u = ledger._states(rows, np.zeros(n, np.int64))
+    met, units, _ = ledger._applied(zip(*(rows[c].tolist() for c in ledger.MAP_COLUMNS), strict=True), (1.0, "kg"))
+    assert met == q.tolist() and units == u.tolist() and len(set(met)) > 1

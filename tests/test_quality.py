@@ -339,3 +339,25 @@ def test_sketches_merge_over_parts(spark):
     wrong = whole.withColumn("p50", F.lit(40.0))
     assert not by(sketches.sketch_errors(df, wrong, columns).collect(), "column")["x",]["ranks_within"]
     assert sketches.sketched_profile(sketches.merged_sketches(sketches.part_sketches(df.limit(0), columns, "part"))).count() == 0
+
+
+def test_audit_counts_no_number_as_a_text(spark):
+    """Facts of columns equal those of cell counts, odd values and copies included."""
+    rows = [(1, 0.0, "a", 1.5), (1, -0.0, None, float("nan")), (1, -0.0, "b", None), (None, float("nan"), "b", 2.5), (2, 0.0, "b", 2.5), (1, 0.0, "a", 1.5)]
+    df = spark.createDataFrame(rows, "k bigint, `x.y` double, t string, f float")
+    counts = profile.cell_counts(df)
+    for r in profile.column_facts(df).collect():
+        own = [c for c in counts.collect() if c["column"] == r["column"]]
+        known = [c["n"] for c in own if c["value"] is not None]
+        assert r["total_rows"] == 6 and r["unique"] == len(known) and r["top"] == max(c["n"] for c in own)
+        assert r["missing"] == 6 - sum(known) and r["repeated"] == sum(known) - len(known)
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_duplicates_by_hash_or_by_whole_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(relations, "MAX_REPEATED", most)
+    rows = [(1, "a", 0.0), (1, "a", -0.0), (2, None, float("nan")), (2, None, float("nan")), (2, None, float("nan")), (3, "c", 1.0)]
+    df = spark.createDataFrame(rows, "k bigint, `t.u` string, x double")
+    assert relations.duplicate_rows(df).first().asDict() == {"row_count": 6, "duplicate_row_count": 3, "rows_in_duplicate_groups": 5}
+    assert relations.duplicate_rows(df.filter("k = 3")).first().asDict() == {"row_count": 1, "duplicate_row_count": 0, "rows_in_duplicate_groups": 0}
+    assert relations.duplicate_rows(df.filter("k > 3")).first().asDict() == {"row_count": 0, "duplicate_row_count": 0, "rows_in_duplicate_groups": 0}

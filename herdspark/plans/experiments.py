@@ -122,10 +122,12 @@ def label_and_amount_experiment(
     final = m.fit_candidate(train, features, label, classifier, key, classification=True)
     given = final.predict(validation).select(key, "predicted_label")
     predicted = cut_lineage(out_of_fold.select(key, "predicted_label").unionByName(given))
-    with_label = cut_lineage(mapping.attach_prediction(rows.drop(label), predicted, key, "predicted_label"))
+    # Test rows take no part in the comparison and have no predicted label.
+    compared = rows.filter("split IN ('train', 'validation')").drop(label)
+    with_label = cut_lineage(mapping.attach_prediction(compared, predicted, key, "predicted_label"))
     labelled = m.Features((*features.categories, "predicted_label"), features.numbers, features.indicators, features.scaled)
     result = None
-    for design, table, inputs in (("A", rows.drop(label), features), ("B", with_label, labelled)):
+    for design, table, inputs in (("A", compared, features), ("B", with_label, labelled)):
         one = m.fit_candidate(table.filter("split = 'train'"), m.prepared_for(regressor, inputs), amount, regressor, forbidden=(label,))
         judged = cut_lineage(one.predict(table.filter("split = 'validation'")).select(amount, m.PREDICTION))
         scored = scores.regression_metrics(judged, amount, m.PREDICTION)

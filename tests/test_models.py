@@ -222,3 +222,14 @@ def test_recommendations():
     assert experiments.final_recommendation(True, True) == "BOTH_MODELS_AND_RULES"
     assert experiments.final_recommendation(False, False) == "RULES_ONLY"
     assert mapping.is_identifier_name("Farm_ID") and not mapping.is_identifier_name("Humidity")
+
+
+def test_designs_leave_test_rows_out(spark):
+    """Test rows have no predicted label; both designs are compared on the others."""
+    made = [(i, float(i % 7), "hi" if i % 7 > 3 else "lo", float(3 * (i % 7) + i % 2), ("train", "train", "validation", "test")[i % 4], i % 3 + 1) for i in range(240)]
+    rows = spark.createDataFrame(made, "id int, x double, kind string, amount double, split string, f int")
+    rows = rows.withColumn("f", F.when(F.col("split") == "train", F.col("f")))
+    forest = m.Candidate("f", "forest", {"trees": 3, "depth": 4, "leaf": 1, "subset": "all"})
+    ridge = m.Candidate("r", "ridge", {"alpha": 1.0}, linear=True)
+    found = experiments.label_and_amount_experiment(rows, m.Features(numbers=("x",)), "kind", "amount", "id", "f", 3, forest, ridge).collect()
+    assert {r["design"] for r in found} == {"A", "B"} and all(r["rows"] == 60 and r["r2"] > 0.9 for r in found)

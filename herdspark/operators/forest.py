@@ -321,7 +321,7 @@ def _split_level(blocks, tops: list[_Top], shape: Shape, settings: Settings) ->
         tree.feature[nodes], tree.bin[nodes] = feature[split], cut[split]
         tree.left[nodes] = first + 2 * np.arange(len(split))
         more = 2 * len(split)
-        children = ends_[:, :, split].transpose(1, 2, 0).reshape(-1, more)
+        children = ends_[:, :, split].transpose(1, 2, 0).reshape(len(ends_[0]), more)  # none if no node is split
         top.tree = Tree(
             np.append(tree.feature, np.full(more, -1, np.int32)), np.append(tree.bin, np.zeros(more, np.uint8)),
             np.append(tree.left, np.zeros(more, np.int32)), np.concatenate([tree.sums, children], axis=1),

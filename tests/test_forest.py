@@ -86,6 +86,13 @@ def test_the_same_trees_wherever_nodes_are_finished(frame, monkeypatch, subset):
         assert np.array_equal(predicted(other, frame), predicted(whole, frame))
 
 
+def test_a_level_without_a_split(frame, monkeypatch):
+    """Nodes that are split over all parts may find no gain in any feature."""
+    monkeypatch.setattr(forest, "TASK_CELLS", 0)
+    model = forest.fit(frame.selectExpr("id", "features", "7D AS y"), "y", forest.Settings(3, 5))
+    assert len(model.arrays()["feature"]) == 3 and set(predicted(model, frame)) == {7.0}
+
+
 def test_it_learns_and_is_saved(frame, numbers, tmp_path):
     x, y = numbers
     model = forest.fit(frame, "y", forest.Settings(20, 12, 2, "0.8"))

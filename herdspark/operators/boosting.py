@@ -9,7 +9,8 @@ summed up; the other is what is left of their parent.
 Sums are exact: gradients are whole multiples of a small unit, so the sums do
 not depend on the order or the number of parts, and a fit gives the same trees
 again. Rows that fall into the same bins have one score, so a block keeps them as
-one with their sums (rows held for early stops stay apart). A step is one job with a tree reduction over persisted blocks of rows. A
+one with their sums (rows held for early stops stay apart); rows are collapsed before they are dealt by the hash of their bins, and
+again where they meet. A step is one job over persisted blocks of rows, in no more parts than these need. A
 table of one part (``TASK_ROWS`` rows at most) goes through the same steps within
 its task.
 """
@@ -40,9 +41,13 @@ BIN_ROWS = 200_000
 BIN_CELLS = 20_000_000
 #: Rows of a part at least; a table of one part is boosted within its task, without a job per step.
 TASK_ROWS = 131_072
+#: Rows held for early stops in a part.
+HELD_ROWS = 1_048_576
 #: Above so many rows a tenth is set aside to stop early.
 EARLY_ROWS = 10_000
 CHECKPOINT_ROUNDS = 10
+#: Bytes of all parts' sums that the driver adds up itself.
+DIRECT_BYTES = 1 << 26
 LOSS_UNIT = 2.0**-24
 LEAST_GAIN = 1e-12
 TINY = 1e-300
@@ -154,10 +159,14 @@ class Rows:
     times: np.ndarray  # equal rows that one stands for
     units: np.ndarray  # their labels' distance from the start in whole units, summed up
 
-    def collapsed(self, plain: bool) -> Rows:
-        """Rows that always have the same gradients as one: of the same bins, and label and weight if not ``plain``."""
+    def keys(self, plain: bool) -> np.ndarray:
+        """What makes rows always have the same gradients, as bytes: the bins, and label and weight if not ``plain``."""
         parts = [self.cells] if plain else [self.cells, self.label[:, None].view(np.uint8), self.weight[:, None].view(np.uint8)]
-        keys = np.ascontiguousarray(np.hstack(parts))
+        return np.ascontiguousarray(np.hstack(parts))
+
+    def collapsed(self, plain: bool) -> Rows:
+        """Rows of equal keys as one."""
+        keys = self.keys(plain)
         known, first, at = np.unique(keys.view(f"S{keys.shape[1]}").ravel(), return_index=True, return_inverse=True)
         return Rows(
             self.cells[first], self.label[first], self.weight[first], self.held[first], self.score[first],
@@ -206,6 +215,15 @@ class Rows:
 COLUMNS = ("cells", "label", "weight", "held", "score", "times", "units")
 
 
+def hashes(keys: np.ndarray) -> np.ndarray:
+    """A hash of every row of bytes, the same in every process."""
+    out = np.full(len(keys), 0xCBF29CE484222325, np.uint64)
+    for k in range(keys.shape[1]):
+        out = (out ^ keys[:, k]) * np.uint64(0x100000001B3)
+    out = (out ^ (out >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return out ^ (out >> np.uint64(33))
+
+
 def _joined(parts: list[Rows]) -> Rows:
     return Rows(*(np.concatenate([getattr(b, c) for b in parts]) for c in COLUMNS))
 
@@ -229,15 +247,37 @@ def _blocks(own: Iterator[Rows], plain: bool) -> Iterator[Rows]:
         yield from made(parts)
 
 
+def _merged(own: Iterator[Rows], plain: bool) -> Iterator[Rows]:
+    """The rows of a part to learn from as one block, equal ones once, and the held ones as another."""
+    kept, held = [], []
+    for rows in own:
+        (held if rows.held.all() else kept).append(rows)
+    if kept:
+        yield _joined(kept).collapsed(plain)
+    if held:
+        yield _joined(held)
+
+
+def _dealt(own: Iterator[Rows], plain: bool, parts: int) -> Iterator[tuple[int, Rows]]:
+    """Blocks split by the hash of their keys: equal rows meet in one part, one from each block at most. Held rows are spread evenly."""
+    for number, rows in enumerate(_blocks(own, plain)):
+        at = (np.arange(len(rows.label)) + number) % parts if rows.held.all() else (hashes(rows.keys(plain)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+            yield int(at[some[0]]), rows.part(some)
+
+
 class Steps:
     """Steps as jobs over persisted blocks; scores are brought up to date once a round."""
 
-    def __init__(self, blocks, loss: Loss, bins: int) -> None:
-        self.blocks, self.loss, self.bins, self.rounds, self.old = blocks, loss, bins, 0, None
+    def __init__(self, blocks, loss: Loss, bins: int, width: int) -> None:
+        self.blocks, self.loss, self.bins, self.width, self.rounds, self.old = blocks, loss, bins, width, 0, None
         blocks.persist(StorageLevel.MEMORY_AND_DISK)
 
     def sums(self, trees: list[Tree], nodes: list[list[int]]) -> np.ndarray:
         loss, bins = self.loss, self.bins
+        # Small sums of few parts are added up without a stage of their own.
+        small = 24 * sum(map(len, nodes)) * self.width * bins * self.blocks.getNumPartitions() <= DIRECT_BYTES
 
         def run(blocks: Iterator[Rows]) -> Iterator[np.ndarray]:
             total = None
@@ -247,7 +287,7 @@ class Steps:
             if total is not None:
                 yield total
 
-        found = self.blocks.mapPartitions(run).treeReduce(lambda a, b: a + b)
+        found = self.blocks.mapPartitions(run).treeReduce(lambda a, b: a + b, 1 if small else 2)
         if self.old is not None:
             self.old.unpersist()
             self.old = None
@@ -449,17 +489,26 @@ def fit(
             units = np.rint((y - start[0]) / loss.unit) if loss.plain else np.zeros(len(y))
             return Rows(np.frombuffer(row["x"], np.uint8).reshape(-1, width), y, w, np.frombuffer(row["held"], bool), score, np.ones(len(y)), units)
 
-        packed = source.withColumn("held", held).mapInPandas(block, "x binary, y binary, w binary, held binary").repartition(parts)
-        blocks = packed.rdd.mapPartitions(lambda own: _blocks(map(unpacked, own), loss.plain))
+        packed = source.withColumn("held", held).mapInPandas(block, "x binary, y binary, w binary, held binary")
         if n <= TASK_ROWS:
+            blocks = packed.repartition(1).rdd.mapPartitions(lambda own: _blocks(map(unpacked, own), loss.plain))
             rounds = _boost_in_task(blocks, loss, settings, width, bins, early)
         else:
             checkpoint_root(rows.sparkSession)
-            steps = Steps(blocks, loss, bins)
+            dealt = packed.rdd.mapPartitions(lambda own: _dealt(map(unpacked, own), loss.plain, parts)).partitionBy(parts, lambda part: part)
+            blocks = dealt.mapPartitions(lambda own: _merged((rows for _, rows in own), loss.plain)).persist(StorageLevel.MEMORY_AND_DISK)
+            steps = None
             try:
+                kept, out = blocks.map(lambda b: np.array([len(b.label), 0] if not b.held.all() else [0, len(b.label)])).treeReduce(lambda a, b: a + b).tolist()
+                # No more parts than the kept rows need; held rows cost a pass once a round.
+                wanted = max(rows.sparkSession.sparkContext.defaultParallelism, -(-kept // TASK_ROWS), -(-out // HELD_ROWS))
+                fewer = blocks.coalesce(wanted).mapPartitions(lambda own: _merged(own, loss.plain)) if wanted < parts else blocks
+                steps = Steps(fewer, loss, bins, width)
                 rounds = boost(steps, loss, settings, width, bins, early)
             finally:
-                steps.close()
+                if steps is not None:
+                    steps.close()
+                blocks.unpersist()
     finally:
         source.unpersist()
     named = [[_named(tree, edges) for tree in trees] for trees in rounds]

@@ -1,12 +1,13 @@
 """Random forests over binned rows: large nodes by sums over all parts, the rest of a tree within a task.
 
-Features are cut into at most 32 bins. A part keeps its distinct rows of bins
-(cells) once. How often a row is drawn for a tree is Poisson(1), repeated from a
+Features are cut into at most 32 bins. Rows are dealt by the hash of their bins (their
+cell), so that a cell is kept once, in one part; only a cell with more rows than a part
+should have goes to several. How often a row is drawn for a tree is Poisson(1), repeated from a
 seed whenever it is needed, and the drawn rows are summed up per cell: rows drawn,
 weight, and weighted label or weight per class. A split depends on these sums alone.
 
-Nodes that may hold more than ``TASK_CELLS`` cells are split level by level: each
-part adds up (node, feature, bin), the sums of a tree are added and searched in
+Nodes that hold more than ``TASK_CELLS`` cells are split level by level: each
+part adds up (node, feature, bin), the sums and cells of a tree are added and searched in
 tasks, and only the splits come to the driver. The cells of every other node go to
 one task, which grows the rest of its tree. So the work of a part follows its
 rows, not the nodes of all trees.
@@ -43,6 +44,8 @@ TASK_CELLS = 262_144
 #: Rows of a part, if the table has enough parts.
 PART_ROWS = 262_144
 LEAST_PART_ROWS = 16_384
+#: Rows that are dealt at once.
+DEALT_ROWS = 131_072
 #: Sums of one feature that are searched at once within a task.
 SEARCHED = 2_000_000
 LEAST_GAIN = 1e-12
@@ -88,6 +91,20 @@ class Shape:
         return np.divide(squares, weight, out=np.zeros_like(squares), where=weight > 0)
 
 
+def parts_of(cells: np.ndarray, parts: int) -> np.ndarray:
+    """A part for each row by the hash of its cell; rows of a cell beyond twice their share of a part go to the next ones."""
+    if parts == 1 or not len(cells):
+        return np.zeros(len(cells), np.int64)
+    hashed = boosting.hashes(cells)
+    order = np.argsort(hashed, kind="stable")
+    ordered = hashed[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    nth = np.arange(len(cells)) - np.repeat(first, np.diff(np.append(first, len(cells))))
+    out = np.empty(len(cells), np.int64)
+    out[order] = (ordered % np.uint64(parts)).astype(np.int64) + nth // max(1, 2 * len(cells) // parts)
+    return out % parts
+
+
 def _as_text(cells: np.ndarray) -> np.ndarray:
     """Rows of bytes as one value each; equal width keeps closing zeros apart."""
     return np.ascontiguousarray(cells).view(f"S{cells.shape[1]}").ravel()
@@ -268,19 +285,21 @@ def grow(cells: np.ndarray, sums: np.ndarray, name: int, depth: int, tree: int,
 
 @dataclass
 class _Top:
-    """The upper part of a tree, with the names of its nodes and those that are still to be split."""
+    """The upper part of a tree, with the names of its nodes and those that are still to be split, and their cells."""
 
     tree: Tree
     names: np.ndarray
     open: np.ndarray
+    cells: np.ndarray
 
     def depth(self, node: int) -> int:
         return int(self.names[node]).bit_length() - 1
 
 
 def _sums_by_bin(block: Block, number: int, top: _Top, shape: Shape, seed: int) -> np.ndarray:
-    """(sums, open nodes, bins of all features) of a part for a tree."""
+    """(sums and number of cells, open nodes, bins of all features) of a part for a tree."""
     cells, sums = block.drawn(seed, number, shape.classes)
+    sums = np.vstack([sums, np.ones(len(cells))])
     place = np.full(len(top.names), -1, np.int64)
     place[top.open] = np.arange(len(top.open))
     at = place[top.tree.node_of(cells)]
@@ -306,7 +325,7 @@ def _split_level(blocks, tops: list[_Top], shape: Shape, settings: Settings) ->
         number, sums = item
         top, total = todo[number], sums[:, :, : ends[1]].sum(axis=2)
         tries = tried_features(top.names[top.open], number, settings, len(shape.bins))
-        feature, cut = search(lambda f, nodes: sums[:, nodes, ends[f] : ends[f + 1]], total, tries, shape, settings.leaf)
+        feature, cut = search(lambda f, nodes: sums[:-1, nodes, ends[f] : ends[f + 1]], total[:-1], tries, shape, settings.leaf)
         lefts = np.zeros_like(total)
         for k in np.flatnonzero(feature >= 0):
             lefts[:, k] = sums[:, k, ends[feature[k]] : ends[feature[k]] + cut[k] + 1].sum(axis=1)
@@ -317,6 +336,7 @@ def _split_level(blocks, tops: list[_Top], shape: Shape, settings: Settings) ->
         top = tops[number]
         tree, split = top.tree, np.flatnonzero(feature >= 0)
         nodes, first = top.open[split], len(tree.feature)
+        ends_, cells = ends_[:, :-1], ends_[:, -1]
         tree.sums[:, top.open] = ends_.sum(axis=0)
         tree.feature[nodes], tree.bin[nodes] = feature[split], cut[split]
         tree.left[nodes] = first + 2 * np.arange(len(split))
@@ -327,7 +347,7 @@ def _split_level(blocks, tops: list[_Top], shape: Shape, settings: Settings) ->
             np.append(tree.left, np.zeros(more, np.int32)), np.concatenate([tree.sums, children], axis=1),
         )
         top.names = np.append(top.names, (2 * top.names[nodes, None] + np.arange(2)).ravel())
-        top.open = np.arange(first, first + more)
+        top.open, top.cells = np.arange(first, first + more), cells[:, split].T.ravel()
 
 
 def grown_trees(blocks, shape: Shape, settings: Settings, rows: int) -> list[Tree]:
@@ -335,7 +355,7 @@ def grown_trees(blocks, shape: Shape, settings: Settings, rows: int) -> list[Tre
     kinds = 1 + (shape.classes or 2)
     most = min(rows, blocks.map(lambda b: len(b.cells)).sum(), math.prod(shape.bins))
     root = lambda: Tree(np.full(1, -1, np.int32), np.zeros(1, np.uint8), np.zeros(1, np.int32), np.zeros((kinds, 1)))
-    tops = [_Top(root(), np.ones(1, np.int64), np.zeros(1 if most > TASK_CELLS else 0, np.int64)) for _ in range(settings.trees)]
+    tops = [_Top(root(), np.ones(1, np.int64), np.zeros(1 if most > TASK_CELLS else 0, np.int64), np.zeros(0)) for _ in range(settings.trees)]
     level, small = 0, [[] if most > TASK_CELLS else [0] for _ in tops]
     while level < settings.depth and any(len(top.open) for top in tops):
         _split_level(blocks, tops, shape, settings)
@@ -343,8 +363,9 @@ def grown_trees(blocks, shape: Shape, settings: Settings, rows: int) -> list[Tre
         for top, rest in zip(tops, small, strict=True):
             total = top.tree.sums[:, top.open]
             wanted = _splittable(total, shape, settings.leaf) & (level < settings.depth)
-            rest += top.open[wanted & (total[0] <= TASK_CELLS)].tolist()
-            top.open = top.open[wanted & (total[0] > TASK_CELLS)]
+            rest += top.open[wanted & (top.cells <= TASK_CELLS)].tolist()
+            more = wanted & (top.cells > TASK_CELLS)
+            top.open, top.cells = top.open[more], top.cells[more]
     jobs = [(number, node) for number, rest in enumerate(small) for node in rest]
     if jobs:
         by_tree = {number: (tops[number].tree, {node: k for k, (t, node) in enumerate(jobs) if t == number}) for number, rest in enumerate(small) if rest}
@@ -371,7 +392,7 @@ def grown_trees(blocks, shape: Shape, settings: Settings, rows: int) -> list[Tre
             cells, sums = merged(item[1])
             return item[0], grow(cells, sums, int(tops[number].names[node]), tops[number].depth(node), number, shape, settings)
 
-        tasks = min(len(jobs), max(3 * blocks.context.defaultParallelism, len(jobs) // 8))
+        tasks = min(len(jobs), max(8 * blocks.context.defaultParallelism, len(jobs) // 8))
         grown = blocks.mapPartitions(parts).combineByKey(lambda part: [part], added, added, tasks, lambda job: job).map(rest_of).collect()
         below: dict[int, list[tuple[int, Tree]]] = {}
         for job, tree in sorted(grown, key=lambda x: x[0]):
@@ -425,15 +446,33 @@ def fit(
                     cells = boosting._binned(np.stack(batch["x"].to_numpy()), edges)
                     yield pd.DataFrame({"x": [cells.tobytes()], "y": [y.tobytes()], "w": [np.rint(w / heavy).tobytes() if weighted else b""]})
 
+        def pieces(held: list[tuple[bytes, bytes, bytes]]) -> Iterator[tuple[int, tuple[bytes, bytes, bytes]]]:
+            x, y, w = (b"".join(c) for c in zip(*held, strict=True))
+            cells, label, heft = np.frombuffer(x, np.uint8).reshape(-1, width), np.frombuffer(y), np.frombuffer(w)
+            at = parts_of(cells, parts)
+            order = np.argsort(at, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                yield int(at[own[0]]), (cells[own].tobytes(), label[own].tobytes(), heft[own].tobytes() if weighted else b"")
+
+        def dealt(own: Iterator) -> Iterator[tuple[int, tuple[bytes, bytes, bytes]]]:
+            held: list[tuple[bytes, bytes, bytes]] = []
+            for r in own:
+                held.append((r["x"], r["y"], r["w"]))
+                if sum(len(y) for _, y, _ in held) >= 8 * DEALT_ROWS:
+                    yield from pieces(held)
+                    held = []
+            if held:
+                yield from pieces(held)
+
         def collapsed(part: int, own: Iterator) -> Iterator[Block]:
-            held = [(r["x"], r["y"], r["w"]) for r in own]
+            held = [piece for _, piece in own]
             if held:
                 x, y, w = (b"".join(c) for c in zip(*held, strict=True))
                 label = np.frombuffer(y)
                 yield Block.of(part, np.frombuffer(x, np.uint8).reshape(-1, width), label.astype(np.int32) if classes else label, np.frombuffer(w) if weighted else None)
 
-        packed = source.mapInPandas(block, "x binary, y binary, w binary").repartition(parts)
-        blocks = packed.rdd.mapPartitionsWithIndex(collapsed).persist(StorageLevel.MEMORY_AND_DISK)
+        packed = source.mapInPandas(block, "x binary, y binary, w binary")
+        blocks = packed.rdd.mapPartitions(dealt).partitionBy(parts, lambda part: part).mapPartitionsWithIndex(collapsed).persist(StorageLevel.MEMORY_AND_DISK)
         trees = grown_trees(blocks, shape, settings, n)
     finally:
         if blocks is not None:

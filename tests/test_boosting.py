@@ -153,3 +153,20 @@ def test_equal_bins_are_kept_as_one_row():
         trees = [tree] * len(loss.start)
         for nodes in ([[0]] * len(trees), [[1, 2]] * len(trees)):
             assert np.array_equal(sum(x.sums(loss, trees, nodes, 3) for x in blocks), rows.sums(loss, trees, nodes, 3))
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_equal_rows_meet_in_one_part(spark, monkeypatch, classes):
+    """Steps go over every kept row once, however many parts the table has."""
+    monkeypatch.setattr(b, "TASK_ROWS", 50)
+    kept, begun = [], b.Steps.__init__
+
+    def begin(self, blocks, *rest):
+        kept.append(blocks.map(lambda x: (len(x.label), float(x.times.sum()))).collect())
+        begun(self, blocks, *rest)
+
+    monkeypatch.setattr(b.Steps, "__init__", begin)
+    x = np.column_stack([np.arange(400) % 3, np.arange(400) // 3 % 3])
+    rows = frame(spark, x, np.arange(400) // 9 % 3, 4)
+    b.fit(rows, "y", b.Settings(2, 0.3, 4), classes)
+    assert sum(n for n, _ in kept[0]) == 9 * max(classes, 1) and sum(t for _, t in kept[0]) == 400

@@ -86,6 +86,20 @@ def test_the_same_trees_wherever_nodes_are_finished(frame, monkeypatch, subset):
         assert np.array_equal(predicted(other, frame), predicted(whole, frame))
 
 
+def test_rows_of_a_cell_meet_in_one_part(spark, monkeypatch):
+    """A cell is kept once, whatever the parts; only one with too many rows goes to several, and no part gets most of it."""
+    monkeypatch.setattr(forest, "PART_ROWS", 100)
+    held, grown = [], forest.grown_trees
+    monkeypatch.setattr(forest, "grown_trees", lambda blocks, *rest: held.extend(blocks.map(lambda x: (len(x.cells), len(x.at))).collect()) or grown(blocks, *rest))
+    rows = spark.createDataFrame([(i, Vectors.dense([i % 10, i // 10 % 5]), float(i)) for i in range(1200)], SCHEMA).coalesce(2)
+    forest.fit(rows, "y", forest.Settings(2, 3))
+    assert sum(cells for cells, _ in held) == 50 and sum(n for _, n in held) == 1200
+    hot = np.zeros((9000, 3), np.uint8)
+    hot[:3000, 0] = np.arange(3000) % 200
+    assert np.bincount(forest.parts_of(hot, 30), minlength=30).max() <= 1000
+    assert set(forest.parts_of(hot, 1)) == {0}
+
+
 def test_a_level_without_a_split(frame, monkeypatch):
     """Nodes that are split over all parts may find no gain in any feature."""
     monkeypatch.setattr(forest, "TASK_CELLS", 0)
